@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stockloom.llm import quality
+from stockloom.llm import quality, tokencount
 
-_MODULES = (quality,)
+_MODULES = (quality, tokencount)
 
 
 def queries() -> dict:
