@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stockloom.llm import quality, tokencount
+from stockloom.llm import quality, secrets, tokencount
 
-_MODULES = (quality, tokencount)
+_MODULES = (secrets, quality, tokencount)
 
 
 def queries() -> dict:
