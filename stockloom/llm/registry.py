@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stockloom.llm import quality, secrets, tokencount
+from stockloom.llm import quality, secrets, tokencount, toxicity
 
-_MODULES = (secrets, quality, tokencount)
+_MODULES = (secrets, quality, toxicity, tokencount)
 
 
 def queries() -> dict:
