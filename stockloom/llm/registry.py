@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stockloom.llm import quality, secrets, tokencount, toxicity
+from stockloom.llm import neardup, quality, secrets, tokencount, toxicity
 
-_MODULES = (secrets, quality, toxicity, tokencount)
+_MODULES = (secrets, neardup, quality, toxicity, tokencount)
 
 
 def queries() -> dict:
