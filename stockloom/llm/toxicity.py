@@ -24,8 +24,8 @@ from stockloom.llm import kernel
 from stockloom.llm.secrets import runs
 
 BITS = 18
-POSITIVES = 4_000
-UNLABELLED = 8_000
+POSITIVES = 2_000
+UNLABELLED = 4_000
 THRESHOLD = 0.3
 
 _LETTER = np.zeros(256, bool)
@@ -67,10 +67,11 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return Model(np.zeros(1 << BITS), bias)
     docs = [*positive, *unlabelled]
-    flat, owner = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    flat, owner = np.concatenate(docs), np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
     common = np.bincount(flat, minlength=1 << BITS) >= least_docs
     flat, owner = flat[common[flat]], owner[common[flat]]
-    used, flat = np.unique(flat, return_inverse=True)
+    used = np.unique(flat)
+    flat = np.searchsorted(used, flat).astype(np.int32)
     is_p = np.arange(len(docs)) < len(positive)
     n_p, n_u = len(positive), len(unlabelled)
     w, b = np.zeros(len(used)), bias
@@ -112,10 +113,11 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, u
                 number, owner = tokens(p)
                 keys = np.unique(owner << BITS | number)
                 found += np.split(keys & ((1 << BITS) - 1), np.searchsorted(keys >> BITS, np.arange(1, p.n)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())], ["doc_id", "toxic", "x"])
 
-    got = picked.mapInArrow(rows, "doc_id long, toxic boolean, x array<int>").toPandas().sort_values(["toxic", "doc_id"], kind="stable")
-    return fit([np.asarray(x) for x in got[got.toxic].x], [np.asarray(x) for x in got[~got.toxic].x], prior)
+    got = picked.mapInArrow(rows, "doc_id long, toxic boolean, x binary").toPandas().sort_values(["toxic", "doc_id"], kind="stable")
+    positive, other = ([np.frombuffer(x, np.int32) for x in got[got.toxic == flag].x] for flag in (True, False))
+    return fit(positive, other, prior)
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
