@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stockloom.llm import mixing, neardup, quality, secrets, tokencount, toxicity
+from stockloom.llm import linededup, mixing, neardup, quality, secrets, tokencount, toxicity
 
-_MODULES = (secrets, neardup, quality, toxicity, mixing, tokencount)
+_MODULES = (secrets, linededup, neardup, quality, toxicity, mixing, tokencount)
 
 
 def queries() -> dict:
