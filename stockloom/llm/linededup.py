@@ -51,12 +51,15 @@ def covered(documents: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def dedup(documents: DataFrame, size: int = WINDOW, counts: bool = True) -> DataFrame:
-    """The documents' own columns with covered lines removed from text; with ``counts`` also n_lines (with a word) and n_removed."""
+    """The documents' own columns with covered lines removed from text (and n_chars, if there, made to fit); with ``counts`` also n_lines (with a word) and n_removed."""
     hit = documents.join(covered(documents, size).select(F.col("doc_id").alias("__id"), F.col("covered").alias("__covered")).hint("merge"), F.col("doc_id") == F.col("__id"), "left")
     lines = F.split("text", "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__covered")), lambda i: F.get(lines, i))
     text = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    own = [text.alias(c) if c == "text" else F.col(c) for c in documents.columns]
+    new = {"text": text}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(F.col("__covered").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(documents.dtypes)["n_chars"])
+    own = [new.get(c, F.col(c)).alias(c) for c in documents.columns]
     if not counts:
         return hit.select(*own)
     n_lines = F.size(F.filter(F.coalesce(lines, F.array()), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
