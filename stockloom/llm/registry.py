@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stockloom.llm import decontam, linededup, mixing, neardup, quality, secrets, tokencount, toxicity
+from stockloom.llm import chat, decontam, licenses, linededup, mixing, neardup, quality, secrets, tokencount, toxicity
 
-_MODULES = (secrets, linededup, neardup, quality, toxicity, mixing, tokencount, decontam)
+_MODULES = (secrets, linededup, neardup, licenses, quality, toxicity, mixing, chat, tokencount, decontam)
 
 
 def queries() -> dict:
