@@ -232,9 +232,11 @@ def judge(documents: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_
             base, failed, score, kept = verdict(b.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), **base, "base_failed": failed, "kept": kept, "score": score})
 
+    at = documents.columns.index("text")
+
     def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(verdict(b.column(documents.columns.index("text")))[3]))
+            yield b.filter(pa.array(verdict(b.column(at))[3]))
 
     if keep:
         return documents.mapInArrow(kept_rows, documents.schema)
