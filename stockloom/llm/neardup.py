@@ -8,8 +8,9 @@ Candidates come from inverted lists of the retained values. Two sets whose simil
 threshold share at least ``c`` retained values, so, with values ordered from rare to common, they meet
 in the list of one of their first ``size - c + 1`` values: passages that many documents share are not
 indexed. Short lists give all their pairs; in long lists every member is paired with the list's first
-member, links are found, and only if members of a list then still lie in different components are the
-pairs across components compared, block by block. The sketch of the union estimates each pair; what
+member, and links are found. Long lists with one first member form a crowd; only if members of a crowd then still
+lie in different components do those outside its largest component meet the others, block by block, first by
+sketches, then by full sets. The sketch of the union estimates each pair; what
 stays well below the threshold goes; the exact Jaccard on full sets decides the rest. Components come from
 alternating large and small stars.
 
@@ -35,7 +36,7 @@ WORDS = 5
 SKETCH = 64
 PERCENT = 75
 SHORT_LIST = 16
-BLOCK = 256
+BLOCK = 512
 
 
 def shingle_sets(piece: kernel.Piece, words: int = WORDS) -> list[np.ndarray]:
@@ -85,29 +86,35 @@ def _least_shared(n: F.Column, k: int, percent: int) -> F.Column:
 
 
 def inverted_lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """value, rep, n: the postings of the rarest retained values of each representative; values of one document are left out."""
+    """value, rep, n, central (how many of 1000 retained values others share): the postings of the rarest retained
+    values of each representative; values of one document are left out."""
     postings = reps.select("rep", "n", F.size("sketch").cast("long").alias("kept"), F.explode("sketch").alias("value"))
     frequent = shared.written(postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     met = postings.join(frequent.hint("merge"), "value")
     ranked = met.groupBy("rep", "n", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))  # at most k values
     room = F.col("kept") - _least_shared(F.col("n"), k, percent) + 1 - (F.col("kept") - F.size("values"))
     head = F.slice("values", F.lit(1), F.least(F.size("values"), room.cast("int")))
-    return ranked.where(room > 0).select("rep", "n", F.explode(head).alias("v")).select("v.value", "rep", "n")
+    central = (F.size("values") * 1000 / F.col("kept")).cast("int").alias("central")
+    return ranked.where(room > 0).select("rep", "n", central, F.explode(head).alias("v")).select("v.value", "rep", "n", "central")
 
 
 def _pairs(a: str, b: str) -> list[F.Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def first_candidates(lists: DataFrame, short: int) -> DataFrame:
-    """All pairs of short lists, and the pairs of each long list's first member with the others."""
-    sizes = shared.written(lists.groupBy("value").agg(F.count("*").alias("members"), F.min("rep").alias("first")).where("members > 1"))
-    met = lists.join(sizes.hint("merge"), "value")
-    long_pairs = met.where((F.col("members") > short) & (F.col("rep") != F.col("first"))).select(*_pairs("first", "rep"))
+def _meetings(lists: DataFrame) -> DataFrame:
+    """The postings with their list's length and first member, the most central one (an original rather than one of its
+    altered copies); lists of one member are left out."""
+    sizes = shared.written(lists.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct(-F.col("central"), F.col("rep").alias("rep")))["rep"].alias("first")).where("members > 1"))
+    return lists.join(sizes.hint("merge"), "value")
+
+
+def short_pairs(met: DataFrame, short: int, percent: int) -> DataFrame:
+    """All pairs of the lists with at most ``short`` members."""
     whole = met.where(F.col("members") <= short).groupBy("value").agg(F.collect_list(F.struct("rep", "n")).alias("m"))  # at most `short` members
     x, y = whole.select(F.posexplode("m").alias("i", "x"), "m"), F.expr("slice(m, i + 2, greatest(size(m) - i - 1, 0))")
-    close = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
-    return x.select("x", F.explode(y).alias("y")).where((F.col("x.rep") != F.col("y.rep")) & close).select(*_pairs("x.rep", "y.rep")).union(long_pairs).distinct()
+    close = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    return x.select("x", F.explode(y).alias("y")).where((F.col("x.rep") != F.col("y.rep")) & close).select(*_pairs("x.rep", "y.rep"))
 
 
 def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
@@ -138,15 +145,20 @@ def likely(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame
     return near.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold: a, b, shared, total."""
-    ids = shared.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, items (the set's hashes as bytes, sorted) of the documents named in a written table of ids."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s.tobytes() for p in kernel.pieces(batch.column("text")) for s in shingle_sets(p)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "items"])
 
+    return shared.join_ids(shared.texts(documents), ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, items binary")
+
+
+def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold: a, b, shared, total."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -157,7 +169,7 @@ def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both), pa.array(total)], ["a", "b", "shared", "total"])
             yield out.filter(pa.array(100 * both >= percent * total))
 
-    full = shared.join_ids(shared.texts(documents), ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, items binary")
+    full = full_sets(documents, shared.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     with_a = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")).hint("merge"), "a")
     both = with_a.join(full.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")).hint("merge"), "b")
     return both.select("a", "b", "ia", "ib").mapInArrow(compare, "a long, b long, shared long, total long")
@@ -180,35 +192,77 @@ def components(links: DataFrame) -> DataFrame:
         mark = tuple(now)
 
 
-def across_components(lists: DataFrame, reps: DataFrame, roots: DataFrame, short: int, k: int, percent: int) -> DataFrame | None:
-    """Pairs of long lists whose members lie in different components and whose estimate passes; None if no list has such members."""
-    rooted = lists.join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left").select("value", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = shared.written(rooted.groupBy("value").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("members") > short) & (F.col("lo") < F.col("hi"))).select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """Sizes of all intersections; values that only one set holds are left out, and columns are taken in chunks."""
+    sizes = np.array([len(x) for x in (*left, *right)])
+    _, column, held = np.unique(np.concatenate((*left, *right)), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    number = np.cumsum(held > 1) - 1
+    use = held[column] > 1
+    row, column = row[use], number[column[use]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, chunk):
+        here = (column >= at) & (column < at + chunk)
+        m = np.zeros((len(sizes), chunk), np.float32)
+        m[row[here], column[here] - at] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def across_components(crowds: DataFrame, reps: DataFrame, roots: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Further links inside crowds (all long lists with one first member) whose members lie in different components,
+    or None if there is no such crowd. Members outside a crowd's largest component meet all its members, block by block,
+    each pair of blocks in a task of its own; of the links found there, those that join components are returned."""
+    rooted = shared.written(crowds.join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left").select("first", "rep", F.coalesce("root", "rep").alias("root")))
+    by_root = rooted.groupBy("first", "root").agg(F.count("*").alias("c"))
+    mixed = shared.written(by_root.groupBy("first").agg(F.count("*").alias("roots"), F.sum("c").alias("members"), F.max("c").alias("largest"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1")
+        .select("first", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("largest")) / BLOCK).cast("int").alias("stray_blocks")))
     if not mixed.head(1):
         return None
     t = percent / 100
     floor = t - 5 * (t * (1 - t) / k) ** 0.5
-    members = rooted.join(mixed, "value").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    sided = members.select("value", "rep", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    sided = sided.select("value", "rep", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("block"))
-    full = sided.join(reps.select("rep", "n", "sketch"), "rep")
+    members = shared.written(rooted.join(mixed, "first"))
+    sets = full_sets(documents, shared.written(members.select(F.col("rep").alias("doc_id")).distinct())).withColumnRenamed("doc_id", "rep")
+    full = members.join(reps.select("rep", "n", "sketch").hint("merge"), "rep").join(sets.hint("merge"), "rep")
+    spot = F.xxhash64("rep")
+    columns = ["first", "rep", "root", "n", "sketch", "items"]
+    stray = full.where("root <> main").select(*columns, F.lit(True).alias("stray"), F.pmod(spot, "stray_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    every = full.select(*columns, F.lit(False).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("i"), F.pmod(spot, "blocks").cast("int").alias("j"))
 
     def compare(table: pa.Table) -> pa.Table:
-        rep, root, n, block = (table.column(c).to_numpy() for c in ("rep", "root", "n", "block"))
-        sketch = [np.asarray(x, np.int64).view(np.uint64) for x in table.column("sketch").to_pylist()]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        rep, root, n, stray = (table.column(c).to_numpy() for c in ("rep", "root", "n", "stray"))
+        x, y = np.flatnonzero(stray), np.flatnonzero(~stray)
         a, b = [], []
-        for x in np.flatnonzero(block == i).tolist():
-            close = (block == j) & (root != root[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent)
-            if i == j:
-                close &= rep > rep[x]
-            for y in np.flatnonzero(close).tolist():
-                if _estimate(sketch[x], sketch[y], k) >= floor:
-                    a.append(min(rep[x], rep[y]))
-                    b.append(max(rep[x], rep[y]))
+        if len(x) and len(y):
+            sketch = [np.asarray(v, np.int64).view(np.uint64) for v in table.column("sketch").to_pylist()]
+            items = [np.frombuffer(v, np.uint64) for v in table.column("items").to_pylist()]
+            kept = np.array([len(v) for v in sketch])
+            overlap = _overlaps([sketch[i] for i in x], [sketch[i] for i in y])
+            union = np.minimum(k, kept[x][:, None] + kept[y] - overlap)
+            open_ = (root[x][:, None] != root[y]) & (overlap >= floor * union) & (np.minimum(n[x][:, None], n[y]) * 100 >= np.maximum(n[x][:, None], n[y]) * percent)
+            live_x, live_y = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            if len(live_x):
+                x, y, open_ = x[live_x], y[live_y], open_[np.ix_(live_x, live_y)]
+                inner = np.rint(_overlaps([items[i] for i in x], [items[i] for i in y])).astype(np.int64)
+                linked = open_ & (100 * inner >= percent * (n[x][:, None] + n[y] - inner))
+                up: dict[int, int] = {}
+
+                def find(v: int) -> int:
+                    while up.get(v, v) != v:
+                        up[v] = up.get(up[v], up[v])
+                        v = up[v]
+                    return v
+
+                for p, q in np.argwhere(linked).tolist():
+                    one, two = find(int(root[x[p]])), find(int(root[y[q]]))
+                    if one != two:
+                        up[one] = two
+                        a.append(int(rep[x[p]]))
+                        b.append(int(rep[y[q]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return full.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    found = stray.unionByName(every).groupBy("first", "i", "j").applyInArrow(compare, "a long, b long")
+    return found.select(*_pairs("a", "b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, k: int = SKETCH, percent: int = PERCENT, short: int = SHORT_LIST) -> DataFrame:
@@ -217,14 +271,17 @@ def near_duplicates(documents: DataFrame, k: int = SKETCH, percent: int = PERCEN
     sets = every.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n")
     reps = shared.written(sets.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
     lists = shared.written(inverted_lists(reps, k, percent))
-    likely_pairs = shared.written(likely(first_candidates(lists, short), reps, k, percent))
+    met = _meetings(lists)
+    crowds = shared.written(met.where(F.col("members") > short).select("first", "rep").distinct())
+    stars = crowds.where("rep <> first").select(*_pairs("first", "rep"))
+    likely_pairs = shared.written(likely(short_pairs(met, short, percent).union(stars).distinct(), reps, k, percent))
     links = shared.written(verified(likely_pairs, documents, percent))
     roots = components(links)
-    more = across_components(lists, reps, roots, short, k, percent)
+    more = across_components(crowds, reps, roots, documents, k, percent)
     if more is not None:
-        new = shared.written(verified(shared.written(more), documents, percent))
-        if new.head(1):
-            roots = components(links.union(new))
+        more = shared.written(more)
+        if more.head(1):
+            roots = components(links.select("a", "b").union(more))
     classes = shared.written(reps.select("h1", "h2", "n", "rep").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("h1", "h2", "n", "rep", F.coalesce("root", "rep").alias("root")))
     slim = every.select("doc_id", "n", *(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(h)).alias(h) for h in ("h1", "h2")))
     out = slim.join(classes.hint("merge"), ["h1", "h2", "n"], "left")
