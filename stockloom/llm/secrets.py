@@ -288,8 +288,9 @@ def train(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field | None:
         named = named | low.contains(word.decode())
     named = named | F.col("text").contains("AKIA")
     rows = rows.withColumn("named", named)
-    picked = [rows.where(F.col("named") == flag).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows) for flag in (True, False)]
-    texts = [r["text"] for part in picked for r in part.collect()]
+    ids = [rows.where(F.col("named") == flag).select("doc_id", "named").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for flag in (True, False)]
+    chosen = F.broadcast(ids[0].union(ids[1]))  # bounded by the two limits
+    texts = [r["text"] for r in rows.join(chosen, ["doc_id", "named"]).select("doc_id", "text").orderBy("doc_id", "text").limit(2 * sample_rows).collect()]
     sequences, tags, mask = training_windows(texts)
     return fit(sequences, tags, mask) if len(sequences) and tags.any() else None
 
