@@ -43,4 +43,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     _load()
-    return _QUERIES[next(iter(_QUERIES))](spark, sf_dir)
+    return _QUERIES["bt00_momentum_ic"](spark, sf_dir)
