@@ -107,10 +107,10 @@ def newest_run(s, d):
 
 @register("fn15_capital_table", cte("stmts") + _RUN + """, g AS (SELECT entity, COUNT(*) AS years, SUM(operating_cash_flow) AS cash, SUM(net_income) AS income, ARG_MIN(diluted_shares, fiscal_year) AS s0, ARG_MAX(diluted_shares, fiscal_year) AS s1,
 ARG_MIN(total_debt + total_equity, fiscal_year) AS c0, ARG_MAX(total_debt + total_equity, fiscal_year) AS c1, ARG_MIN(net_income, fiscal_year) AS i0, ARG_MAX(net_income, fiscal_year) AS i1 FROM r GROUP BY entity)
-SELECT entity, years, ROUND(cash, 0) AS cash, ROUND(income / NULLIF(cash, 0), 4) AS share_of_cash, ROUND(s1 / NULLIF(s0, 0) - 1, 6) AS share_change,
+SELECT entity, years, ROUND(cash, 2) AS cash, ROUND(income / NULLIF(cash, 0), 4) AS share_of_cash, ROUND(s1 / NULLIF(s0, 0) - 1, 6) AS share_change,
 ROUND(CASE WHEN c0 > 0 AND c1 >= 1.05 * c0 AND years >= 2 THEN (i1 - i0) / (c1 - c0) END, 6) AS added_return, CASE WHEN years < 2 THEN 'one_year' WHEN c0 > 0 AND c1 >= 1.05 * c0 THEN 'ok' ELSE 'no_growth' END AS reason FROM g""")
 def capital(s, d):
-    return U.capital_table(_run(s, d)).select("entity", "years", _r("cash", 0), _r("share_of_cash", 4), _r("share_change"), _r("added_return"), "reason")
+    return U.capital_table(_run(s, d)).select("entity", "years", _r("cash", 2), _r("share_of_cash", 4), _r("share_change"), _r("added_return"), "reason")
 
 
 @register("fn16_regime", "SELECT COUNT_IF(name = 'click' AND v > 40 OR name = 'error' AND v > 40) AS off, COUNT_IF(name = 'view' AND v < 60 OR name = 'purchase' AND v < 60) AS on_, CASE WHEN COUNT_IF(name = 'click' AND v > 40 OR name = 'error' AND v > 40) = 2 THEN 'risk_off' WHEN COUNT_IF(name = 'view' AND v < 60 OR name = 'purchase' AND v < 60) = 2 THEN 'risk_on' ELSE 'neutral' END AS regime FROM (SELECT event_type AS name, ARG_MAX(value, ts) AS v FROM events GROUP BY 1)")
