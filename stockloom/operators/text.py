@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def tokens(c: Column) -> Column:
@@ -54,7 +55,7 @@ def new_blocks(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return now.join(before, ["doc_id", "key"], "left_anti")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks similarity of two strings; use it on blocked pairs only."""
     for a, b in batches:
