@@ -13,7 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document forms a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
+SLICE_ROWS = 512
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -92,18 +93,20 @@ class Piece:
 
 
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
-    """Cut a string column into pieces of whole texts; null counts as empty."""
+    """Cut a string column into pieces of whole texts; null counts as empty. Rows are converted a few at a time, so that a
+    large Arrow batch is never copied whole."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-        to = min(to, len(column))
-        yield Piece(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at)
-        at = to
+    for start in range(0, len(column), SLICE_ROWS):
+        part = pc.fill_null(column.slice(start, SLICE_ROWS).cast(pa.large_string()), "")
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(part.buffers()[2], np.uint8) if part.buffers()[2] else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(part):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+            to = min(to, len(part))
+            yield Piece(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], start + at)
+            at = to
 
 
 def count_by(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
