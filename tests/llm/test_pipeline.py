@@ -24,7 +24,8 @@ def test_stages(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     ids = {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert set(range(60)) <= ids
-    assert not ids & ({r[0] for r in junk} | {r[0] for r in copies} | {300, 400, 401})
+    assert not ids & ({r[0] for r in junk} | {r[0] for r in copies[1:]} | {300, 400, 401})
+    # the copies' lines went with line dedup; of what each had of its own, one stays
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
