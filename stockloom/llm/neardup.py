@@ -185,7 +185,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least.hint("merge"), "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low.hint("merge"), "x").select(F.explode(F.array(F.struct("x", "m"), F.struct(F.col("y").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("x"), F.col("e.m").alias("y")).where("x <> y").distinct()
-        edges = shared.written(small)
+        before, edges = edges, shared.written(small)
+        shared.discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
@@ -283,6 +284,7 @@ def near_duplicates(documents: DataFrame, k: int = SKETCH, percent: int = PERCEN
         if more.head(1):
             roots = components(links.select("a", "b").union(more))
     classes = shared.written(reps.select("h1", "h2", "n", "rep").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("h1", "h2", "n", "rep", F.coalesce("root", "rep").alias("root")))
+    shared.discard(reps, lists, crowds, likely_pairs, links, more)
     slim = every.select("doc_id", "n", *(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(h)).alias(h) for h in ("h1", "h2")))
     out = slim.join(classes.hint("merge"), ["h1", "h2", "n"], "left")
     root = F.coalesce("root", "doc_id")

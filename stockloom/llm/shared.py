@@ -18,7 +18,19 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stockloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "written_path", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def join_ids(big: DataFrame, ids: DataFrame, on: str, how: str, bound: int = BROADCAST_ROWS) -> DataFrame:
