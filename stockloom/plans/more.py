@@ -199,3 +199,14 @@ def notes(s, d):
     family = F.when(title.rlike("the|der"), 0).when(title.rlike("la|en"), 1)
     n = table(s, d, "documents").where(~title.rlike(r"worthless|\|")).select("doc_id", F.concat_ws("-", "lang", "source").alias("filer"), family.alias("family")).where("family is not null")
     return n.withColumn("place", F.row_number().over(Window.partitionBy("filer").orderBy("family", "doc_id"))).where("place <= 3").select("filer", "doc_id", "family", "place")
+
+
+@register("tx06b_story_clusters", """WITH g AS (SELECT user_id AS ticker, event_type, ts, event_id, CASE WHEN ts <= LAG(ts) OVER w + INTERVAL 4 DAY THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)), s AS (SELECT *, SUM(b) OVER (PARTITION BY ticker, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS story FROM g)
+SELECT ticker, event_type, CAST(story AS BIGINT) AS story, COUNT(*) AS n, ARG_MIN(event_id, (ts, event_id)) AS first_id FROM s GROUP BY ALL""")
+def clusters(s, d):
+    """Items with one key belong to a story while gaps stay inside four days; its first item represents it."""
+    e = view(s, d, "news")
+    w = Window.partitionBy("ticker", "event_type").orderBy("ts", "event_id")
+    near = F.col("ts") <= F.lag("ts").over(w) + F.expr("INTERVAL 4 DAY")
+    g = e.withColumn("b", F.when(near, 0).otherwise(1)).withColumn("story", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return g.groupBy("ticker", "event_type", "story").agg(F.count("*").alias("n"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_id"))

@@ -135,3 +135,30 @@ def test_new_positions_need_a_prior_book(spark):
 def test_item_codes(spark):
     got = spark.createDataFrame([("Item 1.01, Item 2.02 and 1.01",), ("none",)], "t string").select(events.matched_items(events.item_codes(F.col("t")), [["3.01"], ["2.02", "1.01"]]).alias("m")).collect()
     assert [r.m for r in got] == [["1.01", "2.02"], None]
+
+
+def test_option_surface(spark):
+    from stockloom.operators import options
+
+    day, near, far = date(2025, 1, 1), date(2025, 1, 31), date(2025, 6, 30)
+    leg = lambda e, side, k, b, a, d, iv: ("X", e, side, k, b, a, d, iv, 100.0, day)
+    rows = [leg(near, "call", 100.0, 2.0, 2.2, 0.52, 0.30), leg(near, "put", 100.0, 1.8, 2.0, -0.48, 0.32), leg(near, "call", 110.0, 0.5, 0.6, 0.24, 0.28), leg(near, "put", 90.0, 0.5, 0.6, -0.26, 0.40), leg(near, "call", 101.0, 0.0, 9.0, 0.50, 9.0),
+        leg(far, "call", 100.0, 1.0, 9.0, 0.5, 0.3), leg(far, "put", 100.0, 5.0, 5.2, -0.5, 0.3), leg(date(2024, 12, 1), "call", 100.0, 1.0, 1.1, 0.5, 0.1)]
+    chain = spark.createDataFrame(rows, "ticker string, expiry date, side string, strike double, bid double, ask double, delta double, iv double, spot double, day date")
+    got = {r.expiry: r for r in options.surface(chain).collect()}
+    assert got[near].iv == pytest.approx(0.31) and got[near].move == pytest.approx(0.04) and got[near].skew == pytest.approx(0.12)
+    assert got[far].move is None and got[far].skew is None and len(got) == 2
+    exp = spark.createDataFrame([("X", near, 30), ("X", far, 180)], "ticker string, expiry date, dte int")
+    assert options.earnings_expiry(exp, spark.createDataFrame([("X", 20)], "ticker string, days int")).first().expiry == near
+    s = spark.createDataFrame([("AAPL250131C00100500",), ("junk",)], "s string").select(*options.option_symbol(F.col("s"))).collect()
+    assert tuple(s[0]) == ("AAPL", near, "call", 100.5) and tuple(s[1]) == (None,) * 4
+
+
+def test_proxy_tables(spark):
+    from stockloom.operators import options
+
+    pay = spark.createDataFrame([("X", 2020, 1.0, 5.0), ("X", 2022, 2.0, 4.0), ("Y", 2020, 1.0, 1.0)], "ticker string, year int, pay double, total_return double")
+    assert {r.ticker: r.aligned for r in options.pay_direction(pay).collect()} == {"X": False, "Y": None}
+    h = spark.createDataFrame([("X", "a", 30.0), ("X", "b", 21.0), ("X", "c", 4.9)], "ticker string, name string, percent double")
+    r = options.concentrated(h).first()
+    assert (r.holders, r.total, r.largest, r.controlled) == (2, 51.0, "a", True)
