@@ -175,22 +175,35 @@ def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ia", "ib").mapInArrow(compare, "a long, b long, shared long, total long")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every x points to one y, and no y points on: then y is the smallest node of its component."""
+    ends = edges.select(F.col("x").alias("k"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("y", F.lit(0), F.lit(1)))
+    bad = ends.groupBy("k").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out = 1 and in = 1)")
+    return not bad.head(1)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, root: every linked node and the smallest node of its component."""
+    """node, root: every linked node and the smallest node of its component. Large and small stars alternate until
+    only stars are left."""
     edges = shared.written(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct())
-    mark = None
-    while True:
+    while not _stars(edges):
         both = edges.union(edges.select("y", "x"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least.hint("merge"), "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = both.join(least.hint("merge"), "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low.hint("merge"), "x").select(F.explode(F.array(F.struct("x", "m"), F.struct(F.col("y").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("x"), F.col("e.m").alias("y")).where("x <> y").distinct()
         before, edges = edges, shared.written(small)
         shared.discard(before)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
-        mark = tuple(now)
+    return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
+
+
+def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """Roots after further links: only the components themselves are linked anew."""
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = more.join(named("a").hint("merge"), "a", "left").join(named("b").hint("merge"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    up = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(up.hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return shared.written(moved.union(up.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct())
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
@@ -282,7 +295,7 @@ def near_duplicates(documents: DataFrame, k: int = SKETCH, percent: int = PERCEN
     if more is not None:
         more = shared.written(more)
         if more.head(1):
-            roots = components(links.select("a", "b").union(more))
+            roots = joined(roots, more)
     classes = shared.written(reps.select("h1", "h2", "n", "rep").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("h1", "h2", "n", "rep", F.coalesce("root", "rep").alias("root")))
     shared.discard(reps, lists, crowds, likely_pairs, links, more)
     slim = every.select("doc_id", "n", *(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(h)).alias(h) for h in ("h1", "h2")))
