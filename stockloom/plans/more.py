@@ -210,3 +210,28 @@ def clusters(s, d):
     near = F.col("ts") <= F.lag("ts").over(w) + F.expr("INTERVAL 4 DAY")
     g = e.withColumn("b", F.when(near, 0).otherwise(1)).withColumn("story", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return g.groupBy("ticker", "event_type", "story").agg(F.count("*").alias("n"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_id"))
+
+
+@register("pit12_flat_metrics", PF._METRICS + " SELECT ticker, bucket, ROUND(fcf, 2) AS fcf, ROUND(market_cap, 0) AS market_cap, ROUND(net_margin, 6) AS net_margin, ROUND(debt_to_equity, 5) AS debt_to_equity, ROUND(gross_margin, 6) AS gross_margin, ROUND(gross_margin_stability, 6) AS gross_margin_stability, ROUND(roic, 6) AS roic, ROUND(revenue_cagr, 6) AS revenue_cagr, ROUND(fcf_cagr, 6) AS fcf_cagr, ROUND(share_count_cagr, 6) AS share_count_cagr, ROUND(price_vs_200dma, 6) AS price_vs_200dma, ROUND(max_drawdown, 6) AS max_drawdown FROM m")
+def flat_metrics(s, d):
+    """The wide derived projection: statements, prices and sector to one flat row per name."""
+    m = PF.metrics(s, d).withColumn("bucket", S.bucket(F.col("sic")))
+    return m.select("ticker", "bucket", _r("fcf", 2), _r("market_cap", 0), _r("net_margin"), _r("debt_to_equity", 5), *[_r(c) for c in ("gross_margin", "gross_margin_stability", "roic", "revenue_cagr", "fcf_cagr", "share_count_cagr", "price_vs_200dma", "max_drawdown")])
+
+
+@register("pit06_panel_with_price", cte("facts", "prices") + """, g AS (SELECT CAST(x AS DATE) AS as_of FROM (VALUES ('1998-06-30'), ('2000-06-30'), ('2002-12-31')) v(x)), k AS (SELECT f.*, g.as_of FROM facts f JOIN g ON f.filed <= g.as_of AND f.fy_end <= g.as_of),
+t AS (SELECT * FROM k QUALIFY ROW_NUMBER() OVER (PARTITION BY cik, as_of, tag, fy_end ORDER BY filed DESC, pos) = 1), w AS (SELECT cik, as_of, fy_end, MAX(val) FILTER (tag = '1-URGENT') AS a, MAX(val) FILTER (tag = '2-HIGH') AS b FROM t GROUP BY ALL),
+l AS (SELECT cik, as_of, ARG_MAX(a, fy_end) FILTER (a IS NOT NULL) AS a, MAX(fy_end) FILTER (a IS NOT NULL) AS ae, ARG_MAX(b, fy_end) FILTER (b IS NOT NULL) AS b, MAX(fy_end) FILTER (b IS NOT NULL) AS be FROM w GROUP BY ALL),
+p AS (SELECT l.*, x.close FROM l ASOF LEFT JOIN prices x ON x.ticker = l.cik % 100 AND l.as_of >= x.d)
+SELECT cik, as_of, close, ROUND(a / NULLIF(close, 0), 4) AS income_to_price, ROUND(CASE WHEN ae = be THEN (a - b) / NULLIF(close, 0) END, 4) AS free_to_price FROM p""")
+def panel_with_price(s, d):
+    """The latest of each series with the price known on the date; the difference only where both end together."""
+    dates = s.createDataFrame([("1998-06-30",), ("2000-06-30",), ("2002-12-31",)], "x string").select(F.to_date("x").alias("as_of"))
+    wide = T.panel(T.per_tag(T.known(view(s, d, "facts"), dates)), {"1-URGENT": "a", "2-HIGH": "b"})
+    end = lambda c: F.when(F.col(c).isNotNull(), F.col("fy_end"))
+    last = wide.groupBy("cik", "as_of").agg(*[x for c in ("a", "b") for x in (F.max_by(c, end(c)).alias(c), F.max(end(c)).alias(c + "e"))]).withColumn("ticker", F.col("cik") % 100)
+    from stockloom.operators import prices as P
+
+    seen = P.as_of(last.select("ticker", "as_of").distinct(), view(s, d, "prices"), "as_of").select("ticker", "as_of", "close")
+    j = last.join(seen, ["ticker", "as_of"], "left")
+    return j.select("cik", "as_of", "close", F.round(C.ratio(F.col("a"), F.col("close")), 4).alias("income_to_price"), F.round(F.when(F.col("ae") == F.col("be"), C.ratio(F.col("a") - F.col("b"), F.col("close"))), 4).alias("free_to_price"))
