@@ -209,7 +209,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int) ->
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "quality": b.column("quality"), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))})
 
     quality = dict(labels.dtypes)["quality"]
-    got = picked.mapInArrow(features, f"doc_id long, quality {quality}, x array<double>").toPandas().sort_values(["doc_id"], kind="stable")
+    got = picked.mapInArrow(features, f"doc_id long, quality {quality}, x array<double>").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values(["doc_id"], kind="stable")
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return x, got["quality"].to_numpy(np.float64)
 

@@ -115,7 +115,7 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, u
                 found += np.split(keys & ((1 << BITS) - 1), np.searchsorted(keys >> BITS, np.arange(1, p.n)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())], ["doc_id", "toxic", "x"])
 
-    got = picked.mapInArrow(rows, "doc_id long, toxic boolean, x binary").toPandas().sort_values(["toxic", "doc_id"], kind="stable")
+    got = picked.mapInArrow(rows, "doc_id long, toxic boolean, x binary").groupBy("doc_id", "toxic").agg(F.min("x").alias("x")).toPandas().sort_values(["toxic", "doc_id"], kind="stable")
     positive, other = ([np.frombuffer(x, np.int32) for x in got[got.toxic == flag].x] for flag in (True, False))
     return fit(positive, other, prior)
 
