@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows are cut from the texts; n_chars follows."""
-    return linededup.dedup(docs, counts=False)
+    """Later occurrences of repeated three-line windows and of passages of 50 words are cut from the texts; n_chars follows."""
+    return linededup.dedup_passages(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

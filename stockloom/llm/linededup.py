@@ -11,17 +11,29 @@ join that adaptive execution can split for a hot hash. Positions are gathered pe
 Edge cases: null and empty texts, and documents of fewer than three such lines, stay unchanged; rows that repeat a
 doc_id are told apart by nothing, so equal rows both keep what the first of them keeps; lines are compared without
 surrounding white space; a document whose lines are all covered keeps an empty text.
+
+``dedup_passages`` (the pipeline's form) finds repeats that do not stand on three whole lines as well. Runs of ``GRAM``
+words are hashed to 128 bits, and of every ``REACH`` neighbouring runs the one with the least hash is kept, wherever its
+text stands; so two places that share ``GRAM + REACH - 1`` = 50 words share a kept run. The first and last runs of a text
+and of a line of 50 words or more are kept besides, and a text of fewer than ``GRAM`` words is one run. Words of later
+occurrences are removed; up to ``REACH - 1`` words at either edge of a passage within other text stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from stockloom.llm import shared
+from stockloom.llm import kernel, shared
 
 SPACE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 WINDOW = 3
+GRAM, REACH = 36, 15
 
 
 def _lines(text: F.Column) -> F.Column:
@@ -66,6 +78,124 @@ def dedup(documents: DataFrame, size: int = WINDOW, counts: bool = True) -> Data
     return hit.select(*own, n_lines.cast("long").alias("n_lines"), F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")).cast("long").alias("n_removed"))
 
 
+def _runs(piece: kernel.Piece) -> tuple[np.ndarray, ...]:
+    """Owner, at (word within the text), n (words), h1, h2 of the kept runs of a piece."""
+    starts, ends, owner = piece.words()
+    up, down = kernel._POWERS.upto(len(starts) + 1)
+
+    def hasher(keys: np.ndarray):
+        sums = np.zeros(len(starts) + 1, np.uint64)
+        np.cumsum(piece.span_hash(piece.rolling(keys), starts, ends) * up[:-1], dtype=np.uint64, out=sums[1:])
+        return lambda a, n: kernel.mix((sums[a + n] - sums[a]) * down[a])
+
+    one, two = hasher(kernel.BYTE_KEYS), hasher(kernel.BYTE_KEYS[::-1].copy())
+    begin = np.searchsorted(owner, np.arange(piece.n + 1))
+    n_words = np.diff(begin)
+    first = np.flatnonzero(np.arange(len(starts)) + GRAM <= begin[1:][owner]) if len(starts) else np.zeros(0, np.int64)
+    # least of every REACH neighbours; REACH - 1 blanks between texts make the first and last run of a text least of some
+    place = np.arange(len(first)) + (REACH - 1) * (owner[first] + 1)
+    wide = np.full(len(first) + (REACH - 1) * (piece.n + 1), np.iinfo(np.uint64).max)
+    wide[place] = one(first, GRAM)
+    least = wide[: len(wide) - REACH + 1].copy()
+    for j in range(1, REACH):
+        np.minimum(least, wide[j : len(wide) - REACH + 1 + j], out=least)
+    kept = np.zeros(len(first), bool)
+    for j in range(REACH):
+        kept |= least[place - j] == wide[place]
+    # the ends of long lines
+    breaks = np.concatenate(([0], np.cumsum(piece.data == 10)))
+    line = breaks[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])
+    head = np.flatnonzero(new)
+    length = np.diff(np.append(head, len(starts)))
+    head, length = head[length >= GRAM + REACH - 1], length[length >= GRAM + REACH - 1]
+    short = np.flatnonzero((n_words > 0) & (n_words < GRAM))
+    at = np.unique(np.concatenate((first[kept], head, head + length - GRAM)))
+    at, n = np.concatenate((at, begin[short])), np.concatenate((np.full(len(at), GRAM), n_words[short]))
+    return owner[at], at - begin[owner[at]], n, one(at, n), two(at, n)
+
+
+def passages(documents: DataFrame) -> DataFrame:
+    """doc_id, at, n, h1, h2 of the runs of words that stand for a text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for p in kernel.pieces(batch.column("text")):
+                owner, at, n, h1, h2 = _runs(p)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + p.first)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "at", "n", "h1", "h2"])
+
+    return shared.texts(documents).where("doc_id is not null").mapInArrow(rows, "doc_id long, at int, n int, h1 long, h2 long")
+
+
+def _cut(p: kernel.Piece, lines: pa.Array, runs: pa.Array) -> pa.Array:
+    """The texts of a piece without the given lines and runs of words (at, n); a line that loses all its words goes."""
+    starts, ends, owner = p.words()
+    begin = np.searchsorted(owner, np.arange(p.n + 1))
+    row, flat = np.repeat(np.arange(p.n), runs.value_lengths().fill_null(0)), runs.flatten()
+    at = begin[row] + flat.field("at").to_numpy()
+    to = np.minimum(at + flat.field("n").to_numpy(), begin[row + 1])
+    mark = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(mark, np.minimum(at, to), 1)
+    np.add.at(mark, to, -1)
+    hit = np.cumsum(mark[:-1]) > 0
+    # a line runs from its text's start or the newline before it to the next line's
+    is_start = np.zeros(len(p.data) + 1, bool)
+    is_start[p.offsets[:-1]] = is_start[np.flatnonzero(p.data == 10)] = True
+    # a text that starts with a newline has an empty first line, which needs no entry of its own to be kept
+    head = np.flatnonzero(is_start[:-1])
+    tail = np.append(head[1:], len(p.data))
+    text_of = p.owner(head)
+    empty_first = (p.data[head] == 10) & (head == p.offsets[text_of]) if len(head) else np.zeros(0, bool)
+    first_line = np.searchsorted(head, p.offsets[:-1])
+    shift = np.zeros(p.n, np.int64)
+    shift[text_of[empty_first]] = 1
+    row, i = np.repeat(np.arange(p.n), lines.value_lengths().fill_null(0)), lines.flatten().to_numpy()
+    place = first_line[row] + i - shift[row]
+    gone = np.zeros(len(head), bool)
+    gone[place[(place >= first_line[row]) & (place < np.append(first_line, len(head))[row + 1])]] = True
+    line = np.searchsorted(head, starts, side="right") - 1
+    words, lost = np.bincount(line, minlength=len(head)), np.bincount(line, weights=hit, minlength=len(head))
+    gone |= (words > 0) & (words == lost)
+    follow = np.append(starts[1:], len(p.data)) if len(starts) else starts
+    cut_end = np.minimum(follow, tail[line])
+    drop = np.zeros(len(p.data) + 1, np.int64)
+    np.add.at(drop, np.concatenate((starts[hit], head[gone])), 1)
+    np.add.at(drop, np.concatenate((cut_end[hit], tail[gone])), -1)
+    keep = np.cumsum(drop[:-1]) == 0
+    # the first line left has no newline before it
+    left = np.flatnonzero(~gone)
+    top = left[np.unique(text_of[left], return_index=True)[1]]
+    top = top[(p.data[head[top]] == 10) & (shift[text_of[top]] == 0)]
+    keep[head[top]] = False
+    offsets = np.concatenate(([0], np.cumsum(keep)))[p.offsets].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(p.n, pa.py_buffer(offsets), pa.py_buffer(p.data[keep].tobytes())).cast(pa.string())
+
+
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, lines: pa.Array, runs: pa.Array) -> pa.Array:
+    out = [_cut(p, lines.slice(p.first, p.n), runs.slice(p.first, p.n)) for p in kernel.pieces(text)]
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
+def dedup_passages(documents: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The documents' own columns without later occurrences of repeated line windows and passages; n_chars, if there, made to fit."""
+    found = shared.written(passages(documents))
+    repeated = shared.written(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").drop("n"))
+    later = found.join(repeated.hint("merge"), ["h1", "h2"]).where(F.struct("doc_id", "at") > F.col("first"))
+    runs = later.select("doc_id", F.lit(None).cast("array<int>").alias("lines"), F.struct("at", "n").alias("run"))
+    lines = covered(documents, size).select("doc_id", F.col("covered").alias("lines"), F.lit(None).cast("struct<at:int,n:int>").alias("run"))
+    both = runs.union(lines).groupBy(F.col("doc_id").alias("__id")).agg(F.flatten(F.collect_list("lines")).alias("__lines"), F.collect_list("run").alias("__runs"))  # of one document
+    hit = documents.join(both.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
+    held = F.col("__id").isNull()
+    new = {"text": F.when(held, F.col("text")).otherwise(_without(F.when(~held, F.col("text")), "__lines", "__runs"))}
+    out = hit.select(*[new.get(c, F.col(c)).alias(c) for c in documents.columns], held.alias("__held"))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__held"), F.col("n_chars")).otherwise(F.length("text")).cast(dict(documents.dtypes)["n_chars"]))
+    return out.drop("__held")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(shared.read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 

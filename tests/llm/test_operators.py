@@ -121,6 +121,30 @@ def test_line_dedup(spark, none):
     assert linededup.dedup(none).count() == 0
 
 
+def test_passages_on_one_or_two_lines_are_deduplicated(spark, none):
+    rng = random.Random(8)
+    passage, short = prose(rng, 50), prose(rng, 20)
+    own = [prose(rng, n) for n in (40, 30, 25, 60, 45)]
+    rows = [
+        (1, passage, 0), (2, f"{own[0]} {passage} {own[1]}", 0), (3, f"{own[2]}\n{passage}\n{own[3]}", 0),
+        (4, short, 0), (5, short, 0), (6, None, 0), (7, "", 0), (8, "a\nb\nc\n" + own[4], 0), (9, "x\na\nb\nc\ny", 0), (10, prose(rng, 49), 0),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in linededup.dedup_passages(table).collect()}
+    assert len(got) == 10 and {i: got[i][0] for i in (1, 4, 6, 7, 8, 10)} == {i: t for i, t, _ in rows if i in (1, 4, 6, 7, 8, 10)}
+    left = split(got[2][0])
+    assert left[:40] == split(own[0]) and left[-30:] == split(own[1]) and len(left) - 70 <= 2 * (linededup.REACH - 1)
+    assert got[3] == (f"{own[2]}\n{own[3]}", len(got[3][0])) and got[5] == ("", 0) and got[9][0] == "x\ny"
+    for k in range(40):  # any 50 words in common share a run, whatever stands around them
+        a = spark_free_runs(f"{prose(rng, k)} {passage} {prose(rng, 60)}")
+        assert a & spark_free_runs(f"{prose(rng, 70)}\n{passage}\n{prose(rng, 3 * k)}")
+    assert linededup.dedup_passages(none).count() == 0
+
+
+def spark_free_runs(text):
+    return {(int(a), int(b)) for a, b in zip(*linededup._runs(next(kernel.pieces(pa.array([text]))))[3:], strict=True)}
+
+
 def near_brute(rows):
     sets = {}
     for i, t in rows:
