@@ -62,6 +62,35 @@ def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def best_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The largest sequence ratio of a string and any of a short list; 0 for no list. Bounds spare only what cannot win."""
+
+    def best(x: str, others: list[str]) -> float:
+        most = 0.0
+        bound = lambda y: 2.0 * min(len(x), len(y)) / max(len(x) + len(y), 1)
+        for y in sorted(others, key=bound, reverse=True):
+            if x == y:
+                return 1.0
+            if bound(y) <= most:
+                break
+            m = SequenceMatcher(None, x, y, autojunk=False)
+            if m.quick_ratio() > most:
+                most = max(most, m.ratio())
+        return most
+
+    for a, b in batches:
+        yield pd.Series([None if x is None else 0.0 if y is None else best(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def block_ratios(pairs: DataFrame, docs: DataFrame, part: int = 16) -> DataFrame:
+    """doc_id, pos, ratio: the best sequence ratio of every added block over all blocks of its prior document, 0 without any.
+    The prior document's distinct keys come in lists of ``part``, so that a long filing is no single row."""
+    prior = numbered_blocks(docs).groupBy(F.col("doc_id").alias("prior_doc_id"), F.floor(F.col("pos") / part).alias("part")).agg(F.collect_set("key").alias("keys"))  # at most part
+    met = new_blocks(pairs, docs).select("doc_id", "prior_doc_id", "pos", "key").join(prior.drop("part"), "prior_doc_id", "left")
+    return met.select("doc_id", "pos", best_ratio("key", "keys").alias("ratio")).groupBy("doc_id", "pos").agg(F.max("ratio").alias("ratio"))
+
+
 def length_bound(a: Column, b: Column) -> Column:
     """Upper bound of sequence_ratio by lengths alone."""
     return F.try_divide(2.0 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b))

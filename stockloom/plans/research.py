@@ -51,11 +51,9 @@ def new_blocks(s, d):
 
 @register("tx03b_block_ratio")
 def block_ratio(s, d):
-    """Best sequence ratio of each added block against the prior document's first block."""
+    """Best sequence ratio of each added block over all blocks of the prior document."""
     docs = table(s, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    first = X.numbered_blocks(docs).where("pos = 0").select(F.col("doc_id").alias("prior_doc_id"), F.col("key").alias("prior_key"))
-    added = X.new_blocks(_pairs(s, d), docs).where("pos = 0").join(first, "prior_doc_id").where(X.length_bound(F.col("key"), F.col("prior_key")) >= 0.5)
-    return added.select("doc_id", "pos", F.round(X.sequence_ratio("key", "prior_key"), 6).alias("ratio"))
+    return X.block_ratios(_pairs(s, d), docs).select("doc_id", "pos", _r("ratio"))
 
 
 @register("tx04_conclusions", "SELECT doc_id, CAST(strpos(lower(text), 'version') AS INT) AS at_, regexp_extract(substr(text, CAST(GREATEST(strpos(lower(text), 'version') - 120, 1) AS INT), 247), '((?:19|20)[0-9]{2})', 1) AS year FROM documents WHERE strpos(lower(text), 'version') > 0")

@@ -162,3 +162,15 @@ def test_proxy_tables(spark):
     h = spark.createDataFrame([("X", "a", 30.0), ("X", "b", 21.0), ("X", "c", 4.9)], "ticker string, name string, percent double")
     r = options.concentrated(h).first()
     assert (r.holders, r.total, r.largest, r.controlled) == (2, 51.0, "a", True)
+
+
+def test_every_added_block_meets_every_prior_block(spark):
+    from difflib import SequenceMatcher
+
+    now = ["alpha beta gamma", "kept block", "the rate rose to nine", "zzz", "short words but then a very much longer tail of other things"]
+    before = [f"filler number {i} of the old filing" for i in range(40)] + ["kept block", "the rate rose to eight", "short", "alpha beta delta"]
+    docs = spark.createDataFrame([(1, "\n\n".join(before)), (2, "\n\n".join(now)), (3, ""), (4, "alone")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(2, 1), (4, 3)], "doc_id long, prior_doc_id long")
+    got = {(r.doc_id, r.pos): r.ratio for r in text.block_ratios(pairs, docs).collect()}
+    want = {(2, i): max(SequenceMatcher(None, b, p).ratio() for p in before) for i, b in enumerate(now) if b != "kept block"}
+    assert got == pytest.approx(want | {(4, 0): 0.0})
