@@ -167,8 +167,11 @@ def weight_ic(s, d):
 
 @register("bt13b_fit_weights")
 def fit(s, d):
-    got = B.fit_weights(_rows(s, d), {"s1": 0.5, "s3": 0.5}, sweeps=4)
-    return view(s, d, "signals").agg(F.count("*").alias("rows_read")).select("rows_read", *[F.lit(round(v, 6)).alias(k) for k, v in sorted(got.items())])
+    got = B.walk_forward(_rows(s, d), {"s1": 0.5, "s3": 0.5})
+    number = lambda v, name: F.lit(None if v is None else round(v, 6)).cast("double").alias(name)
+    w = got["weights"] or {}
+    rows = view(s, d, "signals").agg(F.count("*").alias("rows_read"))
+    return rows.select("rows_read", F.lit(got["n_periods"]).alias("n_periods"), *[number(w.get(k), k) for k in ("s1", "s3")], *[number(got[k], k) for k in ("prior_oos_ic", "oos_ic", "shrunk_oos_ic", "in_sample_ic")], F.array(*[F.lit(round(x, 6)) for x in got["fold_diffs"]]).cast("array<double>").alias("fold_diffs"))
 
 
 @register("bt14_gate", cte("signals") + f""", {_FWD}, i AS {_ic('f', 's1', 'fwd', 'm')}, j AS {_ic('f', 's3', 'fwd', 'm')}, q AS (SELECT i.ic - j.ic AS ic FROM i JOIN j USING (m) WHERE i.ic IS NOT NULL AND j.ic IS NOT NULL),
