@@ -22,9 +22,12 @@ def build(app: str = "stockloom", master: str | None = None, **settings: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints that the cluster names; a local one only where it names none (tests)."""
+    """The shared folder for checkpoints that the cluster names in spark.checkpoint.dir; a local one only where it names none
+    and all executors live in this process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="spark-")
