@@ -8,9 +8,10 @@ into one covered stretch. Covered lines are removed; all others, blank ones incl
 Windows are counted with partial aggregation; only hashes that occur twice meet their windows again, in a
 join that adaptive execution can split for a hot hash. Positions are gathered per document (never per hash).
 
-Edge cases: null and empty texts, and documents of fewer than three such lines, stay unchanged; rows that repeat a
-doc_id are told apart by nothing, so equal rows both keep what the first of them keeps; lines are compared without
-surrounding white space; a document whose lines are all covered keeps an empty text.
+Edge cases: null and empty texts, and documents of fewer than three such lines, stay unchanged; rows are known by doc_id and
+a digest of their text, so different texts of one doc_id are deduplicated apart (in order of the digest) and equal rows
+all keep what the first of them keeps; a null doc_id comes before all others; lines are compared without surrounding
+white space; a document whose lines are all covered keeps an empty text.
 
 ``dedup_passages`` (the pipeline's form) finds repeats that do not stand on three whole lines as well. Runs of ``GRAM``
 words are hashed to 128 bits, and of every ``REACH`` neighbouring runs the one with the least hash is kept, wherever its
@@ -42,29 +43,55 @@ def _lines(text: F.Column) -> F.Column:
     return F.filter(numbered, lambda x: x["line"] != "")
 
 
+def _tag() -> F.Column:
+    """60 bits of the text's digest: with doc_id, what a row is known by."""
+    return F.conv(F.substring(F.md5(F.col("text").cast("string")), 1, 15), 16, 10).cast("long")
+
+
+def _tagged(documents: DataFrame) -> DataFrame:
+    return shared.texts(documents).where("text is not null").withColumn("tag", _tag())
+
+
+def _later(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The places (doc_id, tag, at) of repeated hashes that are not the first of their hash; and the written table of those hashes."""
+    spot = F.struct("doc_id", "tag", "at")
+    counted = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(spot).alias("first"))
+    repeated = shared.written(counted.where("n > 1").drop("n"))
+    return found.join(repeated.hint("merge"), ["h1", "h2"]).where(spot > F.col("first")), repeated
+
+
 def windows(documents: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, at (place of the window's first line among those with a word), places (of its lines), h1, h2."""
-    lines = shared.texts(documents).where("doc_id is not null").select("doc_id", _lines(F.col("text")).alias("lines")).where(F.size("lines") >= size)
+    """doc_id, tag, at (place of the window's first line among those with a word), places (of its lines), h1, h2."""
+    lines = _tagged(documents).select("doc_id", "tag", _lines(F.col("text")).alias("lines")).where(F.size("lines") >= size)
 
     def window(at: F.Column) -> F.Column:
         here = [F.get("lines", at + j) for j in range(size)]
         words = [x["line"] for x in here]
         return F.struct(at.alias("at"), F.array(*[x["i"] for x in here]).alias("places"), F.xxhash64(*words).alias("h1"), F.xxhash64(F.lit(7), *reversed(words)).alias("h2"))
 
-    return lines.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - size), window)).alias("w")).select("doc_id", "w.*")
+    starts = F.sequence(F.lit(0), F.size("lines") - size)
+    return lines.select("doc_id", "tag", F.explode(F.transform(starts, window)).alias("w")).select("doc_id", "tag", "w.*")
 
 
 def covered(documents: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, covered: places of the lines that later occurrences of repeated windows cover."""
+    """doc_id, tag, covered: places of the lines that later occurrences of repeated windows cover."""
     found = shared.written(windows(documents, size))
-    repeated = shared.written(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").drop("n"))
-    later = found.join(repeated.hint("merge"), ["h1", "h2"]).where(F.struct("doc_id", "at") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("covered"))  # of one document
+    later, repeated = _later(found)
+    places = F.array_distinct(F.flatten(F.collect_set("places")))  # of one text, however often its row repeats
+    out = shared.written(later.groupBy("doc_id", "tag").agg(places.alias("covered")))
+    shared.discard(found, repeated)
+    return out
+
+
+def _with_hits(documents: DataFrame, hits: DataFrame) -> DataFrame:
+    """The documents with the columns of hits (doc_id, tag, ...) beside them, null where a row has none."""
+    mine = hits.withColumnsRenamed({"doc_id": "__id", "tag": "__tag"}).hint("merge")
+    return documents.join(mine, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_tag() == F.col("__tag")), "left")
 
 
 def dedup(documents: DataFrame, size: int = WINDOW, counts: bool = True) -> DataFrame:
     """The documents' own columns with covered lines removed from text (and n_chars, if there, made to fit); with ``counts`` also n_lines (with a word) and n_removed."""
-    hit = documents.join(covered(documents, size).select(F.col("doc_id").alias("__id"), F.col("covered").alias("__covered")).hint("merge"), F.col("doc_id") == F.col("__id"), "left")
+    hit = _with_hits(documents, covered(documents, size).withColumnRenamed("covered", "__covered"))
     lines = F.split("text", "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__covered")), lambda i: F.get(lines, i))
     text = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
@@ -117,16 +144,18 @@ def _runs(piece: kernel.Piece) -> tuple[np.ndarray, ...]:
 
 
 def passages(documents: DataFrame) -> DataFrame:
-    """doc_id, at, n, h1, h2 of the runs of words that stand for a text."""
+    """doc_id, tag, at, n, h1, h2 of the runs of words that stand for a text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, tags = batch.column("doc_id"), batch.column("tag")
             for p in kernel.pieces(batch.column("text")):
                 owner, at, n, h1, h2 = _runs(p)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + p.first)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "at", "n", "h1", "h2"])
+                row = pa.array(owner + p.first)
+                numbers = [pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([ids.take(row), tags.take(row), *numbers], ["doc_id", "tag", "at", "n", "h1", "h2"])
 
-    return shared.texts(documents).where("doc_id is not null").mapInArrow(rows, "doc_id long, at int, n int, h1 long, h2 long")
+    return _tagged(documents).mapInArrow(rows, "doc_id long, tag long, at int, n int, h1 long, h2 long")
 
 
 def _cut(p: kernel.Piece, lines: pa.Array, runs: pa.Array) -> pa.Array:
@@ -182,13 +211,15 @@ def _without(text: pa.Array, lines: pa.Array, runs: pa.Array) -> pa.Array:
 def dedup_passages(documents: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents' own columns without later occurrences of repeated line windows and passages; n_chars, if there, made to fit."""
     found = shared.written(passages(documents))
-    repeated = shared.written(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").drop("n"))
-    later = found.join(repeated.hint("merge"), ["h1", "h2"]).where(F.struct("doc_id", "at") > F.col("first"))
-    runs = later.select("doc_id", F.lit(None).cast("array<int>").alias("lines"), F.struct("at", "n").alias("run"))
-    lines = covered(documents, size).select("doc_id", F.col("covered").alias("lines"), F.lit(None).cast("struct<at:int,n:int>").alias("run"))
-    both = runs.union(lines).groupBy(F.col("doc_id").alias("__id")).agg(F.flatten(F.collect_list("lines")).alias("__lines"), F.collect_list("run").alias("__runs"))  # of one document
-    hit = documents.join(both.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
-    held = F.col("__id").isNull()
+    later, repeated = _later(found)
+    runs = later.select("doc_id", "tag", F.lit(None).cast("array<int>").alias("lines"), F.struct("at", "n").alias("run"))
+    whole = covered(documents, size)
+    lines = whole.select("doc_id", "tag", F.col("covered").alias("lines"), F.lit(None).cast("struct<at:int,n:int>").alias("run"))
+    of_one_text = F.flatten(F.collect_set("lines")).alias("__lines"), F.collect_set("run").alias("__runs")
+    both = shared.written(runs.union(lines).groupBy("doc_id", "tag").agg(*of_one_text))
+    shared.discard(found, repeated, whole)
+    hit = _with_hits(documents, both)
+    held = F.col("__tag").isNull()
     new = {"text": F.when(held, F.col("text")).otherwise(_without(F.when(~held, F.col("text")), "__lines", "__runs"))}
     out = hit.select(*[new.get(c, F.col(c)).alias(c) for c in documents.columns], held.alias("__held"))
     if "n_chars" in documents.columns:
@@ -201,17 +232,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS raw, generate_subscripts(str_split(text, chr(10)), 1) AS i FROM documents),
-t AS (SELECT doc_id, i, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l),
-n AS (SELECT doc_id, i, line, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM t WHERE line <> ''),
-w AS (SELECT doc_id, r, [i, LEAD(i, 1) OVER p, LEAD(i, 2) OVER p] AS places,
+WITH d AS (SELECT DISTINCT doc_id, text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS tag FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, tag, unnest(str_split(text, chr(10))) AS raw, generate_subscripts(str_split(text, chr(10)), 1) AS i FROM d),
+t AS (SELECT doc_id, tag, i, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l),
+n AS (SELECT doc_id, tag, i, line, ROW_NUMBER() OVER (PARTITION BY doc_id, tag ORDER BY i) AS r FROM t WHERE line <> ''),
+w AS (SELECT doc_id, tag, r, [i, LEAD(i, 1) OVER p, LEAD(i, 2) OVER p] AS places,
              line || chr(10) || LEAD(line, 1) OVER p || chr(10) || LEAD(line, 2) OVER p AS three
-      FROM n WINDOW p AS (PARTITION BY doc_id ORDER BY r)),
-k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY three ORDER BY doc_id, r) AS nth FROM w WHERE three IS NOT NULL),
-c AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(places) AS i FROM k WHERE nth > 1)),
-o AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY i) AS text FROM l ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN COALESCE(o.text, '') END AS text,
-       COALESCE((SELECT COUNT(*) FROM n WHERE n.doc_id = d.doc_id), 0)::BIGINT AS n_lines,
-       COALESCE((SELECT COUNT(*) FROM c WHERE c.doc_id = d.doc_id), 0)::BIGINT AS n_removed
-FROM documents d LEFT JOIN o USING (doc_id)
+      FROM n WINDOW p AS (PARTITION BY doc_id, tag ORDER BY r)),
+k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY three ORDER BY doc_id NULLS FIRST, tag, r) AS nth FROM w WHERE three IS NOT NULL),
+c AS (SELECT DISTINCT doc_id, tag, i FROM (SELECT doc_id, tag, unnest(places) AS i FROM k WHERE nth > 1)),
+m AS (SELECT l.*, c.i IS NOT NULL AS gone FROM l LEFT JOIN c ON l.doc_id IS NOT DISTINCT FROM c.doc_id AND l.tag = c.tag AND l.i = c.i),
+o AS (SELECT doc_id, tag, COALESCE(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, COUNT(*) FILTER (gone) AS n_removed,
+             COUNT(*) FILTER (regexp_matches(raw, '[^\x20\x09-\x0D]')) AS n_lines FROM m GROUP BY doc_id, tag)
+SELECT x.doc_id, o.text, COALESCE(o.n_lines, 0)::BIGINT AS n_lines, COALESCE(o.n_removed, 0)::BIGINT AS n_removed
+FROM documents x LEFT JOIN o ON x.doc_id IS NOT DISTINCT FROM o.doc_id AND ('0x' || substr(md5(x.text), 1, 15))::BIGINT = o.tag
 """
