@@ -17,8 +17,9 @@ alternating large and small stars.
 With k = 64 a linked pair misses a candidate list or the estimate's margin with a probability below 1e-5;
 sets of up to 48 shingles are handled exactly.
 
-Edge cases: null, empty or wordless text has n_shingles 0 and stands alone; rows that repeat a doc_id count as
-one document and share a component; a null doc_id stands alone (component_id null, kept true); further columns are ignored.
+Edge cases: null, empty or wordless text has n_shingles 0 and stands alone; every row stands for its own text, so different
+texts of one doc_id are linked apart (either may have another component_id) and ``keep_first`` drops rows, not ids; a
+null doc_id stands alone (component_id null, kept true); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ WORDS = 5
 SKETCH = 64
 PERCENT = 75
 SHORT_LIST = 16
-BLOCK = 512
+#: Members and shingles of a block of a crowd; pairs and shingles that meet one first document in one group.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 
 
 def shingle_sets(piece: kernel.Piece, words: int = WORDS) -> list[np.ndarray]:
@@ -58,8 +60,13 @@ def shingle_sets(piece: kernel.Piece, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def _tagged(documents: DataFrame) -> DataFrame:
+    return shared.texts(documents).withColumn("tag", F.xxhash64("text"))
+
+
 def sketches(documents: DataFrame, k: int = SKETCH) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (a 128-bit digest of the set), sketch (the k smallest hashes, as signed longs in unsigned order)."""
+    """doc_id, tag (hash of the text), n (set size), h1 and h2 (a 128-bit digest of the set), sketch (the k smallest hashes, as
+    signed longs in unsigned order)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = kernel.WINDOW_KEYS[50]
@@ -74,9 +81,11 @@ def sketches(documents: DataFrame, k: int = SKETCH) -> DataFrame:
             as_long = lambda x: np.array(x, np.uint64).view(np.int64)
             flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in kept]))).astype(np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(as_long(h1)), pa.array(as_long(h2)), lists], ["doc_id", "n", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("tag"), pa.array(np.array(n, np.int64)), pa.array(as_long(h1)), pa.array(as_long(h2)), lists], ["doc_id", "tag", "n", "h1", "h2", "sketch"]
+            )
 
-    return shared.texts(documents).mapInArrow(rows, "doc_id long, n long, h1 long, h2 long, sketch array<long>")
+    return _tagged(documents).mapInArrow(rows, "doc_id long, tag long, n long, h1 long, h2 long, sketch array<long>")
 
 
 def _least_shared(n: F.Column, k: int, percent: int) -> F.Column:
@@ -145,34 +154,51 @@ def likely(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame
     return near.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long")
 
 
-def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, items (the set's hashes as bytes, sorted) of the documents named in a written table of ids."""
+def full_sets(documents: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, items (the set's hashes as bytes, sorted) of the representatives named in a table of reps, one row each."""
+    ids = shared.written(reps.select("rep", "doc_id", "tag").join(wanted.select("rep").hint("merge"), "rep"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s.tobytes() for p in kernel.pieces(batch.column("text")) for s in shingle_sets(p)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.binary())], ["rep", "items"])
 
-    return shared.join_ids(shared.texts(documents), ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, items binary")
+    texts = shared.join_ids(_tagged(documents), ids, ["doc_id", "tag"], "inner").select("rep", "text")
+    return texts.mapInArrow(sets, "rep long, items binary").groupBy("rep").agg(F.first("items").alias("items"))  # equal rows give equal sets
 
 
-def verified(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold: a, b, shared, total."""
+def verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold: a, b, shared, total. The sets that meet ``a`` are dealt into groups of bounded
+    size, each with one copy of a's own set; a task reads its groups in order and holds one set of an ``a`` at a time."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, at = None, None
         for batch in batches:
-            both, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i, (x, y) in enumerate(zip(batch.column("ia"), batch.column("ib"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both[i] = len(np.intersect1d(x, y, assume_unique=True))
-                total[i] = len(x) + len(y) - both[i]
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both), pa.array(total)], ["a", "b", "shared", "total"])
-            yield out.filter(pa.array(100 * both >= percent * total))
-
-    full = full_sets(documents, shared.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
-    with_a = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")).hint("merge"), "a")
-    both = with_a.join(full.select(F.col("doc_id").alias("b"), F.col("items").alias("ib")).hint("merge"), "b")
-    return both.select("a", "b", "ia", "ib").mapInArrow(compare, "a long, b long, shared long, total long")
+            a, b, both, total = [], [], [], []
+            for x, part, y, items in zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), batch.column("b").to_pylist(), batch.column("items"), strict=True):
+                s = np.frombuffer(items.as_buffer(), np.uint64)
+                if y is None:
+                    mine, at = s.copy(), (x, part)
+                    continue
+                assert at == (x, part)
+                n = len(np.intersect1d(mine, s, assume_unique=True))
+                if 100 * n >= percent * (len(mine) + len(s) - n):
+                    a.append(x)
+                    b.append(y)
+                    both.append(n)
+                    total.append(len(mine) + len(s) - n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, both, total)], ["a", "b", "shared", "total"])
+
+    full = shared.written(full_sets(documents, reps, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
+    sized = pairs.join(reps.select(F.col("rep").alias("b"), "n").hint("merge"), "b")
+    loads = sized.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    loads = shared.written(loads)
+    dealt = pairs.join(loads.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    others = dealt.join(full.withColumnRenamed("rep", "b").hint("merge"), "b").select("a", "part", "b", "items")
+    copies = loads.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = copies.join(full.withColumnRenamed("rep", "a").hint("merge"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "items")
+    together = own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return together.mapInArrow(compare, "a long, b long, shared long, total long")
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -188,12 +214,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = shared.written(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct())
     while not _stars(edges):
         both = edges.union(edges.select("y", "x"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        # written, so that the join below reads two plain shuffles and a node of very many links can be split
+        least = shared.written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
         large = both.join(least.hint("merge"), "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low.hint("merge"), "x").select(F.explode(F.array(F.struct("x", "m"), F.struct(F.col("y").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("x"), F.col("e.m").alias("y")).where("x <> y").distinct()
         before, edges = edges, shared.written(small)
-        shared.discard(before)
+        shared.discard(before, least)
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
@@ -227,17 +254,22 @@ def across_components(crowds: DataFrame, reps: DataFrame, roots: DataFrame, docu
     """Further links inside crowds (all long lists with one first member) whose members lie in different components,
     or None if there is no such crowd. Members outside a crowd's largest component meet all its members, block by block,
     each pair of blocks in a task of its own; of the links found there, those that join components are returned."""
-    rooted = shared.written(crowds.join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left").select("first", "rep", F.coalesce("root", "rep").alias("root")))
-    by_root = rooted.groupBy("first", "root").agg(F.count("*").alias("c"))
-    mixed = shared.written(by_root.groupBy("first").agg(F.count("*").alias("roots"), F.sum("c").alias("members"), F.max("c").alias("largest"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1")
-        .select("first", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("largest")) / BLOCK).cast("int").alias("stray_blocks")))
+    with_root = crowds.join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left").select("first", "rep", F.coalesce("root", "rep").alias("root"))
+    rooted = shared.written(with_root.join(reps.select("rep", "n").hint("merge"), "rep"))
+    by_root = rooted.groupBy("first", "root").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
+    main = F.max(F.struct("c", "root", "shingles"))
+    by_crowd = by_root.groupBy("first").agg(F.count("*").alias("roots"), F.sum("c").alias("members"), F.sum("shingles").alias("shingles"), main.alias("main"))
+    cut = lambda c, n: F.ceil(F.greatest(c / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    strays = cut(F.col("members") - F.col("main.c"), F.col("shingles") - F.col("main.shingles"))
+    mixed = by_crowd.where("roots > 1").select("first", F.col("main.root").alias("main"), cut(F.col("members"), F.col("shingles")).alias("blocks"), strays.alias("stray_blocks"))
+    mixed = shared.written(mixed)
     if not mixed.head(1):
         return None
     t = percent / 100
     floor = t - 5 * (t * (1 - t) / k) ** 0.5
     members = shared.written(rooted.join(mixed, "first"))
-    sets = full_sets(documents, shared.written(members.select(F.col("rep").alias("doc_id")).distinct())).withColumnRenamed("doc_id", "rep")
-    full = members.join(reps.select("rep", "n", "sketch").hint("merge"), "rep").join(sets.hint("merge"), "rep")
+    sets = full_sets(documents, reps, members.select("rep").distinct())
+    full = members.join(reps.select("rep", "sketch").hint("merge"), "rep").join(sets.hint("merge"), "rep")
     spot = F.xxhash64("rep")
     columns = ["first", "rep", "root", "n", "sketch", "items"]
     stray = full.where("root <> main").select(*columns, F.lit(True).alias("stray"), F.pmod(spot, "stray_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
@@ -279,35 +311,58 @@ def across_components(crowds: DataFrame, reps: DataFrame, roots: DataFrame, docu
     return found.select(*_pairs("a", "b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, k: int = SKETCH, percent: int = PERCENT, short: int = SHORT_LIST) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with the same set)."""
+def grouped(documents: DataFrame, k: int = SKETCH, percent: int = PERCENT, short: int = SHORT_LIST) -> DataFrame:
+    """doc_id, tag, n of every row, with class_id (smallest doc_id of the same set) and first, the least (doc_id, tag) of its
+    component; both null for a row that stands alone by having no words or no doc_id."""
     every = shared.written(sketches(documents, k))
     sets = every.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n")
-    reps = shared.written(sets.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    classes = sets.agg(F.min(F.struct("doc_id", "tag")).alias("at"), F.first("sketch").alias("sketch"))
+    reps = shared.written(classes.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "n", "at.doc_id", "at.tag", "sketch"))
     lists = shared.written(inverted_lists(reps, k, percent))
     met = _meetings(lists)
     crowds = shared.written(met.where(F.col("members") > short).select("first", "rep").distinct())
     stars = crowds.where("rep <> first").select(*_pairs("first", "rep"))
     likely_pairs = shared.written(likely(short_pairs(met, short, percent).union(stars).distinct(), reps, k, percent))
-    links = shared.written(verified(likely_pairs, documents, percent))
+    links = shared.written(verified(likely_pairs, documents, reps, percent))
     roots = components(links)
     more = across_components(crowds, reps, roots, documents, k, percent)
     if more is not None:
         more = shared.written(more)
         if more.head(1):
             roots = joined(roots, more)
-    classes = shared.written(reps.select("h1", "h2", "n", "rep").join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("h1", "h2", "n", "rep", F.coalesce("root", "rep").alias("root")))
-    shared.discard(reps, lists, crowds, likely_pairs, links, more)
-    slim = every.select("doc_id", "n", *(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(h)).alias(h) for h in ("h1", "h2")))
-    out = slim.join(classes.hint("merge"), ["h1", "h2", "n"], "left")
-    root = F.coalesce("root", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"), F.coalesce("rep", "doc_id").alias("class_id"))
+    linked = roots.union(roots.select("root", "root")).distinct()
+    spots = shared.written(linked.join(reps.select(F.col("rep").alias("node"), F.struct("doc_id", "tag").alias("at")).hint("merge"), "node"))
+    least = spots.groupBy("root").agg(F.min("at").alias("first"))
+    firsts = spots.join(least.hint("merge"), "root").select(F.col("node").alias("rep"), "first")
+    own = F.struct("doc_id", "tag")
+    known = reps.join(firsts.hint("merge"), "rep", "left").select("h1", "h2", "n", F.col("doc_id").alias("class_id"), F.coalesce("first", own).alias("first"))
+    known = shared.written(known)
+    shared.discard(reps, lists, crowds, likely_pairs, links, more, spots)
+    slim = every.select("doc_id", "tag", "n", *(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(h)).alias(h) for h in ("h1", "h2")))
+    return slim.join(known.hint("merge"), ["h1", "h2", "n"], "left").select("doc_id", "tag", "n", "class_id", "first")
+
+
+def near_duplicates(documents: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with the same set)."""
+    root = F.coalesce("first.doc_id", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept")
+    return grouped(documents, **options).select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), kept, F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_first(documents: DataFrame, **options) -> DataFrame:
-    """The documents with one of each group left, the one with the smallest doc_id; all columns."""
-    dropped = shared.written(near_duplicates(documents, **options).where("not kept").select("doc_id").distinct())
-    return shared.join_ids(documents, dropped, "doc_id", "left_anti")
+    """The documents with one row of each group left, that of the smallest doc_id (of several texts of that doc_id the one
+    with the smallest hash, of equal texts the one whose columns sort first); all columns."""
+    rows = shared.written(grouped(documents, **options).where("first is not null").select("doc_id", "tag", (F.struct("doc_id", "tag") == F.col("first")).alias("kept")))
+    dropped = shared.written(rows.where("not kept").distinct().select("doc_id", "tag"))
+    again = shared.written(rows.where("kept").groupBy("doc_id", "tag").count().where("count > 1").select("doc_id", "tag"))
+    mine = documents.withColumns({"__id": F.col("doc_id").cast("long"), "__tag": F.xxhash64(F.col("text").cast("string"))})
+    to = lambda ids: ids.withColumnsRenamed({"doc_id": "__id", "tag": "__tag"})
+    left = shared.join_ids(mine, to(dropped), ["__id", "__tag"], "left_anti")
+    if not again.head(1):
+        return left.select(*documents.columns)
+    single = shared.join_ids(left, to(again), ["__id", "__tag"], "left_anti").select(*documents.columns)
+    first = shared.join_ids(left, to(again), ["__id", "__tag"], "left_semi").groupBy("__id", "__tag").agg(F.min(F.struct(*documents.columns)).alias("row"))
+    return single.unionByName(first.select("row.*"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,8 @@ def discard(*tables: DataFrame | None) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def join_ids(big: DataFrame, ids: DataFrame, on: str, how: str, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Semi or anti join against a written table of ids, broadcast only where its counted rows keep within ``bound``."""
+def join_ids(big: DataFrame, ids: DataFrame, on: str | list[str], how: str, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Join against a written table of ids, broadcast only where its counted rows keep within ``bound``."""
     if ids.limit(bound + 1).count() <= bound:
         return big.join(F.broadcast(ids), on, how)
     return big.join(ids.hint("merge"), on, how)
