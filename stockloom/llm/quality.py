@@ -7,6 +7,7 @@ more symbols, shouting or repetition can never raise a document's score.
 
 Edge cases: a null or empty text has zero words and fails the base rules; a doc_id that occurs twice
 is judged twice; other columns are ignored by ``judge`` and passed through by ``filter_documents``;
+a doc_id with several labels counts as the worst of them;
 without labelled rows the ensemble is empty and only the base rules decide.
 """
 
@@ -200,7 +201,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs=tuple(FEATURES.values()), tree
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``sample_rows`` labelled documents, those with the smallest hash of doc_id."""
-    chosen = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     picked = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # sample_rows bounds the broadcast
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
