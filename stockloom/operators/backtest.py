@@ -195,6 +195,34 @@ def walk_forward(rows: DataFrame, prior: dict[str, float], by: str = "m", min_pe
     return out | {"weights": mixed(average), "in_sample_ic": mean(at[-1], periods), "fold_diffs": [x[2] - x[0] for x in paired]}
 
 
+#: What a fitted blend must clear before it is endorsed.
+GATE = {"periods": 36, "folds": 5, "edge": 0.02, "agreement": 0.8, "t": 2.0}
+
+
+def fold_differences(ics: DataFrame, base: int, folds: int, by: str = "m") -> DataFrame:
+    """candidate, fold, diff, n_periods: mean IC of a candidate less that of the base over the same held-out periods. Periods are
+    cut into equal runs, the first is for fitting only, and a fold counts where both have an IC."""
+    periods = ics.select(by).distinct()
+    numbered = periods.select(by, (F.row_number().over(Window.orderBy(by)) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n_periods"))  # a few hundred periods
+    size = F.greatest(F.lit(1), F.floor(F.col("n_periods") / folds))
+    held = numbered.withColumn("fold", F.floor(F.col("i") / size).cast("int")).where((F.col("fold") >= 1) & (F.col("fold") < folds))
+    means = ics.where("ic is not null").join(F.broadcast(held), by).groupBy("candidate", "fold", "n_periods").agg(F.avg("ic").alias("ic"))
+    own = means.where(F.col("candidate") == base).select("fold", F.col("ic").alias("base_ic"))
+    return means.where(F.col("candidate") != base).join(own, "fold").select("candidate", "fold", (F.col("ic") - F.col("base_ic")).alias("diff"), "n_periods")
+
+
+def gate(diffs: DataFrame, rule: dict[str, float] = GATE) -> DataFrame:
+    """candidate, folds, edge, positive, t_stat, verdict: endorsed, or the first rule that blocks (periods, folds, edge,
+    agreement, significance)."""
+    g = diffs.groupBy("candidate").agg(
+        F.max("n_periods").alias("periods"), F.count("*").alias("folds"), F.avg("diff").alias("edge"), F.count_if(F.col("diff") > 0).alias("positive"), F.coalesce(F.stddev_samp("diff"), F.lit(0.0)).alias("sd"))
+    g = g.withColumn("t_stat", F.when(F.col("sd") > 0, F.try_divide(F.col("edge"), F.col("sd")) * F.sqrt("folds")))
+    verdict = (
+        F.when(F.col("periods") < rule["periods"], "periods").when(F.col("folds") < rule["folds"], "folds").when(F.col("edge") < rule["edge"], "edge")
+        .when(F.col("positive") < F.ceil(rule["agreement"] * F.col("folds")), "agreement").when(F.coalesce(F.col("t_stat") < rule["t"], F.lit(True)), "significance").otherwise("endorsed"))
+    return g.select("candidate", "folds", "edge", "positive", "t_stat", verdict.alias("verdict"))
+
+
 def overlap(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     """Share of the first n names of two rankings (by, name, place) that both have."""
     both = a.where(F.col("place") <= n).select("m", "ticker").join(b.where(F.col("place") <= n).select("m", "ticker"), ["m", "ticker"], "left_semi")

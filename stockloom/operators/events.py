@@ -21,18 +21,56 @@ def trade_months(trades: DataFrame) -> DataFrame:
 
 
 def owner_tier(months: DataFrame, year: int, lookback: int = 3) -> DataFrame:
-    """routine (one calendar month in each of the last years), opportunistic, or unclassified (no full history)."""
-    past = months.where((F.col("y") < year) & (F.col("y") >= year - lookback))
-    per_month = past.groupBy("owner", "m").agg(F.count("*").alias("years"))
-    same = per_month.groupBy("owner").agg(F.max("years").alias("same_month"))
-    years = past.groupBy("owner").agg(F.count_distinct("y").alias("years"))
-    return years.join(same, "owner").select("owner", F.when(F.col("years") < lookback, "unclassified").when(F.col("same_month") == lookback, "routine").otherwise("opportunistic").alias("tier"))
-
-
-def strength(buys: DataFrame, cap: float, bonus: float = 0.2) -> DataFrame:
-    """Per ticker from qualifying buys: capped size, plus a bonus where several owners buy."""
-    g = buys.groupBy("ticker").agg(F.count_distinct("owner").alias("owners"), F.sum("value").alias("value"))
-    return g.withColumn("strength", F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("value") / cap) + F.when(F.col("owners") >= 2, bonus).otherwise(0.0)))
+    """routine, opportunistic or unclassified per owner, seen from ``year``. Unclassified: fewer than ``lookback`` years of
+    trades anywhere in the record, or none in the last ones; routine: one calendar month in each of the last ``lookback`` years."""
+    back = F.lit(year) - F.col("y")
+    per_month = months.groupBy("owner", "m").agg(
+        F.count_if(back.between(1, lookback)).alias("recent"), F.max("y").alias("latest"), F.collect_set("y").alias("years"))  # years of a record
+    g = per_month.groupBy("owner").agg(F.max("recent").alias("same"), F.max("latest").alias("latest"), F.size(F.array_distinct(F.flatten(F.collect_set("years")))).alias("years"))
+    judged = (F.col("years") >= lookback) & (F.lit(year) - F.col("latest") <= lookback)
+    return g.select("owner", F.when(~judged, "unclassified").when(F.col("same") == lookback, "routine").otherwise("opportunistic").alias("tier"))
+
+
+#: Weights of the buyer's role by words of the title.
+TITLE_WEIGHTS = [(("chief financial", "cfo"), 1.00), (("chief executive", "ceo", "president"), 0.90)]
+OTHER_TITLE = 0.80
+
+
+def title_weight(title: Column, rules: list = TITLE_WEIGHTS, other: float = OTHER_TITLE) -> Column:
+    t, out = F.lower(F.coalesce(title, F.lit(""))), None
+    for words, w in rules:
+        hit = t.rlike("|".join(words))
+        out = F.when(hit, w) if out is None else out.when(hit, w)
+    return out.otherwise(other)
+
+
+def qualifying(trades: DataFrame, tiers: DataFrame, least: float = 100_000.0, roles: tuple[str, ...] = ("officer", "director")) -> DataFrame:
+    """Purchases that count: not by a routine buyer, a joint filing or a plan, by one of the roles, of the least value each.
+    Columns joint, planned and roles are used where they are there. An owner without a record is unclassified."""
+    known = trades.where("code = 'P'").join(tiers.select("owner", "tier"), "owner", "left").withColumn("tier", F.coalesce("tier", F.lit("unclassified")))
+    keep = (F.col("tier") != "routine") & (F.col("value") >= least)
+    for column in ("joint", "planned"):
+        if column in trades.columns:
+            keep = keep & ~F.coalesce(F.col(column), F.lit(False))
+    if "roles" in trades.columns:
+        keep = keep & F.arrays_overlap("roles", F.array(*map(F.lit, roles)))
+    return known.where(keep)
+
+
+def strength(buys: DataFrame, rules: list = TITLE_WEIGHTS, tiers: dict[str, float] | None = None) -> DataFrame:
+    """One row per ticker from qualifying buys (owner, issuer, title, tier, value): (0.5 + size + cluster) x role x tier, at
+    most 1. A ticker whose buys name two issuers is left out. Buys are first summed by owner, so a hot ticker stays small."""
+    of_tier = {"opportunistic": 1.0, "unclassified": 0.6} | (tiers or {})
+    by_owner = buys.groupBy("ticker", "owner").agg(
+        F.sum("value").alias("value"), F.max(title_weight(F.col("title"), rules)).alias("role"), F.bool_or(F.col("tier") == "opportunistic").alias("open_"),
+        F.min("issuer").alias("least"), F.max("issuer").alias("most"))
+    g = by_owner.groupBy("ticker").agg(
+        F.count("*").alias("owners"), F.sum("value").alias("value"), F.max("role").alias("role"), F.bool_or("open_").alias("open_"), F.min("least").alias("issuer"), F.max("most").alias("most"))
+    one = g.where(F.col("issuer").isNull() | (F.col("issuer") == F.col("most")))
+    size, cluster = F.least(F.lit(0.30), F.col("value") / 5_000_000), F.least(F.lit(0.20), 0.10 * (F.col("owners") - 1))
+    tier = F.when(F.col("open_"), of_tier["opportunistic"]).otherwise(of_tier["unclassified"])
+    total = F.least(F.lit(1.0), (0.50 + size + cluster) * F.col("role") * tier)
+    return one.select("ticker", "issuer", "owners", "value", F.when(F.col("open_"), "opportunistic").otherwise("unclassified").alias("tier"), F.round(total, 4).alias("strength"))
 
 
 def weights(book: DataFrame) -> DataFrame:

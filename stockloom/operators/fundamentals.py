@@ -95,9 +95,11 @@ def dispersion(c: Column, least: int = 3) -> Column:
     return F.when(F.count(c) >= least, F.stddev_pop(c))
 
 
-def decayed(surprise: Column, sigma: Column, days: Column, span: float = 60.0) -> Column:
-    """Standardised surprise, fading linearly over ``span`` days."""
-    return ratio(surprise, sigma) * F.greatest(F.lit(0.0), 1 - days / span)
+def decayed(surprise: Column, sigma: Column, days: Column, span: float = 60.0, floor: float = 1.0) -> Column:
+    """Standardised surprise, fading linearly over ``span`` days. NULL below the floor of sigma; a report without an age or
+    dated in the future does not fade."""
+    fade = F.when(days.isNull() | (days < 0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - days / span))
+    return F.when(sigma >= floor, F.try_divide(surprise, sigma)) * fade
 
 
 def implied_growth(cash: Column, cap: Column, year: Column, discount: float = 0.10, newest: int = 3) -> Column:
@@ -126,9 +128,19 @@ def capital_table(run: DataFrame) -> DataFrame:
         F.when(F.col("years") < 2, "one_year").when(~grown, "no_growth").otherwise("ok").alias("reason"))
 
 
-def regime(series: DataFrame, off_above: dict[str, float], on_below: dict[str, float]) -> DataFrame:
-    """risk_off, risk_on or neutral from the latest value of every series (name, d, value)."""
-    last = series.groupBy("name").agg(F.max_by("value", "d").alias("value"))
-    hit = lambda rules, op: F.count_if(sum((F.when((F.col("name") == k) & op(F.col("value"), v), 1).otherwise(0) for k, v in rules.items()), F.lit(0)) > 0)
-    off, on = hit(off_above, lambda c, v: c > v), hit(on_below, lambda c, v: c < v)
-    return last.agg(off.alias("off"), on.alias("on")).select("off", "on", F.when(F.col("off") == len(off_above), "risk_off").when(F.col("on") == len(on_below), "risk_on").otherwise("neutral").alias("regime"))
+def regime(series: DataFrame, off_above: dict[str, float], off_below: dict[str, float], on_below: dict[str, float], *by: str) -> DataFrame:
+    """risk_off, risk_on or neutral from the latest value of every series (name, d, value), for each group ``by``: any series
+    beyond its limit is enough, risk_off goes first, and a missing series trips nothing."""
+    last = series.groupBy(*by, "name").agg(F.max_by("value", "d").alias("value"))
+
+    def hit(rules: list[tuple[str, Column]]) -> Column:
+        any_ = F.lit(False)
+        for name, trips in rules:
+            any_ = any_ | ((F.col("name") == name) & trips)
+        return F.coalesce(F.bool_or(any_), F.lit(False))
+
+    v = F.col("value")
+    off = hit([(k, v > x) for k, x in off_above.items()] + [(k, v < x) for k, x in off_below.items()])
+    on = hit([(k, v < x) for k, x in on_below.items()])
+    out = last.groupBy(*by).agg(off.alias("off"), on.alias("on"))
+    return out.withColumn("regime", F.when(F.col("off"), "risk_off").when(F.col("on"), "risk_on").otherwise("neutral"))

@@ -55,12 +55,15 @@ def change_key(*cs: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cs]), 256)
 
 
-def sessions(days: DataFrame, holidays: DataFrame) -> DataFrame:
-    """day, open, last_session: weekdays that are no holiday, and the latest such day on or before."""
-    marked = days.join(F.broadcast(holidays.withColumn("shut", F.lit(True))), "day", "left")  # a calendar
-    open_ = (F.dayofweek("day").between(2, 6)) & F.col("shut").isNull()
-    w = Window.partitionBy(F.year("day")).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.select("day", open_.alias("open")).withColumn("last_session", F.max(F.when(F.col("open"), F.col("day"))).over(w))
+def sessions(days: DataFrame, holidays: DataFrame, back: int = 10) -> DataFrame:
+    """day, open, last_session: weekdays that are no holiday, and the latest such calendar day on or before, whether or not it
+    is among the days; NULL if there is none within ``back`` days. Each day meets its own few predecessors, so the calendar
+    is never put in one order."""
+    asked = days.select("day").distinct()
+    near = asked.select("day", F.explode(F.sequence(F.lit(0), F.lit(back - 1))).alias("age")).withColumn("at", F.date_sub("day", F.col("age")))
+    marked = near.join(F.broadcast(holidays.select(F.col("day").alias("at"), F.lit(True).alias("shut"))), "at", "left")  # a calendar of holidays
+    trades = F.dayofweek("at").between(2, 6) & F.col("shut").isNull()
+    return marked.groupBy("day").agg(F.bool_or(trades & (F.col("age") == 0)).alias("open"), F.max(F.when(trades, F.col("at"))).alias("last_session"))
 
 
 def upside(target: Column, price: Column) -> Column:

@@ -48,13 +48,13 @@ def nearest(targets: DataFrame, prices: DataFrame, tolerance: int, at: str = "as
     return met.groupBy("ticker", at).agg(best).select("ticker", at, "best.d", "best.close")
 
 
-def history_counts(targets: DataFrame, prices: DataFrame, at: str = "ask", days: int = 400) -> DataFrame:
-    """Truncated history: how many closes (and their sum) lie on or before each date, at most ``days`` back. Bucketed
-    by month so that the range join is an equi-join on a few months."""
-    months = int(days / 28) + 1
-    asks = targets.select("ticker", at, F.explode(F.sequence(F.lit(0), F.lit(months))).alias("back")).withColumn("month", F.add_months(F.trunc(at, "month"), -F.col("back")))
-    met = asks.join(prices.withColumn("month", F.trunc("d", "month")), ["ticker", "month"]).where((F.col("d") <= F.col(at)) & (F.col("d") >= F.date_sub(F.col(at), days)))
-    return met.groupBy("ticker", at).agg(F.count("*").alias("n"), F.sum("close").alias("sum_close"))
+def history_counts(targets: DataFrame, prices: DataFrame, at: str = "ask") -> DataFrame:
+    """Truncated history: how many closes, their sum, and the first of them on or before each date, whatever the distance. One
+    running aggregate per ticker over the union of closes and dates answers all dates; nothing is joined by range."""
+    rows = prices.select("ticker", "d", "close", F.lit(0).alias("asked")).union(targets.select("ticker", at, F.lit(None).cast("double"), F.lit(1)))
+    w = Window.partitionBy("ticker").orderBy("d", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.select("ticker", F.col("d").alias(at), "asked", F.count("close").over(w).alias("n"), F.sum("close").over(w).alias("sum_close"), F.min(F.when(F.col("asked") == 0, F.col("d"))).over(w).alias("first_d"))
+    return seen.where("asked = 1").drop("asked").distinct()
 
 
 # ---------------------------------------------------------------- trailing features; `w` is the series in order

@@ -133,8 +133,41 @@ def no_data(df: DataFrame) -> Column:
     return F.coalesce(*[F.col(n) for n in LEGS], F.col("market_cap")).isNull()
 
 
-def clamp_call(stance: Column, conviction: Column, gates_: Column, confidence: Column) -> tuple[Column, Column]:
-    """Guarded call: any gate caps the stance at 0 (hold), two or more at -1; low confidence caps the conviction."""
-    ceiling = F.when(F.size(gates_) >= 2, -1).when(F.size(gates_) == 1, 0).otherwise(2)
-    cap = F.when(confidence < 0.4, 1).when(confidence < 0.7, 2).otherwise(3)
-    return F.least(stance, ceiling), F.least(conviction, cap)
+#: Stances from the most to the least hopeful, convictions from strong to weak, the best stance a gate allows.
+STANCES = ["STRONG_BUY", "BUY", "HOLD", "AVOID", "STRONG_AVOID"]
+CONVICTIONS = ["HIGH", "MEDIUM", "LOW"]
+GATE_CEILINGS = {"negative_fcf": "AVOID", "over_leveraged": "AVOID"}
+GATE_CEILING = "HOLD"
+LOW_BELOW, MEDIUM_BELOW = 0.45, 0.70
+CONTRA_FLAGS = ("value_trap",)
+
+
+def corroborated(stance: Column, confidence: Column, flags_: Column, confirms: Column, contradicts: Column, red_flag: Column, medium_below: float = MEDIUM_BELOW, contra: tuple[str, ...] = CONTRA_FLAGS) -> Column:
+    """Whether evidence backs a high conviction: a hopeful call needs a confirmation and no contrary flag, a wary one a
+    contradiction or a red flag, a hold either; never at thin confidence."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    against = F.arrays_overlap(F.coalesce(flags_, F.array().cast("array<string>")), F.array(*map(F.lit, contra)))
+    by_stance = F.when(stance.isin("STRONG_BUY", "BUY"), yes(confirms) & ~yes(against)).when(stance.isin("AVOID", "STRONG_AVOID"), yes(contradicts) | yes(red_flag)).otherwise(yes(confirms) | yes(contradicts))
+    return yes(confidence >= medium_below) & by_stance
+
+
+def clamp_call(stance: Column, conviction: Column, gates_: Column, confidence: Column, gaps: Column, backed: Column, ceilings: dict[str, str] = GATE_CEILINGS, ceiling: str = GATE_CEILING, low_below: float = LOW_BELOW, medium_below: float = MEDIUM_BELOW) -> Column:
+    """Guarded call as a struct (stance, conviction, stance_clamped, conviction_capped, clamp_gates). A gate only moves the
+    stance towards the wary end, and caps the conviction at medium if it does; thin confidence and gaps cap the conviction;
+    a high one must be backed. An unknown stance counts as HOLD where stances are compared."""
+    place = F.create_map(*[x for i, n in enumerate(STANCES) for x in (F.lit(n), F.lit(i))])
+    limit = F.create_map(*[x for n, c in {**ceilings, "": ceiling}.items() for x in (F.lit(n), F.lit(STANCES.index(c)))])
+    allowed = lambda g: F.coalesce(F.element_at(limit, g), F.lit(STANCES.index(ceiling)))
+    tripped = F.coalesce(gates_, F.array().cast("array<string>"))
+    now = F.coalesce(F.element_at(place, stance), F.lit(STANCES.index("HOLD")))
+    top = F.array_max(F.transform(tripped, allowed))
+    clamped = F.coalesce(top > now, F.lit(False))
+    weak = F.coalesce(F.element_at(F.create_map(*[x for i, n in enumerate(CONVICTIONS) for x in (F.lit(n), F.lit(i))]), conviction), F.lit(2))
+    least = F.when(clamped, 1).otherwise(0)
+    thin = F.when(confidence.isNull() | (confidence < low_below), 2).when(confidence < medium_below, 1).otherwise(0)
+    capped = F.greatest(weak, least, thin, F.when(F.size(F.coalesce(gaps, F.array().cast("array<string>"))) > 0, 1).otherwise(0))
+    final = F.when((capped == 0) & ~F.coalesce(backed, F.lit(False)), 1).otherwise(capped)
+    word = F.get(F.array(*map(F.lit, CONVICTIONS)), final)
+    return F.struct(
+        F.when(clamped, F.get(F.array(*map(F.lit, STANCES)), top)).otherwise(stance).alias("stance"), word.alias("conviction"), clamped.alias("stance_clamped"),
+        (word != conviction).alias("conviction_capped"), F.when(clamped, F.filter(tripped, lambda g: allowed(g) == top)).alias("clamp_gates"))

@@ -114,18 +114,51 @@ def idf(docs: DataFrame) -> DataFrame:
     return seen.join(F.broadcast(n)).select("token", "df", F.log((1 + F.col("n")) / (1 + F.col("df"))).alias("idf"))  # n is one row
 
 
-def conclusions(docs: DataFrame, phrase: str, window: int = 120) -> DataFrame:
-    """First place of a phrase and the sentence around it; dated if a year stands within the window."""
-    low = F.lower("text")
-    at = F.locate(phrase, low)
-    near = F.substring(F.col("text"), F.greatest(at - window, F.lit(1)), F.lit(2 * window + len(phrase)))
-    return docs.where(at > 0).select("doc_id", at.alias("at"), F.regexp_extract(near, r"((?:19|20)\d{2})", 1).alias("year"))
-
-
-def grade(title: Column, alias: Column) -> Column:
-    """2: starts with the name, 1: mentions it, 0: neither."""
-    t, a = F.lower(title), F.lower(alias)
-    return F.when(F.startswith(t, a), 2).when(F.contains(t, a), 1).otherwise(0)
+#: Adverse conclusions on controls, in order; words that date a conclusion by the report itself; dates.
+ADVERSE = [
+    "internal control over financial reporting was not effective", "internal controls over financial reporting were not effective",
+    "did not maintain effective internal control over financial reporting", "disclosure controls and procedures were not effective",
+]
+SELF_REFERENCE = "end of the period covered by this (annual )?report"
+AS_OF, AS_OF_FORMAT = r"as of ([a-z]+ \d{1,2},? \d{4})", "MMMM d yyyy"
+
+
+def conclusions(docs: DataFrame, phrases: list[str] = ADVERSE, self_reference: str = SELF_REFERENCE, dated: str = AS_OF, date_format: str = AS_OF_FORMAT, window: int = 240, tolerance: int = 20, most: int = 600, least: int = 40) -> DataFrame:
+    """Documents (doc_id, text, period_end) with an adverse conclusion about their own period: phrase (its number), place, as_of,
+    quote (the sentence around it). Every place of every phrase is looked at; one counts if the words around it refer to the
+    report itself, or if the nearest date there lies within the tolerance of the period's end. The first phrase, then the
+    first place wins. Documents without any phrase drop out before the work; nothing without a period is returned."""
+    flat = docs.where(F.col("period_end").isNotNull()).select("doc_id", "period_end", F.regexp_replace("text", r"[\s\x{A0}]+", " ").alias("flat")).withColumn("low", F.lower("flat"))
+    some = F.lit(False)
+    for p in phrases:
+        some = some | F.col("low").contains(p)
+
+    def places(phrase: str) -> Column:
+        lengths = F.transform(F.split("low", "\\Q" + phrase + "\\E", -1), F.length)
+        start = lambda n: F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x) + (n - 1) * len(phrase)
+        return F.when(F.size(lengths) > 1, F.transform(F.sequence(F.lit(1), F.size(lengths) - 1), start))
+
+    def numbered(k: int, phrase: str) -> Column:
+        return F.transform(places(phrase), lambda i: F.struct(F.lit(k).alias("phrase"), i.alias("place")))
+
+    found = F.flatten(F.filter(F.array(*[numbered(k, p) for k, p in enumerate(phrases)]), lambda x: x.isNotNull()))
+    hits = flat.where(some).select("doc_id", "period_end", "flat", F.explode(found).alias("h")).select("doc_id", "period_end", "flat", "h.*")
+    begin = F.greatest(F.col("place") - window, F.lit(0))
+    around = hits.withColumn("around", F.substring("flat", begin + 1, F.col("place") + window - begin))
+    day = lambda x: F.to_date(F.try_to_timestamp(F.initcap(F.replace(x, F.lit(","), F.lit(""))), F.lit(date_format)))
+    days = F.filter(F.transform(F.regexp_extract_all("around", F.lit(f"(?i){dated}"), 1), day), lambda x: x.isNotNull())
+    near = F.array_min(F.transform(days, lambda x, i: F.struct(F.abs(F.datediff(x, F.col("period_end"))).alias("gap"), i.alias("i"), x.alias("d"))))
+    as_of = F.when(F.col("around").rlike(f"(?i){self_reference}"), F.col("period_end")).when(near["gap"] <= tolerance, near["d"])
+    from_ = F.greatest(F.col("place") - most, F.lit(0))
+    head = F.substring("flat", from_ + 1, F.col("place") - from_)
+    back = F.instr(F.reverse(head), " .")
+    start = F.when(back > 0, from_ + F.length(head) - back + 1).otherwise(0)
+    stop = F.expr("locate('. ', flat, place + 1)")
+    end = F.least(F.when(stop > 0, stop).otherwise(F.length("flat")), start + most)
+    quote = F.trim(F.substring(F.col("flat"), start + 1, end - start))
+    good = around.withColumn("as_of", as_of).withColumn("quote", quote).where(F.col("as_of").isNotNull() & (F.length("quote") >= least))
+    first = F.min_by(F.struct("phrase", "place", "as_of", "quote"), F.struct("phrase", "place")).alias("x")
+    return good.groupBy("doc_id").agg(first).select("doc_id", "x.*")
 
 
 def caps(c: Column, limits: dict[str, int]) -> list[Column]:

@@ -188,15 +188,32 @@ def months(s, d):
     return E.trade_months(view(s, d, "insider"))
 
 
-@register("ev03_owner_tier", cte("insider") + """, p AS (SELECT DISTINCT owner, YEAR(d) AS y, MONTH(d) AS m FROM insider WHERE YEAR(d) BETWEEN 1996 AND 1998), s AS (SELECT owner, MAX(n) AS same FROM (SELECT owner, m, COUNT(*) AS n FROM p GROUP BY ALL) GROUP BY owner)
-SELECT owner, CASE WHEN COUNT(DISTINCT y) < 3 THEN 'unclassified' WHEN MAX(same) = 3 THEN 'routine' ELSE 'opportunistic' END AS tier FROM p JOIN s USING (owner) GROUP BY owner""")
+_TIER = """, p AS (SELECT DISTINCT owner, YEAR(d) AS y, MONTH(d) AS m FROM insider),
+k AS (SELECT owner, COUNT(DISTINCT y) AS years, MAX(y) AS latest FROM p GROUP BY owner),
+s AS (SELECT owner, MAX(n) AS same FROM (SELECT owner, m, COUNT(*) FILTER (y BETWEEN 1995 AND 1997) AS n FROM p GROUP BY ALL) GROUP BY owner),
+tier AS (SELECT owner, CASE WHEN years < 3 OR 1998 - latest > 3 THEN 'unclassified' WHEN same = 3 THEN 'routine' ELSE 'opportunistic' END AS tier FROM k JOIN s USING (owner))"""
+
+
+@register("ev03_owner_tier", cte("insider") + _TIER + " SELECT owner, tier FROM tier")
 def tier(s, d):
-    return E.owner_tier(E.trade_months(view(s, d, "insider")), 1999)
+    return E.owner_tier(E.trade_months(view(s, d, "insider")), 1998)
+
+
+#: Order priorities stand for titles; an owner's account stands for the issuer, so most tickers name several issuers.
+_ROLES = [(("urgent",), 1.00), (("high", "medium"), 0.90)]
 
 
-@register("ev04_strength", cte("insider") + ", g AS (SELECT ticker, COUNT(DISTINCT owner) AS owners, SUM(value) AS v FROM insider WHERE code = 'P' AND value > 100000 GROUP BY ticker) SELECT ticker, owners, ROUND(LEAST(1.0, LEAST(1.0, v / 2e7) + CASE WHEN owners >= 2 THEN 0.2 ELSE 0 END), 6) AS strength FROM g")
+@register("ev04_strength", cte("insider") + _TIER + """, b AS (SELECT i.*, COALESCE(t.tier, 'unclassified') AS tier, CASE WHEN i.ticker % 3 = 0 THEN i.owner % 2 ELSE i.ticker END AS issuer,
+  CASE WHEN regexp_matches(lower(title), 'urgent') THEN 1.0 WHEN regexp_matches(lower(title), 'high|medium') THEN 0.9 ELSE 0.8 END AS role FROM insider i LEFT JOIN tier t USING (owner) WHERE code = 'P'),
+q AS (SELECT * FROM b WHERE tier <> 'routine' AND value >= 100000 AND NOT (accession % 7 = 0) AND NOT COALESCE(title = '5-LOW', FALSE)),
+g AS (SELECT ticker, COUNT(DISTINCT owner) AS owners, ROUND(SUM(value), 2) AS value, MAX(role) AS role, BOOL_OR(tier = 'opportunistic') AS o, MIN(issuer) AS issuer FROM q GROUP BY ticker HAVING COUNT(DISTINCT issuer) <= 1)
+SELECT ticker, owners, value, CASE WHEN o THEN 'opportunistic' ELSE 'unclassified' END AS tier, ROUND(LEAST(1.0, (0.5 + LEAST(0.30, value / 5000000) + LEAST(0.20, 0.10 * (owners - 1))) * role * CASE WHEN o THEN 1.0 ELSE 0.6 END), 4) AS strength FROM g""")
 def strength(s, d):
-    return E.strength(view(s, d, "insider").where("code = 'P' and value > 100000"), 2e7).select("ticker", "owners", _r("strength"))
+    trades = view(s, d, "insider")
+    rows = trades.select(
+        "*", F.when(F.col("ticker") % 3 == 0, F.col("owner") % 2).otherwise(F.col("ticker")).alias("issuer"), (F.col("accession") % 7 == 0).alias("joint"), (F.col("title") == "5-LOW").alias("planned"))
+    buys = E.qualifying(rows, E.owner_tier(E.trade_months(trades), 1998))
+    return E.strength(buys, _ROLES).select("ticker", "owners", _r("value", 2), "tier", "strength")
 
 
 @register("ev05_book", cte("book") + " SELECT fund, q, COUNT(*) AS positions, ROUND(SUM(value), 2) AS value, SUM(shares) AS shares FROM book GROUP BY ALL")

@@ -77,12 +77,14 @@ def holder_yield(s, d):
     return _stmts(s, d).select("entity", "fiscal_year", F.round(U.shareholder_yield(c("net_income"), c("operating_cash_flow"), c("total_debt"), c("gross_profit"), c("total_equity")), 6).alias("yield"))
 
 
-@register("fn10_surprise", cte("stmts") + """, g AS (SELECT entity, CASE WHEN COUNT(*) >= 3 THEN STDDEV_POP(net_income / revenue) END AS sigma, ARG_MAX(net_income / revenue, fiscal_year) AS last FROM stmts WHERE revenue <> 0 GROUP BY entity)
-SELECT entity, ROUND(sigma, 6) AS sigma, ROUND(last / NULLIF(sigma, 0) * GREATEST(0, 1 - (entity % 90) / 60.0), 6) AS sue FROM g""")
+@register("fn10_surprise", cte("stmts") + """, g AS (SELECT entity, CASE WHEN COUNT(*) >= 3 THEN STDDEV_POP(100 * net_income / revenue) END AS sigma, ARG_MAX(100 * net_income / revenue, fiscal_year) AS last
+  FROM stmts WHERE revenue <> 0 GROUP BY entity), a AS (SELECT *, CASE WHEN entity % 4 <> 0 THEN entity % 90 - 10 END AS days FROM g)
+SELECT entity, ROUND(sigma, 6) AS sigma, ROUND(CASE WHEN sigma >= 1.0 THEN last / sigma * CASE WHEN days IS NULL OR days < 0 THEN 1 WHEN days >= 60 THEN 0 ELSE 1 - days / 60.0 END END, 6) AS sue FROM a""")
 def surprise(s, d):
-    x = ratio(F.col("net_income"), F.col("revenue"))
+    x = 100 * ratio(F.col("net_income"), F.col("revenue"))
     g = _stmts(s, d).where("revenue <> 0").groupBy("entity").agg(U.dispersion(x).alias("sigma"), F.max_by(x, "fiscal_year").alias("last"))
-    return g.select("entity", _r("sigma"), F.round(U.decayed(F.col("last"), F.col("sigma"), F.col("entity") % 90), 6).alias("sue"))
+    days = F.when(F.col("entity") % 4 != 0, F.col("entity") % 90 - 10)
+    return g.select("entity", _r("sigma"), F.round(U.decayed(F.col("last"), F.col("sigma"), days), 6).alias("sue"))
 
 
 @register("fn12_implied_growth", cte("stmts") + """, p AS (SELECT entity, operating_cash_flow AS v, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY fiscal_year DESC) AS k FROM stmts WHERE operating_cash_flow > 0),
@@ -92,12 +94,13 @@ def implied(s, d):
     return _stmts(s, d).groupBy("entity").agg(F.round(U.implied_growth(F.col("operating_cash_flow"), F.col("total_equity"), F.col("fiscal_year")), 6).alias("implied_growth"))
 
 
-_RUN = """, h AS (SELECT * FROM stmts WHERE operating_cash_flow > -1e6 AND fiscal_year <> 1998), i AS (SELECT *, fiscal_year + ROW_NUMBER() OVER (PARTITION BY entity ORDER BY fiscal_year DESC) AS g FROM h),
+_RUN = """, h AS (SELECT * FROM stmts WHERE operating_cash_flow IS NOT NULL AND net_income IS NOT NULL AND total_debt > 0), i AS (SELECT *, fiscal_year + ROW_NUMBER() OVER (PARTITION BY entity ORDER BY fiscal_year DESC) AS g FROM h),
 r AS (SELECT * FROM i QUALIFY g = MAX(g) OVER (PARTITION BY entity))"""
 
 
 def _run(s, d):
-    return U.newest_run(_stmts(s, d).where("operating_cash_flow > -1e6 and fiscal_year <> 1998"), ["operating_cash_flow", "net_income"])
+    rows = _stmts(s, d).withColumn("owed", F.when(F.col("total_debt") > 0, F.col("total_debt")))
+    return U.newest_run(rows, ["operating_cash_flow", "net_income", "owed"])
 
 
 @register("fn14_newest_run", cte("stmts") + _RUN + " SELECT entity, COUNT(*) AS years, MIN(fiscal_year) AS first_year, MAX(fiscal_year) AS last_year FROM r GROUP BY entity")
@@ -113,10 +116,13 @@ def capital(s, d):
     return U.capital_table(_run(s, d)).select("entity", "years", _r("cash", 2), _r("share_of_cash", 4), _r("share_change"), _r("added_return"), "reason")
 
 
-@register("fn16_regime", "SELECT COUNT_IF(name = 'click' AND v > 40 OR name = 'error' AND v > 40) AS off, COUNT_IF(name = 'view' AND v < 60 OR name = 'purchase' AND v < 60) AS on_, CASE WHEN COUNT_IF(name = 'click' AND v > 40 OR name = 'error' AND v > 40) = 2 THEN 'risk_off' WHEN COUNT_IF(name = 'view' AND v < 60 OR name = 'purchase' AND v < 60) = 2 THEN 'risk_on' ELSE 'neutral' END AS regime FROM (SELECT event_type AS name, ARG_MAX(value, ts) AS v FROM events GROUP BY 1)")
+@register("fn16_regime", """WITH l AS (SELECT user_id, event_type AS name, ARG_MAX(value, (ts, event_id)) AS v FROM events GROUP BY ALL),
+h AS (SELECT user_id, COALESCE(BOOL_OR(name = 'click' AND v > 80 OR name = 'error' AND v > 90 OR name = 'view' AND v < 15), FALSE) AS off, COALESCE(BOOL_OR(name = 'purchase' AND v < 40 OR name = 'error' AND v < 30), FALSE) AS on_ FROM l GROUP BY user_id)
+SELECT user_id, off, on_, CASE WHEN off THEN 'risk_off' WHEN on_ THEN 'risk_on' ELSE 'neutral' END AS regime FROM h""")
 def macro(s, d):
-    series = table(s, d, "events").select(F.col("event_type").alias("name"), F.col("ts").alias("d"), "value")
-    return U.regime(series, {"click": 40.0, "error": 40.0}, {"view": 60.0, "purchase": 60.0}).withColumnRenamed("on", "on_")
+    """The regime that each user's own series imply."""
+    series = table(s, d, "events").select("user_id", F.col("event_type").alias("name"), F.struct("ts", "event_id").alias("d"), "value")
+    return U.regime(series, {"click": 80.0, "error": 90.0}, {"view": 15.0}, {"purchase": 40.0, "error": 30.0}, "user_id").withColumnRenamed("on", "on_")
 
 
 # ---------------------------------------------------------------- screen

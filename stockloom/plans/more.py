@@ -176,20 +176,43 @@ def peer_table(s, d):
     return t.groupBy("ticker").agg(F.max("usable").alias("peers"), pick("margin"), pick("size"))
 
 
-@register("sc24_guarded_calls", PF._CARDS + f""", q AS (SELECT ticker, ROUND(({PF._DEN}) / ({PF._APPL}), 3) AS confidence, CASE WHEN fcf < 0 AND NOT COALESCE(rc >= 0.15 AND rp >= 0.70, FALSE) AND bucket NOT IN ('reit', 'financials') THEN 1 ELSE 0 END + CASE WHEN market_cap < 3e8 THEN 1 ELSE 0 END + CASE WHEN dte > 5 AND dte <= 20 AND bucket NOT IN ('reit', 'financials') THEN 1 ELSE 0 END AS g FROM c)
-SELECT ticker, CAST(LEAST(2, CASE WHEN g >= 2 THEN -1 WHEN g = 1 THEN 0 ELSE 2 END) AS INT) AS stance, CAST(LEAST(3, CASE WHEN confidence < 0.4 THEN 1 WHEN confidence < 0.7 THEN 2 ELSE 3 END) AS INT) AS conviction FROM q""")
+@register("sc24_guarded_calls", PF._CARDS + f""", q AS (SELECT ticker, ROUND(COALESCE(({PF._NUM}) / NULLIF({PF._DEN}, 0), 0), 1) AS composite, ROUND(({PF._DEN}) / ({PF._APPL}), 3) AS confidence,
+  list_filter([CASE WHEN fcf < 0 AND NOT COALESCE(rc >= 0.15 AND rp >= 0.70, FALSE) AND bucket NOT IN ('reit', 'financials') THEN 'negative_fcf' END, CASE WHEN market_cap < 3e8 THEN 'below_min_mktcap' END,
+    CASE WHEN dte > 5 AND dte <= 20 AND bucket NOT IN ('reit', 'financials') THEN 'over_leveraged' END], lambda x: x IS NOT NULL) AS gates,
+  value >= 60 AND (COALESCE(quality < 40, FALSE) OR COALESCE(growth < 40, FALSE)) AS trap, sc >= 0.03 AS diluted, growth, quality,
+  quality IS NULL OR growth IS NULL OR value IS NULL OR momentum IS NULL OR insider IS NULL OR (moat IS NULL AND bucket NOT IN ('reit', 'financials')) AS gaps FROM c),
+s AS (SELECT *, CASE WHEN composite >= 55 THEN 'STRONG_BUY' WHEN composite >= 45 THEN 'BUY' WHEN composite >= 30 THEN 'HOLD' ELSE 'AVOID' END AS asked, CASE WHEN ticker % 3 = 0 THEN FALSE ELSE gaps END AS missing FROM q),
+k AS (SELECT *, CASE WHEN list_contains(gates, 'negative_fcf') OR list_contains(gates, 'over_leveraged') THEN 3 WHEN len(gates) > 0 THEN 2 ELSE -1 END AS ceil_,
+  CASE asked WHEN 'STRONG_BUY' THEN 0 WHEN 'BUY' THEN 1 WHEN 'HOLD' THEN 2 ELSE 3 END AS now_ FROM s),
+v AS (SELECT *, ceil_ > now_ AS clamped, GREATEST(CASE WHEN ceil_ > now_ THEN 1 ELSE 0 END, CASE WHEN confidence < 0.45 THEN 2 WHEN confidence < 0.7 THEN 1 ELSE 0 END, CASE WHEN missing THEN 1 ELSE 0 END) AS cap FROM k),
+w AS (SELECT *, CASE WHEN clamped THEN (['STRONG_BUY', 'BUY', 'HOLD', 'AVOID', 'STRONG_AVOID'])[ceil_ + 1] ELSE asked END AS stance FROM v),
+x AS (SELECT *, confidence >= 0.7 AND CASE WHEN asked IN ('STRONG_BUY', 'BUY') THEN COALESCE(growth >= 50, FALSE) AND NOT COALESCE(trap, FALSE) WHEN asked = 'AVOID' THEN COALESCE(quality < 30, FALSE) OR COALESCE(diluted, FALSE) ELSE COALESCE(growth >= 50, FALSE) OR COALESCE(quality < 30, FALSE) END AS backed FROM w)
+SELECT ticker, asked, stance, (['HIGH', 'MEDIUM', 'LOW'])[CASE WHEN cap = 0 AND NOT backed THEN 1 ELSE cap END + 1] AS conviction, clamped AS stance_clamped,
+  CASE WHEN clamped THEN list_filter(gates, lambda g: CASE WHEN g IN ('negative_fcf', 'over_leveraged') THEN 3 ELSE 2 END = ceil_) END AS clamp_gates FROM x""")
 def guarded(s, d):
-    stance, conviction = S.clamp_call(F.lit(2), F.lit(3), F.col("gates"), F.col("confidence"))
-    return S.score(PF.metrics(s, d)).select("ticker", stance.alias("stance"), conviction.alias("conviction"))
+    """Calls asked for by the composite, all at high conviction; sub-scores stand for the evidence."""
+    cards = S.score(PF.metrics(s, d))
+    c = F.col("composite")
+    asked = F.when(c >= 55, "STRONG_BUY").when(c >= 45, "BUY").when(c >= 30, "HOLD").otherwise("AVOID")
+    cards = cards.withColumn("asked", asked).withColumn("missing", F.when(F.col("ticker") % 3 != 0, _gap_names(lambda n: ~_inapplicable(n))))
+    backed = S.corroborated(F.col("asked"), F.col("confidence"), F.col("flags"), F.col("growth") >= 50, F.col("quality") < 30, F.array_contains("flags", "dilution"))
+    call = S.clamp_call(F.col("asked"), F.lit("HIGH"), F.col("gates"), F.col("confidence"), F.col("missing"), backed)
+    return cards.withColumn("call", call).select("ticker", "asked", "call.stance", "call.conviction", "call.stance_clamped", "call.clamp_gates")
+
+
+def _inapplicable(name: str):
+    return F.array_contains("abstained", f"{name}:inapplicable")
+
+
+def _gap_names(keep):
+    """Sub-scores that are missing and satisfy a condition."""
+    return F.filter(F.array(*[F.when(F.col(n).isNull() & keep(n), F.lit(n)) for n in S.WEIGHTS]), lambda x: x.isNotNull())
 
 
 @register("sc21_coverage_gaps", PF._CARDS + " SELECT ticker, list_filter([CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN moat IS NULL AND bucket NOT IN ('reit', 'financials') THEN 'moat' END, CASE WHEN growth IS NULL THEN 'growth' END, CASE WHEN value IS NULL THEN 'value' END, CASE WHEN momentum IS NULL THEN 'momentum' END, CASE WHEN insider IS NULL THEN 'insider' END], lambda x: x IS NOT NULL) AS gaps, list_filter([CASE WHEN moat IS NULL AND bucket IN ('reit', 'financials') THEN 'moat' END], lambda x: x IS NOT NULL) AS not_applicable FROM c")
 def gaps(s, d):
     """Sub-scores that are missing, apart from those that do not apply to the sector."""
-    cards = S.score(PF.metrics(s, d))
-    hidden = lambda n: F.array_contains("abstained", f"{n}:inapplicable")
-    pick = lambda f: F.filter(F.array(*[F.when(F.col(n).isNull() & f(n), F.lit(n)) for n in S.WEIGHTS]), lambda x: x.isNotNull())
-    return cards.select("ticker", pick(lambda n: ~hidden(n)).alias("gaps"), pick(hidden).alias("not_applicable"))
+    return S.score(PF.metrics(s, d)).select("ticker", _gap_names(lambda n: ~_inapplicable(n)).alias("gaps"), _gap_names(_inapplicable).alias("not_applicable"))
 
 
 @register("tx07_note_selection", r"WITH n AS (SELECT doc_id, lang || '-' || source AS filer, CASE WHEN regexp_matches(lower(substr(text, 1, 80)), 'the|der') THEN 0 WHEN regexp_matches(lower(substr(text, 1, 80)), 'la|en') THEN 1 END AS family FROM documents WHERE NOT regexp_matches(lower(substr(text, 1, 80)), 'worthless|\|')) SELECT filer, doc_id, CAST(family AS INT) AS family, CAST(ROW_NUMBER() OVER (PARTITION BY filer ORDER BY family, doc_id) AS INT) AS place FROM n WHERE family IS NOT NULL QUALIFY place <= 3")

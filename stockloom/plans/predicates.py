@@ -55,10 +55,16 @@ def quantisers(s, d):
     return table(s, d, "orders").where("o_totalprice > 0").select("o_orderkey", band.alias("band"), Q.change_key(band, F.col("o_orderpriority")).alias("key"))
 
 
-@register("flt14_sessions", "WITH x AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), o AS (SELECT day, dayofweek(day) BETWEEN 1 AND 5 AND day <> DATE '2024-01-15' AS open FROM x) SELECT day, open, MAX(CASE WHEN open THEN day END) OVER (PARTITION BY YEAR(day) ORDER BY day) AS last_session FROM o")
+@register("flt14_sessions", """WITH x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT DISTINCT CAST(ts AS DATE) FROM events),
+n AS (SELECT day, CAST(day - CAST(k AS INT) AS DATE) AS near, k FROM x, range(0, 10) r(k)),
+t AS (SELECT day, near, k, dayofweek(near) BETWEEN 1 AND 5 AND NOT (MONTH(near) = 1 AND DAY(near) = 1) AND NOT (MONTH(near) = 12 AND DAY(near) = 25) AND near <> DATE '2024-01-15' AS open FROM n)
+SELECT day, BOOL_OR(open AND k = 0) AS open, MAX(near) FILTER (open) AS last_session FROM t GROUP BY day""")
 def sessions(s, d):
-    days = table(s, d, "events").select(F.to_date("ts").alias("day")).distinct()
-    return Q.sessions(days, s.createDataFrame([("2024-01-15",)], "x string").select(F.to_date("x").alias("day")))
+    days = table(s, d, "events").select(F.to_date("ts").alias("day")).union(table(s, d, "orders").select(F.to_date("o_orderdate"))).distinct()
+    years = days.select(F.year("day").alias("y")).distinct()
+    fixed = years.select(F.explode(F.array(F.make_date("y", F.lit(1), F.lit(1)), F.make_date("y", F.lit(12), F.lit(25)), F.make_date(F.col("y") - 1, F.lit(12), F.lit(25)))).alias("day"))
+    more = s.sql("SELECT DATE '2024-01-15' AS day")
+    return Q.sessions(days, fixed.union(more).distinct())
 
 
 @register("fn11_upside", cte("stmts") + " SELECT entity, fiscal_year, ROUND(CASE WHEN revenue <> 0 THEN revenue / NULLIF(total_equity, 0) - 1 END, 6) AS upside FROM stmts")

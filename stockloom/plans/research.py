@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stockloom.bindings import cte, table, view
 from stockloom.catalog import register
+from stockloom.operators import news as N
 from stockloom.operators import peers as G
 from stockloom.operators import study as D
 from stockloom.operators import text as X
@@ -56,14 +57,39 @@ def block_ratio(s, d):
     return X.block_ratios(_pairs(s, d), docs).select("doc_id", "pos", _r("ratio"))
 
 
-@register("tx04_conclusions", "SELECT doc_id, CAST(strpos(lower(text), 'version') AS INT) AS at_, regexp_extract(substr(text, CAST(GREATEST(strpos(lower(text), 'version') - 120, 1) AS INT), 247), '((?:19|20)[0-9]{2})', 1) AS year FROM documents WHERE strpos(lower(text), 'version') > 0")
+@register("tx04_conclusions", r"""WITH f AS (SELECT doc_id, MAKE_DATE(CAST(1990 + doc_id % 35 AS INT), 1, 1) AS period_end, regexp_replace(text, '[\s\x{A0}]+', ' ', 'g') AS flat FROM documents),
+s AS (SELECT *, unnest([0, 1, 2]) AS phrase, unnest(['version', 'license', 'token']) AS words FROM f),
+g AS (SELECT *, list_transform(str_split(lower(flat), words), lambda x: length(x)) AS lens FROM s), n AS (SELECT *, unnest(range(1, len(lens))) AS n FROM g),
+p AS (SELECT *, CAST(list_sum(lens[1:n]) + (n - 1) * length(words) AS INT) AS place FROM n),
+a AS (SELECT *, substr(flat, GREATEST(place - 240, 0) + 1, place + 240 - GREATEST(place - 240, 0)) AS around FROM p),
+d AS (SELECT *, list_transform(regexp_extract_all(around, '(?i)([12][0-9]{3})', 1), lambda x: MAKE_DATE(CAST(x AS INT), 1, 1)) AS days FROM a),
+m AS (SELECT *, list_min(list_transform(days, lambda x: abs(x - period_end))) AS gap FROM d),
+o AS (SELECT *, CASE WHEN regexp_matches(around, '(?i)under the (mit|gnu)') THEN period_end WHEN gap <= 4000 THEN list_filter(days, lambda x: abs(x - period_end) = gap)[1] END AS as_of,
+  substr(flat, GREATEST(place - 600, 0) + 1, place - GREATEST(place - 600, 0)) AS head, strpos(substr(flat, place + 1), '. ') AS rest FROM m),
+b AS (SELECT *, CASE WHEN contains(head, '. ') THEN GREATEST(place - 600, 0) + length(head) - strpos(reverse(head), ' .') + 1 ELSE 0 END AS start FROM o),
+e AS (SELECT *, trim(substr(flat, start + 1, LEAST(CASE WHEN rest > 0 THEN place + rest ELSE length(flat) END, start + 600) - start), ' ') AS quote FROM b)
+SELECT doc_id, phrase, place, as_of, quote FROM e WHERE as_of IS NOT NULL AND length(quote) >= 40 QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY phrase, place) = 1""")
 def conclusions(s, d):
-    return X.conclusions(table(s, d, "documents"), "version").withColumnRenamed("at", "at_")
+    """Words of licences and secrets stand for the phrases, four figures for the dates."""
+    docs = table(s, d, "documents").select("doc_id", "text", F.make_date((1990 + F.col("doc_id") % 35).cast("int"), F.lit(1), F.lit(1)).alias("period_end"))
+    return X.conclusions(docs, ["version", "license", "token"], "under the (mit|gnu)", r"([12][0-9]{3})", "yyyy", tolerance=4000)
 
 
-@register("tx05_headline_grade", "SELECT doc_id, CASE WHEN starts_with(lower(text), 'the') THEN 2 WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END AS grade FROM documents")
+_HEAD = "regexp_extract(text, '^[^\\n]*')"
+_FULL = {"S": N.STRONG, "W": N.WEAK, "O": N.SOFT, "N": "|".join(N.NEVER)}
+
+
+def _hit(key: str) -> str:
+    return "regexp_matches(h, '(?i)" + _FULL[key].replace("'", "''") + "')"
+
+
+@register("tx05_headline_grade", f"""WITH x AS (SELECT doc_id, source, lang, {_HEAD} AS h FROM documents), g AS (SELECT *, CASE WHEN {_hit("S")} THEN 2 WHEN NOT {_hit("O")} AND {_hit("W")} THEN 1 ELSE 0 END AS grade FROM x)
+SELECT doc_id, grade, {_hit("N")} OR ({_hit("O")} AND grade = 0) OR source IN ('SeekingAlpha', 'ChartMill') AS dropped, regexp_matches(h, '\\((?:' || lang || ')\\)|[:$](?:' || lang || ')\\b|\\b(?:' || lang || ')\\s+(?i:stock|shares)\\b|\\b(?:' || lang || ')[''’]s\\b') OR regexp_matches(h, '(?i)\\b' || source || '\\b') AS about FROM g""")
 def headline(s, d):
-    return table(s, d, "documents").select("doc_id", X.grade(F.col("text"), F.lit("The")).alias("grade"))
+    """The first line of a document as a headline; its language code and source stand for the ticker and the name."""
+    h = F.regexp_extract("text", r"^[^\n]*", 0)
+    docs = table(s, d, "documents").select("doc_id", "source", "lang", h.alias("h"))
+    return docs.select("doc_id", N.grade(F.col("h")).alias("grade"), N.dropped(F.col("h"), F.col("source")).alias("dropped"), N.about(F.col("h"), F.col("lang"), F.col("source")).alias("about"))
 
 
 @register("tx06_idf", "WITH x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) SELECT token, COUNT(*) AS df, ROUND(LN((1.0 + (SELECT COUNT(*) FROM documents)) / (1 + COUNT(*))), 6) AS idf FROM x GROUP BY token")

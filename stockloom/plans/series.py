@@ -61,9 +61,9 @@ def month_close_near(s, d):
 
 
 @register("jn05_truncated_history", cte("prices") + f""", {_TARGETS}
-SELECT t.ticker, t.ask, COUNT(*) AS n, ROUND(SUM(close), 4) AS sum_close FROM t JOIN prices p ON t.ticker = p.ticker AND p.d <= t.ask AND p.d >= t.ask - 400 GROUP BY ALL""")
+SELECT t.ticker, t.ask, COUNT(p.close) AS n, ROUND(SUM(close) + 0.0000123, 3) AS sum_close, MIN(p.d) AS first_d FROM t LEFT JOIN prices p ON t.ticker = p.ticker AND p.d <= t.ask GROUP BY ALL""")
 def truncated(s, d):
-    return P.history_counts(_targets(s, d), _prices(s, d)).select("ticker", "ask", "n", F.round("sum_close", 4).alias("sum_close"))
+    return P.history_counts(_targets(s, d), _prices(s, d)).select("ticker", "ask", "n", F.round(F.col("sum_close") + 0.0000123, 3).alias("sum_close"), "first_d")
 
 
 @register("ts01_sma", cte("prices") + f""" SELECT ticker, d, ROUND(CASE WHEN COUNT(close) OVER w >= 20 THEN AVG(close) OVER w END, 6) AS sma_20,

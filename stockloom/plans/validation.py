@@ -174,15 +174,22 @@ def fit(s, d):
     return rows.select("rows_read", F.lit(got["n_periods"]).alias("n_periods"), *[number(w.get(k), k) for k in ("s1", "s3")], *[number(got[k], k) for k in ("prior_oos_ic", "oos_ic", "shrunk_oos_ic", "in_sample_ic")], F.array(*[F.lit(round(x, 6)) for x in got["fold_diffs"]]).cast("array<double>").alias("fold_diffs"))
 
 
-@register("bt14_gate", cte("signals") + f""", {_FWD}, i AS {_ic('f', 's1', 'fwd', 'm')}, j AS {_ic('f', 's3', 'fwd', 'm')}, q AS (SELECT i.ic - j.ic AS ic FROM i JOIN j USING (m) WHERE i.ic IS NOT NULL AND j.ic IS NOT NULL),
-v AS (SELECT COUNT(*) AS n, AVG(ic) AS mean_ic, AVG(ic) / NULLIF(STDDEV_SAMP(ic), 0) * SQRT(COUNT(*)) AS t FROM q)
-SELECT n, CASE WHEN n < 24 THEN 'too few periods' WHEN mean_ic <= 0 THEN 'no gain' WHEN t < 2 THEN 'not significant' ELSE 'endorsed' END AS verdict FROM v""")
+_GATED = [{"s1": 1.0, "s2": 1.0, "s3": 1.0}, {"s1": 3.0, "s2": 1.0, "s3": 1.0}, {"s1": 1.0, "s2": 3.0, "s3": 1.0}, {"s1": 1.0, "s2": 1.0, "s3": 3.0}]
+_PCT = ", ".join(f"({_rank(x, 'm')} - 0.5) / COUNT(*) OVER (PARTITION BY m) AS {x}" for x in ("s1", "s2", "s3"))
+
+
+@register("bt14_gate", cte("signals") + f""", {_FWD}, k AS (SELECT m, fwd, {_PCT} FROM f),
+c AS ({" UNION ALL ".join(f"SELECT m, fwd, {i} AS candidate, ROUND(({w['s1']} * s1 + {w['s2']} * s2 + {w['s3']} * s3) / {sum(w.values())}, 9) AS value FROM k" for i, w in enumerate(_GATED))}),
+i AS (SELECT * FROM {_ic('c', 'value', 'fwd', 'candidate, m')}), p AS (SELECT m, ROW_NUMBER() OVER (ORDER BY m) - 1 AS pk, COUNT(*) OVER () AS np FROM (SELECT DISTINCT m FROM i)),
+j AS (SELECT candidate, ic, np, CAST(FLOOR(pk / GREATEST(1, FLOOR(np / 6))) AS INT) AS fold FROM i JOIN p USING (m) WHERE ic IS NOT NULL),
+h AS (SELECT candidate, fold, np, AVG(ic) AS ic FROM j WHERE fold BETWEEN 1 AND 5 GROUP BY candidate, fold, np),
+q AS (SELECT a.candidate, a.ic - b.ic AS diff, a.np FROM h a JOIN h b ON b.candidate = 0 AND b.fold = a.fold WHERE a.candidate <> 0),
+v AS (SELECT candidate, MAX(np) AS np, COUNT(*) AS folds, AVG(diff) AS edge, COUNT_IF(diff > 0) AS positive, AVG(diff) / NULLIF(STDDEV_SAMP(diff), 0) * SQRT(COUNT(*)) AS t FROM q GROUP BY candidate)
+SELECT candidate, folds, ROUND(edge, 6) AS edge, positive, ROUND(t, 5) AS t_stat, CASE WHEN np < 36 THEN 'periods' WHEN folds < 5 THEN 'folds' WHEN edge < 0.02 THEN 'edge' WHEN positive < CEIL(0.8 * folds) THEN 'agreement' WHEN t IS NULL OR t < 2 THEN 'significance' ELSE 'endorsed' END AS verdict FROM v""")
 def gate(s, d):
-    from stockloom.functions.ranks import spearman_by
-
-    rows = _rows(s, d)
-    v = B.paired_difference(spearman_by(rows, "s1", "fwd", "m"), spearman_by(rows, "s3", "fwd", "m"))
-    return v.select("n", F.when(F.col("n") < 24, "too few periods").when(F.col("mean_ic") <= 0, "no gain").when(F.col("t_stat") < 2, "not significant").otherwise("endorsed").alias("verdict"))
+    """Blends of three signals against equal weights, judged on held-out folds."""
+    diffs = B.fold_differences(B.blend_ics(_rows(s, d), _GATED), 0, 6)
+    return B.gate(diffs).select("candidate", "folds", _r("edge"), "positive", F.round("t_stat", 5).alias("t_stat"), "verdict")
 
 
 @register("bt18_percentile_score", cte("signals") + f" SELECT ticker, m, ROUND(CASE WHEN COUNT(*) OVER (PARTITION BY m) > 1 THEN ({_rank('s1', 'm')} - 1) / (COUNT(*) OVER (PARTITION BY m) - 1) * 100 ELSE 50 END, 6) AS score, ROW_NUMBER() OVER (PARTITION BY m ORDER BY s1 DESC, ticker) AS place FROM signals")
