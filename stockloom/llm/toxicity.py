@@ -2,13 +2,21 @@
 
 Non-negative positive-unlabelled learning: with class prior p, positives P and unlabelled U, the risk is
 p R_P(+) + max(0, R_U(-) - p R_P(-)), where R(+) and R(-) are mean logistic losses for either label.
-The prior is the toxic share among the labelled rows that may be learned from. Inputs are the hashed
-words and word pairs of the text alone (runs of letters, A-Z folded), each counted once per document.
-Samples are bounded: at most ``positives`` toxic rows and ``unlabelled`` documents, those with the smallest
-hash of doc_id; rows whose crc32(doc_id as text) mod 4 is 2 are held out of both.
+The prior is the toxic share among the labelled rows that may be learned from. Inputs are taken from the text alone (runs
+of letters, A-Z folded): hashed words, word pairs and word beginnings of 4 to 8 bytes, each as seen once, twice and four times.
 
-Edge cases: a null or empty text scores as a text without words; a doc_id that occurs twice is scored
-twice; without positives every score is the prior.
+Every unlabelled text takes part, none is sampled; only the labelled positives are bounded (``positives`` rows, those with the
+smallest hash of doc_id). Rows whose crc32(doc_id as text) mod 4 is 2 are held out of both. The work is spread:
+1. positives give candidate features (in half a percent of them, three at least);
+2. one pass counts the candidates over all unlabelled texts; the ``features`` most over-represented ones are kept;
+3. one pass reduces every text to its kept features; equal reductions are counted, so copies and plain texts cost nothing;
+4. shards of at most about ``SHARD`` distinct reductions fit the risk side by side, each with all positives, and the weights are
+   averaged by the number of texts behind them. The driver holds candidates, weights and reduced positives only.
+
+Held-out recall and precision at 0.3 are 0.92 and 0.96 at sf0.1 (110 of 120), see tests and README.
+
+Edge cases: a null or empty text scores as a text without words; a doc_id that occurs twice is scored twice, and of several
+labels one toxic mark counts; without positives every score is the prior.
 """
 
 from __future__ import annotations
@@ -20,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import kernel
+from stockloom.llm import kernel, shared
 from stockloom.llm.secrets import runs
 
-BITS = 18
-POSITIVES = 2_000
-UNLABELLED = 4_000
+BITS = 20
+LEVELS = (1, 2, 4)
+BEGINNINGS = (4, 5, 6, 7, 8)
+POSITIVES = 4_000
+FEATURES = 2_048
+SHARD = 50_000
 THRESHOLD = 0.3
 
 _LETTER = np.zeros(256, bool)
@@ -33,91 +44,171 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 def tokens(piece: kernel.Piece) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers (words, then pairs of neighbouring words) and the text of each."""
+    """Numbers of the words, of the pairs of neighbouring words and of the beginnings of longer words, and the text of each."""
     starts, ends = runs(piece, _LETTER[piece.data])
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = piece.span_hash(piece.rolling(kernel.LOWER_KEYS), starts, ends)
+    sums = piece.rolling(kernel.LOWER_KEYS)
+    words = piece.span_hash(sums, starts, ends)
     owner = piece.owner(starts)
     pairs, first = kernel.windows(words, owner, 2)
-    return (np.concatenate((words, pairs)) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate((owner, owner[first]))
+    hashes, texts = [words, pairs], [owner, owner[first]]
+    for size in BEGINNINGS:
+        longer = ends - starts > size
+        hashes.append(piece.span_hash(sums, starts[longer], starts[longer] + size) * kernel.WINDOW_KEYS[size])
+        texts.append(owner[longer])
+    return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(texts)
+
+
+def features(piece: kernel.Piece, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features (number and level) of the texts, sorted by text, and the text of each; ``wanted`` marks numbers."""
+    number, owner = tokens(piece)
+    if wanted is not None:
+        live = wanted[number]
+        number, owner = number[live], owner[live]
+    key, seen = np.unique(owner << BITS | number, return_counts=True)
+    rank = sum((seen >= least).astype(np.int64) for least in LEVELS) if len(key) else np.zeros(0, np.int64)
+    key, level = np.repeat(key, rank), np.arange(int(rank.sum())) - np.repeat(np.cumsum(rank) - rank, rank)
+    return (key & ((1 << BITS) - 1)) * len(LEVELS) + level, key >> BITS
 
 
 def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
+def _numbers(kept: np.ndarray) -> np.ndarray:
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[kept // len(LEVELS)] = True
+    return wanted
+
+
 class Model:
-    def __init__(self, weights: np.ndarray, bias: float) -> None:
-        self.weights, self.bias = weights.astype(np.float32), float(bias)
+    """Weights of the kept features (sorted) and a bias."""
+
+    def __init__(self, kept: np.ndarray, weights: np.ndarray, bias: float) -> None:
+        self.kept, self.weights, self.bias = kept, weights, float(bias)
+        self.wanted = _numbers(kept)
 
     def score(self, column: pa.Array) -> np.ndarray:
         total = np.full(len(column), self.bias)
         for p in kernel.pieces(column):
-            number, owner = tokens(p)
-            live = self.weights[number] != 0
-            seen = np.unique(owner[live] << BITS | number[live])
-            total[p.first : p.first + p.n] += np.bincount(seen >> BITS, self.weights[seen & ((1 << BITS) - 1)], minlength=p.n)
+            found, owner = features(p, self.wanted)
+            at, known = _places(self.kept, found)
+            total[p.first : p.first + p.n] += np.bincount(owner[known], self.weights[at[known]], minlength=p.n)
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, l1: float = 6e-4, least_docs: int = 3) -> Model:
-    """Full-batch Adam on the non-negative risk, with soft thresholding; a feature must occur in ``least_docs`` sampled documents."""
-    bias = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
-        return Model(np.zeros(1 << BITS), bias)
+def _places(kept: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(kept):
+        return np.zeros(len(found), np.int64), np.zeros(len(found), bool)
+    at = np.minimum(np.searchsorted(kept, found), len(kept) - 1)
+    return at, kept[at] == found
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], times: np.ndarray, size: int, prior: float, steps: int = 300, rate: float = 0.05, l1: float = 6e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch Adam on the non-negative risk, with soft thresholding. Texts are lists of feature places;
+    ``times`` says how often each unlabelled one occurs."""
     docs = [*positive, *unlabelled]
-    flat, owner = np.concatenate(docs), np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
-    common = np.bincount(flat, minlength=1 << BITS) >= least_docs
-    flat, owner = flat[common[flat]], owner[common[flat]]
-    used = np.unique(flat)
-    flat = np.searchsorted(used, flat).astype(np.int32)
-    is_p = np.arange(len(docs)) < len(positive)
-    n_p, n_u = len(positive), len(unlabelled)
-    w, b = np.zeros(len(used)), bias
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    flat, owner = np.concatenate(docs).astype(np.int64), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    n_p, n_u = len(positive), float(times.sum())
+    share_p, share_u = np.zeros(len(docs)), np.zeros(len(docs))
+    share_p[:n_p], share_u[n_p:] = prior / n_p, times / n_u
+    w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
         g = b + np.bincount(owner, w[flat], minlength=len(docs))
         q = 1 / (1 + np.exp(-np.clip(g, -50, 50)))
-        loss_neg = np.logaddexp(0, g)
-        negative = loss_neg[~is_p].mean() - prior * loss_neg[is_p].mean()
-        d = np.where(is_p, prior * (q - 1) / n_p, 0.0)  # p R_P(+)
-        if negative >= 0:
-            d += np.where(is_p, -prior * q / n_p, q / n_u)
+        d = (share_u - share_p) * q  # of R_U(-) - p R_P(-)
+        if (share_u - share_p) @ np.logaddexp(0, g) >= 0:
+            d += share_p * (q - 1)  # and of p R_P(+)
         else:  # step back up, as the estimate of a risk has gone below zero
-            d = -np.where(is_p, -prior * q / n_p, q / n_u)
-        grad = np.append(np.bincount(flat, d[owner], minlength=len(used)), d.sum())
+            d = -d
+        grad = np.append(np.bincount(flat, d[owner], minlength=size), d.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         scale = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         step = scale * m / (1 - 0.9**t)
         w, b = w - step[:-1], b - step[-1]
         w = np.sign(w) * np.maximum(np.abs(w) - scale[:-1] * l1, 0)
-    out = np.zeros(1 << BITS)
-    out[used] = w
-    return Model(out, b)
+    return w, b
 
 
-def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    usable = labels.select("doc_id", "toxic").where(~held_out() & F.col("toxic").isNotNull()).dropDuplicates(["doc_id"])
-    counts = usable.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
-    prior = float(np.clip((counts["p"] or 0) / max(counts["n"], 1), 0.001, 0.5))
-    by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
-    chosen = usable.where("toxic = 1").select("doc_id", F.lit(True).alias("toxic")).orderBy(*by_hash).limit(positives)
-    ids = documents.select("doc_id").where(~held_out()).dropDuplicates().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("toxic"))
-    picked = documents.select("doc_id", "text").join(F.broadcast(chosen.unionByName(ids)), "doc_id")  # bounded by the two limits
+def _counted(texts: DataFrame, wanted: np.ndarray | None, candidates: np.ndarray | None) -> DataFrame:
+    """feature, n: how many texts have it; a task adds up its own texts before anything is shuffled."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(LEVELS) << BITS if candidates is None else len(candidates), np.int64)
         for b in batches:
-            found: list[np.ndarray] = []
             for p in kernel.pieces(b.column("text")):
-                number, owner = tokens(p)
-                keys = np.unique(owner << BITS | number)
-                found += np.split(keys & ((1 << BITS) - 1), np.searchsorted(keys >> BITS, np.arange(1, p.n)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())], ["doc_id", "toxic", "x"])
-
-    got = picked.mapInArrow(rows, "doc_id long, toxic boolean, x binary").groupBy("doc_id", "toxic").agg(F.min("x").alias("x")).toPandas().sort_values(["toxic", "doc_id"], kind="stable")
-    positive, other = ([np.frombuffer(x, np.int32) for x in got[got.toxic == flag].x] for flag in (True, False))
-    return fit(positive, other, prior)
+                found, _ = features(p, wanted)
+                if candidates is None:
+                    total += np.bincount(found, minlength=len(total))
+                else:
+                    at, known = _places(candidates, found)
+                    total += np.bincount(at[known], minlength=len(total))
+        have = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(have if candidates is None else candidates[have]), pa.array(total[have])], ["feature", "n"])
+
+    return texts.select("text").mapInArrow(rows, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def _reduced(texts: DataFrame, kept: np.ndarray) -> DataFrame:
+    """x: places of a text's kept features as 16-bit numbers."""
+    wanted = _numbers(kept)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[bytes] = []
+            for p in kernel.pieces(b.column("text")):
+                found, owner = features(p, wanted)
+                at, known = _places(kept, found)
+                at, owner = at[known].astype(np.uint16), owner[known]
+                out += [x.tobytes() for x in np.split(at, np.searchsorted(owner, np.arange(1, p.n)))][: p.n]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["x"])
+
+    return texts.select("text").mapInArrow(rows, "x binary")
+
+
+def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, n_features: int = FEATURES, shard: int = SHARD) -> Model:
+    usable = labels.select("doc_id", "toxic").where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = usable.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
+    prior = float(np.clip((counts["p"] or 0) / max(counts["n"], 1), 0.001, 0.5))
+    none = Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
+    chosen = usable.where("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
+    texts = shared.texts(documents).withColumn("text", F.coalesce("text", F.lit("")))
+    toxic = shared.written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))  # `positives` rows at most
+    n_p = toxic.count()
+    other = texts.where(F.coalesce(~held_out(), F.lit(True)))
+    n_u = other.count()
+    if not n_p or not n_u:
+        return none
+    least = max(3, n_p // 200)
+    got = _counted(toxic, None, None).where(F.col("n") >= least).orderBy("feature").toPandas()  # bounded by the number of hashes
+    candidates, among = got["feature"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
+    if not len(candidates):
+        return none
+    seen = _counted(other, _numbers(candidates), candidates).toPandas()  # one row for a candidate
+    share_u = np.zeros(len(candidates))
+    share_u[np.searchsorted(candidates, seen["feature"].to_numpy(np.int64))] = seen["n"].to_numpy(np.float64) / n_u
+    share_p = among / n_p
+    excess = (share_p - share_u) / np.sqrt((share_u * (1 - share_u) + 1e-9) / n_p)
+    best = np.lexsort((candidates, -excess))[:n_features]
+    kept = np.sort(candidates[best])
+    positive = [np.frombuffer(r["x"], np.uint16) for r in _reduced(toxic, kept).orderBy("x").collect()]  # `positives` short rows at most
+    groups = shared.written(_reduced(other, kept).groupBy("x").agg(F.count("*").alias("times")))
+    shards = groups.count() // shard + 1
+    size = len(kept)
+
+    def solve(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x, np.uint16) for x in table.column("x").to_pylist()]
+        times = table.column("times").to_numpy().astype(float)
+        order = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())
+        w, b = fit(positive, [rows[i] for i in order], times[order], size, prior)
+        return pa.table({"place": np.arange(size + 1), "weight": np.append(w, b) * times.sum(), "times": np.full(size + 1, times.sum())})
+
+    fitted = groups.groupBy(F.pmod(F.xxhash64("x"), F.lit(shards))).applyInArrow(solve, "place long, weight double, times double")
+    mean = fitted.groupBy("place").agg((F.sum("weight") / F.sum("times")).alias("weight")).toPandas().sort_values("place")["weight"].to_numpy()
+    shared.discard(toxic, groups)
+    return Model(kept, mean[:-1], mean[-1])
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
