@@ -1,11 +1,13 @@
 """Secret scan: base patterns, and a linear-chain conditional random field that adds further spans.
 
-Tokens are runs of letters, digits and ``+/_-``. The field tags each as outside, begin or inside a
-secret from its own shape, its neighbours (a naming keyword before it, the separators around it, the
-shape of the next token) and features of the whole file. Weights are fitted on windows of at most
-``sample_rows`` documents of either kind (a documented bound), labelled by the base patterns; tags are
-decoded by Viterbi. Where the outside score leads by more than transitions can ever give back, outside
-is certain, so only the runs between such tokens need the recursion; all runs of a piece step together.
+Tokens are runs of letters, digits and ``+/_-``. The field tags each as outside, begin or inside a secret from its own
+shape, its neighbours (a naming keyword before it, the separators around it, the shape of the next token) and features of the
+whole file. It learns from evidence of its own, not from the base patterns: into windows of at most ``sample_rows`` documents
+of either kind (naming a secret or not; a documented bound) random values are planted behind names that the base patterns do not know
+or behind none, beside things that look alike and are none (numbers, dates, paths, identifiers), and base spans found there are hidden by
+another name and shape half of the time. The windows are cut in executors; only they reach the driver. Tags are decoded by
+Viterbi. Where the outside score leads by more than transitions can ever give back, outside is certain, so only the runs between
+such tokens need the recursion; all runs of a piece step together. Precision and recall of what the field adds are in the tests.
 
 Edge cases: a null or empty text has no spans; a repeated doc_id gives a row each time; without any
 training document the field adds nothing.
@@ -14,6 +16,7 @@ training document the field adds nothing.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import kernel
+from stockloom.llm import kernel, shared
 
 #: Names that announce a secret, and the base patterns' least lengths.
 KEYWORDS = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
@@ -29,7 +32,8 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "crf")
-SAMPLE_ROWS = 300
+#: Documents of either kind that training takes windows from, and windows of one document.
+SAMPLE_ROWS, WINDOWS_EACH = 300, 10
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -41,6 +45,7 @@ def _table(chars: bytes) -> np.ndarray:
 _DIGIT, _UPPER, _LOWER = _table(b"0123456789"), _table(bytes(range(65, 91))), _table(bytes(range(97, 123)))
 _HEX = _table(b"0123456789abcdef")
 _TOKEN = _DIGIT | _UPPER | _LOWER | _table(b"+/_-") | _table(bytes(range(128, 256)))
+_VOWEL, _JOINT = _table(b"aeiouyAEIOUY"), _table(b"/_-")
 _HIGH = _table(bytes(range(128, 256)))
 _SYMBOL = _table(b"{}[]()<>=:;\"'`$%&|#*\\@")
 _LEAD = ~_table(bytes(range(128, 192)))
@@ -90,7 +95,7 @@ def base_spans(piece: kernel.Piece, keywords: np.ndarray) -> list[tuple[int, int
 # ---------------------------------------------------------------- the field
 
 #: Feature groups and their number of codes; each group gives every token one code.
-GROUPS = {"length": 7, "shape": 32, "turns": 5, "keyword": 4, "before": 8, "after": 4, "next": 8, "file": 16}
+GROUPS = {"length": 7, "shape": 32, "turns": 5, "mix": 6, "vowels": 6, "parts": 4, "keyword": 4, "before": 8, "after": 4, "next": 8, "file": 16}
 _OFFSETS = dict(zip(GROUPS, np.cumsum([0, *GROUPS.values()])[:-1].tolist(), strict=True))
 _N_FEATURES = sum(GROUPS.values())
 
@@ -116,6 +121,12 @@ def features(piece: kernel.Piece, keywords: np.ndarray) -> tuple[np.ndarray, np.
     flips = np.zeros(len(data), bool)
     flips[1:] = digit[1:] != digit[:-1]
     turns = np.maximum(tally(flips) - flips[starts], 0)
+    kind = np.zeros(len(data), np.uint8)
+    kind[digit], kind[_UPPER[data]], kind[_LOWER[data]] = 1, 2, 3
+    changes = np.zeros(len(data), bool)
+    changes[1:] = kind[1:] != kind[:-1]
+    mix = np.maximum(tally(changes) - changes[starts], 0) / length
+    vowels = tally(_VOWEL[data]) / np.maximum(u + lo, 1)
     first_only = (u == 1) & _UPPER[data[starts]]
     shape = (d > 0) * 1 + ((u > 0) & ~first_only) * 2 + (lo > 0) * 4 + (hx == length) * 8 + (hi > 0) * 16
     named = np.zeros(n + 2, bool)
@@ -149,6 +160,9 @@ def features(piece: kernel.Piece, keywords: np.ndarray) -> tuple[np.ndarray, np.
         "length": np.digitize(length, (4, 8, 12, 16, 20, 32)),
         "shape": shape,
         "turns": np.digitize(turns, (1, 2, 4, 8)),
+        "mix": np.digitize(mix, (0.01, 0.12, 0.25, 0.4, 0.55)),
+        "vowels": np.where(u + lo >= 4, 1 + np.digitize(vowels, (0.1, 0.22, 0.34, 0.5)), 0),
+        "parts": np.minimum(tally(_JOINT[data]), 3),
         "keyword": (previous[0] & same1) * 1 + (previous[1] & same2) * 2,
         "before": quote_before * 1 + linked * 2 + close * 4,
         "after": np.isin(after1, (34, 39)) * 1 + np.isin(after1, (61, 58)) * 2,
@@ -204,7 +218,7 @@ class Field:
         return tags
 
 
-def fit(sequences: np.ndarray, tags: np.ndarray, mask: np.ndarray, steps: int = 150, rate: float = 0.12, l2: float = 2e-3) -> Field:
+def fit(sequences: np.ndarray, tags: np.ndarray, mask: np.ndarray, steps: int = 100, rate: float = 0.12, l2: float = 2e-3) -> Field:
     """Maximum conditional likelihood by Adam; sequences (S, L, groups), tags (S, L), mask (S, L) of real tokens.
     Log-space forward and backward sums run over all sequences at once."""
     unary, pair = np.zeros((_N_FEATURES, 3)), np.zeros((3, 3))
@@ -212,6 +226,7 @@ def fit(sequences: np.ndarray, tags: np.ndarray, mask: np.ndarray, steps: int =
     s, length, groups = sequences.shape
     real = mask[..., None].astype(float)
     gold = np.eye(3)[tags] * real
+    flat = [sequences[:, :, k].ravel() for k in range(groups)]
     empirical_pair = np.zeros((3, 3))
     frame = np.concatenate((np.zeros((s, 1), int), np.where(mask, tags, 0)), axis=1)
     both = np.concatenate((np.ones((s, 1), bool), mask), axis=1)
@@ -233,8 +248,10 @@ def fit(sequences: np.ndarray, tags: np.ndarray, mask: np.ndarray, steps: int =
         z = lse(a[-1], 1)
         p = np.exp(a + b - z[None, :, None]).transpose(1, 0, 2) * real
         g_unary = np.zeros_like(unary)
+        off = (gold - p).reshape(-1, 3)
         for k in range(groups):
-            np.add.at(g_unary, sequences[:, :, k].ravel(), (gold - p).reshape(-1, 3))
+            for state in range(3):
+                g_unary[:, state] += np.bincount(flat[k], off[:, state], minlength=_N_FEATURES)
         expected = np.zeros((3, 3))
         expected[0] += (np.exp(a[0] + b[0] - z[:, None])).sum(axis=0)
         for j in range(1, length):
@@ -248,50 +265,148 @@ def fit(sequences: np.ndarray, tags: np.ndarray, mask: np.ndarray, steps: int =
     return Field(unary.astype(np.float32), pair.astype(np.float32))
 
 
-def training_windows(texts: list[str], reach: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows around labelled tokens, around other tokens with digits, and at even steps elsewhere."""
+#: Names that the base patterns do not know, and values that stand behind such names without being secret.
+NAMES = [b"credential", b"credentials", b"auth", b"authorization", b"bearer", b"access key", b"private_key", b"signing-key", b"passphrase", b"pwd", b"client_key", b"session"]
+PLAIN_VALUES = [b"none", b"required", b"basic", b"rotated weekly", b"see below", b"default", b"unset", b"optional"]
+_ALNUM = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _random(rng: np.random.Generator, alphabet: bytes, least: int, most: int) -> bytes:
+    while True:
+        out = bytes(rng.choice(np.frombuffer(alphabet, np.uint8), int(rng.integers(least, most + 1))))
+        if any(48 <= c <= 57 for c in out):
+            return out
+
+
+def _value(rng: np.random.Generator) -> bytes:
+    """A random secret of a shape that base patterns may or may not know."""
+    way = int(rng.integers(6))
+    if way == 0:
+        return _random(rng, b"0123456789ABCDEF", 24, 64)
+    if way == 1:
+        return _random(rng, b"0123456789abcdef", 16, 23)
+    if way == 2:
+        return _random(rng, _ALNUM + b"+/", 24, 44)
+    if way == 3:
+        return bytes(rng.choice([b"sk-", b"ghp_", b"xox-", b"key-", b"pk_"])) + _random(rng, _ALNUM, 16, 36)
+    if way == 4:
+        return b".".join(_random(rng, _ALNUM + b"_-", 18, 40) for _ in range(3))
+    return _random(rng, _ALNUM, 16, 40)
+
+
+def _harmless(rng: np.random.Generator) -> bytes:
+    """Something that looks like a secret and is none."""
+    figures = lambda n: _random(rng, b"0123456789", n, n)
+    word = lambda: _random(rng, b"aeioubcdlmnrst0", 4, 9).replace(b"0", b"")
+    ways = [
+        lambda: b"(" + figures(3) + b") " + figures(3) + b"-" + figures(4), lambda: figures(16), lambda: b"-".join(figures(int(rng.integers(1, 6))) for _ in range(int(rng.integers(2, 6)))), lambda: b".".join(figures(int(rng.integers(1, 4))) for _ in range(4)),
+        lambda: b"20" + figures(2) + b"-0" + figures(1) + b"-1" + figures(1) + b"T12:" + figures(2), lambda: b"INV-20" + figures(2) + b"-" + figures(5), lambda: b"v" + figures(1) + b"." + figures(2) + b"-rc" + figures(1),
+        lambda: b"/".join((word(), b"20" + figures(2), word() + b"-" + figures(2), word())), lambda: word() + b"_" + word() + b"_" + figures(1), lambda: word() + word().title() + word().title() + figures(1),
+        lambda: bytes(rng.choice(NAMES)) + bytes(rng.choice([b" = ", b": ", b"="])) + bytes(rng.choice(PLAIN_VALUES)), lambda: b"#" + _random(rng, b"0123456789abcdef", 6, 6), lambda: word() + word() + word() + word(),
+        lambda: word().upper() + figures(2), lambda: figures(int(rng.integers(5, 13))), lambda: b"+" + figures(2) + b"-" + figures(3) + b"-" + figures(7)]
+    return ways[int(rng.integers(len(ways)))]()
+
+
+def planted(text: bytes, rng: np.random.Generator, each: int) -> tuple[bytes, list[tuple[int, int]], list[int]]:
+    """The text with ``each`` secrets and as many look-alikes put in at spaces and half of its base spans hidden; byte
+    spans of all secret values in it, and where look-alikes stand."""
+    piece = next(kernel.pieces(pa.array([text.decode()], pa.string())))
+    edits: list[tuple[int, int, bytes, bytes, bool]] = []  # from, to, lead, value, secret
+    at = 0
+    for _, a, kind, b in base_spans(piece, keyword_starts(text)):
+        if a < at:
+            continue
+        at = b
+        lead = text[a : ASSIGN.match(text, a).start(2)] if kind == 0 else b""
+        if rng.random() < 0.5:
+            edits.append((a, b, lead, text[a + len(lead) : b], True))
+        else:
+            edits.append((a, b, bytes(rng.choice(NAMES)) + b" = \"" if lead else b"", _value(rng), True))
+    spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    taken = np.zeros(len(text) + 1, bool)
+    for a, b, *_ in edits:
+        taken[a : b + 1] = True
+    spaces = spaces[~taken[spaces]]
+    spots = rng.choice(spaces, min(2 * each, len(spaces)), replace=False)
+    spots[:1] = len(text)  # one at the end
+    for i, spot in enumerate(rng.permutation(spots).tolist()):
+        if i % 2:
+            edits.append((spot, spot, b" ", _harmless(rng), False))
+            continue
+        quote = bytes(rng.choice([b"", b"\"", b"'"]))
+        name = b"" if rng.random() < 0.25 else bytes(rng.choice(NAMES)) + bytes(rng.choice([b" = ", b": ", b"=", b" is ", b" "]))
+        edits.append((spot, spot, b" " + name + quote, _value(rng) + quote, True))
+    out, secrets, others, at = b"", [], [], 0
+    for a, b, lead, value, secret in sorted(edits):
+        out += text[at:a] + lead
+        if secret:
+            secrets.append((len(out), len(out) + len(value.rstrip(b"\"'"))))
+        else:
+            others.append(len(out))
+        out += value
+        at = b
+    return out + text[at:], secrets, others
+
+
+def training_windows(text: bytes, each: int = WINDOWS_EACH, reach: int = 8) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(codes, tags) of at most ``each`` windows of a text: around secrets, look-alikes and other tokens. What is planted is drawn
+    from a generator seeded by the text, so a rerun learns the same."""
+    rng = np.random.default_rng(zlib.crc32(text))
+    whole, secrets, others = planted(text, rng, max(1, min(each // 3, text.count(b" ") // 12)))
+    p = next(kernel.pieces(pa.array([whole.decode()], pa.string())))
+    starts, ends, _, codes = features(p, keyword_starts(whole))
+    gold = np.zeros(len(starts), np.int64)
+    centres = [int(np.searchsorted(starts, at)) for at in others[: each // 3]]
+    for a, b in secrets:
+        inside = np.flatnonzero((starts >= a) & (ends <= b))
+        gold[inside] = 2
+        gold[inside[:1]] = 1
+        centres += inside[:1].tolist()
+    odd = np.flatnonzero((codes[:, list(GROUPS).index("shape")] - _OFFSETS["shape"]) & 1)
+    rest = np.concatenate((odd[:: max(1, len(odd) // 2)][:2], np.arange(0, len(starts), max(1, len(starts) // 2))[:2])) if len(starts) else odd
+    out = []
+    for c in list(dict.fromkeys([*rest.tolist(), *rng.permutation(centres).astype(int).tolist()]))[:each]:
+        rows = np.arange(max(0, c - reach), min(len(starts), c + reach))
+        if len(rows):
+            out.append((codes[rows], gold[rows]))
+    return out
+
+
+def train(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, reach: int = 8) -> Field | None:
+    """Fit on windows of at most ``sample_rows`` documents that name a secret and as many that do not, those with the smallest
+    hash. One pass marks the documents, one cuts the windows of the chosen ones."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            named = np.zeros(b.num_rows, bool)
+            for p in kernel.pieces(b.column("text")):
+                found = keyword_starts(p.data.tobytes())
+                named[p.first + p.owner(found)] = True
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(named)], ["doc_id", "named"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, key, codes, tags = [], [], [], []
+            for i, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                for k, (c, t) in enumerate(training_windows(x.encode())):
+                    ids.append(i)
+                    key.append(k)
+                    codes.append(c.astype(np.int16).tobytes())
+                    tags.append(t.astype(np.int8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key, pa.int32()), pa.array(codes, pa.binary()), pa.array(tags, pa.binary())], ["doc_id", "k", "codes", "tags"])
+
+    rows = shared.texts(documents).where("doc_id is not null and text <> ''")
+    marked = shared.written(rows.mapInArrow(mark, "doc_id long, named boolean"))
+    ids = [marked.where(F.col("named") == flag).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for flag in (True, False)]
+    chosen = shared.written(ids[0].union(ids[1]).distinct())  # bounded by the two limits
+    cut = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(windows, "doc_id long, k int, codes binary, tags binary")
+    got = cut.groupBy("doc_id", "k").agg(F.min(F.struct("codes", "tags")).alias("w")).orderBy("doc_id", "k").select("w.*").collect()  # 2 x sample_rows x WINDOWS_EACH rows at most
+    shared.discard(marked, chosen)
     width = 2 * reach
-    seqs, tags, masks = [], [], []
-    for p in kernel.pieces(pa.array(texts, pa.string())):
-        keywords = keyword_starts(p.data.tobytes())
-        starts, ends, owner, codes = features(p, keywords)
-        gold = np.zeros(len(starts), np.int64)
-        for row, a, kind, b in base_spans(p, keywords):
-            at = int(p.offsets[row])
-            if kind == 0:  # the value only, not its name
-                a += ASSIGN.match(p.text(row), a).start(2) - a
-            inside = np.flatnonzero((starts >= at + a) & (ends <= at + b))
-            gold[inside] = 2
-            gold[inside[:1]] = 1
-        odd = np.flatnonzero((codes[:, list(GROUPS).index("shape")] - _OFFSETS["shape"]) & 1)
-        centres = np.unique(np.concatenate((np.flatnonzero(gold), odd[:: max(1, len(odd) // 400)], np.arange(0, len(starts), max(60, len(starts) // 200)))))
-        for c in centres.tolist():
-            lo, hi = max(0, c - reach), min(len(starts), c + reach)
-            rows = np.arange(lo, hi)
-            rows = rows[owner[rows] == owner[c]]
-            seq, tag, mask = np.zeros((width, codes.shape[1]), np.int32), np.zeros(width, np.int64), np.zeros(width, bool)
-            seq[: len(rows)], tag[: len(rows)], mask[: len(rows)] = codes[rows], gold[rows], True
-            seqs.append(seq)
-            tags.append(tag)
-            masks.append(mask)
-    if not seqs:
-        return np.zeros((0, width, len(GROUPS)), np.int32), np.zeros((0, width), np.int64), np.zeros((0, width), bool)
-    return np.stack(seqs), np.stack(tags), np.stack(masks)
-
-
-def train(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field | None:
-    """Fit on at most ``sample_rows`` documents that name a secret and as many that do not, those with the smallest hash."""
-    rows = documents.select("doc_id", "text").where("text is not null")
-    low = F.lower("text")
-    named = F.lit(False)
-    for word in KEYWORDS:
-        named = named | low.contains(word.decode())
-    named = named | F.col("text").contains("AKIA")
-    rows = rows.withColumn("named", named)
-    ids = [rows.where(F.col("named") == flag).select("doc_id", "named").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for flag in (True, False)]
-    chosen = F.broadcast(ids[0].union(ids[1]))  # bounded by the two limits
-    texts = [r["text"] for r in rows.join(chosen, ["doc_id", "named"]).select("doc_id", "text").orderBy("doc_id", "text").limit(2 * sample_rows).collect()]
-    sequences, tags, mask = training_windows(texts)
+    sequences, tags, mask = np.zeros((len(got), width, len(GROUPS)), np.int32), np.zeros((len(got), width), np.int64), np.zeros((len(got), width), bool)
+    for i, r in enumerate(got):
+        c = np.frombuffer(r["codes"], np.int16).reshape(-1, len(GROUPS))
+        sequences[i, : len(c)], tags[i, : len(c)], mask[i, : len(c)] = c, np.frombuffer(r["tags"], np.int8), True
     return fit(sequences, tags, mask) if len(sequences) and tags.any() else None
 
 
@@ -305,20 +420,18 @@ def scan_piece(piece: kernel.Piece, field: Field | None) -> list[tuple[int, int,
     if field is not None and len(piece.data):
         starts, ends, owner, codes = features(piece, keywords)
         tags = field.decode(field.scores(codes), owner)
-        on = np.flatnonzero(tags)
-        taken: dict[int, list[tuple[int, int]]] = {}
+        go_on = np.zeros(len(tags), bool)
+        go_on[1:] = (tags[1:] == 2) & (tags[:-1] > 0) & (owner[1:] == owner[:-1])
+        first = np.flatnonzero((tags > 0) & ~go_on)
+        last = np.flatnonzero((tags > 0) & ~np.append(go_on[1:], False))
+        covered = np.zeros(len(piece.data) + 1, np.int32)
         for row, a, _, b in spans:
-            taken.setdefault(row, []).append((a, b))
-        k = 0
-        while k < len(on):
-            to = k
-            while to + 1 < len(on) and on[to + 1] == on[to] + 1 and tags[on[to + 1]] == 2 and owner[on[to + 1]] == owner[on[k]]:
-                to += 1
-            row = int(owner[on[k]])
-            a, b = int(starts[on[k]] - piece.offsets[row]), int(ends[on[to]] - piece.offsets[row])
-            if not any(x < b and a < y for x, y in taken.get(row, ())):
-                spans.append((row, a, 3, b))
-            k = to + 1
+            covered[piece.offsets[row] + a] += 1
+            covered[piece.offsets[row] + b] -= 1
+        known = np.concatenate(([0], np.cumsum(np.cumsum(covered[:-1]) > 0)))
+        free = known[ends[last]] == known[starts[first]]  # no byte of a base span inside
+        at = piece.offsets[owner[first[free]]]
+        spans += zip(owner[first[free]].tolist(), (starts[first[free]] - at).tolist(), [3] * int(free.sum()), (ends[last[free]] - at).tolist(), strict=True)
     if not spans:
         return spans
     leads = np.concatenate(([0], np.cumsum(_LEAD[piece.data], dtype=np.int64)))
