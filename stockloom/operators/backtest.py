@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.columns import ratio
+from stockloom.functions.ordered import numbered
 from stockloom.functions.ranks import average_rank, correlation, ic_summary, spearman_by
 
 
@@ -59,12 +60,13 @@ def reports(rows: DataFrame, breadth: int = 5, history: int = 12) -> DataFrame:
 
 def quantile_spread(rows: DataFrame, buckets: int = 5) -> DataFrame:
     """signal, bucket, n, mean_fwd, rising: equal cuts of the rank order (ties broken by return), fewer where rows are few.
-    Rows are first ranked inside hash-free value ranges by Spark's own sort; a signal is one window."""
-    n = F.count("*").over(Window.partitionBy("signal"))
-    place = F.row_number().over(Window.partitionBy("signal").orderBy("value", "fwd", "ticker", "m"))
-    many = F.least(F.lit(buckets), n)
-    bucket = F.filter(F.sequence(F.lit(1), many.cast("int")), lambda b: F.bround(b * n / many, 0) >= place)[0]
-    out = rows.withColumn("bucket", bucket).groupBy("signal", "bucket").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean_fwd"))
+    All signals are ranked at once in range partitions; a signal's first place is taken off."""
+    placed = numbered(rows, [F.col(c) for c in ("signal", "value", "fwd", "ticker", "m")])
+    sizes = placed.groupBy("signal").agg(F.count("*").alias("__n"), F.min("place").alias("__first"))  # one row a signal
+    place = F.col("place") - F.col("__first") + 1
+    many = F.least(F.lit(buckets), F.col("__n"))
+    bucket = F.filter(F.sequence(F.lit(1), many.cast("int")), lambda b: F.bround(b * F.col("__n") / many, 0) >= place)[0]
+    out = placed.join(F.broadcast(sizes), "signal").withColumn("bucket", bucket).groupBy("signal", "bucket").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean_fwd"))
     w = Window.partitionBy("signal").orderBy("bucket")
     return out.withColumn("rising", F.coalesce(F.col("mean_fwd") >= F.lag("mean_fwd").over(w), F.lit(True)))
 
@@ -229,12 +231,24 @@ def overlap(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     return both.groupBy("m").agg((F.count("*") / F.lit(float(n))).alias("overlap"))
 
 
-def kendall(rows: DataFrame, a: str, b: str, by: str = "m") -> DataFrame:
-    """Kendall's tau of two scores per group, from the pairs within the group (cross-sections are a few thousand names)."""
-    x = rows.select(by, F.col("ticker").alias("t1"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    y = rows.select(by, F.col("ticker").alias("t2"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    sign = F.signum(F.col("a1") - F.col("a2")) * F.signum(F.col("b1") - F.col("b2"))
-    return x.join(y, by).where("t1 < t2").groupBy(by).agg((F.sum(sign) / F.count("*")).alias("tau"), F.count("*").alias("pairs"))
+def kendall(rows: DataFrame, a: str, b: str, by: str = "m", bits: int = 24) -> DataFrame:
+    """Kendall's tau (ties count as neither) of two scores per group, without forming pairs: rows in order of ``a`` (ties by ``b``)
+    are halved again and again, and in every half a window in order of ``b`` counts the rows of the right part below each row
+    of the left one. That is n log n rows for n names; ``bits`` bounds a group at 2^bits of them."""
+    keys = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(by, "ticker", F.col(a).alias("x"), F.col(b).alias("y"))
+    group = Window.partitionBy(by)
+    placed = keys.select(by, "y", (F.row_number().over(group.orderBy("x", "y", "ticker")) - 1).alias("p"), F.count("*").over(group).alias("n"))
+    level = F.explode(F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: F.pow(F.lit(2.0), k) < F.col("n")))
+    halves = placed.select(by, "y", "p", level.alias("k")).select(by, "y", "k", F.floor(F.col("p") / F.pow(F.lit(2.0), F.col("k") + 1)).alias("half"), (F.floor(F.col("p") / F.pow(F.lit(2.0), "k")) % 2).cast("int").alias("right"))
+    inside = Window.partitionBy(by, "k", "half")
+    below = F.sum("right").over(inside.orderBy("y").rangeBetween(Window.unboundedPreceding, 0)) - F.sum("right").over(Window.partitionBy(by, "k", "half", "y"))
+    swaps = halves.select(by, F.when(F.col("right") == 0, below).alias("d")).groupBy(by).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d"))
+    twos = lambda *c: keys.groupBy(by, *c).agg(F.count("*").alias("c")).groupBy(by).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("t"))
+    ties = twos("x").withColumnRenamed("t", "tx").join(twos("y").withColumnRenamed("t", "ty"), by).join(twos("x", "y").withColumnRenamed("t", "txy"), by)
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    sizes = keys.groupBy(by).agg(F.count("*").alias("n")).where("n > 1")
+    out = sizes.join(ties, by).join(swaps, by, "left")
+    return out.select(by, ((pairs - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.coalesce("d", F.lit(0))) / pairs).alias("tau"), pairs.alias("pairs"))
 
 
 def leg_bound(rows: DataFrame, legs: list[str], replaced: str, trials: int, seed: int, top: int) -> DataFrame:

@@ -79,8 +79,3 @@ def share_class_twins(members: DataFrame) -> DataFrame:
     w = Window.partitionBy("sector", "cap", "growth").orderBy("ticker")
     twin = F.col("cap").isNotNull() & F.col("growth").isNotNull() & (F.row_number().over(w) > 1)
     return members.withColumn("twin", twin).where(~F.col("twin")).drop("twin")
-
-
-def relative_move(own: Column, peers_median: Column, market: Column, rule: float = 0.05) -> Column:
-    """own, shared or in line: whether a move against the market is the name's or its peers'."""
-    return F.when(F.abs(own - market) < rule, "in_line").when(F.abs(own - peers_median) >= rule, "own").otherwise("shared")

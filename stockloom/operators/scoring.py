@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.columns import band, mean_present, weighted_present
+from stockloom.functions.ordered import numbered
 
 #: Bands [lo, hi] of the legs; falling where hi < lo.
 BANDS = {
@@ -126,7 +127,7 @@ def ranked(cards: DataFrame, top: int | None = None) -> DataFrame:
     order = [F.desc("scored"), F.desc("composite"), F.desc("confidence"), F.asc("ticker")]
     if top is not None:
         return cards.where(F.size("gates") == 0).orderBy(*order).limit(top)
-    return cards.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return numbered(cards, order).withColumn("place", F.col("place").cast("int"))
 
 
 def no_data(df: DataFrame) -> Column:

@@ -96,15 +96,36 @@ def length_bound(a: Column, b: Column) -> Column:
     return F.try_divide(2.0 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b))
 
 
-def fuzzy_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Pairs of normalised names that share their first word and are similar enough; the best right side for each left."""
-    key = lambda c: F.split(c, " ")[0]
-    a = left.select("id", F.col("key").alias("a"), key(F.col("key")).alias("w")).distinct()
-    b = right.select(F.col("id").alias("other"), F.col("key").alias("b"), key(F.col("key")).alias("w")).distinct()
-    pairs = a.join(b, "w").where(length_bound(F.col("a"), F.col("b")) >= least)
-    unique = pairs.select("a", "b").distinct().withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least)
-    met = pairs.join(unique, ["a", "b"])
-    return met.groupBy("id").agg(F.min_by(F.struct("other", "ratio"), F.struct((-F.round("ratio", 9)).alias("r"), F.col("other").alias("o"))).alias("x")).select("id", "x.other", "x.ratio")
+def _keys(c: Column, gram: int = 4) -> Column:
+    """What similar names meet by: their words, and their letters in groups of ``gram``, so that a misspelt word is no end."""
+    flat = F.replace(c, F.lit(" "), F.lit(""))
+    grams = F.when(F.length(flat) >= gram, F.transform(F.sequence(F.lit(1), F.length(flat) - gram + 1), lambda i: F.substring(flat, i, F.lit(gram)))).otherwise(F.array(flat))
+    return F.array_distinct(F.concat(F.transform(F.split(c, " "), lambda w: F.concat(F.lit("w"), w)), grams))
+
+
+def fuzzy_names(left: DataFrame, right: DataFrame, least: float, aliases: DataFrame | None = None, spread: int = 16) -> DataFrame:
+    """For each left name (id, key: normalised) the most similar right one at or above ``least``: other, ratio.
+
+    Distinct names meet by shared words and letter groups, a key of very many names being dealt out ``spread`` ways on the
+    left. Two strings whose ratio is 0.6 or more and that have eight letters or more share a run of four letters unless
+    differences stand in every group; the tests measure recall against all pairs. Aliases (id of a right name, phrase)
+    lift a left name that holds the phrase as whole words to 1."""
+    a = left.select("id", F.col("key").alias("a")).where("a <> ''").distinct()
+    b = right.select(F.col("id").alias("other"), F.col("key").alias("b")).where("b <> ''").distinct()
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(spread)).cast("int")
+    x = a.select("a").distinct().select("a", F.explode(_keys(F.col("a"))).alias("k"), salt("a").alias("s"))
+    y = b.select("b").distinct().select("b", F.explode(_keys(F.col("b"))).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("s"))
+    met = x.join(y, ["k", "s"]).where(length_bound(F.col("a"), F.col("b")) >= least).select("a", "b").distinct()
+    scored = met.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least)
+    pairs = a.join(scored, "a").join(b, "b").select("id", "other", "ratio")
+    if aliases is not None:
+        words = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+        first = lambda c: F.split(c, " ")[0]
+        known = aliases.select(F.col("id").alias("other"), "phrase", first("phrase").alias("w"))
+        lifted = a.select("id", "a", F.explode(F.array_distinct(F.split("a", " "))).alias("w")).join(known, "w").where(F.contains(words("a"), words("phrase")))
+        pairs = pairs.union(lifted.select("id", "other", F.lit(1.0)))
+    best = F.min_by(F.struct("other", "ratio"), F.struct((-F.round("ratio", 9)).alias("r"), F.col("other").alias("o"))).alias("x")
+    return pairs.groupBy("id").agg(best).select("id", "x.other", "x.ratio")
 
 
 def idf(docs: DataFrame) -> DataFrame:
@@ -177,18 +198,33 @@ def fair_budget(rows: DataFrame, key: str, size: str, total: int) -> DataFrame:
     return rows.withColumn("__share", share).withColumn("allowed", F.greatest(F.lit(0), F.least(F.col(size), F.coalesce(first_cut, F.col(size))))).drop("__share")
 
 
-def grounded(claims: DataFrame, segments: DataFrame, least: int = 20, gram: int = 4) -> DataFrame:
-    """Claims (item_id, text) found in segments (doc_id, text): the quotes' first word groups meet the segments' in a hash join,
-    then the normalised quote must be contained. The smallest doc_id wins."""
+def grounded(claims: DataFrame, segments: DataFrame, least: int = 20, gram: int = 4, small: int = 100_000) -> DataFrame:
+    """Claims (item_id, text) found in segments (doc_id, text): item_id, doc_id (the smallest), places (segments that hold it).
+
+    A claim's first whole words meet the segments' word groups in a hash join, then the normalised quote must be contained. The
+    claims' groups are sent to the scan, where they are few (counted, ``small`` at most), so that only groups that a claim
+    has are ever shuffled. Claims too short for a group meet every segment, as a stated set of queries in blocks of about
+    ``small``."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
     def grams(words: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(words) - gram), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(gram)]))
 
     inner = F.slice(F.split("quote", " "), 2, gram)  # whole words: the first may be glued to what stands before
-    c = claims.select("item_id", norm(F.col("text")).alias("quote")).where(F.length("quote") >= least).where(F.size(F.split("quote", " ")) >= gram + 2).withColumn("g", F.xxhash64(*[F.get(inner, F.lit(j)) for j in range(gram)]))
+    quotes = claims.select("item_id", norm(F.col("text")).alias("quote")).where(F.length("quote") >= least)
+    long = F.size(F.split("quote", " ")) >= gram + 2
+    c = quotes.where(long).withColumn("g", F.xxhash64(*[F.get(inner, F.lit(j)) for j in range(gram)]))
+    wanted = c.select("g").distinct()
     s = segments.select("doc_id", norm(F.col("text")).alias("body"))
     place = s.select("doc_id", F.split("body", " ").alias("w")).where(F.size("w") >= gram).select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
+    few = wanted.limit(small + 1).count() <= small
+    place = place.join(F.broadcast(wanted) if few else wanted, "g", "left_semi")
     near = place.join(c.select("item_id", "g"), "g").select("item_id", "doc_id").distinct()
-    found = near.join(s, "doc_id").join(c.select("item_id", "quote"), "item_id").where(F.contains("body", "quote"))
+    found = near.join(s, "doc_id").join(c.select("item_id", "quote"), "item_id").where(F.contains("body", "quote")).select("item_id", "doc_id")
+    short = quotes.where(~long)
+    sizes = short.agg(F.count("*").alias("n")).first()["n"]
+    blocks = sizes // small + 1
+    for i in range(blocks if sizes else 0):
+        part = short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
+        found = found.union(s.join(F.broadcast(part), F.contains("body", "quote")).select("item_id", "doc_id"))  # a block of short quotes
     return found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("places"))

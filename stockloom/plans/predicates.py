@@ -9,6 +9,7 @@ from stockloom.bindings import cte, table, view
 from stockloom.catalog import register
 from stockloom.functions import columns as C
 from stockloom.operators import merge as M
+from stockloom.operators import peers as G
 from stockloom.operators import predicates as Q
 
 
@@ -138,15 +139,22 @@ def by_day(s, d):
     return view(s, d, "insider").groupBy(F.col("d").alias("day")).agg(F.count("*").alias("filings"), F.min("accession").alias("first_id"))
 
 
-@register("pf04_relative_move", cte("stmts") + """, g AS (SELECT entity, revenue / NULLIF(LAG(revenue) OVER (PARTITION BY entity ORDER BY fiscal_year), 0) - 1 AS r, fiscal_year FROM stmts), y AS (SELECT * FROM g WHERE fiscal_year = 1999 AND r IS NOT NULL),
-p AS (SELECT entity % 10 AS sector, MEDIAN(r) AS med FROM y GROUP BY 1), m AS (SELECT MEDIAN(r) AS mkt FROM y)
-SELECT entity, CASE WHEN ABS(r - mkt) < 0.05 THEN 'in_line' WHEN ABS(r - med) >= 0.05 THEN 'own' ELSE 'shared' END AS verdict FROM y JOIN p ON p.sector = entity % 10, m""")
+@register("pf04_relative_move", cte("stmts") + """, g AS (SELECT entity, fiscal_year, revenue, 100 * (revenue / NULLIF(LAG(revenue) OVER (PARTITION BY entity ORDER BY fiscal_year), 0) - 1) AS r FROM stmts), y AS (SELECT *, entity % 10 AS sector FROM g WHERE r IS NOT NULL),
+p AS (SELECT a.entity, a.fiscal_year, a.r, MEDIAN(b.r) AS med, COUNT(b.r) AS n FROM y a LEFT JOIN y b ON b.sector = a.sector AND b.fiscal_year = a.fiscal_year AND b.entity <> a.entity GROUP BY ALL),
+m AS (SELECT fiscal_year, MEDIAN(r) AS mkt FROM y GROUP BY 1), c AS (SELECT sector, fiscal_year, SUM(revenue) / SUM(revenue / (1 + r / 100)) - 1 AS together FROM y WHERE r > -100 GROUP BY ALL), x AS (SELECT p.*, med - mkt AS shared, r - med AS gap FROM p JOIN m USING (fiscal_year))
+SELECT entity, x.fiscal_year, ROUND(gap, 4) AS gap, ROUND(shared, 4) AS shared, CASE WHEN ABS(gap) < 5 AND ABS(shared) < 5 THEN 'small' WHEN ABS(gap) >= ABS(shared) THEN 'own' ELSE 'shared' END AS verdict, ROUND(together, 6) AS together
+FROM x JOIN c ON c.sector = entity % 10 AND c.fiscal_year = x.fiscal_year WHERE n >= 3""")
 def relative(s, d):
+    """Revenue growth of every year against sector peers (the name itself left out) and against all names."""
     w = Window.partitionBy("entity").orderBy("fiscal_year")
-    y = view(s, d, "stmts").withColumn("r", C.ratio(F.col("revenue"), F.lag("revenue").over(w)) - 1).where("fiscal_year = 1999 and r is not null").withColumn("sector", F.col("entity") % 10)
-    med = y.groupBy("sector").agg(F.median("r").alias("med"))
-    mkt = y.agg(F.median("r").alias("mkt"))
-    return y.join(med, "sector").join(F.broadcast(mkt)).select("entity", Q.relative_move(F.col("r"), F.col("med"), F.col("mkt")).alias("verdict"))  # one row
+    y = view(s, d, "stmts").withColumn("r", 100 * (C.ratio(F.col("revenue"), F.lag("revenue").over(w)) - 1)).where("r is not null").withColumn("sector", F.col("entity") % 10)
+    mkt = y.groupBy("fiscal_year").agg(F.median("r").alias("mkt"))
+    together = y.groupBy("sector", "fiscal_year").agg(G.combined_growth(F.col("revenue"), F.lit(1.0), F.col("r") / 100).alias("together"))
+    # the median of the others of a group: by place, from the group's sorted returns around the own place
+    seen = G.median_of_others(y, ["sector", "fiscal_year"], "entity", "r")
+    x = seen.join(F.broadcast(mkt), "fiscal_year").join(together, ["sector", "fiscal_year"])  # one row a year
+    split = G.relative(F.col("r"), F.col("med"), F.col("n"), F.col("mkt"), 3)
+    return x.withColumn("x", split).where("x is not null").select("entity", "fiscal_year", F.round("x.gap", 4).alias("gap"), F.round("x.shared", 4).alias("shared"), "x.verdict", F.round("together", 6).alias("together"))
 
 
 @register("ud01_signal_registry", cte("signals") + " SELECT m, ticker, 'cheap' AS signal, s1 AS value FROM signals UNION ALL SELECT m, ticker, 'busy', s2 FROM signals")

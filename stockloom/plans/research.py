@@ -111,7 +111,7 @@ def section_caps(s, d):
 
 
 @register("tx10_grounded", r"""WITH c AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM benchmark), s AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents)
-SELECT item_id, MIN(doc_id) AS doc_id, COUNT(*) AS places FROM c JOIN s ON contains(t, q) WHERE length(q) >= 20 AND len(str_split(q, ' ')) >= 6 GROUP BY item_id""")
+SELECT item_id, MIN(doc_id) AS doc_id, COUNT(*) AS places FROM c JOIN s ON contains(t, q) WHERE length(q) >= 20 GROUP BY item_id""")
 def grounded(s, d):
     return X.grounded(table(s, d, "benchmark"), table(s, d, "documents"))
 
@@ -128,13 +128,13 @@ def fuzzy(s, d):
 
 # ---------------------------------------------------------------- peers and portfolio
 
-_MEMBERS = cte("stmts") + ", k AS (SELECT s_suppkey AS ticker, s_nationkey AS sector, CAST(SUM(revenue) AS DOUBLE) AS cap, SUM(net_income) / NULLIF(SUM(revenue), 0) AS margin FROM supplier JOIN stmts ON entity = s_suppkey GROUP BY ALL)"
+_MEMBERS = cte("stmts") + ", k AS (SELECT s_suppkey AS ticker, s_nationkey AS sector, CAST(SUM(revenue) AS DOUBLE) AS cap, SUM(net_income) / NULLIF(SUM(revenue), 0) AS margin, SUM(net_income) AS income FROM supplier JOIN stmts ON entity = s_suppkey GROUP BY ALL)"
 _PEERS = _MEMBERS + ", p AS (SELECT a.ticker, b.ticker AS peer, ROW_NUMBER() OVER (PARTITION BY a.ticker ORDER BY ROUND(abs(ln(a.cap) - ln(b.cap)), 9), b.ticker) AS nth FROM k a JOIN k b ON a.sector = b.sector AND a.ticker <> b.ticker WHERE a.cap > 0 AND b.cap > 0 QUALIFY nth <= 3)"
 
 
 def _members(s, d):
     sup = table(s, d, "supplier").select(F.col("s_suppkey").alias("ticker"), F.col("s_nationkey").alias("sector"))
-    g = view(s, d, "stmts").groupBy(F.col("entity").alias("ticker")).agg(F.sum("revenue").alias("cap"), F.try_divide(F.sum("net_income"), F.sum("revenue")).alias("margin"))
+    g = view(s, d, "stmts").groupBy(F.col("entity").alias("ticker")).agg(F.sum("revenue").alias("cap"), F.try_divide(F.sum("net_income"), F.sum("revenue")).alias("margin"), F.sum("net_income").alias("income"))
     return sup.join(g, "ticker")
 
 
@@ -143,10 +143,25 @@ def closest(s, d):
     return G.closest_in_size(_members(s, d), 3).select("ticker", "peer", "nth")
 
 
-@register("pf03_measure_rows", _PEERS + " SELECT p.ticker, 'margin' AS measure, ROUND(a.margin, 6) AS own, ROUND(MEDIAN(b.margin), 6) AS median, COUNT_IF(b.margin > a.margin) + 1 AS place, COUNT(b.margin) AS usable FROM p JOIN k a ON a.ticker = p.ticker JOIN k b ON b.ticker = p.peer GROUP BY p.ticker, a.margin")
+@register("pf01_peer_list", "WITH v AS (SELECT user_id, list(upper(event_type) || (event_id % 4) ORDER BY ts, event_id) AS peers FROM events GROUP BY user_id), r AS (SELECT user_id, unnest(peers) AS peer, generate_subscripts(peers, 1) AS at_ FROM v), g AS (SELECT user_id, peer, MIN(at_) AS at_ FROM r WHERE peer <> 'CLICK' || (user_id % 4) GROUP BY ALL) SELECT user_id, peer, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY at_) AS INT) AS pos FROM g")
+def peer_lists(s, d):
+    """Kinds of events in the order a user met them stand for a vendor's list; one of them names the user."""
+    raw = F.concat(F.col("event_type"), F.lit(""), (F.col("event_id") % 4).cast("string"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", raw.alias("raw")))), lambda x: x["raw"])
+    v = table(s, d, "events").groupBy("user_id").agg(ordered.alias("peers")).withColumn("ticker", F.concat(F.lit("click"), (F.col("user_id") % 4).cast("string")))
+    named = v.select(F.concat_ws(":", "ticker", "user_id").alias("ticker"), "user_id", F.concat(F.lit("CLICK"), (F.col("user_id") % 4).cast("string")).alias("self"), "peers")
+    lists = G.peer_list(named.select("ticker", F.filter("peers", lambda p: F.upper(p) != F.col("self")).alias("peers")))
+    return lists.select(F.split("ticker", ":")[1].cast("long").alias("user_id"), "peer", "pos")
+
+
+@register("pf03_measure_rows", _PEERS + """, u AS (SELECT ticker, 'margin' AS measure, margin AS v, margin AS raw FROM k UNION ALL SELECT ticker, 'multiple', CASE WHEN cap / NULLIF(income, 0) > 0 THEN cap / NULLIF(income, 0) END, cap / NULLIF(income, 0) FROM k)
+SELECT p.ticker, a.measure, ROUND(a.v, 6) AS own, ROUND(MEDIAN(b.v), 6) AS median, CASE WHEN a.v IS NOT NULL AND COUNT(b.v) > 0 THEN COUNT_IF(CASE WHEN a.measure = 'multiple' THEN b.v < a.v ELSE b.v > a.v END) + 1 END AS place, COUNT(b.v) AS usable, a.v IS NULL AND a.raw IS NOT NULL AS not_meaningful
+FROM p JOIN u a ON a.ticker = p.ticker JOIN u b ON b.ticker = p.peer AND b.measure = a.measure GROUP BY p.ticker, a.measure, a.v, a.raw""")
 def measures(s, d):
-    m = _members(s, d)
-    return G.measure_rows(G.closest_in_size(m, 3), m, ["margin"]).select("ticker", "measure", _r("own"), _r("median"), "place", "usable")
+    """Margin, and value over income: a multiple, from the low end, without meaning where it is negative."""
+    m = _members(s, d).withColumn("multiple", F.try_divide(F.col("cap"), F.when(F.col("income") != 0, F.col("income"))))
+    rows = G.measure_rows(G.closest_in_size(m, 3), m, ["margin", "multiple"], low_first=("multiple",), positive=("multiple",))
+    return rows.select("ticker", "measure", _r("own"), _r("median"), "place", "usable", "not_meaningful")
 
 
 _HOLD = "h AS (SELECT o_custkey % 20 AS portfolio, l_suppkey AS ticker, ROUND(SUM(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END), 2) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), w AS (SELECT *, CASE WHEN SUM(value) OVER (PARTITION BY portfolio) > 0 THEN value / NULLIF(SUM(value) OVER (PARTITION BY portfolio), 0) END AS weight FROM h)"
