@@ -49,6 +49,29 @@ def backfill_years(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return kept.groupBy(key, "fiscal_year").agg(*[fill(c) for c in fields])
 
 
+def merge_snapshots(rows: DataFrame, key: str, priority: list[str], flat: dict[str, list[str]], whole: dict[str, list[str]], errors: str = "error") -> DataFrame:
+    """One record per key from the partial ones of all sources, unknown sources ranked last.
+
+    Fields of a ``flat`` section come each from the first source that has it; a ``whole`` section comes as it stands from the first source
+    with any of its fields. <section>_sources lists who contributed, in rank order for flat sections; errors of all sources are kept,
+    in rank order. One pass: every pick is an aggregate of the same group."""
+    ranked = ranked_sources(rows, priority)
+    at = F.struct("rank", "source")
+
+    def flat_section(name: str, fields: list[str]) -> list[Column]:
+        seen = lambda c: F.when(F.col(c).isNotNull(), at)
+        sources = F.array_distinct(F.array_sort(F.array_compact(F.array(*[F.min(seen(c)) for c in fields]))))
+        return [*[F.min_by(c, seen(c)).alias(c) for c in fields], F.transform(sources, lambda x: x["source"]).alias(f"{name}_sources")]
+
+    def whole_section(name: str, fields: list[str]) -> list[Column]:
+        best = F.min_by(F.struct(*fields, "source"), F.when(F.coalesce(*[F.col(c).cast("string") for c in fields]).isNotNull(), at))
+        return [*[best[c].alias(c) for c in fields], best["source"].alias(f"{name}_source")]
+
+    picks = [c for n, f in flat.items() for c in flat_section(n, f)] + [c for n, f in whole.items() for c in whole_section(n, f)]
+    said = F.array_sort(F.collect_list(F.when(F.col(errors).isNotNull(), F.struct("rank", "source", F.col(errors).alias("said")))))  # one a source
+    return ranked.groupBy(key).agg(*picks, F.transform(said, lambda x: F.concat_ws(": ", x["source"], x["said"])).alias("errors"))
+
+
 def normal_name(c: Column) -> Column:
     """Lower case, letters and digits only, legal words dropped."""
     words = F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " ")

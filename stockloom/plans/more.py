@@ -209,7 +209,7 @@ def _gap_names(keep):
     return F.filter(F.array(*[F.when(F.col(n).isNull() & keep(n), F.lit(n)) for n in S.WEIGHTS]), lambda x: x.isNotNull())
 
 
-@register("sc21_coverage_gaps", PF._CARDS + " SELECT ticker, list_filter([CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN moat IS NULL AND bucket NOT IN ('reit', 'financials') THEN 'moat' END, CASE WHEN growth IS NULL THEN 'growth' END, CASE WHEN value IS NULL THEN 'value' END, CASE WHEN momentum IS NULL THEN 'momentum' END, CASE WHEN insider IS NULL THEN 'insider' END], lambda x: x IS NOT NULL) AS gaps, list_filter([CASE WHEN moat IS NULL AND bucket IN ('reit', 'financials') THEN 'moat' END], lambda x: x IS NOT NULL) AS not_applicable FROM c")
+@register("sc21_coverage_gaps", PF._CARDS + " SELECT ticker, list_filter([CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN moat IS NULL AND bucket NOT IN ('reit', 'financials') THEN 'moat' END, CASE WHEN growth IS NULL THEN 'growth' END, CASE WHEN momentum IS NULL THEN 'momentum' END, CASE WHEN value IS NULL THEN 'value' END, CASE WHEN insider IS NULL THEN 'insider' END], lambda x: x IS NOT NULL) AS gaps, list_filter([CASE WHEN moat IS NULL AND bucket IN ('reit', 'financials') THEN 'moat' END], lambda x: x IS NOT NULL) AS not_applicable FROM c")
 def gaps(s, d):
     """Sub-scores that are missing, apart from those that do not apply to the sector."""
     return S.score(PF.metrics(s, d)).select("ticker", _gap_names(lambda n: ~_inapplicable(n)).alias("gaps"), _gap_names(_inapplicable).alias("not_applicable"))
