@@ -7,7 +7,8 @@ the total of all sizes, is spent. Targets share the budget by weight (1, 2, 3, r
 code-point order, null last); none exceeds three times its source, and the excess is reshared.
 
 Running sums never gather a source: it is cut into 4096 hash ranges, whose sums give each range its
-start. The global cut is found by adding up finish-time bins, twice, and ordering only the last bin's rows.
+start; sources themselves are ordered in range partitions. The global cut is found by adding up finish times in 4096 bins
+between the earliest and the latest, then in bins of the one bin that holds the cut, until that bin is one time.
 
 Edge cases: null text has size 0 and taken 0; a null source is a source of its own; rows that repeat a doc_id
 and size share a finish time; an empty table gives an empty result; equal finish times are taken together or not at all.
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stockloom.functions.ordered import numbered, running
 from stockloom.llm import shared
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,17 +40,17 @@ def sizes(documents: DataFrame) -> DataFrame:
 
 
 def targets(by_source: DataFrame) -> DataFrame:
-    """key, source_size, target: one row per source. The water level fills sources in order of cap over weight."""
-    everything = Window.partitionBy(F.lit(0))
-    ranked = by_source.withColumn("w", (F.row_number().over(everything.orderBy("key")) - 1) % 3 + 1).withColumn("cap", PASSES * F.col("source_size"))
-    ranked = ranked.withColumn("full_at", F.col("cap").cast("double") / F.col("w").cast("double"))
-    rising = everything.orderBy("full_at", "key")
-    left = F.sum("source_size").over(everything) - (F.sum("cap").over(rising) - F.col("cap"))
-    weight = F.sum("w").over(everything) - (F.sum("w").over(rising) - F.col("w"))
-    ranked = ranked.withColumn("level", left.cast("double") / weight.cast("double"))
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "key", "level"))).over(everything)["level"]
-    target = F.when(F.col("full_at") <= level, F.col("cap").cast("double")).otherwise(level * F.col("w").cast("double"))
-    return ranked.select("key", "source_size", target.alias("target"))
+    """key, source_size, target: one row per source. The water level fills sources in order of cap over weight; both orders, by
+    key and by that quotient, are range partitions, so millions of sources are no single task."""
+    ranked = numbered(by_source, [F.col("key")], "nth").withColumn("w", ((F.col("nth") - 1) % 3 + 1).cast("int")).withColumn("cap", PASSES * F.col("source_size"))
+    ranked = shared.written(ranked.select("key", "source_size", "w", "cap", (F.col("cap").cast("double") / F.col("w").cast("double")).alias("full_at")))
+    all_ = F.broadcast(ranked.agg(F.sum("source_size").alias("total"), F.sum("w").alias("weights")))  # one row
+    rising = running(ranked, [F.col("full_at"), F.col("key")], caps=F.col("cap"), upto=F.col("w"))
+    left, weight = F.col("total") - (F.col("caps") - F.col("cap")), F.col("weights") - (F.col("upto") - F.col("w"))
+    levels = rising.join(all_).withColumn("level", left.cast("double") / weight.cast("double"))
+    level = F.broadcast(levels.agg(F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "key", "level")))["level"].alias("level")))  # one row
+    target = F.when(F.col("full_at") <= F.col("level"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("w").cast("double"))
+    return ranked.join(level).select("key", "source_size", target.alias("target"))
 
 
 def _finish(copy: int) -> F.Column:
@@ -56,24 +58,23 @@ def _finish(copy: int) -> F.Column:
 
 
 def _cut(timed: DataFrame, budget: int) -> float:
-    """The latest finish time up to which the copies' sizes keep within the budget."""
+    """The latest finish time up to which the copies' sizes keep within the budget; -1 if the first is over it already."""
     copies = timed.where("size > 0").select("size", F.explode(F.array(*[_finish(i) for i in range(PASSES)])).alias("at"))
-    low, width, spent = 0.0, 1.0 / BINS, 0
-    for _ in range(2):
-        number = F.floor((F.col("at") - low) / width)
-        bins = copies.groupBy(number.alias("bin")).agg(F.sum("size").alias("size"))
-        running = bins.withColumn("upto", F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("bin")))
-        over = running.where(F.col("upto") + spent > budget).orderBy("bin").select("bin", (F.col("upto") - F.col("size") + spent).alias("before")).first()
-        if over is None:
-            return float("inf")
-        low, spent = low + over["bin"] * width, over["before"]
-        copies = copies.where(number == over["bin"])
-        width /= BINS
-    last = copies.groupBy("at").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("at")))
-    found = last.where(F.col("upto") + spent <= budget).agg(F.max("at").alias("at")).first()["at"]
-    if found is None:  # the bin's first row is already over: everything before the bin
-        found = timed.where("size > 0").select(F.explode(F.array(*[_finish(i) for i in range(PASSES)])).alias("at")).where((F.col("at") < low) if low else F.lit(False)).agg(F.max("at").alias("at")).first()["at"]
-    return -1.0 if found is None else found
+    ends = copies.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    low, high, spent, best = ends["low"], ends["high"], 0, -1.0
+    while low is not None:
+        width = (high - low) / BINS
+        number = F.least(F.floor((F.col("at") - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        bins = copies.where(F.col("at").between(low, high)).groupBy(number.cast("int").alias("bin")).agg(F.sum("size").alias("size"), F.min("at").alias("first"), F.max("at").alias("last"))
+        upto = spent + F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("bin"))  # BINS rows at most
+        rows = bins.withColumn("upto", upto)
+        fits = rows.where(F.col("upto") <= budget).agg(F.max("upto").alias("upto"), F.max("last").alias("last")).first()
+        spent, best = (fits["upto"], fits["last"]) if fits["upto"] is not None else (spent, best)
+        over = rows.where(F.col("upto") > budget).orderBy("bin").select("first", "last").first()
+        if over is None or over["first"] == over["last"]:
+            return best
+        low, high = over["first"], over["last"]
+    return best
 
 
 def mix(documents: DataFrame) -> DataFrame:

@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.session import checkpoint_dir
+from stockloom.session import discard, written
+
+__all__ = ["BROADCAST_ROWS", "discard", "join_ids", "read", "texts", "written"]
 
 #: Rows of a narrow id table that may be broadcast (16 bytes or so each); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared checkpoint folder and read back."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/stockloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete written tables that nothing will read again."""
-    for df in tables:
-        path = getattr(df, "written_path", None)
-        if path:
-            spark = df.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def join_ids(big: DataFrame, ids: DataFrame, on: str | list[str], how: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Join against a written table of ids, broadcast only where its counted rows keep within ``bound``."""
     if ids.limit(bound + 1).count() <= bound:
