@@ -332,7 +332,7 @@ def grouped(documents: DataFrame, k: int = SKETCH, percent: int = PERCENT, short
             roots = joined(roots, more)
     linked = roots.union(roots.select("root", "root")).distinct()
     spots = shared.written(linked.join(reps.select(F.col("rep").alias("node"), F.struct("doc_id", "tag").alias("at")).hint("merge"), "node"))
-    least = spots.groupBy("root").agg(F.min("at").alias("first"))
+    least = shared.written(spots.groupBy("root").agg(F.min("at").alias("first")))  # written, so that a large component can be split
     firsts = spots.join(least.hint("merge"), "root").select(F.col("node").alias("rep"), "first")
     own = F.struct("doc_id", "tag")
     known = reps.join(firsts.hint("merge"), "rep", "left").select("h1", "h2", "n", F.col("doc_id").alias("class_id"), F.coalesce("first", own).alias("first"))
