@@ -52,7 +52,7 @@ _POINT[[44, 46]] = True
 def _hashes_of(words: list[str]) -> np.ndarray:
     piece = next(kernel.pieces(pa.array([" ".join(words)])))
     starts, ends, _ = piece.words()
-    return np.sort(piece.span_hash(piece.rolling(kernel.LOWER_KEYS), starts, ends))
+    return np.sort(piece.hashes(starts, ends, kernel.LOWER_KEYS))
 
 
 _NUMBER_HASHES, _UNIT_HASHES = _hashes_of(NUMBER_WORDS), _hashes_of(UNITS)
@@ -76,7 +76,7 @@ def template(piece: kernel.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = piece.owner(starts)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), owner
-    value = piece.span_hash(piece.rolling(kernel.LOWER_KEYS), starts, ends)
+    value = piece.hashes(starts, ends, kernel.LOWER_KEYS)
     number = _DIGIT[data[starts]] | _member(_NUMBER_HASHES, value)
     after_number = np.zeros(len(starts), bool)
     after_number[1:] = number[:-1] & (owner[1:] == owner[:-1])

@@ -1,7 +1,8 @@
 """Vectorised text helpers for Arrow tasks: words, hashes and per-document sums on raw UTF-8 bytes.
 
 Everything here works on one piece of an Arrow string column at a time (a few MB), so memory in a
-Python worker is bounded by the piece, not by the partition. White space is space and U+0009-U+000D.
+Python worker is bounded by the piece, not by the partition. A longer text is a piece of its own: hashes and counts over its
+bytes are taken in blocks, so that what stays is one number for each of its words. White space is space and U+0009-U+000D.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a longer document forms a piece of its own.
 PIECE_BYTES = 1 << 19
 SLICE_ROWS = 512
+#: Bytes that block-wise work takes at once.
+BLOCK = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -88,6 +91,36 @@ class Piece:
         _, down = _POWERS.upto(len(self.data) + 1)
         return mix((sums[ends] - sums[starts]) * down[starts])
 
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray = BYTE_KEYS) -> np.ndarray:
+        """Hashes of byte spans in order of their starts, as span_hash gives them, block by block where the data are long."""
+        if len(self.data) <= 2 * BLOCK:
+            return self.span_hash(self.rolling(keys), starts, ends)
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            base = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(starts, base + BLOCK)))
+            part = Piece(self.data[base : int(ends[at:to].max())], np.zeros(1, np.int64), 0)
+            out[at:to] = part.span_hash(part.rolling(keys), starts[at:to] - base, ends[at:to] - base)
+            at = to
+        return out
+
+    def stretches(self, cut) -> list[tuple[int, Piece]]:
+        """(first byte, piece) of the parts of a single long text, cut where ``cut`` (data -> marks of bytes that may begin a part)
+        allows it next after every block; the piece itself where it is short or holds several texts."""
+        if self.n != 1 or len(self.data) <= 2 * BLOCK:
+            return [(0, self)]
+        ends, at = [0], BLOCK
+        while at < len(self.data):
+            window = self.data[at - 1 : at + BLOCK + 1]
+            found = np.flatnonzero(cut(window)[1:-1])
+            if len(found):
+                ends.append(at + int(found[0]))
+                at = ends[-1] + BLOCK
+            else:
+                at += len(window) - 2 if len(window) > 2 else 1
+        ends.append(len(self.data))
+        return [(a, Piece(self.data[a:b], np.array([0, b - a]), self.first)) for a, b in zip(ends, ends[1:], strict=False)]
+
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
@@ -117,6 +150,8 @@ def count_by(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np
 
 def byte_count(piece: Piece, table: np.ndarray) -> np.ndarray:
     """For each text, how many of its bytes are marked in a boolean table of 256."""
+    if piece.n == 1:
+        return np.array([sum(int(np.count_nonzero(table[piece.data[a : a + BLOCK]])) for a in range(0, len(piece.data), BLOCK))], np.int64)
     sums = np.concatenate(([0], np.cumsum(table[piece.data], dtype=np.int64)))
     return sums[piece.offsets[1:]] - sums[piece.offsets[:-1]]
 

@@ -112,7 +112,7 @@ def _runs(piece: kernel.Piece) -> tuple[np.ndarray, ...]:
 
     def hasher(keys: np.ndarray):
         sums = np.zeros(len(starts) + 1, np.uint64)
-        np.cumsum(piece.span_hash(piece.rolling(keys), starts, ends) * up[:-1], dtype=np.uint64, out=sums[1:])
+        np.cumsum(piece.hashes(starts, ends, keys) * up[:-1], dtype=np.uint64, out=sums[1:])
         return lambda a, n: kernel.mix((sums[a + n] - sums[a]) * down[a])
 
     one, two = hasher(kernel.BYTE_KEYS), hasher(kernel.BYTE_KEYS[::-1].copy())

@@ -44,7 +44,7 @@ BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 def shingle_sets(piece: kernel.Piece, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text of the piece."""
     starts, ends, owner = piece.words()
-    hashes = piece.span_hash(piece.rolling(kernel.LOWER_KEYS), starts, ends)
+    hashes = piece.hashes(starts, ends, kernel.LOWER_KEYS)
     shingles, first = kernel.windows(hashes, owner, words)
     cut = np.searchsorted(owner[first] if len(first) else first, np.arange(piece.n + 1))
     at = np.searchsorted(owner, np.arange(piece.n + 1))

@@ -100,7 +100,16 @@ _OFFSETS = dict(zip(GROUPS, np.cumsum([0, *GROUPS.values()])[:-1].tolist(), stri
 _N_FEATURES = sum(GROUPS.values())
 
 
-def features(piece: kernel.Piece, keywords: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def file_code(piece: kernel.Piece, keywords: np.ndarray) -> np.ndarray:
+    """One code for each text: whether it names a secret, its shares of digits and of symbols."""
+    size = np.maximum(np.diff(piece.offsets), 1)
+    has_word = np.zeros(piece.n, np.int64)
+    if len(keywords):
+        has_word[piece.owner(keywords)] = 1
+    return has_word + 2 * (kernel.byte_count(piece, _DIGIT) / size > 0.02) + 4 * np.digitize(kernel.byte_count(piece, _SYMBOL) / size, (0.02, 0.06, 0.15))
+
+
+def features(piece: kernel.Piece, keywords: np.ndarray, file: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, owner, and codes (token x group, already offset into the weight table)."""
     data = piece.data
     starts, ends = runs(piece, _TOKEN[data])
@@ -149,13 +158,7 @@ def features(piece: kernel.Piece, keywords: np.ndarray) -> tuple[np.ndarray, np.
     odd = (d > 0) & (lo + u > 0)
     following = np.zeros(n, np.int64)
     following[:-1] = np.where(owner[1:] == owner[:-1], 1 + odd[1:] * 2 + (length[1:] >= 16) * 4, 0)
-    size = np.maximum(np.diff(piece.offsets), 1)
-    digits_share = kernel.byte_count(piece, _DIGIT) / size
-    symbol_share = kernel.byte_count(piece, _SYMBOL) / size
-    has_word = np.zeros(piece.n, np.int64)
-    if len(keywords):
-        has_word[piece.owner(keywords)] = 1
-    file = has_word + 2 * (digits_share > 0.02) + 4 * np.digitize(symbol_share, (0.02, 0.06, 0.15))
+    file = file_code(piece, keywords) if file is None else file
     columns = {
         "length": np.digitize(length, (4, 8, 12, 16, 20, 32)),
         "shape": shape,
@@ -413,12 +416,31 @@ def train(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, reach: int = 8)
 # ---------------------------------------------------------------- scanning
 
 
+def _newline(data: np.ndarray) -> np.ndarray:
+    """No secret and no base pattern runs over a newline."""
+    return data == 10
+
+
 def scan_piece(piece: kernel.Piece, field: Field | None) -> list[tuple[int, int, int, int]]:
-    """(row, start, kind, end) in code points, sorted by row, start, kind."""
+    """(row, start, kind, end) in code points, sorted by row, start, kind. A long text is worked through in stretches cut at
+    newlines, with the file features of the whole."""
+    parts = piece.stretches(_newline)
+    if len(parts) == 1:
+        return _scan(piece, field, None)
+    named = any(len(keyword_starts(p.data.tobytes())) for _, p in parts)
+    file = file_code(piece, np.zeros(int(named), np.int64))
+    out, points = [], 0
+    for _, p in parts:
+        out += [(row, points + a, kind, points + b) for row, a, kind, b in _scan(p, field, file)]
+        points += int(kernel.byte_count(p, _LEAD)[0])
+    return out
+
+
+def _scan(piece: kernel.Piece, field: Field | None, file: np.ndarray | None) -> list[tuple[int, int, int, int]]:
     keywords = keyword_starts(piece.data.tobytes())
     spans = base_spans(piece, keywords)
     if field is not None and len(piece.data):
-        starts, ends, owner, codes = features(piece, keywords)
+        starts, ends, owner, codes = features(piece, keywords, file)
         tags = field.decode(field.scores(codes), owner)
         go_on = np.zeros(len(tags), bool)
         go_on[1:] = (tags[1:] == 2) & (tags[:-1] > 0) & (owner[1:] == owner[:-1])

@@ -10,7 +10,8 @@ Two deterministic machines count the tokens of a byte-level BPE vocabulary witho
   last tokens at those positions from which a longer token could still reach (with counts relative to
   now). Each transition carries the change of the token count, which may be negative as tokens fuse.
   States are compiled when first met and kept in flat numpy tables; all pre-tokens of a piece step
-  together. The table is dropped and compiled anew when it has grown past ``MAX_STATES``.
+  together. A long pre-token is cut into chunks that step side by side; their state maps are filled where a
+  state occurs and composed from left to right. The table is dropped and compiled anew when it has grown past ``MAX_STATES``.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; strings of special tokens inside a text
 count as that token, as the library does by default; a repeated doc_id is counted for each row.
@@ -33,6 +34,8 @@ from stockloom.llm import kernel
 LIMIT = 1024
 MAX_STATES = 250_000
 CHUNK = 64
+#: Bytes of a pre-token that the merger steps through in a row; a longer one is cut into chunks of this size.
+SPAN = 256
 _SPREAD = 0x9E3779B97F4A7C15
 
 # ---------------------------------------------------------------- splitter
@@ -259,13 +262,46 @@ class Merger:
         self.store(state * 256 + byte, to * 65536 + gain + 32768)
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Token count of each byte span, all spans stepping together, the longest first."""
+        """Token count of each byte span. Spans longer than SPAN are cut into chunks whose state maps (state before -> state
+        after, count) compose from left to right."""
         if len(self.meaning) > self.max_states:
             self.reset()
+        out = np.zeros(len(starts), np.int64)
+        short = ends - starts <= SPAN
+        out[short] = self.run(data, starts[short], ends[short], np.zeros(int(short.sum()), np.int64))[1]
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = self._composed(data, int(starts[i]), int(ends[i]))
+        return out
+
+    def _composed(self, data: np.ndarray, start: int, end: int) -> int:
+        """Count of one long span: all chunks step side by side from guessed states, each from the state that its neighbour's last guess
+        ends in, until a chain of known map entries leads from the first chunk to the last. A map soon holds the few states
+        that occur; every round settles one chunk more at least."""
+        begin = np.arange(start, end, SPAN)
+        stop = np.minimum(begin + SPAN, end)
+        maps: list[dict[int, tuple[int, int]]] = [{} for _ in begin]
+        guess = np.zeros(len(begin), np.int64)
+        at, state, total = 0, 0, 0  # chunks before ``at`` are settled
+        while at < len(begin):
+            guess[at] = state
+            todo = np.array([i for i in range(at, len(begin)) if int(guess[i]) not in maps[i]], np.int64)
+            after, count = self.run(data, begin[todo], stop[todo], guess[todo])
+            for i, before, to, n in zip(todo.tolist(), guess[todo].tolist(), after.tolist(), count.tolist(), strict=True):
+                maps[i][before] = (to, n)
+            ends_in = np.array([maps[i][int(guess[i])][0] for i in range(at, len(begin))], np.int64)
+            while at < len(begin) and state in maps[at]:
+                state, n = maps[at][state]
+                total += n
+                at += 1
+            guess[len(begin) - len(ends_in) + 1 :] = ends_in[:-1]
+        return total
+
+    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State after and token count of each byte span from a given state, all spans stepping together, the longest first."""
         lengths = ends - starts
         order = np.argsort(-lengths, kind="stable")
         begin, falling = starts[order], -lengths[order]
-        state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        state, total = before[order].copy(), np.zeros(len(order), np.int64)
         for j in range(int(-falling[0]) if len(order) else 0):
             n = int(np.searchsorted(falling, -j, side="left"))
             keys = state[:n] * 256 + data[begin[:n] + j]
@@ -277,9 +313,9 @@ class Merger:
                 value[missing] = self.find(keys[missing])
             total[:n] += (value & 65535) - 32768
             state[:n] = value >> 16
-        out = np.empty(len(order), np.int64)
-        out[order] = total
-        return out
+        after, out = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        after[order], out[order] = state, total
+        return after, out
 
 
 @functools.cache
@@ -310,8 +346,23 @@ def _special_spans(piece: kernel.Piece, specials: list[bytes]) -> tuple[np.ndarr
     return out[:, 0], out[:, 1]
 
 
+def _between_words(data: np.ndarray) -> np.ndarray:
+    """Spaces between two ASCII letters: a pre-token begins there, whatever stands around, and no special string runs over it."""
+    letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+    out = np.zeros(len(data), bool)
+    out[1:-1] = (data[1:-1] == 32) & letter[:-2] & letter[2:]
+    return out
+
+
 def count_piece(piece: kernel.Piece, path: str) -> np.ndarray:
+    """Tokens of every text of a piece; a long text is counted in stretches."""
     machine = merger(path)
+    if any(b" " in s for s in machine.vocabulary.specials):
+        return _count(piece, machine)
+    return sum(_count(p, machine) for _, p in piece.stretches(_between_words))
+
+
+def _count(piece: kernel.Piece, machine: Merger) -> np.ndarray:
     if not len(piece.data):
         return np.zeros(piece.n, np.int64)
     begin, end = _special_spans(piece, machine.vocabulary.specials)
