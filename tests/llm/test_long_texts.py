@@ -57,7 +57,7 @@ def same(a, b):
 
 
 @pytest.mark.parametrize("work", [
-    lambda t: neardup.shingle_sets(one(t)), lambda t: quality.statistics(pa.array([t])), lambda t: toxicity.features(one(t)), lambda t: decontam.template(one(t)),
+    lambda t: neardup.shingle_sets(one(t)), lambda t: quality.statistics(pa.array([t])), lambda t: toxicity.features(one(t)), lambda t: decontam.templates(one(t)),
     lambda t: linededup._runs(one(t)), lambda t: secrets.base_spans(one(t), secrets.keyword_starts(t.encode()))])
 def test_blocks_change_nothing(small_blocks, long_text, work):
     assert same(work(long_text), whole(lambda: work(long_text)))
