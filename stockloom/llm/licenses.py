@@ -1,9 +1,11 @@
 """Licence scan by canonical digests.
 
-A text is normalised (A-Z folded, copyright lines and "all rights reserved" removed, equivalent spellings
+A text is normalised (A-Z folded, copyright lines (copyright with a year, a (c) sign or "by" behind it, or the sign with a
+year) and "all rights reserved" removed, equivalent spellings
 unified, punctuation and white space reduced to single spaces) and its SHA-256 is looked up, by a hash join, among the digests of
 known licence texts, normalised the same way. Units are the whole document and each of its lines that
-mentions a licence or copyright, for one-line notices.
+mentions a licence or copyright, for one-line notices. ``KNOWN`` holds four whole licences and common notices; further texts
+come from a table (``catalog``) or a folder of them (``catalog_of_folder``), and ``scan`` takes any pattern of lines to look up.
 
 Edge cases: a null text counts as empty and matches nothing; text that normalises to nothing matches nothing; rows that
 repeat both doc_id and text give one row; other columns are ignored.
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from stockloom.llm import shared
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
-RESERVED = r"all rights reserved"
+COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n(©]*(copyright[^a-z0-9\n(©]*(\(c\)|©|[12][0-9][0-9][0-9]|by )|(\(c\)|©)[^a-z0-9\n]*(copyright|[12][0-9][0-9][0-9]))[^\n]*"
+RESERVED = "all rights reserved"
 #: Spellings taken as equal.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"), ("redistributions", "redistribution"), ("http://", "https://"), ("&", " and ")]
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
@@ -63,9 +65,10 @@ KNOWN = [
 
 
 def canonical(text: F.Column) -> F.Column:
-    out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
-    out = F.regexp_replace(out, RESERVED, " ")
+    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    signed = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©"))
+    out = F.when(signed, F.regexp_replace(low, COPYRIGHT_LINE, "$1")).otherwise(low)  # few texts need the pattern
+    out = F.replace(out, F.lit(RESERVED), F.lit(" "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, OTHER, " "))
@@ -80,15 +83,29 @@ def catalog(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFr
     return spark.createDataFrame(known, "license string, text string").select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
+def catalog_of_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """digest, license of the texts of a folder, each named by its file (without .txt or .md)."""
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.txt|\.md)?$", 1).alias("license"), F.col("value").alias("text"))
+    return files.select(digest(F.col("text")).alias("digest"), F.url_decode("license").alias("license")).groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def scan(documents: DataFrame, known: DataFrame, mention: str | None = MENTION) -> DataFrame:
     """One row per document: doc_id, digest, license (of the whole text, or null), notices (licences of its lines, sorted,
-    comma-joined), n_notices (lines that are a known notice)."""
+    comma-joined), n_notices (lines that are a known notice). Lines that match ``mention`` are looked up; all of them
+    where it is None."""
     if known.limit(shared.BROADCAST_ROWS + 1).count() <= shared.BROADCAST_ROWS:
         known = F.broadcast(known)
     text = shared.texts(documents).withColumn("text", F.coalesce("text", F.lit("")))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, UPPER, LOWER).rlike(MENTION))
-    units = text.select("doc_id", digest(F.col("text")).alias("whole"), F.array_append(F.transform(lines, lambda x: F.struct(F.lit(1).alias("line"), digest(x).alias("digest"))), F.struct(F.lit(0).alias("line"), digest(F.col("text")).alias("digest"))).alias("u"))
-    flat = units.select("doc_id", "whole", F.explode("u").alias("u")).select("doc_id", "whole", "u.line", "u.digest")
+    every = F.split("text", "\n", -1)
+    if mention is None:
+        lines = every
+    else:
+        asked = F.filter(every, lambda x: F.translate(x, UPPER, LOWER).rlike(mention))
+        lines = F.when(F.translate("text", UPPER, LOWER).rlike(mention), asked)
+    units = text.select("doc_id", digest(F.col("text")).alias("whole"), F.transform(lines, digest).alias("lines"))
+    own = F.array(F.struct(F.lit(0).alias("line"), F.col("whole").alias("digest")))
+    noted = F.transform(F.coalesce("lines", F.array().cast("array<string>")), lambda x: F.struct(F.lit(1).alias("line"), x.alias("digest")))
+    flat = units.select("doc_id", "whole", F.explode(F.concat(own, noted)).alias("u")).select("doc_id", "whole", "u.line", "u.digest")
     hit = flat.join(known, "digest", "left")
     line = (F.col("line") == 1) & F.col("license").isNotNull()
     return hit.groupBy("doc_id", "whole").agg(
@@ -105,7 +122,7 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_canonical(x: str) -> str:
     out = f"translate(COALESCE({x}, ''), '{UPPER}', '{LOWER}')"
     out = f"regexp_replace({out}, '{COPYRIGHT_LINE}', '\\1', 'g')"
-    out = f"regexp_replace({out}, '{RESERVED}', ' ', 'g')"
+    out = f"replace({out}, '{RESERVED}', ' ')"
     for a, b in SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
     return f"trim(regexp_replace({out}, '{OTHER}', ' ', 'g'))"
