@@ -37,8 +37,9 @@ WORDS = 5
 SKETCH = 64
 PERCENT = 75
 SHORT_LIST = 16
-#: Members and shingles of a block of a crowd; pairs and shingles that meet one first document in one group.
+#: Members and shingles of a block of a crowd; pairs that meet one first document in one group.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+GROUP = 128
 
 
 def shingle_sets(piece: kernel.Piece, words: int = WORDS) -> list[np.ndarray]:
@@ -191,7 +192,7 @@ def verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, percent: i
 
     full = shared.written(full_sets(documents, reps, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
     sized = pairs.join(reps.select(F.col("rep").alias("b"), "n").hint("merge"), "b")
-    loads = sized.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    loads = sized.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     loads = shared.written(loads)
     dealt = pairs.join(loads.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
     others = dealt.join(full.withColumnRenamed("rep", "b").hint("merge"), "b").select("a", "part", "b", "items")
