@@ -25,13 +25,14 @@ def chart_prices(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("close is not null and d is not null")
 
 
-def company_facts(spark: SparkSession, path: str, tags: list[str], forms: list[str], unit: str = "USD") -> DataFrame:
-    """cik, taxonomy, tag, start, end, val, filed, form, pos: listed tags and forms only; filers without any listed tag are gone."""
+def company_facts(spark: SparkSession, path: str, tags: list[str], forms: list[str], unit: str = "USD", relabel: dict[str, str] | None = None) -> DataFrame:
+    """cik, taxonomy, tag, start, end, val, filed, form, pos: listed tags and forms only; filers without any listed tag are gone.
+    ``relabel`` names foreign forms as the domestic ones that they stand for."""
     raw = spark.read.schema(FACTS).option("multiLine", True).json(path)
     by_tag = raw.select("cik", F.explode("facts").alias("taxonomy", "t")).select("cik", "taxonomy", F.explode("t").alias("tag", "u")).where(F.col("tag").isin(tags))
-    rows = by_tag.select("cik", "taxonomy", "tag", F.posexplode(F.col("u.units")[unit]).alias("pos", "f")).where(F.col("f.form").isin(forms))
+    rows = by_tag.select("cik", "taxonomy", "tag", F.posexplode(F.col("u.units")[unit]).alias("pos", "f")).withColumn("form", F.coalesce(*[F.when(F.col("f.form") == a, F.lit(b)) for a, b in (relabel or {}).items()], F.col("f.form"))).where(F.col("form").isin(forms))
     date = lambda c: F.try_to_date(c) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(c))
-    return rows.select("cik", "taxonomy", "tag", date(F.col("f.start")).alias("start"), date(F.col("f.end")).alias("end"), "f.val", date(F.col("f.filed")).alias("filed"), "f.form", "pos").where("end is not null and filed is not null and val is not null")
+    return rows.select("cik", "taxonomy", "tag", date(F.col("f.start")).alias("start"), date(F.col("f.end")).alias("end"), "f.val", date(F.col("f.filed")).alias("filed"), "form", "pos").where("end is not null and filed is not null and val is not null")
 
 
 def insider_tables(spark: SparkSession, submissions: str, owners: str, trades: str) -> DataFrame:
@@ -61,6 +62,20 @@ def holdings_xml(spark: SparkSession, path: str) -> DataFrame:
     return t.select("cusip", F.col("nameOfIssuer").alias("name"), "value", F.col("shrsOrPrnAmt.sshPrnamt").alias("shares"), F.col("shrsOrPrnAmt.sshPrnamtType").alias("kind"), F.col("putCall").alias("option"))
 
 
+def filing_pairs(filings: DataFrame, form: str) -> DataFrame:
+    """fund, period, accession, prior_accession: filings (fund, accession, filed, form, period) of exactly this form, the last of each
+    period, with the one of the fund's period before."""
+    last = filings.where(F.col("form") == form).groupBy("fund", "period").agg(F.max(F.struct("filed", "accession"))["accession"].alias("accession"))
+    return last.withColumn("prior_accession", F.lag("accession").over(Window.partitionBy("fund").orderBy("period")))
+
+
+def industry_codes(spark: SparkSession, path: str) -> DataFrame:
+    """cik (ten figures), sic of submissions documents; a code that is no number is NULL. The last of a filer's documents
+    in order of code wins."""
+    rows = spark.read.schema("cik string, sic string").json(path).where("cik is not null")
+    return rows.groupBy(F.lpad("cik", 10, "0").alias("cik")).agg(F.max(F.col("sic").try_cast("int")).alias("sic"))
+
+
 def pipe_fails(spark: SparkSession, path: str) -> DataFrame:
     """settled, cusip, symbol from pipe-separated text; headers, short and blank lines are skipped."""
     p = F.split("value", r"\|")
