@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.columns import ratio
+from stockloom.operators import merge as M
+from stockloom.operators import predicates as Q
 
 
 def flow(trades: DataFrame, floor: float = 0.0) -> DataFrame:
@@ -112,6 +114,75 @@ def matched_items(items: Column, sets: list[list[str]]) -> Column:
     return F.coalesce(*[F.when(F.size(F.array_except(F.array(*map(F.lit, s)), items)) == 0, F.array(*map(F.lit, sorted(s)))) for s in sets])
 
 
+def stakes(records: DataFrame, drop_shells: bool = True, drop_affiliates: bool = True, boost: float = 0.2) -> DataFrame:
+    """Initial stakes (ticker, cik, subject, activist, form, accession, pos, pct) to one row per ticker: activists, marquee (the
+    first known one by name), strength, cik and subject of the first record, stake (of the first with one). Placeholder
+    tickers, amendments, shells and filers that share a distinctive word with the subject drop out."""
+    keep = Q.initial_form(F.col("form")) & M.real_ticker(F.col("ticker")).isNotNull()
+    if drop_shells:
+        keep = keep & ~Q.shell_name(F.col("subject"))
+    if drop_affiliates:
+        keep = keep & ~Q.affiliate(F.col("activist"), F.col("subject"))
+    rows = records.where(keep).withColumn("ticker", M.real_ticker(F.col("ticker"))).withColumn("activist", F.coalesce("activist", F.lit("")))
+    by_name = rows.groupBy("ticker", "activist").agg(
+        F.min(F.struct("pos", "cik", "subject")).alias("first"), F.min(F.when(F.col("pct").isNotNull(), F.struct("pos", "pct"))).alias("stake"))  # a hot ticker is first summed by filer
+    known = by_name.withColumn("marquee", Q.marquee(F.col("activist")))
+    g = known.groupBy("ticker").agg(F.count("*").alias("activists"), F.min_by("marquee", F.when(F.col("marquee").isNotNull(), F.col("activist"))).alias("marquee"), F.min("first").alias("first"), F.min("stake").alias("stake"))
+    more = F.when(F.col("marquee").isNotNull(), boost).otherwise(0.0) + F.least(F.lit(0.1), 0.05 * (F.col("activists") - 1))
+    return g.select("ticker", "first.cik", "first.subject", "activists", "marquee", F.least(F.lit(1.0), 0.7 + more).alias("strength"), F.col("stake.pct").alias("pct"))
+
+
+#: Items of which all must be there, items that veto, and the code of blank-cheque companies.
+POCKET_ITEMS = [["1.01", "3.03"]]
+VETO_ITEMS = ["1.03", "2.04", "2.05", "2.06", "3.01", "4.02", "5.01"]
+BLANK_CHEQUE = "6770"
+
+
+def _reports(rows: DataFrame) -> DataFrame:
+    """Exact 8-K rows with an accession, the first of each."""
+    return M.first_by(rows.where("file_type = '8-K' and adsh <> ''"), ["adsh"], ["pos"])
+
+
+def pocket(rows: DataFrame, directory: DataFrame, denied: DataFrame, item_sets: list[list[str]] = POCKET_ITEMS, drop_shells: bool = True) -> DataFrame:
+    """Reports (adsh, file_type, items, sics, name, cik, file_date, pos) to one event per ticker and day: ticker, file_date, adsh,
+    cik, matched. In this order: amendments drop, repeated accessions, reports without an item set, blank-cheque codes, shell
+    names, filers that the directory (cik, ticker) does not resolve, denied tickers and those with a suffix of uncommon stock,
+    then all but the first of a ticker and day."""
+    matched = _reports(rows).withColumn("matched", all_matched(item_codes(F.col("items")), item_sets)).where("matched is not null")
+    clean = matched.where(~F.coalesce(F.array_contains("sics", BLANK_CHEQUE), F.lit(False)))
+    if drop_shells:
+        clean = clean.where(~Q.shell_name(F.col("name")))
+    named = clean.join(directory.select("cik", F.upper("ticker").alias("ticker")), "cik").where(~M.not_common(F.col("ticker")))
+    allowed = named.join(denied.select(F.upper("ticker").alias("ticker")).distinct(), "ticker", "left_anti")
+    return M.first_by(allowed, ["ticker", "file_date"], ["pos"]).select("ticker", "file_date", "adsh", "cik", "matched")
+
+
+def vetoes(rows: DataFrame, directory: DataFrame, items: list[str] = VETO_ITEMS) -> DataFrame:
+    """Reports with a negative item: ticker, cik, adsh, file_date, items; only amendments, repeats and unresolved filers drop."""
+    hit = F.array_sort(F.array_intersect(item_codes(F.col("items")), F.array(*map(F.lit, items))))
+    return _reports(rows).withColumn("hit", hit).where(F.size("hit") > 0).join(directory.select("cik", F.upper("ticker").alias("ticker")), "cik").select("ticker", "cik", "adsh", "file_date", F.col("hit").alias("items"))
+
+
+def all_matched(items: Column, sets: list[list[str]]) -> Column:
+    """Sorted codes of all sets that are there in full; NULL if none is."""
+    found = F.array_distinct(F.flatten(F.filter(F.array(*[F.when(F.size(F.array_except(F.array(*map(F.lit, s)), items)) == 0, F.array(*map(F.lit, s))) for s in sets]), lambda x: x.isNotNull())))
+    return F.when(F.size(found) > 0, F.array_sort(found))
+
+
+def earnings_summary(reports: DataFrame, calendar: DataFrame, today: Column, newest: int = 8) -> DataFrame:
+    """Per ticker from reports (ticker, period, surprise) and a calendar (ticker, day, actual): surprises newest first (``newest`` at
+    most), quarters, beats, last_surprise; next_day (first of today or later without an actual), last_report (last calendar
+    day up to today with an actual, else the newest period, then estimated)."""
+    w = Window.partitionBy("ticker").orderBy(F.desc("period"))
+    placed = reports.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= newest)
+    items = F.transform(F.array_sort(F.collect_list(F.when(F.col("surprise").isNotNull(), F.struct("__n", "surprise")))), lambda x: x["surprise"])  # `newest` at most
+    r = placed.groupBy("ticker").agg(items.alias("surprises"), F.count_if(F.col("surprise") > 0).alias("beats"), F.max("period").alias("period"))
+    c = calendar.groupBy("ticker").agg(F.min(F.when((F.col("day") >= today) & F.col("actual").isNull(), F.col("day"))).alias("next_day"), F.max(F.when((F.col("day") <= today) & F.col("actual").isNotNull(), F.col("day"))).alias("told"))
+    j = r.join(c, "ticker", "full")
+    some = F.size(F.coalesce("surprises", F.array().cast("array<double>"))) > 0
+    return j.select("ticker", "surprises", F.when(some, F.size("surprises")).alias("quarters"), F.when(some, F.col("beats")).alias("beats"), F.get("surprises", F.lit(0)).alias("last_surprise"), "next_day", F.coalesce("told", "period").alias("last_report"), F.col("told").isNull().alias("estimated"))
+
+
 def form_flag(form: Column, rules: list[tuple[str, str]]) -> Column:
     """The flag of the first prefix that fits; amendments count with their form."""
     return F.coalesce(*[F.when(form.startswith(p), F.lit(flag)) for p, flag in rules])

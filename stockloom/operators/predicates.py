@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from stockloom.functions.columns import ratio
 
-#: Words that mark a blank-cheque company or shell.
-SHELL_WORDS = ["acquisition corp", "acquisition company", "blank check", "capital corp", "merger corp", "spac"]
+#: Words that mark a blank-cheque company or shell; words that do not tell filers apart; known activists by fragments.
+SHELL_WORDS = ["acquisition corp", "acquisition company", "acquisition holdings", "blank check", "spac"]
+GENERIC_WORDS = "llc lp inc corp co company capital management mgmt partners holdings holding group fund funds trust ltd plc the and advisors associates investment investments value global master".split()
+MARQUEE = {
+    "Elliott": ("elliott",), "Icahn": ("icahn",), "Starboard": ("starboard",), "Trian": ("trian",), "Pershing Square": ("pershing square", "pershing"), "ValueAct": ("valueact", "value act"), "Third Point": ("third point",),
+    "Jana": ("jana partners", "jana"), "Engine Capital": ("engine capital",), "Engaged Capital": ("engaged capital",), "Sachem Head": ("sachem head",), "Corvex": ("corvex",), "Ancora": ("ancora",), "Legion": ("legion partners",), "Politan": ("politan",),
+}
+INITIAL_FORMS, AMENDED_FORMS = ("SCHEDULE 13D", "SC 13D"), ("SCHEDULE 13D/A", "SC 13D/A")
+
+
+def plain_name(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", " "))
 
 
-def shell_name(c: Column) -> Column:
-    return F.lower(c).rlike("|".join(SHELL_WORDS))
+def shell_name(c: Column, words: list[str] = SHELL_WORDS) -> Column:
+    return plain_name(c).rlike("|".join(words))
 
 
-def affiliate(a: Column, b: Column, least: int = 4) -> Column:
-    """Two names that share a distinctive word."""
-    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) >= least)
+def affiliate(a: Column, b: Column, generic: list[str] = GENERIC_WORDS, least: int = 3) -> Column:
+    """Two names that share a distinctive word: of three letters or more and not one of the generic ones."""
+    words = lambda c: F.filter(F.split(plain_name(c), " +"), lambda w: (F.length(w) >= least) & ~w.isin(generic))
     return F.arrays_overlap(words(a), words(b))
 
 
-def initial_form(form: Column) -> Column:
-    return ~form.endswith("/A")
+def marquee(c: Column, known: dict[str, tuple[str, ...]] = MARQUEE) -> Column:
+    """The first known activist of whose fragments the name holds one, or NULL."""
+    n = plain_name(c)
+    return F.coalesce(*[F.when(n.rlike("|".join(parts)), F.lit(name)) for name, parts in known.items()])
+
+
+def initial_form(form: Column, forms: tuple[str, ...] = INITIAL_FORMS) -> Column:
+    return F.coalesce(F.upper(F.trim(form)).isin(*forms), F.lit(False))
+
+
+def amended_form(form: Column) -> Column:
+    return initial_form(form, AMENDED_FORMS)
 
 
 def trade_kind(code: Column) -> Column:
@@ -34,20 +60,40 @@ def role_tier(title: Column) -> Column:
     return F.when(t.contains("chief") | t.contains("ceo") | t.contains("cfo") | t.contains("urgent"), 3).when(t.contains("director") | t.contains("high"), 2).otherwise(1)
 
 
-def stake_percent(c: Column) -> Column:
-    """Largest percentage in (0, 100] in a text, tags stripped."""
-    plain = F.regexp_replace(c, "<[^>]+>", " ")
-    found = F.transform(F.regexp_extract_all(plain, F.lit(r"(\d{1,3}(?:\.\d+)?)\s*%"), 1), lambda x: x.cast("double"))
-    return F.array_max(F.filter(found, lambda x: (x > 0) & (x <= 100)))
+#: Where documents state a percentage of a class, tagged and in text.
+TAGGED_PERCENT = r"(?i)<(?:\w+:)?percentOfClass>\s*([0-9]{1,3}(?:\.[0-9]+)?)\s*%?\s*<"
+WRITTEN_PERCENT = r"(?is)PERCENT\s+OF\s+CLASS[^%]{0,400}?([0-9]{1,3}(?:\.[0-9]+)?)\s*%"
+
+
+def stake_percent(c: Column, tagged: str = TAGGED_PERCENT, written: str = WRITTEN_PERCENT) -> Column:
+    """Largest percentage in (0, 100] that a document states: its tagged ones if it has any, else those in its text, tags
+    stripped. NULL rather than a guess."""
+    best = lambda found: F.array_max(F.filter(F.transform(found, lambda x: x.cast("double")), lambda x: (x > 0) & (x <= 100)))
+    xml = F.regexp_extract_all(c, F.lit(tagged), 1)
+    plain = F.regexp_extract_all(F.regexp_replace(c, "<[^>]+>", " "), F.lit(written), 1)
+    return F.when(F.size(xml) > 0, best(xml)).otherwise(best(plain))
+
+
+@F.pandas_udf(StringType())
+def _unescaped(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """HTML entities decoded once, then NFKC: neither has a built-in."""
+    for t in texts:
+        yield t.map(lambda x: None if x is None else unicodedata.normalize("NFKC", html.unescape(x)))
 
 
 def safe_text(c: Column, limit: int) -> Column:
-    """Control and format characters out, white space collapsed, cut."""
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(c, r"[\p{Cc}\p{Cf}]", " "), r"\s+", " ")), 1, limit)
+    """Third-party text made safe: entities decoded, NFKC, white space collapsed, control and format characters removed, cut
+    with an ellipsis. Only texts with an entity or a character outside ASCII pass through Python."""
+    odd = c.rlike(r"&[#A-Za-z]|[^\x00-\x7F]")
+    whole = F.when(odd, _unescaped(F.when(odd, c))).otherwise(c)
+    out = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(whole, F.lit("")), r"[\s\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "), r"[\p{Cc}\p{Cf}]", ""))
+    return F.when(F.length(out) <= limit, out).otherwise(F.concat(F.rtrim(F.substring(out, 1, limit - 1)), F.lit("…")))
 
 
 def safe_url(c: Column) -> Column:
-    return F.when(F.lower(c).rlike("^https?://"), c)
+    """An http(s) address without white space, control or format characters; else empty."""
+    u = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(u.rlike(r"(?i)^https?://\S+$") & ~u.rlike(r"[\p{Cc}\p{Cf}]"), u).otherwise("")
 
 
 def change_key(*cs: Column) -> Column:

@@ -79,10 +79,13 @@ def snapshots(s, d):
     return T.own_snapshots(view(s, d, "facts"), 450).groupBy("cik", "as_of").agg(F.count("*").alias("n"), F.round(F.sum("val"), 2).alias("total"))
 
 
-@register("pit11_filing_pair", "SELECT CONCAT(lang, '-', source) AS filer, MAX(doc_id) AS doc_id, MAX(doc_id) FILTER (k = 2) AS prior_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, source ORDER BY doc_id DESC) AS k FROM documents WHERE doc_id % 1000 < 900) WHERE k <= 2 GROUP BY ALL")
+@register("pit11_filing_pair", """WITH f AS (SELECT CONCAT(lang, '-', source) AS filer, doc_id, DATE '2000-01-01' + CAST(n_chars AS INT) AS filed FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND NOT contains(text, '$'))
+SELECT filer, MAX(doc_id) FILTER (k = 1) AS doc_id, MAX(doc_id) FILTER (k = 2) AS prior_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY filer ORDER BY filed DESC, doc_id DESC) AS k FROM f WHERE filed <= DATE '2010-01-01') WHERE k <= 2 GROUP BY filer""")
 def pair(s, d):
-    docs = table(s, d, "documents").where("lang is not null and source is not null").select(F.concat_ws("-", "lang", "source").alias("filer"), (F.col("doc_id") % 1000).alias("x"), F.col("doc_id").alias("filed"), "doc_id")
-    return T.filings_before(docs, F.when(F.col("x") < 900, F.col("filed")))
+    """The length of a text stands for its day; one with a dollar sign for a filing of another form."""
+    docs = table(s, d, "documents").where("lang is not null and source is not null and not contains(text, '$')")
+    filed = F.date_add(F.lit("2000-01-01").cast("date"), F.col("n_chars").cast("int"))
+    return T.filings_before(docs.select(F.concat_ws("-", "lang", "source").alias("filer"), filed.alias("filed"), "doc_id"), F.lit("2010-01-01").cast("date"))
 
 
 @register("pit14_completeness", cte("facts") + f", {_AS_OF}{_WIDE} SELECT cik, as_of, fy_end, ROUND((CASE WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN b IS NULL THEN 0 ELSE 1 END + CASE WHEN c IS NULL THEN 0 ELSE 1 END) / 3.0, 6) AS coverage, list_filter([CASE WHEN a IS NULL THEN 'a' END, CASE WHEN b IS NULL THEN 'b' END, CASE WHEN c IS NULL THEN 'c' END], lambda x: x IS NOT NULL) AS missing FROM w")
@@ -245,10 +248,12 @@ def top_kept(s, d):
     return E.top_kept(rows, names, denied, 5).select("fund", "q", "ticker", _r("strength"), "place")
 
 
-@register("flt04_item_sets", "WITH x AS (SELECT event_id, list_distinct([CAST(1 + event_id % 3 AS VARCHAR) || '.0' || (1 + event_id % 2), '2.02']) AS items FROM events) SELECT event_id, CASE WHEN list_contains(items, '1.01') AND list_contains(items, '2.02') THEN ['1.01', '2.02'] WHEN list_contains(items, '3.01') THEN ['3.01'] END AS matched FROM x")
+@register("flt04_item_sets", "WITH x AS (SELECT user_id, CAST(ts AS DATE) AS day, list_sort(list_distinct(list(CASE event_type WHEN 'view' THEN '1.01' WHEN 'click' THEN '3.03' WHEN 'purchase' THEN '2.02' WHEN 'error' THEN '4.02' ELSE '9.01' END))) AS items FROM events GROUP BY ALL) SELECT user_id, day, CASE WHEN list_has_all(items, ['1.01', '3.03']) OR list_has_all(items, ['4.02']) THEN list_sort(list_distinct(CASE WHEN list_has_all(items, ['1.01', '3.03']) THEN ['1.01', '3.03'] ELSE [] END || CASE WHEN list_contains(items, '4.02') THEN ['4.02'] ELSE [] END)) END AS matched FROM x")
 def item_sets(s, d):
-    text = F.concat(F.lit("Item "), (1 + F.col("event_id") % 3).cast("string"), F.lit(".0"), (1 + F.col("event_id") % 2).cast("string"), F.lit(" and Item 2.02, Item 2.02"))
-    return table(s, d, "events").select("event_id", E.matched_items(E.item_codes(text), [["2.02", "1.01"], ["3.01"]]).alias("matched"))
+    """What a user did on a day, written as item codes; two sets of codes are looked for."""
+    code = F.create_map(*[F.lit(x) for p in (("view", "Item 1.01"), ("click", "Item 3.03"), ("purchase", "Item 2.02"), ("error", "Item 4.02")) for x in p])
+    days = table(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_join(F.collect_list(F.coalesce(code[F.col("event_type")], F.lit("Item 9.01"))), ", ").alias("text"))
+    return days.select("user_id", "day", E.all_matched(E.item_codes(F.col("text")), [["3.03", "1.01"], ["4.02"]]).alias("matched"))
 
 
 @register("flt05_form_flag", "SELECT event_id, CASE WHEN starts_with(event_type, 'p') THEN 'deal' WHEN starts_with(event_type, 'cl') THEN 'report' WHEN starts_with(event_type, 'c') THEN 'other' END AS flag FROM events")

@@ -66,10 +66,10 @@ def summed_concepts(s, d):
     return files.summed_concepts(_concepts(s, d), ["1-URGENT", "2-HIGH", "3-MEDIUM"]).select("cik", F.col("end").alias("yr"), _r("val", 2))
 
 
-@register("src20_fetch_status", "SELECT event_type AS source, CASE MIN(CASE WHEN event_id % 97 = 1 THEN 0 WHEN event_id % 50 = 1 THEN 1 WHEN event_id % 7 = 1 THEN 2 ELSE 3 END) WHEN 0 THEN 'limit' WHEN 1 THEN 'throttled' WHEN 2 THEN 'error' ELSE 'ok' END AS status FROM events WHERE user_id > 140 GROUP BY 1")
+@register("src20_fetch_status", "SELECT event_type || ':' || user_id AS source, CASE MIN(CASE WHEN event_id % 97 = 1 THEN 0 WHEN event_id % 50 = 1 THEN 1 WHEN event_id % 7 = 1 THEN 2 ELSE 3 END) WHEN 0 THEN 'limit' WHEN 1 THEN 'throttled' WHEN 2 THEN 'error' ELSE 'ok' END AS status FROM events GROUP BY 1")
 def fetch_status(s, d):
     error = F.when(F.col("event_id") % 97 == 1, "http 402").when(F.col("event_id") % 50 == 1, "429 slow down").when(F.col("event_id") % 7 == 1, "broken 4021")
-    return files.fetch_status(table(s, d, "events").where("user_id > 140").select(F.col("event_type").alias("source"), error.alias("error")))
+    return files.fetch_status(table(s, d, "events").select(F.concat_ws(":", "event_type", "user_id").alias("source"), error.alias("error")))
 
 
 @register("src17_vendor_statements", "WITH i AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, l_orderkey * 10 + l_linenumber AS pos, l_extendedprice AS income FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, l_orderkey * 10 + l_linenumber AS pos, l_quantity AS assets FROM lineitem WHERE l_linenumber = 2) SELECT x.ticker, x.date, income, assets FROM (SELECT ticker, date, ARG_MIN(income, pos) AS income FROM i GROUP BY ALL) x LEFT JOIN (SELECT ticker, date, ARG_MIN(assets, pos) AS assets FROM b GROUP BY ALL) y ON x.ticker = y.ticker AND x.date = y.date")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockloom.bindings import cte, table, view
 from stockloom.catalog import register
 from stockloom.functions import columns as C
+from stockloom.operators import events as E
 from stockloom.operators import merge as M
 from stockloom.operators import peers as G
 from stockloom.operators import predicates as Q
@@ -23,10 +24,21 @@ def ticker_form(s, d):
     return view(s, d, "names").select("id", M.real_ticker(t).alias("ticker"), M.well_formed(t).alias("good"), M.not_common(t).alias("odd"))
 
 
-@register("flt06_shell_and_affiliate", "SELECT p_partkey AS id, regexp_matches(lower(p_name || ' corp'), 'acquisition corp|acquisition company|blank check|capital corp|merger corp|spac') AS shell, list_has_any(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: length(w) >= 4), list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda w: length(w) >= 4)) AS affiliate FROM part")
+_PLAIN = "trim(regexp_replace(lower({0}), '[^a-z0-9 ]', ' ', 'g'))"
+_TELLING = "list_filter(regexp_split_to_array(" + _PLAIN + ", ' +'), lambda w: length(w) >= 3 AND w NOT IN (" + ", ".join(f"'{w}'" for w in Q.GENERIC_WORDS) + "))"
+
+
+@register("flt06_shell_and_affiliate", f"""WITH n AS (SELECT p_partkey AS id, p_name || CASE p_size % 5 WHEN 0 THEN ' Acquisition Corp.' WHEN 1 THEN ' Capital, L.P.' WHEN 2 THEN ' Starboard Fund' ELSE ' Group' END AS a, p_type || ' ' || p_name || ' Holding' AS b, p_brand || ' Partners the Group' AS c, CASE p_size % 3 WHEN 0 THEN ' sc 13d' WHEN 1 THEN 'SCHEDULE 13D/A' ELSE '8-K' END AS form FROM part)
+SELECT id, regexp_matches({_PLAIN.format("a")}, 'acquisition corp|acquisition company|acquisition holdings|blank check|spac') AS shell, list_has_any({_TELLING.format("a")}, {_TELLING.format("b")}) AS affiliate, list_has_any({_TELLING.format("a")}, {_TELLING.format("c")}) AS generic_only,
+CASE WHEN contains(lower(a), 'starboard') THEN 'Starboard' END AS marquee, upper(trim(form)) IN ('SCHEDULE 13D', 'SC 13D') AS initial, upper(trim(form)) IN ('SCHEDULE 13D/A', 'SC 13D/A') AS amended FROM n""")
 def shells(s, d):
-    p = table(s, d, "part")
-    return p.select(F.col("p_partkey").alias("id"), Q.shell_name(F.concat("p_name", F.lit(" corp"))).alias("shell"), Q.affiliate(F.col("p_name"), F.col("p_type")).alias("affiliate"))
+    """Names and forms put together from the parts' columns."""
+    k = F.col("p_size") % 5
+    a = F.concat("p_name", F.when(k == 0, " Acquisition Corp.").when(k == 1, " Capital, L.P.").when(k == 2, " Starboard Fund").otherwise(" Group"))
+    form = F.when(F.col("p_size") % 3 == 0, " sc 13d").when(F.col("p_size") % 3 == 1, "SCHEDULE 13D/A").otherwise("8-K")
+    b, c = F.concat("p_type", F.lit(" "), "p_name", F.lit(" Holding")), F.concat("p_brand", F.lit(" Partners the Group"))
+    return table(s, d, "part").select(
+        F.col("p_partkey").alias("id"), Q.shell_name(a).alias("shell"), Q.affiliate(a, b).alias("affiliate"), Q.affiliate(a, c).alias("generic_only"), Q.marquee(a).alias("marquee"), Q.initial_form(form).alias("initial"), Q.amended_form(form).alias("amended"))
 
 
 @register("flt07_trade_kind", cte("insider") + " SELECT accession, CASE code WHEN 'P' THEN 'buy' WHEN 'S' THEN 'sell' ELSE 'award' END AS kind, CAST(CASE WHEN title LIKE '%URGENT%' THEN 3 WHEN title LIKE '%HIGH%' THEN 2 ELSE 1 END AS INT) AS tier FROM insider")
@@ -34,10 +46,12 @@ def trade_kind(s, d):
     return view(s, d, "insider").select("accession", Q.trade_kind(F.col("code")).alias("kind"), Q.role_tier(F.col("title")).alias("tier"))
 
 
-@register("flt08_stake_percent", r"SELECT page_id, list_max(list_filter(list_transform(regexp_extract_all(regexp_replace(html || ' ' || (page_id % 130) || '.5 %', '<[^>]+>', ' ', 'g'), '([0-9]{1,3}(?:\.[0-9]+)?)\s*%', 1), lambda x: CAST(x AS DOUBLE)), lambda x: x > 0 AND x <= 100)) AS stake FROM pages")
+@register("flt08_stake_percent", r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '(?i)href="[^"]*?([0-9]{1,3})"', 1) AS xml, regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '(?is)page=([0-9]{1,3})|([0-9]{1,3}(?:\.[0-9]+)?)\s*%', 2) AS txt FROM pages),
+v AS (SELECT page_id, list_filter(list_transform(CASE WHEN len(xml) > 0 THEN xml ELSE txt END, lambda x: TRY_CAST(x AS DOUBLE)), lambda x: x > 0 AND x <= 100) AS v FROM p) SELECT page_id, list_max(v) AS stake FROM v""".replace("\\\\", "\\"))
 def stake(s, d):
+    """Figures at the end of link targets stand for tagged percentages, those before a percent sign for written ones."""
     p = table(s, d, "pages")
-    return p.select("page_id", Q.stake_percent(F.concat("html", F.lit(" "), (F.col("page_id") % 130).cast("string"), F.lit(".5 %"))).alias("stake"))
+    return p.select("page_id", Q.stake_percent(F.col("html"), r'(?i)href="[^"]*?([0-9]{1,3})"', r"(?is)(?:page=[0-9]{1,3}|([0-9]{1,3}(?:\.[0-9]+)?)\s*%)").alias("stake"))
 
 
 @register("flt12_safe_text")
@@ -99,25 +113,65 @@ def twins(s, d):
     return Q.share_class_twins(m).select("ticker")
 
 
-@register("ev09_stakes", cte("insider") + """, r AS (SELECT *, CASE WHEN accession % 3 = 0 THEN accession % 40 + 0.5 END AS pct FROM insider WHERE value > 200000)
-SELECT ticker, COUNT(DISTINCT owner) AS filers, BOOL_OR(title = '1-URGENT') AS marquee, ARG_MIN(pct, accession) FILTER (pct IS NOT NULL) AS first_pct FROM r GROUP BY ticker""")
-def stakes(s, d):
-    r = view(s, d, "insider").where("value > 200000").withColumn("pct", F.when(F.col("accession") % 3 == 0, (F.col("accession") % 40 + F.lit(0.5)).cast("double")))
-    return r.groupBy("ticker").agg(F.count_distinct("owner").alias("filers"), F.bool_or(F.col("title") == "1-URGENT").alias("marquee"), F.min_by("pct", F.when(F.col("pct").isNotNull(), F.col("accession"))).alias("first_pct"))
+_ACTIVISTS = "['Elliott Capital', 'Icahn Partners', 'Jana LP', 'Blue Harbor', 'Quiet Fund', 'Brand Value']"
 
 
-@register("ev10_one_event_a_day", "SELECT user_id AS ticker, CAST(ts AS DATE) AS day, MIN(event_id) AS event_id FROM events WHERE event_type IN ('purchase', 'click') AND user_id % 10 <> 0 GROUP BY ALL")
+@register("ev09_stakes", f"""WITH r AS (SELECT CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' ELSE 'tk' || o_custkey % 50 END AS ticker, o_custkey AS cik, CASE o_orderpriority WHEN '1-URGENT' THEN 'Quiet Acquisition Corp' WHEN '2-HIGH' THEN 'Blue Ridge' ELSE 'Plain Name Inc' END AS subject, ({_ACTIVISTS})[CAST(1 + o_orderkey % 6 AS INT)] AS activist,
+  CASE o_orderstatus WHEN 'F' THEN 'SC 13D' WHEN 'O' THEN 'Schedule 13D' ELSE 'SC 13D/A' END AS form, o_orderkey AS pos, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 40 + 0.5 END AS pct FROM orders WHERE o_totalprice > 200000),
+k AS (SELECT *, upper(ticker) AS t FROM r WHERE upper(ticker) <> 'N/A' AND form <> 'SC 13D/A' AND subject <> 'Quiet Acquisition Corp' AND NOT (subject = 'Blue Ridge' AND activist = 'Blue Harbor')),
+g AS (SELECT t AS ticker, COUNT(DISTINCT activist) AS activists, MIN(activist) FILTER (activist IN ('Elliott Capital', 'Icahn Partners', 'Jana LP')) AS m, ARG_MIN(cik, pos) AS cik, ARG_MIN(subject, pos) AS subject, ARG_MIN(CAST(pct AS DOUBLE), pos) FILTER (pct IS NOT NULL) AS pct FROM k GROUP BY t)
+SELECT ticker, cik, subject, activists, str_split(m, ' ')[1] AS marquee, ROUND(LEAST(1.0, 0.7 + CASE WHEN m IS NULL THEN 0 ELSE 0.2 END + LEAST(0.1, 0.05 * (activists - 1))), 6) AS strength, pct FROM g""")
+def stakes(s, d):
+    """Orders above a value stand for filings; names, forms and percentages follow their columns."""
+    o, k = table(s, d, "orders").where("o_totalprice > 200000"), F.col("o_orderkey")
+    names = F.array(*[F.lit(x) for x in ("Elliott Capital", "Icahn Partners", "Jana LP", "Blue Harbor", "Quiet Fund", "Brand Value")])
+    records = o.select(
+        F.when(k % 17 == 0, "n/a").otherwise(F.concat(F.lit("tk"), F.col("o_custkey") % 50)).alias("ticker"), F.col("o_custkey").alias("cik"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "Quiet Acquisition Corp").when(F.col("o_orderpriority") == "2-HIGH", "Blue Ridge").otherwise("Plain Name Inc").alias("subject"), F.get(names, (k % 6).cast("int")).alias("activist"),
+        F.when(F.col("o_orderstatus") == "F", "SC 13D").when(F.col("o_orderstatus") == "O", "Schedule 13D").otherwise("SC 13D/A").alias("form"), k.alias("accession"), k.alias("pos"), F.when(k % 3 == 0, (k % 40 + F.lit(0.5)).cast("double")).alias("pct"))
+    return E.stakes(records).select("ticker", "cik", "subject", "activists", "marquee", _r("strength"), "pct")
+
+
+_REPORT = """r AS (SELECT 'a' || o_orderkey // 2 AS adsh, CASE o_orderstatus WHEN 'P' THEN '8-K/A' ELSE '8-K' END AS file_type, o_orderpriority AS items, o_custkey AS cik, CAST(o_orderdate AS DATE) AS file_date, o_orderkey AS pos, c_nationkey = 7 AS blank, c_mktsegment = 'MACHINERY' AS shell
+  FROM orders JOIN customer ON c_custkey = o_custkey), f AS (SELECT * FROM r WHERE file_type = '8-K' QUALIFY ROW_NUMBER() OVER (PARTITION BY adsh ORDER BY pos) = 1),
+dir AS (SELECT c_custkey AS cik, CASE WHEN c_custkey % 9 = 0 THEN 'ABCDW' ELSE 'TK' || c_custkey % 50 END AS ticker FROM customer WHERE c_acctbal > 0)"""
+
+
+def _reports(s, d):
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    codes = F.when(F.col("o_orderpriority") == "1-URGENT", "Item 1.01, Item 3.03, 9.01").when(F.col("o_orderpriority") == "2-HIGH", "2.02 4.02").when(F.col("o_orderpriority") == "3-MEDIUM", "1.01").when(F.col("o_orderpriority") == "5-LOW", "5.01, 3.01, 5.01")
+    rows = o.select(
+        F.concat(F.lit("a"), F.floor(F.col("o_orderkey") / 2)).alias("adsh"), F.when(F.col("o_orderstatus") == "P", "8-K/A").otherwise("8-K").alias("file_type"), codes.alias("items"), F.when(F.col("c_nationkey") == 7, F.array(F.lit("6770"))).alias("sics"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", "Some SPAC Ltd").otherwise(F.col("c_name")).alias("name"), F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("file_date"), F.col("o_orderkey").alias("pos"))
+    c = table(s, d, "customer").where("c_acctbal > 0")
+    directory = c.select(F.col("c_custkey").alias("cik"), F.when(F.col("c_custkey") % 9 == 0, "abcdw").otherwise(F.concat(F.lit("tk"), F.col("c_custkey") % 50)).alias("ticker"))
+    return rows, directory
+
+
+@register("ev10_report_pocket", "WITH " + _REPORT + """, deny AS (SELECT DISTINCT 'TK' || s_suppkey % 50 AS ticker FROM supplier WHERE s_acctbal < 0)
+SELECT ticker, file_date, adsh, f.cik, ['1.01', '3.03'] AS matched FROM f JOIN dir USING (cik) WHERE items = '1-URGENT' AND NOT blank AND NOT shell AND ticker <> 'ABCDW' AND ticker NOT IN (SELECT ticker FROM deny) QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker, file_date ORDER BY pos) = 1""")
 def pocket(s, d):
-    e = view(s, d, "news").where(F.col("event_type").isin("purchase", "click") & (F.col("ticker") % 10 != 0)).withColumn("day", F.to_date("ts"))
-    return M.first_by(e, ["ticker", "day"], ["event_id"]).select("ticker", "day", "event_id")
+    """Orders stand for reports, pairs of them for one accession; priorities for items, debtors for denied names."""
+    rows, directory = _reports(s, d)
+    denied = table(s, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("TK"), F.col("s_suppkey") % 50).alias("ticker"))
+    return E.pocket(rows, directory, denied)
+
+
+@register("ev10b_vetoes", "WITH " + _REPORT + " SELECT ticker, f.cik, adsh, file_date, CASE items WHEN '2-HIGH' THEN ['4.02'] ELSE ['3.01', '5.01'] END AS items FROM f JOIN dir USING (cik) WHERE items IN ('2-HIGH', '5-LOW')")
+def vetoes(s, d):
+    return E.vetoes(*_reports(s, d))
 
 
-@register("ev13_earnings_summary", cte("news") + """ SELECT ticker, list(ROUND(value - 50, 4) ORDER BY ts DESC, event_id DESC) AS surprises, COUNT_IF(value > 50) AS beats, CAST(MAX(ts) AS DATE) AS last_report FROM (SELECT * FROM news WHERE event_type = 'purchase' QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) <= 8) GROUP BY ticker""")
+@register("ev13_earnings_summary", cte("news") + """, r AS (SELECT ticker, ts AS period, CASE WHEN event_id % 7 <> 0 THEN ROUND(value - 50, 4) END AS sp, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY ts DESC) AS n FROM news WHERE event_type = 'purchase'),
+a AS (SELECT ticker, COALESCE(list(sp ORDER BY n) FILTER (sp IS NOT NULL), []) AS surprises, COUNT_IF(sp > 0) AS beats, MAX(period) AS period FROM r WHERE n <= 8 GROUP BY ticker),
+c AS (SELECT ticker, MIN(ts) FILTER (ts >= TIMESTAMP '2024-01-20' AND value < 50) AS next_day, MAX(ts) FILTER (ts <= TIMESTAMP '2024-01-20' AND value >= 50) AS told FROM news WHERE event_type = 'error' GROUP BY ticker)
+SELECT COALESCE(a.ticker, c.ticker) AS ticker, surprises, CASE WHEN len(surprises) > 0 THEN CAST(len(surprises) AS INT) END AS quarters, CASE WHEN len(surprises) > 0 THEN beats END AS beats, surprises[1] AS last_surprise, next_day, COALESCE(told, period) AS last_report, told IS NULL AS estimated FROM a FULL JOIN c ON a.ticker = c.ticker""")
 def earnings(s, d):
-    w = Window.partitionBy("ticker").orderBy(F.desc("ts"), F.desc("event_id"))
-    rows = view(s, d, "news").where("event_type = 'purchase'").withColumn("n", F.row_number().over(w)).where("n <= 8")
-    items = F.transform(F.array_sort(F.collect_list(F.struct("n", F.round(F.col("value") - 50, 4).alias("v")))), lambda x: x["v"])  # at most 8
-    return rows.groupBy("ticker").agg(items.alias("surprises"), F.count_if(F.col("value") > 50).alias("beats"), F.to_date(F.max("ts")).alias("last_report"))
+    """Purchases stand for reports, errors for the calendar: a value of 50 or more is an actual."""
+    e = view(s, d, "news")
+    reports = e.where("event_type = 'purchase'").select("ticker", F.col("ts").alias("period"), F.when(F.col("event_id") % 7 != 0, F.round(F.col("value") - 50, 4)).alias("surprise"))
+    calendar = e.where("event_type = 'error'").select("ticker", F.col("ts").alias("day"), F.when(F.col("value") >= 50, F.col("value")).alias("actual"))
+    return E.earnings_summary(reports, calendar, F.lit("2024-01-20").cast("timestamp"))
 
 
 @register("ev14_rating_revision", "WITH m AS (SELECT user_id AS ticker, date_trunc('week', ts) AS w, COUNT_IF(event_type = 'purchase') AS buy, COUNT(*) AS n FROM events GROUP BY ALL) SELECT ticker, ARG_MAX(buy, w) AS newest, ARG_MAX(buy, w) - ARG_MIN(buy, w) AS change FROM m GROUP BY ticker")
