@@ -4,8 +4,9 @@ Messages are rows (conv_id, turn, role, text). An assistant's text that is a JSO
 (a list of {id, name, arguments}) holds calls; a tool's text that is a JSON object with ``tool_call_id`` is a result.
 Calls and results are hash-joined by (conv_id, identifier); an argument that is the string ``$identifier`` makes a call
 depend on that call's result. Dependencies are levelled by repeated joins until nothing changes, which gives every row a
-place that no dependency comes after: order by (conv_id, sort_turn, depth, turn, part). Arguments are
-checked against the tools' JSON schemas, and every row is written as canonical JSON (sorted keys, no spaces).
+place that no dependency comes after: order by (conv_id, sort_turn, depth, turn, part). Each round of joins settles a level
+of all conversations at once, so there are as many rounds as the deepest chain has calls. Arguments are
+checked against the tools' JSON schemas (a dictionary, or a table of name and schema), and every row is written as canonical JSON (sorted keys, no spaces).
 One row comes out for each message, call and result; a conversation is never gathered, so one of any length is fine.
 
 Edge cases: null text is an empty message (no content field); text that is no such JSON stays a message; a repeated identifier
@@ -30,6 +31,8 @@ TOOLS = {
     "calculator": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}},
     "quote": {"type": "object", "required": ["ticker"], "properties": {"ticker": {"type": "string"}, "fields": {"type": "array", "items": {"type": "string"}}}},
 }
+#: Tools of a table that fit into every task.
+MOST_TOOLS = 100_000
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
@@ -38,26 +41,27 @@ def canonical(value: object) -> str:
 
 
 def fault(value: object, schema: dict, path: str = "$") -> str | None:
-    """The first violation of a schema (type, enum, required, properties, additionalProperties, items), or None."""
-    kind = schema.get("type")
-    if kind is not None:
-        ok = isinstance(value, _KINDS[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
-        if not ok:
-            return f"{path}: not {kind}"
-    if "enum" in schema and value not in schema["enum"]:
+    """The first violation of a schema (type, enum, required, properties, additionalProperties, items), or None; a part of a
+    schema that is not of its proper form, and an unknown type, ask for nothing."""
+    kinds = schema.get("type")
+    known = [k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str) and k in _KINDS]
+    if known and not any(isinstance(value, _KINDS[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in known):
+        return f"{path}: not {' or '.join(known)}"
+    if isinstance(schema.get("enum"), list) and value not in schema["enum"]:
         return f"{path}: not in enum"
     if isinstance(value, dict):
-        for name in schema.get("required", ()):
+        required = schema.get("required")
+        for name in required if isinstance(required, list) else ():
             if name not in value:
                 return f"{path}: {name} missing"
-        known = schema.get("properties", {})
+        known = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
         for name in sorted(value):
-            if name in known:
+            if isinstance(known.get(name), dict):
                 if why := fault(value[name], known[name], f"{path}.{name}"):
                     return why
-            elif schema.get("additionalProperties") is False:
+            elif name not in known and schema.get("additionalProperties") is False:
                 return f"{path}: {name} unknown"
-    if isinstance(value, list) and "items" in schema:
+    if isinstance(value, list) and isinstance(schema.get("items"), dict):
         for i, x in enumerate(value):
             if why := fault(x, schema["items"], f"{path}[{i}]"):
                 return why
@@ -137,9 +141,18 @@ def _levels(calls: DataFrame, results: DataFrame) -> DataFrame:
             return known
 
 
-def link(messages: DataFrame, tools: dict[str, dict] = TOOLS) -> DataFrame:
+def tools_of(table: DataFrame, bound: int = MOST_TOOLS) -> dict[str, dict]:
+    """The tools of a table (name, schema as JSON text). A schema that is no JSON object allows anything; of a name given twice the
+    first schema in order of text counts. At most ``bound`` tools, as every task holds them all."""
+    rows = table.where("name is not null").groupBy(F.col("name").cast("string").alias("name")).agg(F.min(F.col("schema").cast("string")).alias("schema")).limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} tools")
+    return {r["name"]: _object(r["schema"]) for r in rows}
+
+
+def link(messages: DataFrame, tools: dict[str, dict] | DataFrame = TOOLS) -> DataFrame:
     """conv_id, turn, part, kind, call_id, name, linked, valid, error, sort_turn, depth, json."""
-    rows = shared.written(parts(messages, tools))
+    rows = shared.written(parts(messages, tools_of(tools) if isinstance(tools, DataFrame) else tools))
     spot = F.struct("turn", "part")
     firsts = rows.where("kind <> 'message'").groupBy("conv_id", "call_id").agg(
         F.min(F.when(F.col("kind") == "call", spot)).alias("call_at"), F.min(F.when(F.col("kind") == "result", spot)).alias("result_at"))
