@@ -12,6 +12,7 @@ SQL = {
     "prices": "SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS d, ROUND(SUM(l_extendedprice) / SUM(l_quantity) + 0.0000123, 4) AS close FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE)",
     "market": "SELECT CAST(l_shipdate AS DATE) AS d, ROUND(SUM(l_extendedprice) / SUM(l_quantity) + 0.0000123, 4) AS close FROM lineitem GROUP BY CAST(l_shipdate AS DATE)",
     "facts": "SELECT o_custkey AS cik, o_orderpriority AS tag, MAKE_DATE(CAST(YEAR(o_orderdate) AS INT), 12, 31) AS fy_end, CAST(o_orderdate + INTERVAL 400 DAY AS DATE) AS filed, o_totalprice AS val, o_orderkey AS pos FROM orders",
+    "tagged": "SELECT CAST(FLOOR(o_custkey / 25) AS BIGINT) AS cik, CONCAT('T', CAST(o_orderkey % 27 AS INT)) AS tag, MAKE_DATE(CAST(YEAR(o_orderdate) AS INT), 12, 31) AS fy_end, CAST(o_orderdate + INTERVAL 400 DAY AS DATE) AS filed, ROUND(o_totalprice - 60000, 2) AS val, o_orderkey AS pos FROM orders",
     "stmts": "SELECT l_suppkey AS entity, CAST(YEAR(l_shipdate) AS INT) AS fiscal_year, ROUND(SUM(l_extendedprice * (1 - l_discount)) + 0.00003, 2) AS revenue, ROUND(SUM(l_extendedprice * (0.40 - l_discount)) + 0.00003, 2) AS gross_profit, ROUND(SUM(l_extendedprice * (0.05 - l_discount)) + 0.00003, 2) AS net_income, ROUND(SUM(l_extendedprice * (l_tax - 0.03)) + 0.00003, 2) AS operating_cash_flow, ROUND(SUM(CASE WHEN l_linestatus = 'O' THEN l_extendedprice ELSE 0 END), 2) AS total_debt, ROUND(SUM(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END), 2) AS total_equity, SUM(l_quantity) AS diluted_shares FROM lineitem GROUP BY l_suppkey, CAST(YEAR(l_shipdate) AS INT)",
     "insider": "SELECT o_orderkey AS accession, o_custkey AS owner, o_custkey % 50 AS ticker, CAST(o_orderdate AS DATE) AS d, CASE o_orderstatus WHEN 'P' THEN 'P' WHEN 'F' THEN 'S' ELSE 'A' END AS code, o_totalprice AS value, o_orderpriority AS title FROM orders",
     "book": "SELECT c.c_nationkey AS fund, CAST(YEAR(o.o_orderdate) * 4 + QUARTER(o.o_orderdate) AS INT) AS q, l.l_partkey % 100 AS cusip, ROUND(SUM(l.l_extendedprice), 2) AS value, SUM(l.l_quantity) AS shares FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_nationkey, CAST(YEAR(o.o_orderdate) * 4 + QUARTER(o.o_orderdate) AS INT), l.l_partkey % 100",
@@ -51,7 +52,7 @@ def _screen() -> str:
 
 
 SQL["screen"] = _screen()
-_TABLES = {"book": ("lineitem", "orders", "customer"), "facts": ("orders",), "insider": ("orders",), "filings": ("documents",), "news": ("events",), "names": ("part",)}
+_TABLES = {"book": ("lineitem", "orders", "customer"), "facts": ("orders",), "tagged": ("orders",), "insider": ("orders",), "filings": ("documents",), "news": ("events",), "names": ("part",)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -101,6 +101,52 @@ def residual_signal(rows: DataFrame, target: str, control: str, by: str = "m", l
     return ranked.join(fit, by).withColumn("residual", F.col("__y") - F.col("intercept") - F.col("slope") * F.col("__x")).drop("__x", "__y")
 
 
+def residuals(rows: DataFrame, target: str, controls: list[str], by: str = "m", least: int = 10, method: str = "rank") -> tuple[DataFrame, DataFrame]:
+    """(by, ticker, residual) of a per-date regression of the target on one or two controls, by average ranks or by level, and the
+    diagnostics: dates, mean r2, and for each control the mean and sample deviation of its slope. Dates with fewer complete names
+    than ``least`` or a singular design drop out."""
+    if len(controls) not in (1, 2) or method not in ("rank", "level"):
+        raise ValueError("one or two controls, by rank or level")
+    both = rows.where(" and ".join(f"{c} is not null" for c in (target, *controls)))
+    value = lambda c: average_rank(c, by) if method == "rank" else F.col(c).cast("double")
+    y = both.select(by, "ticker", value(target).alias("y"), *[value(c).alias(f"x{i}") for i, c in enumerate(controls)])
+    counted = y.groupBy(by).agg(F.count("*").alias("n"), F.var_pop("y").alias("vy"))
+    if len(controls) == 1:
+        fits = y.groupBy(by).agg(F.regr_intercept("y", "x0").alias("alpha"), F.when(F.var_pop("x0") > 1e-12, F.regr_slope("y", "x0")).alias("b0"))
+    else:
+        fits = two_regressor_ols(y, "y", "x0", "x1", by).withColumnsRenamed({"beta_a": "b0", "beta_b": "b1"})
+    slopes = [f"b{i}" for i in range(len(controls))]
+    good = fits.join(counted, by).where((F.col("n") >= least) & F.col("b0").isNotNull())
+    fitted = sum((F.col(f"b{i}") * F.col(f"x{i}") for i in range(len(controls))), F.col("alpha"))
+    out = y.join(good, by).withColumn("residual", F.col("y") - fitted)
+    r2 = out.groupBy(by).agg((1 - F.try_divide(F.var_pop("residual"), F.first("vy"))).alias("r2")).agg(F.count("*").alias("dates"), F.avg("r2").alias("mean_r2"))
+    told = good.agg(*[f(b).alias(f"{b}_{n}") for b in slopes for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    return out.select(by, "ticker", "residual"), r2.join(F.broadcast(told))  # one row each
+
+
+def report_frame(rows: DataFrame, breadth: int = 5, history: int = 12) -> DataFrame:
+    """The reports as they are shown: one row per signal and kind, mean, sd and ratio to four figures, t and hit rate to three."""
+    r = reports(rows, breadth, history)
+    figures = {"mean_ic": 4, "sd_ic": 4, "icir": 4, "t_stat": 3, "hit_rate": 3}
+    return r.select("signal", "kind", "n", *[F.round(c, n).alias(c) for c, n in figures.items()])
+
+
+def proposal(weights: DataFrame, block: Column) -> DataFrame:
+    """A fit (axis, prior, fitted) as a change of configuration: within a block of axes the fitted shares are spread over the block's own
+    weight, so other weights stay as they are: axis, prior, proposed."""
+    w = Window.partitionBy(F.lit(0))  # a handful of axes
+    inside = F.when(block, F.col("prior"))
+    share = F.try_divide(F.when(block, F.col("fitted")), F.sum(F.when(block, F.col("fitted"))).over(w))
+    return weights.select("axis", "prior", F.coalesce(share * F.sum(inside).over(w), F.col("prior")).alias("proposed"))
+
+
+def replay(cards: DataFrame, floor: float, names: tuple[str, ...]) -> DataFrame:
+    """Stored cards (ticker, day, confidence, composite, sub-scores) to signals (ticker, day, signal, value): the composite only at or
+    above a confidence, every sub-score that is there."""
+    kept = cards.select("ticker", "day", F.when(F.col("confidence") >= floor, F.col("composite").cast("double")).alias("composite"), *names)
+    return kept.unpivot(["ticker", "day"], ["composite", *names], "signal", "value").where("value is not null")
+
+
 def paired_difference(a: DataFrame, b: DataFrame, by: str = "m") -> DataFrame:
     """Mean and t of the difference of two IC series on their common dates."""
     d = a.select(by, F.col("ic").alias("a")).join(b.select(by, F.col("ic").alias("b")), by).where("a is not null and b is not null").withColumn("ic", F.col("a") - F.col("b"))

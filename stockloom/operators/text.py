@@ -91,6 +91,45 @@ def block_ratios(pairs: DataFrame, docs: DataFrame, part: int = 16) -> DataFrame
     return met.select("doc_id", "pos", best_ratio("key", "keys").alias("ratio")).groupBy("doc_id", "pos").agg(F.max("ratio").alias("ratio"))
 
 
+def added_blocks(pairs: DataFrame, docs: DataFrame, threshold: float = 0.5, most_blocks: int = 4, most_chars: int = 12_000) -> DataFrame:
+    """doc_id, pos, ratio, block: blocks of a document that are like none of its prior document's (best ratio below the threshold),
+    the first ``most_blocks`` of them, cut where all of them together (two line ends between) reach ``most_chars``. A prior document
+    without blocks is no baseline, so nothing is new against it."""
+    fresh = block_ratios(pairs, docs).where(F.col("ratio") < threshold)
+    based = numbered_blocks(docs).select(F.col("doc_id").alias("prior_doc_id")).distinct()
+    known = pairs.join(based, "prior_doc_id", "left_semi").select("doc_id")
+    rows = fresh.join(known, "doc_id", "left_semi").join(numbered_blocks(docs).where("key <> ''").select("doc_id", "pos", "block"), ["doc_id", "pos"])
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    first = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most_blocks)
+    before = F.coalesce(F.sum(F.length("block") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn("__left", F.lit(most_chars) - before).where("__left > 0").select("doc_id", "pos", "ratio", F.substring(F.col("block"), F.lit(1), F.col("__left").cast("int")).alias("block"))
+
+
+def select_notes(notes: DataFrame, families: list[tuple[str, str, str | None]], most: int, chars: int, budget: int) -> DataFrame:
+    """Notes (filing, pos, title, text) by title families (name, pattern, pattern of exclusions), in order: a note belongs to the first
+    family that takes it; per filing the first ``most`` by family and place, each cut to ``chars`` and all of a filing to ``budget``."""
+    title = F.lower("title")
+    takes = [F.when(title.rlike(p) & (~title.rlike(x) if x else F.lit(True)), F.lit(i)) for i, (_, p, x) in enumerate(families)]
+    rows = notes.withColumn("__f", F.coalesce(*takes)).where("__f is not null")
+    w = Window.partitionBy("filing").orderBy("__f", "pos")
+    kept = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).withColumn("__size", F.least(F.length("text"), F.lit(chars)))
+    before = F.coalesce(F.sum("__size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.greatest(F.lit(0), F.least(F.col("__size"), F.lit(budget) - before)).cast("int")
+    name = F.get(F.array(*[F.lit(n) for n, _, _ in families]), F.col("__f"))
+    return kept.select("filing", "pos", name.alias("family"), "place", F.substring(F.col("text"), F.lit(1), room).alias("text")).where("text <> ''")
+
+
+def rank_reports(reports: DataFrame, priority: list[str], since: Column, most: int) -> DataFrame:
+    """Exact 8-K reports (filer, id, form, filed, items) filed since a day that hold a wanted item: filer, id, filed, hits (wanted items,
+    in order of priority), rank (of the best), place: by rank, then the newest, then the id; ``most`` of each filer."""
+    order = F.array(*map(F.lit, priority))
+    hits = F.filter(order, lambda x: F.array_contains("items", x))
+    rows = reports.where((F.col("form") == "8-K") & (F.col("filed") >= since)).withColumn("hits", hits).where(F.size("hits") > 0)
+    rows = rows.withColumn("rank", F.array_position(order, F.get("hits", F.lit(0))) - 1)
+    w = Window.partitionBy("filer").orderBy("rank", F.desc("filed"), "id")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("filer", "id", "filed", "hits", "rank", "place")
+
+
 def length_bound(a: Column, b: Column) -> Column:
     """Upper bound of sequence_ratio by lengths alone."""
     return F.try_divide(2.0 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b))

@@ -57,10 +57,10 @@ def panel(s, d):
     return _wide(s, d)
 
 
-@register("pit07_taxed_return", cte("facts") + f", {_AS_OF}{_WIDE} SELECT cik, as_of, fy_end, ROUND(CASE WHEN COALESCE(c, 0) + a > 0 THEN a * (1 - COALESCE(CASE WHEN a > 0 THEN LEAST(0.5, GREATEST(0, b / a)) END, 0.21)) / (COALESCE(c, 0) + a) END, 6) AS roic FROM w")
+@register("pit07_taxed_return", cte("facts") + f", {_AS_OF}{_WIDE} SELECT cik, as_of, fy_end, ROUND(CASE WHEN c + a > 0 THEN a * (1 - CASE WHEN c > 0 AND b / c BETWEEN 0 AND 0.5 THEN b / c ELSE 0.21 END) / (c + a) END, 6) AS roic FROM w")
 def taxed(s, d):
     c = F.col
-    return _wide(s, d).select("cik", "as_of", "fy_end", F.round(T.taxed_return(c("a"), c("b"), c("a"), c("c"), c("a")), 6).alias("roic"))
+    return _wide(s, d).select("cik", "as_of", "fy_end", F.round(T.taxed_return(c("a"), c("b"), c("c"), c("c"), c("a")), 6).alias("roic"))
 
 
 @register("pit08_fiscal_bucket", cte("facts") + f", {_AS_OF}{_WIDE} SELECT cik, as_of, fy_end, CAST(YEAR(fy_end - 182) AS INT) AS bucket FROM w QUALIFY ROW_NUMBER() OVER (PARTITION BY cik, as_of, YEAR(fy_end - 182) ORDER BY fy_end DESC) = 1")

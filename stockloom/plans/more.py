@@ -215,15 +215,6 @@ def gaps(s, d):
     return S.score(PF.metrics(s, d)).select("ticker", _gap_names(lambda n: ~_inapplicable(n)).alias("gaps"), _gap_names(_inapplicable).alias("not_applicable"))
 
 
-@register("tx07_note_selection", r"WITH n AS (SELECT doc_id, lang || '-' || source AS filer, CASE WHEN regexp_matches(lower(substr(text, 1, 80)), 'the|der') THEN 0 WHEN regexp_matches(lower(substr(text, 1, 80)), 'la|en') THEN 1 END AS family FROM documents WHERE NOT regexp_matches(lower(substr(text, 1, 80)), 'worthless|\|')) SELECT filer, doc_id, CAST(family AS INT) AS family, CAST(ROW_NUMBER() OVER (PARTITION BY filer ORDER BY family, doc_id) AS INT) AS place FROM n WHERE family IS NOT NULL QUALIFY place <= 3")
-def notes(s, d):
-    """Title families by pattern with exclusions, the first few of each filer by family."""
-    title = F.lower(F.substring("text", 1, 80))
-    family = F.when(title.rlike("the|der"), 0).when(title.rlike("la|en"), 1)
-    n = table(s, d, "documents").where(~title.rlike(r"worthless|\|")).select("doc_id", F.concat_ws("-", "lang", "source").alias("filer"), family.alias("family")).where("family is not null")
-    return n.withColumn("place", F.row_number().over(Window.partitionBy("filer").orderBy("family", "doc_id"))).where("place <= 3").select("filer", "doc_id", "family", "place")
-
-
 @register("tx06b_story_clusters", """WITH g AS (SELECT user_id AS ticker, event_type, ts, event_id, CASE WHEN ts <= LAG(ts) OVER w + INTERVAL 4 DAY THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)), s AS (SELECT *, SUM(b) OVER (PARTITION BY ticker, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS story FROM g)
 SELECT ticker, event_type, CAST(story AS BIGINT) AS story, COUNT(*) AS n, ARG_MIN(event_id, (ts, event_id)) AS first_id FROM s GROUP BY ALL""")
 def clusters(s, d):
