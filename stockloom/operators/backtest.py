@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockloom.functions.columns import ratio
+from stockloom.functions.columns import ratio, weighted_present
 from stockloom.functions.ordered import numbered
 from stockloom.functions.ranks import average_rank, correlation, ic_summary, spearman_by
 
@@ -147,6 +147,11 @@ def replay(cards: DataFrame, floor: float, names: tuple[str, ...]) -> DataFrame:
     return kept.unpivot(["ticker", "day"], ["composite", *names], "signal", "value").where("value is not null")
 
 
+def covered(c: Column) -> Column:
+    """Share of rows with a value (aggregate)."""
+    return F.avg(F.when(c.isNotNull(), 1.0).otherwise(0.0))
+
+
 def paired_difference(a: DataFrame, b: DataFrame, by: str = "m") -> DataFrame:
     """Mean and t of the difference of two IC series on their common dates."""
     d = a.select(by, F.col("ic").alias("a")).join(b.select(by, F.col("ic").alias("b")), by).where("a is not null and b is not null").withColumn("ic", F.col("a") - F.col("b"))
@@ -297,6 +302,48 @@ def kendall(rows: DataFrame, a: str, b: str, by: str = "m", bits: int = 24) -> D
     return out.select(by, ((pairs - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.coalesce("d", F.lit(0))) / pairs).alias("tau"), pairs.alias("pairs"))
 
 
+#: A ranking did not move at or above these.
+STILL_OVERLAP, STILL_TAU = 0.9, 0.95
+
+
+def _places(scored: DataFrame, *by: str) -> DataFrame:
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "ticker")))
+
+
+def prize_bound(rows: DataFrame, weights: dict[str, float], incumbent: str, candidates: list[str], trials: int = 0, seed: int = 7, top: int = 20) -> tuple[DataFrame, DataFrame]:
+    """How much a ranking could move if one leg were replaced. Rows are (m, ticker, legs); every version of the leg is its percentile,
+    so only the order counts. First frame: m, kind (reversed, random, candidate), name, tau and overlap of the first ``top`` against the
+    ranking with the incumbent, over the names that have both. Second: m, the worst tau of the bound and a verdict: weight_inert
+    (even the worst leg moves nothing), collinear (no candidate does), proceed."""
+    from stockloom.functions.ranks import percentile_score
+
+    others = [k for k in weights if k != incumbent]
+    noise = F.pmod(F.xxhash64(F.lit(seed), F.col("trial"), F.col("ticker"), F.col("m")), F.lit(1 << 30)).cast("double")
+    held = rows.where(F.col(incumbent).isNotNull()).select("m", "ticker", *others, F.col(incumbent).cast("double").alias("inc"), *[F.col(c).cast("double").alias(f"c_{c}") for c in candidates])
+    version = lambda kind, name, v: held.select("m", "ticker", *others, "inc", F.lit(kind).alias("kind"), F.lit(name).alias("name"), v.alias("v"))
+    made = version("reversed", "", -F.col("inc"))
+    if trials:
+        drawn = held.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+        made = made.unionByName(drawn.select("m", "ticker", *others, "inc", F.lit("random").alias("kind"), F.col("trial").cast("string").alias("name"), noise.alias("v")))
+    for c in candidates:
+        made = made.unionByName(version("candidate", c, F.col(f"c_{c}")))
+    made = made.where("v is not null")
+    cell = ("m", "kind", "name")
+    legs = made.select(*cell, "ticker", *others, percentile_score("inc", *cell).alias("__old"), percentile_score("v", *cell).alias("__new"))
+    blend = lambda leg: F.round(weighted_present([(F.col(k), weights[k]) for k in others] + [(F.col(leg), weights[incumbent])]), 6)
+    old = _places(legs.select(*cell, "ticker", blend("__old").alias("score")), *cell).select(*cell, "ticker", F.col("place").alias("p0"))
+    both = _places(legs.select(*cell, "ticker", blend("__new").alias("score")), *cell).join(old, [*cell, "ticker"]).withColumn("cell", F.concat_ws("|", *cell))
+    tau = kendall(both.select("cell", "ticker", "p0", "place"), "p0", "place", "cell").select("cell", "tau")
+    shared = both.groupBy("cell", *cell).agg((F.count_if((F.col("p0") <= top) & (F.col("place") <= top)) / F.least(F.lit(top), F.count("*"))).alias("overlap"))
+    churn = shared.join(tau, "cell").select(*cell, "tau", "overlap")
+    still = lambda x: (x["tau"] >= STILL_TAU) & (x["overlap"] >= STILL_OVERLAP)
+    bound, given = F.col("kind") != "candidate", F.col("kind") == "candidate"
+    worst = F.min(F.when(bound, F.struct("tau", "overlap")))
+    g = churn.groupBy("m").agg(worst.alias("w"), F.count_if(given).alias("n"), F.count_if(given & still({"tau": F.col("tau"), "overlap": F.col("overlap")})).alias("s"))
+    verdict = F.when(still(F.col("w")), "weight_inert").when((F.col("n") > 0) & (F.col("n") == F.col("s")), "collinear").otherwise("proceed")
+    return churn, g.select("m", F.col("w.tau").alias("worst_tau"), verdict.alias("verdict"))
+
+
 def leg_bound(rows: DataFrame, legs: list[str], replaced: str, trials: int, seed: int, top: int) -> DataFrame:
     """How far a ranking moves if one leg is reversed or random: kind, trial, overlap of the top names, per date."""
     n = F.count("*").over(Window.partitionBy("m"))

@@ -86,3 +86,52 @@ def thirds(rows: DataFrame, value: str, by: str) -> DataFrame:
     r, n = below + upto, F.count("*").over(w)
     x = rows.select(by, value, r.alias("r"), n.alias("n"))
     return x.groupBy(by).agg(F.min(F.when(3 * F.col("r") >= 2 * F.col("n"), F.col(value))).alias("middle"), F.min(F.when(3 * F.col("r") >= 4 * F.col("n"), F.col(value))).alias("top"))
+
+
+#: What a predictor must clear in the discovery and in the held-out window.
+RULES = {"disc_min": 0.10, "disc_se": 2.0, "bound_min": 0.03, "hold_min": 0.06, "hold_se": 1.64, "sub_share": 0.5}
+
+
+def pass_rules(measured: DataFrame, rule: dict[str, float] = RULES) -> DataFrame:
+    """Measures of a predictor (beta, se, bound_held, bound_not, rank_beta, beta_sub; hold_beta, hold_se, hold_sub of the held-out window) with
+    one column for each rule and ``passed``. A measure that is missing fails its rule."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    sub = lambda b, s: yes((F.col(b) > 0) & (F.col(s) >= rule["sub_share"] * F.col(b)))
+    rules = {
+        "magnitude": yes(F.col("beta") >= F.greatest(F.lit(rule["disc_min"]), rule["disc_se"] * F.col("se"))) & F.col("se").isNotNull(),
+        "bounds": yes((F.col("bound_held") >= rule["bound_min"]) & (F.col("bound_not") >= rule["bound_min"])),
+        "continuous_sign": yes(F.col("rank_beta") > 0),
+        "sub_industry": sub("beta", "beta_sub"),
+        "holdout": yes(F.col("hold_beta") >= F.greatest(F.lit(rule["hold_min"]), rule["hold_se"] * F.col("hold_se"))) & F.col("hold_se").isNotNull() & sub("hold_beta", "hold_sub"),
+    }
+    out = measured.withColumns(rules)
+    return out.withColumn("passed", F.col("magnitude") & F.col("bounds") & F.col("continuous_sign") & F.col("sub_industry") & F.col("holdout"))
+
+
+def reproduction_failures(sizes: DataFrame, expected: DataFrame, tolerance: float = 0.15) -> DataFrame:
+    """Years (year, n) whose size is off the expected one by more than a share of it; a missing year counts as 0."""
+    j = expected.select("year", "expected").join(sizes.select("year", "n"), "year", "left").withColumn("got", F.coalesce("n", F.lit(0)))
+    return j.where(F.abs(F.col("got") - F.col("expected")) > tolerance * F.col("expected")).select("year", "got", "expected")
+
+
+def gap_spikes(rates: DataFrame, step: float = 0.05) -> DataFrame:
+    """Years (year, rate) that stand more than a step above both neighbouring years; a year without both has none."""
+    at = lambda n, name: rates.select((F.col("year") + n).alias("year"), F.col("rate").alias(name))
+    j = rates.join(at(1, "before"), "year").join(at(-1, "after"), "year")
+    return j.where((F.col("rate") - F.col("before") > step) & (F.col("rate") - F.col("after") > step)).select("year", "rate")
+
+
+def data_checks(rows: DataFrame, least_assets: float = 0.0) -> DataFrame:
+    """Per year of (year, cell, cell3, state, debt, revenue, assets): shares of rows alone in either cell (of those with a code), of no debt,
+    counts without revenue although of some size, and shares of every state."""
+    alone = lambda c: F.when(F.col(c).isNotNull(), (F.count("*").over(Window.partitionBy("year", c)) == 1).cast("double"))
+    marked = rows.withColumn("__a", alone("cell")).withColumn("__b", alone("cell3"))
+    share = lambda c: F.avg(c.cast("double"))
+    states = [share(F.col("state") == s).alias(f"share_{s}") for s in ("observed", "low_ic", "gap", "exit")]
+    return marked.groupBy("year").agg(F.avg("__a").alias("alone"), F.avg("__b").alias("alone_fine"), share(F.coalesce("debt", F.lit(0.0)) == 0).alias("zero_debt"), F.count_if(F.col("revenue").isNull() & (F.col("assets") >= least_assets)).alias("no_revenue"), *states)
+
+
+def state_by_third(rows: DataFrame, x: str, state: str) -> DataFrame:
+    """Share of rows in a state in the worst, middle and best third of a predictor."""
+    third = F.when(F.col(x) < 1 / 3, "worst").when(F.col(x) < 2 / 3, "middle").otherwise("best")
+    return rows.where(F.col(x).isNotNull()).groupBy(third.alias("third")).agg(F.avg((F.col("state") == state).cast("double")).alias("share"))

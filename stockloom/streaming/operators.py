@@ -4,7 +4,7 @@ same function gives the batch twin; state is bounded by a watermark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NEWS = "ticker long, event_id long, ts timestamp, event_type string, value double"
@@ -69,3 +69,32 @@ def upsert_days(stream: DataFrame, path: str, checkpoint: str) -> None:
         batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+
+def daily_owner_flow(trades: DataFrame, path: str, checkpoint: str) -> None:
+    """A stream of trades (ticker, owner, d, code, value) to daily sums by owner: each micro-batch is summed and written under its own
+    number, so a replayed batch overwrites itself and late trades of an old day are simply added to it when the table is read."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        buy, sell = F.col("code") == "P", F.col("code") == "S"
+        net = F.sum(F.when(buy, F.col("value")).when(sell, -F.col("value")).otherwise(0.0)).alias("net")
+        sums = batch.groupBy("ticker", "owner", "d").agg(net, F.bool_or(buy).alias("bought"))
+        sums.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    trades.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+
+def half_year_flow(daily: DataFrame, days: int = 183) -> DataFrame:
+    """ticker, d, flow (sum of the last days), buyers (distinct owners who bought in them) of every day with a trade. A buyer's purchases
+    are turned into stretches of days that they cover, so distinct buyers are a running count of starts and ends."""
+    one = daily.groupBy("ticker", "d", "owner").agg(F.sum("net").alias("net"), F.bool_or("bought").alias("bought"))
+    by_day = one.groupBy("ticker", "d").agg(F.sum("net").alias("v"))
+    w = Window.partitionBy("ticker").orderBy(F.unix_date("d")).rangeBetween(-days, 0)
+    flow = by_day.select("ticker", "d", F.sum("v").over(w).alias("flow"))
+    own = Window.partitionBy("ticker", "owner").orderBy("d")
+    buys = one.where("bought").select("ticker", "owner", "d", F.lead("d").over(own).alias("next"))
+    until = F.least(F.date_add("d", days + 1), F.coalesce("next", F.date_add("d", days + 1)))
+    steps = buys.select("ticker", F.explode(F.array(F.struct(F.col("d").alias("d"), F.lit(1).alias("c")), F.struct(until.alias("d"), F.lit(-1).alias("c")))).alias("x")).select("ticker", "x.d", "x.c")
+    changes = steps.union(by_day.select("ticker", "d", F.lit(0))).groupBy("ticker", "d").agg(F.sum("c").alias("c"))
+    upto = Window.partitionBy("ticker").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    return flow.join(changes.select("ticker", "d", F.sum("c").over(upto).alias("buyers")), ["ticker", "d"])
