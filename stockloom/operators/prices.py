@@ -130,6 +130,16 @@ def features(prices: DataFrame) -> DataFrame:
     return out.withColumn("vol_scaled", F.when(F.col("vol_126") > 1e-4, F.try_divide(F.col("mom_12_1"), F.col("vol_126"))))
 
 
+def feature_panel(targets: DataFrame, prices: DataFrame, names: list[str], at: str = "ask") -> DataFrame:
+    """For every (ticker, ask) the features of the latest day on or before it: one ordering of days and dates carries them along, so
+    prices are neither looked up first nor joined again."""
+    rows = features(prices).select("ticker", F.col("d").alias("__t"), F.lit(0).alias("__side"), F.struct("d", *names).alias("__f"))
+    asks = targets.select("ticker", F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(dict(rows.dtypes)["__f"]).alias("__f"))
+    seen = F.last("__f", ignorenulls=True).over(Window.partitionBy("ticker").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0))
+    both = rows.unionByName(asks).withColumn("__f", seen).where("__side = 1 and __f is not null")
+    return both.select("ticker", F.col("__t").alias(at), "__f.*")
+
+
 def relative_strength(prices: DataFrame, market: DataFrame, n: int = 126) -> DataFrame:
     """Each ticker's latest n-row return less the market's, each by its own rows."""
     def last_return(df: DataFrame, key: str) -> DataFrame:

@@ -22,15 +22,18 @@ def bags(docs: DataFrame, id_: str = "doc_id") -> DataFrame:
 
 
 def cosine(pairs: DataFrame, docs: DataFrame, a: str, b: str) -> DataFrame:
-    """Bag-of-words cosine of given document pairs; NULL where either side has no token. The dot product is a join on
-    (pair, token), so no document is compared with others than its own."""
-    bag = bags(docs)
-    norm = bag.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    left = pairs.select(a, b).join(bag.select(F.col("doc_id").alias(a), "token", F.col("c").alias("ca")), a)
-    dot = left.join(bag.select(F.col("doc_id").alias(b), "token", F.col("c").alias("cb")), [b, "token"]).groupBy(a, b).agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
-    sized = pairs.select(a, b).join(norm.select(F.col("doc_id").alias(a), F.col("norm").alias("na")), a, "left").join(norm.select(F.col("doc_id").alias(b), F.col("norm").alias("nb")), b, "left").join(dot, [a, b], "left")
-    both = F.col("na").isNotNull() & F.col("nb").isNotNull()
-    return sized.select(a, b, F.when(both, F.least(F.lit(1.0), F.coalesce("dot", F.lit(0)) / (F.col("na") * F.col("nb")))).alias("similarity"))
+    """Bag-of-words cosine of given document pairs; NULL where either side has no token. Every document learns first which pairs it
+    belongs to, and on which side; its tokens then go to their pairs in one shuffle, counted before it, and norms and dot
+    product are sums of the same rows."""
+    side = lambda c, n: pairs.select(F.col(c).alias("doc_id"), F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(n).alias("side")).alias("pair"))
+    placed = docs.select("doc_id", "text").join(side(a, 0).union(side(b, 1)), "doc_id")
+    words = placed.select("pair", F.explode(tokens(F.col("text"))).alias("token"))
+    own = lambda n: F.count_if(F.col("pair.side") == n)
+    counts = words.groupBy(F.col("pair.a").alias(a), F.col("pair.b").alias(b), "token").agg(own(0).alias("x"), own(1).alias("y"))
+    total = lambda p, q: F.sum(F.col(p) * F.col(q))
+    g = counts.groupBy(a, b).agg(total("x", "y").alias("dot"), F.sqrt(total("x", "x")).alias("nx"), F.sqrt(total("y", "y")).alias("ny"))
+    value = F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.least(F.lit(1.0), F.col("dot") / (F.col("nx") * F.col("ny"))))
+    return pairs.select(a, b).join(g.select(a, b, value.alias("similarity")), [a, b], "left").select(a, b, "similarity")
 
 
 def blocks(c: Column) -> Column:

@@ -138,9 +138,8 @@ close / LAG(close, 126) OVER w - 1 AS mom_6m, CASE WHEN COUNT(ret) OVER y >= 2 T
 WINDOW w AS ({_W}), v AS ({_W} ROWS 199 PRECEDING), y AS ({_W} ROWS 251 PRECEDING))
 SELECT t.ticker, t.ask, f.d, ROUND(over_200, 6) AS over_200, ROUND(mom_6m, 6) AS mom_6m, ROUND(vol, 6) AS vol FROM t ASOF JOIN f ON t.ticker = f.ticker AND t.ask >= f.d""")
 def panel(s, d):
-    f = P.features(_prices(s, d)).select("ticker", "d", *(F.round(c, 6).alias(c) for c in ("over_200", "mom_6m", "vol")))
-    ask = P.as_of(_targets(s, d), _prices(s, d)).where("d is not null").drop("close")
-    return ask.join(f, ["ticker", "d"])
+    f = P.feature_panel(_targets(s, d), _prices(s, d), ["over_200", "mom_6m", "vol"])
+    return f.select("ticker", "ask", "d", *(F.round(c, 6).alias(c) for c in ("over_200", "mom_6m", "vol")))
 
 
 @register("ts12_announcement_moves", cte("prices") + f""", {_TARGETS}, s AS (SELECT *, LEAD(close) OVER ({_W}) AS nc FROM prices),
