@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from stockloom.llm import linededup, neardup, quality, secrets, toxicity
+from stockloom.llm import decontam, linededup, neardup, quality, secrets, toxicity
 
 WORDS = "stone river amber willow copper meadow harbor ember lantern gull".split()
 
@@ -118,3 +118,10 @@ def test_other_operators_give_a_row_for_every_row(spark, table, rows):
     ids = Counter(i for i, _ in rows)
     for out in (quality.judge(table, labels), toxicity.score(table, toxicity.train(table, labels)), secrets.scan(table, secrets.train(table))):
         assert Counter(r.doc_id for r in out.collect()) == ids
+
+
+def test_decontamination_drops_rows_not_ids(spark):
+    item = "the quick copper lantern swings above a silent harbor while seven grey gulls circle twice around it"
+    docs = spark.createDataFrame([(5, item, "a"), (5, "a clean text of other words", "b"), (None, "so: " + item, "c"), (None, "clean too", "d"), (6, None, "e")], "doc_id long, text string, hash string")
+    left = decontam.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(r.hash for r in left.collect()) == ["b", "d", "e"]
