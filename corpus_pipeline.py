@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicates, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Nulls, ties and empty tables: as each operator defines.
+one's docs. All but the last return the columns of documents. Nulls, ties and empty tables: as each operator defines. Rows
+that repeat a doc_id are told apart by their texts in every stage.
 """
 
 from __future__ import annotations
@@ -48,9 +49,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir))
+        before, docs = docs, shared.written(stage(spark, docs, sf_dir))
+        shared.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The verdict of the trees has no SQL form; tests compare run() with a brute-force version.
+#: The verdict of the trees has no SQL form. tests/llm/test_pipeline.py applies each stage to a planted corpus and checks every
+#: stage's decisions; tests/llm hold the operators against brute force.
 ORACLE_SQL = None
