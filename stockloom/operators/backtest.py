@@ -28,6 +28,14 @@ def grid(spark: SparkSession, start: date, end: date, step: int) -> DataFrame:
     return spark.createDataFrame(out, "d date")
 
 
+def grid_column(start: Column, end: Column, step: int) -> Column:
+    """Observation dates of one row as an array: from start by whole months up to end, iterated, so that a clamp to a month's end
+    sticks."""
+    many = F.floor(F.months_between(end, start) / step).cast("int") + 1
+    grown = F.aggregate(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), F.array(start), lambda acc, _: F.array_append(acc, F.add_months(F.element_at(acc, -1), F.lit(step))))
+    return F.filter(grown, lambda x: x <= end)
+
+
 def forward_returns(signals: DataFrame, horizon: int) -> DataFrame:
     """fwd: px ``horizon`` months later over px, never imputed: an inner join drops what has no later row."""
     later = signals.select("ticker", (F.col("m") - horizon).alias("m"), F.col("px").alias("later"))

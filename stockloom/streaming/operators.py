@@ -98,3 +98,11 @@ def half_year_flow(daily: DataFrame, days: int = 183) -> DataFrame:
     changes = steps.union(by_day.select("ticker", "d", F.lit(0))).groupBy("ticker", "d").agg(F.sum("c").alias("c"))
     upto = Window.partitionBy("ticker").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     return flow.join(changes.select("ticker", "d", F.sum("c").over(upto).alias("buyers")), ["ticker", "d"])
+
+
+def fact_versions(facts: DataFrame) -> DataFrame:
+    """Versions of facts (cik, tag, fy_end, filed, val) as intervals [known_from, known_to): what was known on a day stays what it was,
+    whatever is filed later. Of two values filed on one day the smaller counts."""
+    one = facts.groupBy("cik", "tag", "fy_end", "filed").agg(F.min("val").alias("val"))
+    w = Window.partitionBy("cik", "tag", "fy_end").orderBy("filed")
+    return one.select("cik", "tag", "fy_end", F.col("filed").alias("known_from"), F.lead("filed").over(w).alias("known_to"), F.row_number().over(w).alias("version"), "val")
