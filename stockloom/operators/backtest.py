@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions.columns import ratio, weighted_present
 from stockloom.functions.ordered import numbered
+from stockloom.session import discard, written
 from stockloom.functions.ranks import average_rank, correlation, ic_summary, spearman_by
 
 
@@ -166,16 +167,25 @@ def paired_difference(a: DataFrame, b: DataFrame, by: str = "m") -> DataFrame:
     return ic_summary(d)
 
 
-def blend_ics(rows: DataFrame, weights: list[dict[str, float]], by: str = "m") -> DataFrame:
-    """IC per period of every candidate weight vector over percentile-ranked components, all candidates in one job."""
-    names = sorted(weights[0])
+def percentiles(rows: DataFrame, names: list[str], by: str = "m") -> DataFrame:
+    """by, ticker, fwd and the mid-rank of every component within its period."""
     n = F.count("*").over(Window.partitionBy(by))
-    ranked = rows.select(by, "ticker", "fwd", *[((average_rank(c, by) - 0.5) / n).alias(c) for c in names])
+    return rows.select(by, "ticker", "fwd", *[((average_rank(c, by) - 0.5) / n).alias(c) for c in names])
+
+
+def score_blends(ranked: DataFrame, weights: list[dict[str, float]], by: str = "m") -> DataFrame:
+    """IC per period of every candidate weight vector over ranked components, all candidates in one job."""
+    names = sorted(weights[0])
     options = F.array(*[F.struct(F.lit(i).alias("candidate"), F.round(sum((F.col(c) * w[c] for c in names), F.lit(0.0)) / sum(w.values()), 9).alias("value")) for i, w in enumerate(weights)])
     scored = ranked.select(by, "fwd", F.explode(options).alias("o")).select(by, "fwd", "o.candidate", "o.value")
     return spearman_by(scored, "value", "fwd", "candidate", by)
 
 
+def blend_ics(rows: DataFrame, weights: list[dict[str, float]], by: str = "m") -> DataFrame:
+    """IC per period of every candidate weight vector over percentile-ranked components."""
+    return score_blends(percentiles(rows, sorted(weights[0]), by), weights, by)
+
+
 def blend_ic(rows: DataFrame, weights: list[dict[str, float]], by: str = "m") -> DataFrame:
     """Mean IC of every candidate weight vector, all candidates in one job."""
     return ic_summary(blend_ics(rows, weights, by), "candidate")
@@ -214,6 +224,7 @@ def walk_forward(rows: DataFrame, prior: dict[str, float], by: str = "m", min_pe
     if len(periods) < min_periods:
         return out
     prior, seen, names = _unit(prior), {}, sorted(prior)
+    ranked = written(percentiles(rows, names, by))  # every sweep reads the ranks, none computes them again
     key = lambda w: tuple(round(w[k], 12) for k in names)
 
     def score(candidates: list[dict[str, float]]) -> None:
@@ -221,7 +232,7 @@ def walk_forward(rows: DataFrame, prior: dict[str, float], by: str = "m", min_pe
         if new:
             for w in new:
                 seen[key(w)] = {}
-            for r in blend_ics(rows, new, by).where("ic is not null").collect():
+            for r in score_blends(ranked, new, by).where("ic is not null").collect():  # one row a candidate and period
                 seen[key(new[r["candidate"]])][r[by]] = r["ic"]
 
     def mean(w: dict[str, float], of: list) -> float | None:
@@ -253,6 +264,7 @@ def walk_forward(rows: DataFrame, prior: dict[str, float], by: str = "m", min_pe
     for name, j in (("prior_oos_ic", 0), ("oos_ic", 1), ("shrunk_oos_ic", 2)):
         out[name] = sum(x[j] for x in paired) / len(paired) if paired else None
     average = {k: sum(w[k] for w in fitted) / len(fitted) for k in names} if fitted else prior
+    discard(ranked)
     return out | {"weights": mixed(average), "in_sample_ic": mean(at[-1], periods), "fold_diffs": [x[2] - x[0] for x in paired]}
 
 

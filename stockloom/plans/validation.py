@@ -168,10 +168,10 @@ def weight_ic(s, d):
 @register("bt13b_fit_weights")
 def fit(s, d):
     got = B.walk_forward(_rows(s, d), {"s1": 0.5, "s3": 0.5})
-    number = lambda v, name: F.lit(None if v is None else round(v, 6)).cast("double").alias(name)
     w = got["weights"] or {}
-    rows = view(s, d, "signals").agg(F.count("*").alias("rows_read"))
-    return rows.select("rows_read", F.lit(got["n_periods"]).alias("n_periods"), *[number(w.get(k), k) for k in ("s1", "s3")], *[number(got[k], k) for k in ("prior_oos_ic", "oos_ic", "shrunk_oos_ic", "in_sample_ic")], F.array(*[F.lit(round(x, 6)) for x in got["fold_diffs"]]).cast("array<double>").alias("fold_diffs"))
+    figures = [w.get("s1"), w.get("s3"), *(got[k] for k in ("prior_oos_ic", "oos_ic", "shrunk_oos_ic", "in_sample_ic"))]
+    row = (got["n_periods"], *[None if v is None else round(v, 6) for v in figures], [round(x, 6) for x in got["fold_diffs"]])
+    return s.createDataFrame([row], "n_periods int, s1 double, s3 double, prior_oos_ic double, oos_ic double, shrunk_oos_ic double, in_sample_ic double, fold_diffs array<double>")
 
 
 _GATED = [{"s1": 1.0, "s2": 1.0, "s3": 1.0}, {"s1": 3.0, "s2": 1.0, "s3": 1.0}, {"s1": 1.0, "s2": 3.0, "s3": 1.0}, {"s1": 1.0, "s2": 1.0, "s3": 3.0}]
