@@ -224,10 +224,10 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, en
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that match no item; all columns. Rows are known by a hash of doc_id and text, so of several texts of one doc_id
     only the dirty ones go, and rows without a doc_id are checked as well."""
-    keyed = documents.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    found = matches(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark, **options)
-    dirty = shared.written(found.select(F.col("doc_id").alias("__key")).distinct())
-    return shared.join_ids(keyed, dirty, "__key", "left_anti").select(*documents.columns)
+    keyed = documents.withColumn("__loom_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    found = matches(keyed.select(F.col("__loom_key").alias("doc_id"), "text"), benchmark, **options)
+    dirty = shared.written(found.select(F.col("doc_id").alias("__loom_key")).distinct())
+    return shared.join_ids(keyed, dirty, "__loom_key", "left_anti").select(*documents.columns)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

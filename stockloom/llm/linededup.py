@@ -85,24 +85,24 @@ def covered(documents: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def _with_hits(documents: DataFrame, hits: DataFrame) -> DataFrame:
     """The documents with the columns of hits (doc_id, tag, ...) beside them, null where a row has none."""
-    mine = hits.withColumnsRenamed({"doc_id": "__id", "tag": "__tag"}).hint("merge")
-    return documents.join(mine, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_tag() == F.col("__tag")), "left")
+    mine = hits.withColumnsRenamed({"doc_id": "__loom_id", "tag": "__loom_tag"}).hint("merge")
+    return documents.join(mine, F.col("doc_id").cast("long").eqNullSafe(F.col("__loom_id")) & (_tag() == F.col("__loom_tag")), "left")
 
 
 def dedup(documents: DataFrame, size: int = WINDOW, counts: bool = True) -> DataFrame:
     """The documents' own columns with covered lines removed from text (and n_chars, if there, made to fit); with ``counts`` also n_lines (with a word) and n_removed."""
-    hit = _with_hits(documents, covered(documents, size).withColumnRenamed("covered", "__covered"))
+    hit = _with_hits(documents, covered(documents, size).withColumnRenamed("covered", "__loom_covered"))
     lines = F.split("text", "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__covered")), lambda i: F.get(lines, i))
-    text = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__loom_covered")), lambda i: F.get(lines, i))
+    text = F.when(F.col("__loom_covered").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     new = {"text": text}
     if "n_chars" in documents.columns:
-        new["n_chars"] = F.when(F.col("__covered").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(documents.dtypes)["n_chars"])
+        new["n_chars"] = F.when(F.col("__loom_covered").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(documents.dtypes)["n_chars"])
     own = [new.get(c, F.col(c)).alias(c) for c in documents.columns]
     if not counts:
         return hit.select(*own)
     n_lines = F.size(F.filter(F.coalesce(lines, F.array()), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return hit.select(*own, n_lines.cast("long").alias("n_lines"), F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")).cast("long").alias("n_removed"))
+    return hit.select(*own, n_lines.cast("long").alias("n_lines"), F.when(F.col("__loom_covered").isNull(), 0).otherwise(F.size("__loom_covered")).cast("long").alias("n_removed"))
 
 
 def _runs(piece: kernel.Piece) -> tuple[np.ndarray, ...]:
@@ -215,16 +215,16 @@ def dedup_passages(documents: DataFrame, size: int = WINDOW) -> DataFrame:
     runs = later.select("doc_id", "tag", F.lit(None).cast("array<int>").alias("lines"), F.struct("at", "n").alias("run"))
     whole = covered(documents, size)
     lines = whole.select("doc_id", "tag", F.col("covered").alias("lines"), F.lit(None).cast("struct<at:int,n:int>").alias("run"))
-    of_one_text = F.flatten(F.collect_set("lines")).alias("__lines"), F.collect_set("run").alias("__runs")
+    of_one_text = F.flatten(F.collect_set("lines")).alias("__loom_lines"), F.collect_set("run").alias("__loom_runs")
     both = shared.written(runs.union(lines).groupBy("doc_id", "tag").agg(*of_one_text))
     shared.discard(found, repeated, whole)
     hit = _with_hits(documents, both)
-    held = F.col("__tag").isNull()
-    new = {"text": F.when(held, F.col("text")).otherwise(_without(F.when(~held, F.col("text")), "__lines", "__runs"))}
-    out = hit.select(*[new.get(c, F.col(c)).alias(c) for c in documents.columns], held.alias("__held"))
+    held = F.col("__loom_tag").isNull()
+    new = {"text": F.when(held, F.col("text")).otherwise(_without(F.when(~held, F.col("text")), "__loom_lines", "__loom_runs"))}
+    out = hit.select(*[new.get(c, F.col(c)).alias(c) for c in documents.columns], held.alias("__loom_held"))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__held"), F.col("n_chars")).otherwise(F.length("text")).cast(dict(documents.dtypes)["n_chars"]))
-    return out.drop("__held")
+        out = out.withColumn("n_chars", F.when(F.col("__loom_held"), F.col("n_chars")).otherwise(F.length("text")).cast(dict(documents.dtypes)["n_chars"]))
+    return out.drop("__loom_held")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,13 +356,13 @@ def keep_first(documents: DataFrame, **options) -> DataFrame:
     rows = shared.written(grouped(documents, **options).where("first is not null").select("doc_id", "tag", (F.struct("doc_id", "tag") == F.col("first")).alias("kept")))
     dropped = shared.written(rows.where("not kept").distinct().select("doc_id", "tag"))
     again = shared.written(rows.where("kept").groupBy("doc_id", "tag").count().where("count > 1").select("doc_id", "tag"))
-    mine = documents.withColumns({"__id": F.col("doc_id").cast("long"), "__tag": F.xxhash64(F.col("text").cast("string"))})
-    to = lambda ids: ids.withColumnsRenamed({"doc_id": "__id", "tag": "__tag"})
-    left = shared.join_ids(mine, to(dropped), ["__id", "__tag"], "left_anti")
+    mine = documents.withColumns({"__loom_id": F.col("doc_id").cast("long"), "__loom_tag": F.xxhash64(F.col("text").cast("string"))})
+    to = lambda ids: ids.withColumnsRenamed({"doc_id": "__loom_id", "tag": "__loom_tag"})
+    left = shared.join_ids(mine, to(dropped), ["__loom_id", "__loom_tag"], "left_anti")
     if not again.head(1):
         return left.select(*documents.columns)
-    single = shared.join_ids(left, to(again), ["__id", "__tag"], "left_anti").select(*documents.columns)
-    first = shared.join_ids(left, to(again), ["__id", "__tag"], "left_semi").groupBy("__id", "__tag").agg(F.min(F.struct(*documents.columns)).alias("row"))
+    single = shared.join_ids(left, to(again), ["__loom_id", "__loom_tag"], "left_anti").select(*documents.columns)
+    first = shared.join_ids(left, to(again), ["__loom_id", "__loom_tag"], "left_semi").groupBy("__loom_id", "__loom_tag").agg(F.min(F.struct(*documents.columns)).alias("row"))
     return single.unionByName(first.select("row.*"))
 
 
