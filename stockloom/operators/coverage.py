@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockloom.functions.sizes import small
+
 #: Statuses that mark a problem, and the sub-scores whose absence is a gap, in order.
 PROBLEMS = ("gated_402", "rate_limited_429", "empty", "error")
 GAP_FIELDS = ("quality", "moat", "growth", "momentum", "value", "insider")
@@ -55,7 +57,7 @@ def statuses(outcomes: DataFrame, contributed: DataFrame, dimension: DataFrame)
     """ticker, source, status: an ok source of which no field came counts as empty, unless having none is normal for it
     (dimension: source, no_data_is_normal, feeds_axes; a small table, one row a source)."""
     gave = contributed.select("ticker", "source").distinct().withColumn("gave", F.lit(True))
-    j = outcomes.join(gave, ["ticker", "source"], "left").join(F.broadcast(dimension), "source", "left")
+    j = outcomes.join(gave, ["ticker", "source"], "left").join(small(dimension), "source", "left")
     nothing = (F.col("status") == "ok") & F.col("gave").isNull() & ~F.coalesce(F.col("no_data_is_normal"), F.lit(False))
     return j.select("ticker", "source", F.when(nothing, "empty").otherwise(F.col("status")).alias("status"), F.coalesce("feeds_axes", F.lit(True)).alias("feeds_axes"))
 

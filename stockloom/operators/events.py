@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.columns import ratio
+from stockloom.functions.sizes import small
 from stockloom.operators import merge as M
 from stockloom.operators import predicates as Q
 
@@ -193,7 +194,7 @@ def attention(news: DataFrame, days: DataFrame) -> DataFrame:
     counted by day, then placed into the days they reach: no range join."""
     daily = news.groupBy("ticker", F.to_date("ts").alias("d")).agg(F.count("*").alias("c"))
     reach = daily.select("ticker", "d", "c", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("age")).withColumn("day", F.date_add("d", F.col("age")))
-    met = reach.join(F.broadcast(days), "day")  # a short list of days
+    met = reach.join(small(days), "day")
     g = met.groupBy("ticker", "day").agg(F.sum(F.when(F.col("age") < 7, F.col("c")).otherwise(0)).alias("last_7"), F.sum(F.when((F.col("age") >= 7) & (F.col("age") < 14), F.col("c")).otherwise(0)).alias("prior_7"), F.sum("c").alias("last_30"))
     return g.withColumn("rising", F.col("last_7") > F.col("prior_7"))
 

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.columns import ratio
+from stockloom.functions.sizes import surely_small
 
 
 def known(facts: DataFrame, dates: DataFrame) -> DataFrame:
-    """Every fact with every as_of on which it is known. ``dates`` is a short list (a grid), so it is broadcast."""
-    return facts.join(F.broadcast(dates), (F.col("filed") <= F.col("as_of")) & (F.col("fy_end") <= F.col("as_of")))
+    """Every fact with every as_of on which it is known. ``dates`` is a short list (a grid); its size is
+    checked before it is broadcast."""
+    return facts.join(surely_small(dates, "dates"), (F.col("filed") <= F.col("as_of")) & (F.col("fy_end") <= F.col("as_of")))
 
 
 def select(known_facts: DataFrame, family: dict[str, int]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from stockloom.functions.columns import ratio
+from stockloom.functions.sizes import small
 
 #: Words that mark a blank-cheque company or shell; words that do not tell filers apart; known activists by fragments.
 SHELL_WORDS = ["acquisition corp", "acquisition company", "acquisition holdings", "blank check", "spac"]
@@ -107,7 +108,7 @@ def sessions(days: DataFrame, holidays: DataFrame, back: int = 10) -> DataFrame:
     is never put in one order."""
     asked = days.select("day").distinct()
     near = asked.select("day", F.explode(F.sequence(F.lit(0), F.lit(back - 1))).alias("age")).withColumn("at", F.date_sub("day", F.col("age")))
-    marked = near.join(F.broadcast(holidays.select(F.col("day").alias("at"), F.lit(True).alias("shut"))), "at", "left")  # a calendar of holidays
+    marked = near.join(small(holidays.select(F.col("day").alias("at"), F.lit(True).alias("shut"))), "at", "left")
     trades = F.dayofweek("at").between(2, 6) & F.col("shut").isNull()
     return marked.groupBy("day").agg(F.bool_or(trades & (F.col("age") == 0)).alias("open"), F.max(F.when(trades, F.col("at"))).alias("last_session"))
 

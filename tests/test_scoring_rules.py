@@ -20,71 +20,75 @@ def small_plans(spark):
         spark.conf.unset(key)
 
 
-def card(spark, config=scoring.CONFIG, macro=None, **metrics):
-    values = {"ticker": "T", "sic": None, **metrics}
-    fields = [T.StructField(k, T.StringType() if k == "ticker" else T.IntegerType() if k == "sic" else T.DoubleType()) for k in values]
-    row = tuple(v if k in ("ticker", "sic") or v is None else float(v) for k, v in values.items())
-    return scoring.score(spark.createDataFrame([row], T.StructType(fields)), config, macro).first()
+def cards(spark, cases, config=scoring.CONFIG, macro=None):
+    """One card for each case (a dictionary of metrics), all in one plan."""
+    names = sorted({k for c in cases for k in c} - {"sic"})
+    schema = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("sic", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+    rows = [(f"{i:03d}", c.get("sic"), *[None if c.get(n) is None else float(c[n]) for n in names]) for i, c in enumerate(cases)]
+    return scoring.score(spark.createDataFrame(rows, schema), config, macro).orderBy("ticker").collect()
 
 
 def test_legs(spark):
-    assert card(spark, peg=-1, pe_ttm=10).value is None and card(spark, peg=1, pe_ttm=-5).value is None and card(spark, peg=0.5, pe_ttm=10).value == 100
-    assert card(spark, roic=0.05, roic_5y_avg=0.30).moat == 100 and card(spark, roic=0.30, roic_5y_avg=None).moat == 100
-    assert card(spark, roe=float("nan")).quality is None
-    bank = card(spark, sic=6022, roe=0.35, debt_to_equity=9, gross_margin=0.5)
+    got = cards(spark, [
+        dict(peg=-1, pe_ttm=10), dict(peg=1, pe_ttm=-5), dict(peg=0.5, pe_ttm=10), dict(roic=0.05, roic_5y_avg=0.30), dict(roic=0.30), dict(roe=float("nan")),
+        dict(sic=6022, roe=0.35, debt_to_equity=9, gross_margin=0.5), dict(sic=3571, roe=0.35), dict(roe=0.35)])
+    assert [got[i].value for i in range(3)] == [None, None, 100] and got[3].moat == 100 == got[4].moat and got[5].quality is None
+    bank = got[6]
     assert bank.quality == 100 and bank.moat is None  # leverage is masked; one of two applicable legs is enough
-    assert ("moat", "inapplicable", "subscore") in [tuple(a) for a in bank.abstentions] and ("gross_margin", "inapplicable", "leg") in [tuple(a) for a in bank.abstentions]
-    assert card(spark, sic=3571, roe=0.35).quality is None and card(spark, roe=0.35).quality == 100  # a known sector needs half its legs
+    said = [tuple(a) for a in bank.abstentions]
+    assert ("moat", "inapplicable", "subscore") in said and ("gross_margin", "inapplicable", "leg") in said
+    assert got[7].quality is None and got[8].quality == 100  # a known sector needs half its legs
 
 
 def test_optional_parts(spark):
-    eps = {"eps_cagr": 0.0, "eps_cagr_ps": 0.20}
-    assert card(spark, **eps).growth == 0 and card(spark, scoring.configured(quality={"dilution": True}), **eps).growth == 100
-    assert card(spark, upside_to_target=0.4).value == 100 and card(spark, scoring.configured(value={"upside_to_target": False}), upside_to_target=0.4).value is None
     sue = {"last_surprise": 4, "surprise_dispersion": 2, "days_since_report": 0, "earnings_quarters": 4}
-    on = scoring.configured(momentum={"sue": True})
-    assert card(spark, on, **sue).momentum == 100 and card(spark, **sue).momentum is None and card(spark, on, **{**sue, "earnings_quarters": 2}).momentum is None
-    assert card(spark, scoring.configured(momentum={"sue": True}, thresholds={"sue": None}), **sue).momentum is None  # no band, no leg
+    cases = [{"eps_cagr": 0.0, "eps_cagr_ps": 0.20}, {"upside_to_target": 0.4}, sue, {**sue, "earnings_quarters": 2}]
+    plain = cards(spark, cases)
+    on = cards(spark, cases, scoring.configured(quality={"dilution": True}, value={"upside_to_target": False}, momentum={"sue": True}))
+    assert (plain[0].growth, on[0].growth) == (0, 100) and (plain[1].value, on[1].value) == (100, None)
+    assert (plain[2].momentum, on[2].momentum, on[3].momentum) == (None, 100, None)
+    assert cards(spark, [sue], scoring.configured(momentum={"sue": True}, thresholds={"sue": None}))[0].momentum is None  # no band, no leg
 
 
 def test_insider_conviction_only_raises(spark):
-    on = scoring.configured(insider={"conviction": True})
     base = {"insider_sentiment": 0.0, "market_cap": 1e9}
-    assert card(spark, on, **base, insider_distinct_buyers=0).insider == 50
-    assert card(spark, on, **base, insider_distinct_buyers=4).insider == 75 and card(spark, **base, insider_distinct_buyers=4).insider == 50
-    sold = {"insider_net_6m": -500_000, "market_cap": 1e9, "insider_planned_sell_value": 500_000}
-    assert card(spark, **sold).insider == 0 and card(spark, on, **sold).insider == 50
+    cases = [{**base, "insider_distinct_buyers": 0}, {**base, "insider_distinct_buyers": 4}, {"insider_net_6m": -500_000, "market_cap": 1e9, "insider_planned_sell_value": 500_000}]
+    assert [c.insider for c in cards(spark, cases)] == [50, 50, 0]
+    assert [c.insider for c in cards(spark, cases, scoring.configured(insider={"conviction": True}))] == [50, 75, 50]
 
 
 def test_gates_and_flags(spark):
-    assert card(spark, fcf=-1).gates == ["negative_fcf"] and card(spark, fcf=-1, revenue_cagr=0.15, revenue_growth_persistence=0.7).gates == []
-    assert card(spark, sic=6798, fcf=-1, debt_to_equity=9).gates == [] and card(spark, market_cap=None).gates == []
-    assert card(spark, debt_to_equity=6).gates == ["over_leveraged"] and card(spark, debt_to_equity=25).gates == [] and card(spark, debt_to_equity=6, interest_coverage=3).gates == []
-    assert card(spark, ebitda=10, revenue=100, net_debt_to_ebitda=3, debt_to_equity=6).gates == [] and card(spark, ebitda=1, revenue=100, net_debt_to_ebitda=3, debt_to_equity=6).gates == ["over_leveraged"]
     short = {"short_pct_outstanding": 0.2, "days_to_cover": 6, "short_interest_rising": 1}
-    assert card(spark, **short).flags == ["crowded_short"] and card(spark, **short, short_data_age_days=36).flags == []
-    assert card(spark, activist_13d=1, late_filing=0, auditor_change=1).flags == ["activist_13d", "auditor_change"]
-    assert card(spark, news_count_7d=10, news_rising=1, news_truncated=1).flags == [] and card(spark, news_count_7d=10, news_rising=1).flags == ["news_spike"]
-    assert card(spark, filing_text_similarity=0.1).flags == [] and card(spark, scoring.configured(flags={"filing_text_change": {"max_similarity": 0.7}}), filing_text_similarity=0.1).flags == ["filing_text_change"]
+    gates = [
+        (dict(fcf=-1), ["negative_fcf"]), (dict(fcf=-1, revenue_cagr=0.15, revenue_growth_persistence=0.7), []), (dict(sic=6798, fcf=-1, debt_to_equity=9), []), (dict(market_cap=None), []), (dict(market_cap=1e8), ["below_min_mktcap"]),
+        (dict(debt_to_equity=6), ["over_leveraged"]), (dict(debt_to_equity=25), []), (dict(debt_to_equity=6, interest_coverage=3), []), (dict(ebitda=10, revenue=100, net_debt_to_ebitda=3, debt_to_equity=6), []),
+        (dict(ebitda=1, revenue=100, net_debt_to_ebitda=3, debt_to_equity=6), ["over_leveraged"]), (dict(insider_sentiment=-0.7), ["heavy_insider_selling"])]
+    flags = [
+        (short, ["crowded_short"]), ({**short, "short_data_age_days": 36}, []), (dict(activist_13d=1, late_filing=0, auditor_change=1), ["activist_13d", "auditor_change"]), (dict(news_count_7d=10, news_rising=1, news_truncated=1), []),
+        (dict(news_count_7d=10, news_rising=1), ["news_spike"]), (dict(filing_text_similarity=0.1), []), (dict(social_mentions=50, social_rising=1, social_delta=0.4), []), (dict(social_mentions=50, social_rising=1), ["social_hype"])]
+    got = cards(spark, [c for c, _ in gates + flags])
+    assert [c.gates for c in got[: len(gates)]] == [g for _, g in gates] and [c.flags for c in got[len(gates) :]] == [f for _, f in flags]
+    assert cards(spark, [dict(filing_text_similarity=0.1)], scoring.configured(flags={"filing_text_change": {"max_similarity": 0.7}}))[0].flags == ["filing_text_change"]
 
 
 def test_value_trap_and_risk_off(spark):
     cheap = {"fcf_yield": 0.08, "roe": 0.1}
-    assert card(spark, **cheap).flags == ["value_trap"]
+    assert cards(spark, [cheap])[0].flags == ["value_trap"]
     on = scoring.configured(flags={"value_trap": {**scoring.CONFIG["flags"]["value_trap"], "suppress_at": 0.8, "confirm_at": 0.34}})
-    assert card(spark, on, **cheap, piotroski_won=6, piotroski_legs=6).flags == [] and card(spark, on, **cheap, piotroski_won=3, piotroski_legs=3).flags == ["value_trap"]
-    assert card(spark, on, fcf_yield=0.08, roe=0.35, piotroski_won=1, piotroski_legs=6).flags == ["value_trap"]
-    assert card(spark, macro=F.lit(True), debt_to_equity=2).flags == ["risk_off_regime"] and card(spark, macro=F.lit(False), debt_to_equity=2).flags == []
-    assert card(spark, macro=F.lit(True), debt_to_equity=-2).flags == [] and card(spark, macro=F.lit(True), debt_to_equity=21).flags == [] and card(spark, macro=F.lit(True), net_debt_to_ebitda=3.5).flags == ["risk_off_regime"]
+    cases = [{**cheap, "piotroski_won": 6, "piotroski_legs": 6}, {**cheap, "piotroski_won": 3, "piotroski_legs": 3}, {"fcf_yield": 0.08, "roe": 0.35, "piotroski_won": 1, "piotroski_legs": 6}]
+    assert [c.flags for c in cards(spark, cases, on)] == [[], ["value_trap"], ["value_trap"]]
+    exposed = [dict(debt_to_equity=2), dict(debt_to_equity=-2), dict(debt_to_equity=21), dict(net_debt_to_ebitda=3.5)]
+    assert ["risk_off_regime" in c.flags for c in cards(spark, exposed, macro=F.lit(True))] == [True, False, False, True] and not any(c.flags for c in cards(spark, exposed, macro=F.lit(False)))
 
 
 def test_composite_floor_and_thin(spark):
-    alone = card(spark, scoring.configured(weights={"risk": 0.5}), realized_vol=0.15)
+    alone = cards(spark, [dict(realized_vol=0.15)], scoring.configured(weights={"risk": 0.5}))[0]
     assert alone.composite == 100 and not alone.scored  # a tilt alone does not make a card
-    assert card(spark, roe=0.35).scored and not card(spark, scoring.configured(validity={"min_composite_components": 2}), roe=0.35).scored
-    assert card(spark, scoring.configured(ranking={"thin_below": 0.5}), roe=0.35).thin and not card(spark, roe=0.35).thin
-    cards = scoring.score(spark.createDataFrame([("A", None, 0.1), ("B", None, None)], "ticker string, sic int, roe double"))
-    assert {r.ticker: r.x for r in cards.select("ticker", scoring.no_data(cards).alias("x")).collect()} == {"A": False, "B": True}
+    strict = scoring.configured(validity={"min_composite_components": 2}, ranking={"thin_below": 0.5})
+    plain, other = cards(spark, [dict(roe=0.35)])[0], cards(spark, [dict(roe=0.35)], strict)[0]
+    assert plain.scored and not plain.thin and not other.scored and other.thin
+    some = scoring.score(spark.createDataFrame([("A", None, 0.1), ("B", None, None)], "ticker string, sic int, roe double"))
+    assert {r.ticker: r.x for r in some.select("ticker", scoring.no_data(some).alias("x")).collect()} == {"A": False, "B": True}
 
 
 def test_coverage(spark):
@@ -92,8 +96,8 @@ def test_coverage(spark):
     gave = spark.createDataFrame([("A", "x"), ("B", "x")], "ticker string, source string")
     dim = spark.createDataFrame([("x", False, True), ("y", True, True), ("z", False, False)], "source string, no_data_is_normal boolean, feeds_axes boolean")
     states = coverage.statuses(outcomes, gave, dim)
-    cards = scoring.score(spark.createDataFrame([("A", 6022, 0.35), ("C", None, None)], "ticker string, sic int, roe double"))
-    got = {r.ticker: r for r in coverage.records(states, cards).collect()}
+    scored = scoring.score(spark.createDataFrame([("A", 6022, 0.35), ("C", None, None)], "ticker string, sic int, roe double"))
+    got = {r.ticker: r for r in coverage.records(states, scored).collect()}
     assert set(got) == {"A", "C"} and got["A"].providers == ["x=ok", "y=ok", "z=empty"] and got["A"].axisless == ["z"]
     assert got["A"].unavailable == ["growth", "momentum", "value", "insider"] and "moat" in got["C"].unavailable and got["C"].note == "x: supplied no usable data for this symbol"
     assert {r.ticker: r.gaps for r in coverage.unexplained(states).collect()} == {"A": [], "B": [], "C": ["x"]}
