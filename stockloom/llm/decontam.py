@@ -18,7 +18,8 @@ the benchmark's hashes; that filter is used only if the benchmark has at most ``
 otherwise all windows take part in the join.
 
 Edge cases: null or empty texts match nothing; a repeated doc_id or item_id is treated as one; items of fewer than
-four tokens or without enough plain words cannot be matched; other columns are ignored.
+four tokens or without enough plain words cannot be matched; other columns are ignored. A very long text takes 13 bytes of
+memory a byte.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ more symbols, shouting or repetition can never raise a document's score.
 Edge cases: a null or empty text has zero words and fails the base rules; a doc_id that occurs twice
 is judged twice; other columns are ignored by ``judge`` and passed through by ``filter_documents``;
 a doc_id with several labels counts as the worst of them;
-without labelled rows the ensemble is empty and only the base rules decide.
+without labelled rows the ensemble is empty and only the base rules decide. A very long text is worked on whole: 16 bytes of
+memory a byte.
 """
 
 from __future__ import annotations
