@@ -104,6 +104,13 @@ class Piece:
             at = to
         return out
 
+    def hasher(self, keys: np.ndarray = BYTE_KEYS):
+        """A function of starts and ends that gives hashes; short data are summed once for all its calls."""
+        if len(self.data) > 2 * BLOCK:
+            return lambda starts, ends: self.hashes(starts, ends, keys)
+        sums = self.rolling(keys)
+        return lambda starts, ends: self.span_hash(sums, starts, ends)
+
     def stretches(self, cut) -> list[tuple[int, Piece]]:
         """(first byte, piece) of the parts of a single long text, cut where ``cut`` (data -> marks of bytes that may begin a part)
         allows it next after every block; the piece itself where it is short or holds several texts."""

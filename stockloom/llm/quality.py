@@ -54,12 +54,13 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     for p in kernel.pieces(column):
         rows = slice(p.first, p.first + p.n)
         starts, ends, owner = p.words()
-        hashes = p.hashes(starts, ends)
+        hash_of = p.hasher()
+        hashes = hash_of(starts, ends)
         n = kernel.count_by(owner, p.n)
         out["n_words"][rows] = n
         out["word_chars"][rows] = kernel.byte_count(p, _LEAD & ~kernel.IS_SPACE)  # every other code point stands in a word
         out["n_symbols"][rows] = kernel.byte_count(p, _SYMBOL)
-        out["n_dup_lines"][rows] = _repeated_lines(p, starts)
+        out["n_dup_lines"][rows] = _repeated_lines(p, starts, hash_of)
         out["n_repeat_words"][rows] = _repeated_words(p, hashes, owner)
         w = np.maximum(n, 1)
         alpha = np.maximum(kernel.byte_count(p, _ALPHA), 1)
@@ -72,7 +73,7 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return out, feats
 
 
-def _repeated_lines(p: kernel.Piece, word_starts: np.ndarray) -> np.ndarray:
+def _repeated_lines(p: kernel.Piece, word_starts: np.ndarray, hash_of) -> np.ndarray:
     """Lines that hold a word and equal an earlier line of the same text."""
     if not len(p.data):
         return np.zeros(p.n, np.int64)
@@ -88,7 +89,7 @@ def _repeated_lines(p: kernel.Piece, word_starts: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(p.n, np.int64)
     owner = p.owner(starts)
-    keys = kernel.mix(p.hashes(starts, ends) + owner.astype(np.uint64) * kernel.WINDOW_KEYS[61])
+    keys = kernel.mix(hash_of(starts, ends) + owner.astype(np.uint64) * kernel.WINDOW_KEYS[61])
     first = np.unique(keys, return_index=True)[1]
     again = np.ones(len(keys), bool)
     again[first] = False

@@ -49,13 +49,14 @@ def tokens(piece: kernel.Piece) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = runs(piece, _LETTER[piece.data])
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = piece.hashes(starts, ends, kernel.LOWER_KEYS)
+    hash_of = piece.hasher(kernel.LOWER_KEYS)
+    words = hash_of(starts, ends)
     owner = piece.owner(starts)
     pairs, first = kernel.windows(words, owner, 2)
     hashes, texts = [words, pairs], [owner, owner[first]]
     for size in BEGINNINGS:
         longer = ends - starts > size
-        hashes.append(piece.hashes(starts[longer], starts[longer] + size, kernel.LOWER_KEYS) * kernel.WINDOW_KEYS[size])
+        hashes.append(hash_of(starts[longer], starts[longer] + size) * kernel.WINDOW_KEYS[size])
         texts.append(owner[longer])
     return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(texts)
 
