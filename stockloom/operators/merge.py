@@ -6,6 +6,8 @@ come last; ties go to the earliest position.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +104,24 @@ def latest_symbol(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cusip").agg(F.max_by("symbol", F.struct("settled", "symbol")).alias("symbol"))
 
 
+Resolver = Callable[[DataFrame], DataFrame]
+
+
+def resolved(rows: DataFrame, key: str, resolvers: list[Resolver], name: str = "ticker") -> DataFrame:
+    """Rows with the answer of the first resolver that knows their key, and its number (by), both NULL where none does. A resolver is
+    given the rows of distinct keys that are still open and returns (key, answer): a join, a look-up table, a rule; never a call per
+    row. An answer that is NULL, or two answers for one key, leave the key open for the next."""
+    asked = [c for c in rows.columns]
+    keys = rows.dropDuplicates([key])
+    found = None
+    for i, f in enumerate(resolvers):
+        open_ = keys if found is None else keys.join(found, key, "left_anti")
+        got = f(open_).select(F.col(key), F.col(name).alias("__a")).where("__a is not null").groupBy(key).agg(F.min("__a").alias(name), F.max("__a").alias("__b")).where(F.col(name) == F.col("__b"))
+        got = got.select(key, name, F.lit(i).alias("by"))
+        found = got if found is None else found.unionByName(got)
+    return rows.join(found, key, "left").select(*asked, name, "by")
+
+
 def validity(rows: DataFrame, key: str = "cik", day: str = "seen") -> DataFrame:
     """Snapshots of a directory to intervals [from_day, to_day)."""
     return rows.withColumn("from_day", F.col(day)).withColumn("to_day", F.lead(day).over(Window.partitionBy(key).orderBy(day)))

@@ -13,6 +13,8 @@ from stockloom.catalog import register
 from stockloom.functions import columns as C
 from stockloom.operators import backtest as B
 from stockloom.operators import events as E
+from stockloom.operators import merge as M
+from stockloom.operators import prices as P
 from stockloom.plans import validation as V
 from stockloom.session import checkpoint_dir
 from stockloom.streaming import operators as O
@@ -75,3 +77,26 @@ def streamed_versions(s, d):
     stream = s.readStream.schema("cik long, tag string, fy_end date, filed date, val double").parquet(f"{base}/in")
     landed = O.run_once(stream, f"{base}/facts", f"{base}/state")
     return O.fact_versions(landed)
+
+
+@register("ud03_injected_resolvers", """WITH r AS (SELECT o_orderkey, o_custkey FROM orders), a AS (SELECT c_custkey AS o_custkey, 'A' || c_nationkey AS t FROM customer WHERE c_acctbal > 5000), b AS (SELECT s_suppkey AS o_custkey, 'B' || s_nationkey AS t FROM supplier),
+c AS (SELECT DISTINCT o_custkey, 'C' || o_custkey % 7 AS t FROM orders WHERE o_custkey % 2 = 0) SELECT o_orderkey, o_custkey, COALESCE(a.t, b.t, c.t) AS ticker, CASE WHEN a.t IS NOT NULL THEN 0 WHEN b.t IS NOT NULL THEN 1 WHEN c.t IS NOT NULL THEN 2 END AS by_ FROM r LEFT JOIN a USING (o_custkey) LEFT JOIN b USING (o_custkey) LEFT JOIN c USING (o_custkey)""")
+def resolvers(s, d):
+    """Two tables and a rule, tried in order."""
+    rich = table(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("A"), "c_nationkey").alias("ticker"))
+    other = table(s, d, "supplier").select(F.col("s_suppkey").alias("o_custkey"), F.concat(F.lit("B"), "s_nationkey").alias("ticker"))
+    rule = lambda rows: rows.where("o_custkey % 2 = 0").select("o_custkey", F.concat(F.lit("C"), F.col("o_custkey") % 7).alias("ticker"))
+    by_table = lambda t: lambda rows: rows.select("o_custkey").join(t, "o_custkey")
+    rows = table(s, d, "orders").select("o_orderkey", "o_custkey")
+    return M.resolved(rows, "o_custkey", [by_table(rich), by_table(other), rule]).withColumnRenamed("by", "by_")
+
+
+@register("ud03b_injected_prices", cte("prices") + """, a AS (SELECT DISTINCT ticker, CAST(date_trunc('year', d) + INTERVAL 170 DAY AS DATE) AS ask FROM prices), n AS (SELECT a.*, p.close AS c1 FROM a LEFT JOIN prices p ON p.ticker = a.ticker AND p.d = a.ask), l AS (SELECT n.*, x.close AS c2 FROM n ASOF LEFT JOIN prices x ON x.ticker = n.ticker AND n.ask >= x.d)
+SELECT ticker, ask, COALESCE(c1, c2) AS close, CASE WHEN c1 IS NOT NULL THEN 0 WHEN c2 IS NOT NULL THEN 1 END AS by_ FROM l""")
+def injected_prices(s, d):
+    """A price of the very day, else the last one before: both look-ups are given as functions of the open questions."""
+    prices = view(s, d, "prices")
+    asks = prices.select("ticker", F.date_add(F.trunc("d", "year"), 170).alias("ask")).distinct().withColumn("q", F.struct("ticker", "ask"))
+    exact = lambda rows: rows.join(prices.select("ticker", F.col("d").alias("ask"), "close"), ["ticker", "ask"]).select("q", "close")
+    before = lambda rows: P.as_of(rows.select("ticker", "ask"), prices).select(F.struct("ticker", "ask").alias("q"), "close")
+    return M.resolved(asks, "q", [exact, before], "close").select("ticker", "ask", "close", F.col("by").alias("by_"))
