@@ -13,6 +13,7 @@ from stockloom.catalog import register
 from stockloom.functions import columns as C
 from stockloom.operators import backtest as B
 from stockloom.operators import events as E
+from stockloom.operators import flatten as L
 from stockloom.operators import merge as M
 from stockloom.operators import prices as P
 from stockloom.plans import validation as V
@@ -100,3 +101,47 @@ def injected_prices(s, d):
     exact = lambda rows: rows.join(prices.select("ticker", F.col("d").alias("ask"), "close"), ["ticker", "ask"]).select("q", "close")
     before = lambda rows: P.as_of(rows.select("ticker", "ask"), prices).select(F.struct("ticker", "ask").alias("q"), "close")
     return M.resolved(asks, "q", [exact, before], "close").select("ticker", "ask", "close", F.col("by").alias("by_"))
+
+
+def _gap(name: str, n: int, value: str) -> str:
+    return f"CASE WHEN k % {n} <> 0 THEN {value} END AS {name}"
+
+
+#: Section fields of a name from sums over its own rows: (field, every how-many-th name has none, expression over a, b, c, d in 0..1).
+_FIELDS = [
+    ("market_cap", 11, "1e6 + 1e9 * a"), ("price", 13, "1 + 99 * b"), ("roic", 2, "a - 0.3"), ("roic_5y_avg", 3, "b - 0.2"), ("revenue", 2, "1e6 * (a + 0.1)"), ("revenue0", 7, "1e6 * (b + 0.1)"), ("cash0", 5, "1e5 * c"), ("ebitda", 3, "1e5 * (d - 0.2)"), ("ebitda0", 7, "1e5 * (c - 0.3)"),
+    ("interest_coverage", 2, "9 * a"), ("operating_income0", 9, "2e5 * (b - 0.2)"), ("interest_expense0", 5, "-1e4 * c"), ("total_debt0", 8, "3e5 * d"), ("net_debt_to_ebitda", 3, "4 * a"), ("ebit_ev_yield", 2, "a / 9"), ("dividends_paid", 3, "-1e4 * a"), ("repurchases", 4, "1e4 * b"), ("debt_repayments", 5, "1e4 * c"),
+    ("debt_issuance", 6, "1e4 * d"), ("shareholder_yield", 2, "a / 7"), ("fcf_yield", 2, "b / 9"), ("fcf0", 6, "1e5 * (c - 0.4)"), ("pe_ttm", 2, "40 * a - 5"), ("pe_median", 3, "30 * b"), ("diluted_eps0", 5, "5 * d - 1"), ("price_vs_200dma", 2, "a - 0.5"), ("sma_200", 7, "1 + 90 * d"), ("target_median", 3, "1 + 99 * c"),
+    ("days_to_cover", 6, "1200 * d"), ("short_shares", 5, "2e7 * c"), ("prev_short_shares", 7, "2e7 * d"), ("split_flag", 4, "CASE WHEN a > 0.8 THEN 1.0 ELSE 0.0 END"), ("social_mentions", 3, "FLOOR(100 * a)"), ("mentions_day_ago", 4, "FLOOR(4 * b)"), ("news_count_7d", 4, "FLOOR(20 * c)"), ("news_count_prior", 5, "FLOOR(20 * d)"),
+    ("contract_ttm", 3, "1e5 * a"), ("contract_prior", 4, "1e5 * (b - 0.2)"), ("lobbying_ttm", 3, "1e4 * c"), ("lobbying_prior", 4, "FLOOR(4 * d)"), ("quarters", 3, "FLOOR(5 * a)"), ("beats", 5, "FLOOR(4 * b)"), ("last_report_estimated", 6, "CASE WHEN b > 0.5 THEN 1.0 ELSE 0.0 END")]
+_DAYS = [("settlement_day", 5, "a"), ("social_day", 4, "b"), ("news_day", 3, "c"), ("contract_day", 2, "d"), ("contract_asked", 7, "a"), ("lobbying_day", 2, "b"), ("lobbying_asked", 5, "c"), ("next_report_day", 4, "d"), ("last_report_day", 6, "a"), ("last_report_filed", 5, "c")]
+_U = lambda i: f"CAST(SUM((l_orderkey % 9973) * {2 * i + 5} + (l_partkey % 1009) * {9 * i + 7}) % 1009 AS DOUBLE) / 1009"
+_SECTIONS = (
+    "u AS (SELECT l_suppkey AS k, " + ", ".join(f"{_U(i)} AS {n}" for i, n in enumerate("abcd")) + " FROM lineitem GROUP BY l_suppkey), snap AS (SELECT k AS ticker, DATE '2024-05-01' AS as_of, "
+    + ", ".join(_gap(n, m, f"CAST(ROUND({x} + 0.00000001, 6) AS DOUBLE)") for n, m, x in _FIELDS) + ", " + ", ".join(_gap(n, m, f"CAST(DATE '2024-05-01' + CAST(FLOOR(60 * {x} - 50) AS INT) AS DATE)") for n, m, x in _DAYS) + " FROM u)")
+_W = {
+    "roic": "COALESCE(roic, y[1])", "roic_5y_avg": "COALESCE(roic_5y_avg, CASE WHEN roic IS NULL AND len(y) >= 2 THEN list_avg(y) END)", "revenue": "COALESCE(revenue, revenue0)", "cash_and_equivalents": "cash0", "ebitda": "COALESCE(ebitda, ebitda0)",
+    "interest_coverage": "COALESCE(interest_coverage, operating_income0 / NULLIF(ABS(interest_expense0), 0))", "net_debt_to_ebitda": "COALESCE(net_debt_to_ebitda, CASE WHEN COALESCE(ebitda, ebitda0) > 0 THEN (total_debt0 - cash0) / COALESCE(ebitda, ebitda0) END)",
+    "ebit_ev_yield": "COALESCE(ebit_ev_yield, CASE WHEN operating_income0 > 0 AND market_cap + total_debt0 - cash0 > 0 THEN operating_income0 / (market_cap + total_debt0 - cash0) END)",
+    "shareholder_yield": "COALESCE(shareholder_yield, CASE WHEN COALESCE(dividends_paid, repurchases, debt_repayments, debt_issuance) IS NOT NULL AND market_cap > 0 THEN (ABS(COALESCE(dividends_paid, 0)) + ABS(COALESCE(repurchases, 0)) + ABS(COALESCE(debt_repayments, 0)) - ABS(COALESCE(debt_issuance, 0))) / market_cap END)",
+    "fcf_yield": "COALESCE(fcf_yield, fcf0 / NULLIF(market_cap, 0))", "pe_ttm": "COALESCE(pe_ttm, price / NULLIF(diluted_eps0, 0))", "price_vs_200dma": "COALESCE(price_vs_200dma, price / NULLIF(sma_200, 0) - 1)", "upside_to_target": "CASE WHEN target_median <> 0 AND price <> 0 THEN target_median / price - 1 END",
+    "pe_vs_history": "CASE WHEN COALESCE(pe_ttm, price / NULLIF(diluted_eps0, 0)) > 0 AND pe_median <> 0 THEN pe_median / COALESCE(pe_ttm, price / NULLIF(diluted_eps0, 0)) - 1 END", "days_to_cover": f"CASE WHEN days_to_cover < {L.NO_COVER} THEN days_to_cover END", "short_pct_outstanding": f"CASE WHEN short_shares / (market_cap / price) BETWEEN 0 AND {L.MOST_SHORT} THEN short_shares / (market_cap / price) END",
+    "social_delta": "(social_mentions - mentions_day_ago) / NULLIF(mentions_day_ago, 0)", "contract_growth": "CASE WHEN contract_prior > 0 THEN (contract_ttm - contract_prior) / contract_prior END", "contract_to_revenue": "contract_ttm / NULLIF(COALESCE(revenue, revenue0), 0)",
+    "lobbying_growth": "(lobbying_ttm - lobbying_prior) / NULLIF(lobbying_prior, 0)", "beat_rate": "CASE WHEN quarters > 0 THEN beats / quarters END", "average_surprise": "list_avg(z)", "surprise_dispersion": "CASE WHEN len(z) >= 3 THEN list_stddev_pop(z) END", "last_surprise": "z[1]", "earnings_quarters": "CASE WHEN quarters > 0 THEN quarters END"}
+_MARKS = {"fcf_positive": "fcf0 > 0", "short_interest_rising": "CASE WHEN COALESCE(split_flag, 0) = 0 THEN short_shares > prev_short_shares END", "social_rising": "social_mentions > mentions_day_ago", "news_rising": "news_count_7d > news_count_prior"}
+_AGES = {"short_data_age_days": "as_of - settlement_day", "social_data_age_days": "as_of - social_day", "news_data_age_days": "as_of - news_day", "contract_age_days": "as_of - COALESCE(contract_day, contract_asked)", "lobbying_age_days": "as_of - COALESCE(lobbying_day, lobbying_asked)", "days_to_report": "next_report_day - as_of",
+         "days_since_report": "as_of - GREATEST(last_report_day, CASE WHEN last_report_estimated = 1 THEN last_report_filed END)"}
+
+
+@register("pit12b_wide_projection", "WITH " + _SECTIONS + ", s AS (SELECT *, CASE ticker % 4 WHEN 0 THEN [] WHEN 1 THEN [0.1] ELSE [0.1, 0.3, ticker % 9 / 10.0] END AS y, CASE ticker % 5 WHEN 0 THEN [] WHEN 1 THEN [4.0, -2.0] ELSE [ticker % 11 - 5.0, 1.0, 2.5] END AS z FROM snap) SELECT ticker, "
+    + ", ".join(f"ROUND({x} + 0.0000012, 5) AS {n}" for n, x in _W.items()) + ", " + ", ".join(f"{x} AS {n}" for n, x in _MARKS.items()) + ", " + ", ".join(f"CAST({x} AS INT) AS {n}" for n, x in _AGES.items()) + " FROM s")
+def wide_projection(s, d):
+    """Sections put together from each supplier's own rows, with holes: thirty-six derived fields."""
+    snap = s.sql("WITH " + _SECTIONS.replace("FROM lineitem", "FROM {lineitem}") + " SELECT * FROM snap", lineitem=table(s, d, "lineitem"))
+    t = F.col("ticker")
+    lit = lambda *v: F.array(*[F.lit(x) if isinstance(x, float) else x for x in v]).cast("array<double>")
+    none = F.array().cast("array<double>")
+    years = F.when(t % 4 == 0, none).when(t % 4 == 1, lit(0.1)).otherwise(lit(0.1, 0.3, t % 9 / 10.0))
+    told = F.when(t % 5 == 0, none).when(t % 5 == 1, lit(4.0, -2.0)).otherwise(lit(t % 11 - 5.0, 1.0, 2.5))
+    m = L.flat_metrics(snap.withColumn("roic_by_year", years).withColumn("surprises", told))
+    return m.select("ticker", *[F.round(F.col(n) + 0.0000012, 5).alias(n) for n in _W], *_MARKS, *_AGES)

@@ -105,3 +105,16 @@ def test_streamed_flow_equals_batch(spark, tmp_path):
         O.daily_owner_flow(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
     got = {(r.ticker, (r.d - d(0)).days): (r.flow, r.buyers) for r in O.half_year_flow(spark.read.parquet(f"{tmp_path}/out")).collect()}
     assert got == {("A", 0): (10.0, 1), ("A", 5): (12.0, 2), ("A", 184): (2.0, 2), ("A", 188): (4.0, 2), ("B", 3): (-1.0, 0)}
+
+
+def test_flat_metrics(spark):
+    from stockloom.operators.flatten import flat_metrics
+
+    row = dict(ticker="A", as_of=date(2024, 5, 1), market_cap=1000.0, price=10.0, operating_income0=50.0, interest_expense0=-5.0, total_debt0=300.0, cash0=100.0, ebitda0=-4.0, fcf0=-20.0, diluted_eps0=0.5, pe_median=30.0, short_shares=90.0, prev_short_shares=80.0, split_flag=1.0,
+               days_to_cover=999.99, settlement_day=date(2024, 4, 15), social_mentions=6.0, mentions_day_ago=0.0, contract_ttm=5.0, contract_prior=-1.0, last_report_day=date(2024, 3, 31), last_report_estimated=1.0, last_report_filed=date(2024, 4, 20), next_report_day=date(2024, 5, 11), quarters=4.0, beats=3.0)
+    m = flat_metrics(spark.createDataFrame([row])).first()
+    assert (m.interest_coverage, m.net_debt_to_ebitda, m.fcf_yield, m.fcf_positive, m.pe_ttm, m.pe_vs_history) == (10.0, None, -0.02, False, 20.0, 0.5)
+    assert m.ebit_ev_yield == pytest.approx(50 / 1200) and m.short_pct_outstanding is None and m.short_interest_rising is None and m.days_to_cover is None and m.short_data_age_days == 16
+    assert (m.social_rising, m.social_delta, m.contract_growth, m.days_since_report, m.days_to_report, m.beat_rate) == (True, None, None, 11, 10, 0.75)
+    given = flat_metrics(spark.createDataFrame([{**row, "interest_coverage": 3.0, "roic": 0.2, "ebitda": 50.0, "last_report_estimated": 0.0}])).first()
+    assert (given.interest_coverage, given.roic, given.net_debt_to_ebitda, given.days_since_report) == (3.0, 0.2, 4.0, 31)
