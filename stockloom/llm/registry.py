@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stockloom.llm import chat, decontam, licenses, linededup, mixing, neardup, quality, secrets, tokencount, toxicity
+from stockloom.llm import chat, collocations, decontam, licenses, linededup, mixing, neardup, pieces, quality, runs, secrets, tokencount, toxicity
 
-_MODULES = (secrets, linededup, neardup, licenses, quality, toxicity, mixing, chat, tokencount, decontam)
+_MODULES = (secrets, linededup, neardup, licenses, quality, toxicity, mixing, chat, tokencount, decontam, collocations, pieces, runs)
 
 
 def queries() -> dict:
