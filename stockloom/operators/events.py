@@ -222,15 +222,6 @@ def capture_class(rows: DataFrame, floor: int) -> DataFrame:
     return rows.withColumn("class", F.when(F.col("parts") == 0, "failed").when(F.col("parts") < floor, "thin").otherwise("captured"))
 
 
-def capture_run(parts: DataFrame, captured: DataFrame, today: Column, floor: int, whole: int) -> DataFrame:
-    """Outcome of a day's run over names (ticker, parts seen, latest day of data): skipped if captured already, stale if nothing is of
-    today, thin below the floor, else captured; with how many names each and their mean share of ``whole`` parts."""
-    done = captured.select("ticker").distinct().withColumn("__done", F.lit(True))
-    outcome = F.when(F.col("__done"), "skipped").when(F.col("latest").isNull() | (F.col("latest") < today), "stale").when(F.col("parts") < floor, "thin").otherwise("captured")
-    j = parts.join(done, "ticker", "left").withColumn("outcome", outcome)
-    return j.groupBy("outcome").agg(F.count("*").alias("names"), F.round(F.avg(F.least(F.col("parts"), F.lit(whole)) / whole), 6).alias("coverage"))
-
-
 def readiness(rows: DataFrame, least_names: int) -> DataFrame:
     """Names and rows per day, and a total row (day NULL) by rollup; broad: enough names that day."""
     g = rows.rollup("day").agg(F.count_distinct("ticker").alias("names"), F.count("*").alias("n"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from stockloom.operators.sequences import best_of_lists
+
 
 def tokens(c: Column) -> Column:
     """Alphabetic tokens, lower case."""
@@ -36,13 +38,18 @@ def cosine(pairs: DataFrame, docs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(a, b).join(g.select(a, b, value.alias("similarity")), [a, b], "left").select(a, b, "similarity")
 
 
+#: White space, no-break and typographic spaces included.
+SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def blocks(c: Column) -> Column:
     """Blank-line separated blocks, trimmed, empty ones dropped."""
     return F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def block_key(c: Column, length: int = 160) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), 1, length)
+    """A block's start in lower case with single spaces, without digits, currency and stops: a changed amount or year is no new block."""
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.substring(c, 1, length), SPACES, " "))), r"[0-9$%,.\-]", "")
 
 
 def numbered_blocks(docs: DataFrame) -> DataFrame:
@@ -55,7 +62,7 @@ def new_blocks(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     b = numbered_blocks(docs)
     now = pairs.join(b, "doc_id")
     before = pairs.join(b.select(F.col("doc_id").alias("prior_doc_id"), "key"), "prior_doc_id").select("doc_id", "key").distinct()
-    return now.join(before, ["doc_id", "key"], "left_anti")
+    return now.where("key <> ''").join(before, ["doc_id", "key"], "left_anti")
 
 
 @F.pandas_udf(DoubleType())
@@ -65,33 +72,12 @@ def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def best_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The largest sequence ratio of a string and any of a short list; 0 for no list. Bounds spare only what cannot win."""
-
-    def best(x: str, others: list[str]) -> float:
-        most = 0.0
-        bound = lambda y: 2.0 * min(len(x), len(y)) / max(len(x) + len(y), 1)
-        for y in sorted(others, key=bound, reverse=True):
-            if x == y:
-                return 1.0
-            if bound(y) <= most:
-                break
-            m = SequenceMatcher(None, x, y, autojunk=False)
-            if m.quick_ratio() > most:
-                most = max(most, m.ratio())
-        return most
-
-    for a, b in batches:
-        yield pd.Series([None if x is None else 0.0 if y is None else best(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def block_ratios(pairs: DataFrame, docs: DataFrame, part: int = 16) -> DataFrame:
+def block_ratios(pairs: DataFrame, docs: DataFrame, part: int = 64) -> DataFrame:
     """doc_id, pos, ratio: the best sequence ratio of every added block over all blocks of its prior document, 0 without any.
-    The prior document's distinct keys come in lists of ``part``, so that a long filing is no single row."""
-    prior = numbered_blocks(docs).groupBy(F.col("doc_id").alias("prior_doc_id"), F.floor(F.col("pos") / part).alias("part")).agg(F.collect_set("key").alias("keys"))  # at most part
-    met = new_blocks(pairs, docs).select("doc_id", "prior_doc_id", "pos", "key").join(prior.drop("part"), "prior_doc_id", "left")
-    return met.select("doc_id", "pos", best_ratio("key", "keys").alias("ratio")).groupBy("doc_id", "pos").agg(F.max("ratio").alias("ratio"))
+    Both documents' keys come in lists of ``part``, so that a long filing is no single row and no key travels once a pair."""
+    prior = numbered_blocks(docs).groupBy(F.col("doc_id").alias("prior_doc_id"), F.floor(F.col("pos") / part).alias("part")).agg(F.collect_set("key").alias("others"))  # at most part
+    own = new_blocks(pairs, docs).groupBy("doc_id", "prior_doc_id", F.floor(F.col("pos") / part).alias("own_part")).agg(F.collect_list(F.struct("pos", "key")).alias("own"))
+    return best_of_lists(own.join(prior, "prior_doc_id", "left"))
 
 
 def added_blocks(pairs: DataFrame, docs: DataFrame, threshold: float = 0.5, most_blocks: int = 4, most_chars: int = 12_000) -> DataFrame:

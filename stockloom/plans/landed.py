@@ -10,7 +10,7 @@ from stockloom.bindings import cte, table, view
 from stockloom.catalog import register
 from stockloom.operators import options as O
 from stockloom.session import checkpoint_dir
-from stockloom.sources import files
+from stockloom.sources import files, store
 
 
 def _place(s) -> str:
@@ -121,14 +121,18 @@ def hits(s, d):
     return files.search_hits(s, place)
 
 
-@register("src13_snapshot_store", "SELECT user_id AS ticker, ARG_MAX(v, day) AS v, MAX(day) AS day FROM (SELECT user_id, CAST(ts AS DATE) AS day, ROUND(SUM(value) * 2, 4) AS v FROM events GROUP BY ALL) GROUP BY user_id")
-def store(s, d):
-    """Days saved once, then again with other values: the second saving replaces, the newest record of each name is read."""
-    rows = table(s, d, "events").groupBy(F.col("user_id").alias("ticker"), F.to_date("ts").alias("day")).agg(F.round(F.sum("value") * 2, 4).alias("v"))
+@register("src13_snapshot_store", """WITH e AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS day, ROUND(SUM(value) * 2, 4) AS v, BOOL_OR(event_type = 'purchase') AS again FROM events GROUP BY ALL), x AS (SELECT ticker, day, CASE WHEN again THEN v ELSE -1 END AS v FROM e)
+SELECT ticker, COUNT(*) AS days, COUNT(*) FILTER (v = -1) AS first_saved, ARG_MAX(v, day) AS v, MAX(day) AS day FROM x GROUP BY ticker""")
+def snapshot_store(s, d):
+    """Every name and day saved once; then those with a purchase are saved again with other values. The others of the same days
+    must stand as they were; the newest record of each name is read, and how many of its days hold the first values."""
+    e = table(s, d, "events").groupBy(F.col("user_id").alias("ticker"), F.to_date("ts").alias("day"))
+    rows = e.agg(F.round(F.sum("value") * 2, 4).alias("v"), F.bool_or(F.col("event_type") == "purchase").alias("again"))
     place = _place(s)
-    files.save_snapshots(rows.withColumn("v", F.lit(-1.0)), place)
-    files.save_snapshots(rows, place)
-    return files.latest_snapshots(s, place).select("ticker", "v", "day")
+    store.save_snapshots(rows.withColumn("v", F.lit(-1.0)).drop("again"), place)
+    store.save_snapshots(rows.where("again").drop("again"), place)
+    days = store.snapshots(s, place).groupBy("ticker").agg(F.count("*").alias("days"), F.count_if(F.col("v") == -1).alias("first_saved"))
+    return store.latest_snapshots(s, place).join(days, "ticker").select("ticker", "days", "first_saved", "v", "day")
 
 
 @register("src14_card_sinks", "SELECT s_suppkey AS ticker, round_even(s_acctbal, 1) AS shown, s_acctbal AS stored, 'a;b' AS gates FROM supplier")

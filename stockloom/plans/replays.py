@@ -15,7 +15,7 @@ from stockloom.operators import scoring as S
 from stockloom.operators import text as X
 from stockloom.plans import validation as V
 from stockloom.session import checkpoint_dir
-from stockloom.sources import files
+from stockloom.sources import store
 
 #: Numbered tags stand for the tags of the families; some families have a second choice or several members.
 TAGS = {n: [f"T{i}"] for i, n in enumerate(T.SERIES)}
@@ -110,8 +110,8 @@ def snapshot_replay(s, d):
     x = view(s, d, "signals")
     rows = x.select("ticker", F.col("m").alias("day"), (F.col("s1") * 4).alias("roe"), (F.col("s3") * 4).alias("net_margin"), F.when(F.col("ticker") % 3 != 0, F.col("s1") - 0.03).alias("fcf_yield"), F.when(F.col("ticker") % 7 == 0, F.col("s3") * 3).alias("revenue_cagr"))
     place = f"{checkpoint_dir(s)}/landed-{uuid.uuid4().hex}"
-    files.save_snapshots(rows, place)
-    stored = s.read.parquet(place).withColumn("sic", F.lit(None).cast("int"))
+    store.save_snapshots(rows, place)
+    stored = store.snapshots(s, place).withColumn("sic", F.lit(None).cast("int"))
     cards = S.score(stored).withColumn("composite", F.col("composite_raw"))
     return B.replay(cards, 0.34, ("quality", "value", "growth")).select("ticker", F.col("day").cast("int").alias("day"), "signal", F.round(F.col("value") + 0.0000123, 4).alias("value"))
 

@@ -34,17 +34,17 @@ def similarity(s, d):
     return X.cosine(_pairs(s, d), table(s, d, "documents"), "doc_id", "prior_doc_id").select("doc_id", "prior_doc_id", _r("similarity"))
 
 
-_KEY = "substr(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), 1, 160)"
+_KEY = r"regexp_replace(lower(trim(regexp_replace(substr(line, 1, 160), '" + X.SPACES + r"', ' ', 'g'))), '[0-9$%,.\-]', '', 'g')"
 
 
-@register("ud06_blocks", f"WITH x AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) - 1 AS pos FROM documents) SELECT doc_id, CAST(pos AS INT) AS pos, {_KEY.format('line')} AS key FROM x WHERE trim(line) <> ''")
+@register("ud06_blocks", f"WITH x AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) - 1 AS pos FROM documents) SELECT doc_id, CAST(pos AS INT) AS pos, {_KEY} AS key FROM x WHERE trim(line) <> ''")
 def blocks(s, d):
     docs = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.trim("line") != "")
     return docs.select("doc_id", "pos", X.block_key(F.col("line")).alias("key"))
 
 
-@register("tx03_new_blocks", cte("filings") + f""", x AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line FROM filings), k AS (SELECT doc_id, {_KEY.format('line')} AS key FROM x WHERE trim(line) <> '')
-SELECT f.doc_id, COUNT(*) AS added FROM filings f JOIN k ON k.doc_id = f.doc_id WHERE f.prior_doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k p WHERE p.doc_id = f.prior_doc_id AND p.key = k.key) GROUP BY 1""")
+@register("tx03_new_blocks", cte("filings") + f""", x AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line FROM filings), k AS (SELECT doc_id, {_KEY} AS key FROM x WHERE trim(line) <> '')
+SELECT f.doc_id, COUNT(*) AS added FROM filings f JOIN k ON k.doc_id = f.doc_id WHERE k.key <> '' AND f.prior_doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k p WHERE p.doc_id = f.prior_doc_id AND p.key = k.key) GROUP BY 1""")
 def new_blocks(s, d):
     docs = table(s, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return X.new_blocks(_pairs(s, d), docs).groupBy("doc_id").agg(F.count("*").alias("added"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockloom.bindings import view
 from stockloom.catalog import register
+from stockloom.session import checkpoint_dir
+from stockloom.sources.store import newest, records, rejects
 from stockloom.streaming import operators as O
 
 
@@ -13,9 +17,9 @@ def _news(s, d):
     return view(s, d, "news")
 
 
-@register("st01_deduplicated", "SELECT DISTINCT user_id AS ticker, event_type FROM events")
+@register("st01_deduplicated", "SELECT user_id AS ticker, event_type, ARG_MIN(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
 def dedup(s, d):
-    return O.deduplicated(_news(s, d), ["ticker", "event_type"]).select("ticker", "event_type")
+    return O.deduplicated(_news(s, d), ["ticker", "event_type"]).select("ticker", "event_type", "event_id")
 
 
 @register("st02_daily_counts", "SELECT user_id AS ticker, CAST(ts AS DATE) AS day, COUNT(*) AS c, ROUND(SUM(value), 4) AS value FROM events GROUP BY ALL")
@@ -50,11 +54,22 @@ def rolling(s, d):
     return x.select("ticker", "d", F.round(F.sum("v").over(w), 2).alias("flow"))
 
 
-@register("st07_daily_capture", "SELECT user_id AS ticker, event_id FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15' AND event_id % 4 <> 0")
+@register("st07_daily_capture", """WITH e AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS day, ts, event_id FROM events)
+SELECT 'kept' AS kind, ticker, day, ARG_MIN(event_id, (ts, event_id)) AS event_id, 1 AS n FROM e WHERE day >= DATE '2024-01-15' GROUP BY ALL
+UNION ALL SELECT 'refused', ticker, day, NULL, COUNT(*) FROM e WHERE day < DATE '2024-01-15' GROUP BY ALL""")
 def capture(s, d):
-    news = _news(s, d)
-    fresh, _ = O.accepted(news, news.where("event_id % 4 = 0").select("ticker", "event_id"), "2024-01-15")
-    return fresh.select("ticker", "event_id")
+    """Events land in three parcels, the second with some that came before and the third with more late ones; each is drained by a
+    stream that keeps the first event of every name and day and refuses days before the run's."""
+    place = f"{checkpoint_dir(s)}/landed-{uuid.uuid4().hex}"
+    news = _news(s, d).withColumn("day", F.to_date("ts"))
+    parcels = ["ts < '2024-01-20'", "ts >= '2024-01-18' and ts < '2024-01-25'", "ts >= '2024-01-25' or ts < '2024-01-10'"]
+    for parcel in parcels:
+        news.where(parcel).write.mode("append").parquet(f"{place}/in")
+        stream = s.readStream.schema(f"{O.NEWS}, day date").parquet(f"{place}/in")
+        O.captured(stream, f"{place}/out", f"{place}/state", "2024-01-15", ["ts", "event_id"])
+    kept = newest(records(s, f"{place}/out/records"), ["ticker", "day"]).select(F.lit("kept").alias("kind"), "ticker", "day", "event_id", F.lit(1).cast("long").alias("n"))
+    late = rejects(s, f"{place}/out").groupBy("ticker", "day").agg(F.count("*").alias("n"))
+    return kept.unionByName(late.select(F.lit("refused").alias("kind"), "ticker", "day", F.lit(None).cast("long").alias("event_id"), "n"))
 
 
 @register("st09_enriched", "SELECT event_id, user_id AS ticker, CASE WHEN CAST(ts AS DATE) < DATE '2024-01-16' THEN 'old' ELSE 'new' END AS name FROM events")

@@ -125,25 +125,7 @@ def directory(rows: DataFrame) -> DataFrame:
     return g.select("cik", F.when((base != "") & F.array_contains("every", base), base).otherwise(F.col("first")).alias("ticker"))
 
 
-# ---------------------------------------------------------------- snapshot store and sinks
-
-
-def save_snapshots(rows: DataFrame, root: str) -> None:
-    """One record per (ticker, day); saving a day again replaces it."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(root)
-
-
-def latest_snapshots(spark: SparkSession, root: str, day: str | None = None) -> DataFrame:
-    """The newest record of every ticker, or those of one day exactly (partition pruning)."""
-    rows = spark.read.parquet(root)
-    if day:
-        return rows.where(F.col("day") == F.lit(day).cast("date"))
-    others = [c for c in rows.columns if c != "ticker"]
-    return rows.groupBy("ticker").agg(F.max_by(F.struct(*others), "day").alias("x")).select("ticker", "x.*")
-
-
-def captured_days(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root).select("ticker", "day").distinct()
+# ---------------------------------------------------------------- sinks
 
 
 def write_cards(cards: DataFrame, root: str, decimals: int = 1) -> None:
@@ -153,10 +135,6 @@ def write_cards(cards: DataFrame, root: str, decimals: int = 1) -> None:
     cards.write.mode("overwrite").json(f"{root}/cards.json")
 
 
-def append_log(run: DataFrame, root: str) -> None:
-    run.write.mode("append").json(f"{root}/runs")
-
-
 def stale_names(universe: DataFrame, known: DataFrame) -> DataFrame:
     """Names that the directory does not have; with an empty directory nothing can be told, so none."""
     any_ = known.agg((F.count("*") > 0).alias("any"))

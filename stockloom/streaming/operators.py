@@ -4,17 +4,20 @@ same function gives the batch twin; state is bounded by a watermark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stockloom.sources import store
+
 NEWS = "ticker long, event_id long, ts timestamp, event_type string, value double"
 
 
 def deduplicated(events: DataFrame, key: list[str], late: str = "7 days") -> DataFrame:
-    """One row per key inside the watermark (a batch frame: per key)."""
+    """One row per key inside the watermark (a batch frame: the first one of each key by ts, then event_id)."""
     if events.isStreaming:
         return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
-    return events.dropDuplicates(key)
+    others = [c for c in events.columns if c not in key]
+    return events.groupBy(*key).agg(F.min_by(F.struct(*others), F.struct("ts", "event_id")).alias("x")).select(*key, *[f"x.{c}" for c in others])
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -48,13 +51,6 @@ def mention_delta(daily: DataFrame) -> DataFrame:
     return daily.join(before, ["ticker", "day"], "left").withColumn("delta", F.col("c") - F.col("prior"))
 
 
-def accepted(events: DataFrame, captured: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of an idempotent daily capture: those of the day that are not captured yet, and stale ones for the reject table."""
-    day = F.to_date("ts")
-    fresh = events.where(day == F.lit(today).cast("date")).join(captured, ["ticker", "event_id"], "left_anti")
-    return fresh, events.where(day < F.lit(today).cast("date"))
-
-
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain a stream into Parquet with availableNow and read the result."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
@@ -62,13 +58,29 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return stream.sparkSession.read.parquet(path)
 
 
+def each_batch(stream: DataFrame, checkpoint: str, write, mode: str = "update") -> None:
+    """Drain what has arrived, ``write`` (batch, its number) taking each micro-batch."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
 def upsert_days(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """foreachBatch with dynamic partition overwrite: a replayed batch writes the same days again, nothing twice."""
+    """Changed rows of a stream (with a ``day``) into a store of versions: a replayed batch replaces itself, and other rows of a day
+    stay. ``newest_days`` reads it."""
+    each_batch(stream, checkpoint, lambda batch, number: store.put(batch, path, number, ["day"]))
+
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+def newest_days(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    return store.newest(store.records(spark, path), keys)
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+def captured(stream: DataFrame, root: str, checkpoint: str, today: str, order: list[str]) -> None:
+    """An idempotent daily capture of a stream (ticker, day, ...); see ``store.capture``."""
+    each_batch(stream, checkpoint, lambda batch, number: store.capture(batch, root, today, order, number), "append")
+
+
+def extended_facts(stream: DataFrame, root: str, checkpoint: str) -> None:
+    """A stream of filed facts into the table of intervals in which they were known; see ``store.extend_facts``."""
+    each_batch(stream, checkpoint, lambda batch, number: store.extend_facts(batch, root, number), "append")
 
 
 def daily_owner_flow(trades: DataFrame, path: str, checkpoint: str) -> None:
@@ -98,11 +110,3 @@ def half_year_flow(daily: DataFrame, days: int = 183) -> DataFrame:
     changes = steps.union(by_day.select("ticker", "d", F.lit(0))).groupBy("ticker", "d").agg(F.sum("c").alias("c"))
     upto = Window.partitionBy("ticker").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     return flow.join(changes.select("ticker", "d", F.sum("c").over(upto).alias("buyers")), ["ticker", "d"])
-
-
-def fact_versions(facts: DataFrame) -> DataFrame:
-    """Versions of facts (cik, tag, fy_end, filed, val) as intervals [known_from, known_to): what was known on a day stays what it was,
-    whatever is filed later. Of two values filed on one day the smaller counts."""
-    one = facts.groupBy("cik", "tag", "fy_end", "filed").agg(F.min("val").alias("val"))
-    w = Window.partitionBy("cik", "tag", "fy_end").orderBy("filed")
-    return one.select("cik", "tag", "fy_end", F.col("filed").alias("known_from"), F.lead("filed").over(w).alias("known_to"), F.row_number().over(w).alias("version"), "val")

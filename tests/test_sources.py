@@ -68,14 +68,7 @@ def test_text_feeds(spark, tmp_path):
     assert files.stale_names(names, empty).count() == 0 and [r.ticker for r in files.stale_names(names, names.where("ticker = 'A'")).collect()] == ["B"]
 
 
-def test_snapshot_store(spark, tmp_path):
-    root = str(tmp_path / "store")
-    row = lambda t, d, x: (t, date.fromisoformat(d), x)
-    files.save_snapshots(spark.createDataFrame([row("A", "2025-01-01", 1), row("B", "2025-01-01", 2)], "ticker string, day date, x int"), root)
-    files.save_snapshots(spark.createDataFrame([row("A", "2025-01-02", 3)], "ticker string, day date, x int"), root)
-    files.save_snapshots(spark.createDataFrame([row("A", "2025-01-02", 4)], "ticker string, day date, x int"), root)
-    assert {r.ticker: r.x for r in files.latest_snapshots(spark, root).collect()} == {"A": 4, "B": 2}
-    assert files.latest_snapshots(spark, root, "2025-01-01").count() == 2 and files.captured_days(spark, root).count() == 3
+def test_cards(spark, tmp_path):
     files.write_cards(spark.createDataFrame([("A", 1.25, ["x", "y"])], "ticker string, composite double, gates array<string>"), str(tmp_path))
     assert spark.read.option("header", True).csv(str(tmp_path / "cards.csv")).first().composite == "1.2"
 
@@ -103,4 +96,4 @@ def test_streams_match_batch(spark, tmp_path):
     assert once.where("ticker <> 99").count() == 20
     days = str(tmp_path / "days")
     O.upsert_days(events.sparkSession.readStream.schema(O.NEWS).parquet(src).withColumn("day", F.to_date("ts")), days, str(tmp_path / "uc"))
-    assert spark.read.parquet(days).count() == 41
+    assert O.newest_days(spark, days, ["ticker", "event_id", "ts"]).count() == 41
