@@ -84,7 +84,7 @@ def _hit(key: str) -> str:
 
 
 @register("tx05_headline_grade", f"""WITH x AS (SELECT doc_id, source, lang, {_HEAD} AS h FROM documents), g AS (SELECT *, CASE WHEN {_hit("S")} THEN 2 WHEN NOT {_hit("O")} AND {_hit("W")} THEN 1 ELSE 0 END AS grade FROM x)
-SELECT doc_id, grade, {_hit("N")} OR ({_hit("O")} AND grade = 0) OR source IN ('SeekingAlpha', 'ChartMill') AS dropped, regexp_matches(h, '\\((?:' || lang || ')\\)|[:$](?:' || lang || ')\\b|\\b(?:' || lang || ')\\s+(?i:stock|shares)\\b|\\b(?:' || lang || ')[''’]s\\b') OR regexp_matches(h, '(?i)\\b' || source || '\\b') AS about FROM g""")
+SELECT doc_id, grade, {_hit("N")} OR regexp_matches(h, '{N.ROUNDUP.replace("'", "''")}') OR ({_hit("O")} AND grade = 0) OR source IN ('SeekingAlpha', 'ChartMill') AS dropped, regexp_matches(h, '\\((?:' || lang || ')\\)|[:$](?:' || lang || ')\\b|\\b(?:' || lang || ')\\s+(?i:stock|shares)\\b|\\b(?:' || lang || ')[''’]s\\b') OR regexp_matches(h, '(?i)\\b' || source || '\\b') AS about FROM g""")
 def headline(s, d):
     """The first line of a document as a headline; its language code and source stand for the ticker and the name."""
     h = F.regexp_extract("text", r"^[^\n]*", 0)

@@ -56,7 +56,7 @@ def rolling(s, d):
 
 @register("st07_daily_capture", """WITH e AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS day, ts, event_id FROM events)
 SELECT 'kept' AS kind, ticker, day, ARG_MIN(event_id, (ts, event_id)) AS event_id, 1 AS n FROM e WHERE day >= DATE '2024-01-15' GROUP BY ALL
-UNION ALL SELECT 'refused', ticker, day, NULL, COUNT(*) FROM e WHERE day < DATE '2024-01-15' GROUP BY ALL""")
+UNION ALL SELECT 'refused', ticker, day, ARG_MIN(event_id, (ts, event_id)), COUNT(*) FROM e WHERE day < DATE '2024-01-15' GROUP BY ALL""")
 def capture(s, d):
     """Events land in three parcels, the second with some that came before and the third with more late ones; each is drained by a
     stream that keeps the first event of every name and day and refuses days before the run's."""
@@ -68,8 +68,8 @@ def capture(s, d):
         stream = s.readStream.schema(f"{O.NEWS}, day date").parquet(f"{place}/in")
         O.captured(stream, f"{place}/out", f"{place}/state", "2024-01-15", ["ts", "event_id"])
     kept = newest(records(s, f"{place}/out/records"), ["ticker", "day"]).select(F.lit("kept").alias("kind"), "ticker", "day", "event_id", F.lit(1).cast("long").alias("n"))
-    late = rejects(s, f"{place}/out").groupBy("ticker", "day").agg(F.count("*").alias("n"))
-    return kept.unionByName(late.select(F.lit("refused").alias("kind"), "ticker", "day", F.lit(None).cast("long").alias("event_id"), "n"))
+    late = rejects(s, f"{place}/out").groupBy("ticker", "day").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
+    return kept.unionByName(late.select(F.lit("refused").alias("kind"), "ticker", "day", "event_id", "n"))
 
 
 @register("st09_enriched", "SELECT event_id, user_id AS ticker, CASE WHEN CAST(ts AS DATE) < DATE '2024-01-16' THEN 'old' ELSE 'new' END AS name FROM events")

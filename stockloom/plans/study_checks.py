@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stockloom.bindings import cte, table, view
 from stockloom.catalog import register
 from stockloom.operators import backtest as B
-from stockloom.operators import news as N
+from stockloom.operators import stories as N
 from stockloom.operators import study as D
 from stockloom.plans import research as R
 from stockloom.plans import validation as V

@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from stockloom.operators import backtest, news, pit, study, text
+from stockloom.operators import backtest, pit, stories, study, text
 from stockloom.streaming import operators as O
 
 
@@ -20,12 +20,12 @@ def test_news_events(spark):
         ("A", 1, at(0), "Acme sued by Orion over Patent 5", "", 2), ("A", 2, at(1), "Orion and Acme: Patent fight", "", 1), ("A", 3, at(2), "Weather in Paris stays mild", "", 1),
         ("A", 4, at(3), "Acme to buy Zenith in takeover", "", 2), ("A", 5, at(9), "Zenith takeover talks with Acme go on", "", 2), ("A", 6, at(9, 5), "Zenith rejects the bid", "", 2),
         ("A", 7, at(30), "Quarter results beat forecasts", "", 1), ("A", 8, at(31), "Earnings fall short of hopes", "", 1), ("A", 9, at(60), "Nothing much", "", 0), ("B", 10, at(0), "Acme sued by Orion over Patent 5", "", 2)]
-    got = news.clusters(spark.createDataFrame(rows, "ticker string, id int, ts timestamp, headline string, summary string, grade int"))
+    got = stories.clusters(spark.createDataFrame(rows, "ticker string, id int, ts timestamp, headline string, summary string, grade int"))
     event = {r.id: (r.ticker, r.run, r.event) for r in got.collect()}
     assert len(event) == 10
     assert event[1] == event[2] != event[3] and event[4] == event[5] != event[6]  # a denial stays an item of its own
     assert event[7] == event[8] and event[10] != event[1]  # results come once a window
-    top = {r.face: (r.place, r.reports) for r in news.top_events(got, 3).where("ticker = 'A'").collect()}
+    top = {r.face: (r.place, r.reports) for r in stories.top_events(got, 3).where("ticker = 'A'").collect()}
     assert set(top) == {1, 4, 6} and top[1][1] == 2 and [k for k, v in sorted(top.items(), key=lambda x: x[1][0])][0] == 6
 
 
