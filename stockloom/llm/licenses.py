@@ -4,8 +4,8 @@ A text is normalised (A-Z folded, copyright lines (copyright with a year, a (c)
 year) and "all rights reserved" removed, equivalent spellings
 unified, punctuation and white space reduced to single spaces) and its SHA-256 is looked up, by a hash join, among the digests of
 known licence texts, normalised the same way. Units are the whole document and each of its lines that
-mentions a licence or copyright, for one-line notices. ``KNOWN`` holds four whole licences and common notices; further texts
-come from a table (``catalog``) or a folder of them (``catalog_of_folder``), and ``scan`` takes any pattern of lines to look up.
+mentions a licence or copyright, for one-line notices. ``KNOWN`` holds four whole licences and common notices; the whole texts
+of others (Apache, GPL, LGPL, MPL, CC0, ...) are long and come from a table (``catalog``) or a folder of them (``catalog_of_folder``), and ``scan`` takes any pattern of lines to look up.
 
 Edge cases: a null text counts as empty and matches nothing; text that normalises to nothing matches nothing; rows that
 repeat both doc_id and text give one row; other columns are ignored.
@@ -92,7 +92,7 @@ def catalog_of_folder(spark: SparkSession, folder: str) -> DataFrame:
 def scan(documents: DataFrame, known: DataFrame, mention: str | None = MENTION) -> DataFrame:
     """One row per document: doc_id, digest, license (of the whole text, or null), notices (licences of its lines, sorted,
     comma-joined), n_notices (lines that are a known notice). Lines that match ``mention`` are looked up; all of them
-    where it is None."""
+    where it is None. A row is known by its doc_id and text, so one that repeats is counted once."""
     if known.limit(shared.BROADCAST_ROWS + 1).count() <= shared.BROADCAST_ROWS:
         known = F.broadcast(known)
     text = shared.texts(documents).withColumn("text", F.coalesce("text", F.lit("")))
@@ -102,17 +102,14 @@ def scan(documents: DataFrame, known: DataFrame, mention: str | None = MENTION)
     else:
         asked = F.filter(every, lambda x: F.translate(x, UPPER, LOWER).rlike(mention))
         lines = F.when(F.translate("text", UPPER, LOWER).rlike(mention), asked)
-    units = text.select("doc_id", digest(F.col("text")).alias("whole"), F.transform(lines, digest).alias("lines"))
+    units = text.select("doc_id", F.xxhash64("text").alias("raw"), digest(F.col("text")).alias("whole"), F.transform(lines, digest).alias("lines"))
     own = F.array(F.struct(F.lit(0).alias("line"), F.col("whole").alias("digest")))
-    noted = F.transform(F.coalesce("lines", F.array().cast("array<string>")), lambda x: F.struct(F.lit(1).alias("line"), x.alias("digest")))
-    flat = units.select("doc_id", "whole", F.explode(F.concat(own, noted)).alias("u")).select("doc_id", "whole", "u.line", "u.digest")
+    noted = F.transform(F.coalesce("lines", F.array().cast("array<string>")), lambda x, i: F.struct((i + 1).alias("line"), x.alias("digest")))
+    flat = units.select("doc_id", "raw", "whole", F.explode(F.concat(own, noted)).alias("u")).select("doc_id", "raw", "whole", "u.line", "u.digest")
     hit = flat.join(known, "digest", "left")
-    line = (F.col("line") == 1) & F.col("license").isNotNull()
-    return hit.groupBy("doc_id", "whole").agg(
-        F.max(F.when(F.col("line") == 0, F.col("license"))).alias("license"),
-        F.array_join(F.array_sort(F.collect_set(F.when(line, F.col("license")))), ",").alias("notices"),
-        F.count_if(line).alias("n_notices"),
-    ).withColumnRenamed("whole", "digest")
+    line = F.when((F.col("line") > 0) & F.col("license").isNotNull(), F.struct("line", "license"))
+    told = hit.groupBy("doc_id", "raw", "whole").agg(F.max(F.when(F.col("line") == 0, F.col("license"))).alias("license"), F.collect_set(line).alias("told"))  # known notices of one text
+    return told.select("doc_id", F.col("whole").alias("digest"), "license", F.array_join(F.array_sort(F.array_distinct(F.transform("told", lambda x: x["license"]))), ",").alias("notices"), F.size("told").cast("long").alias("n_notices"))
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,10 +134,10 @@ WITH k AS (SELECT sha256({_sql_canonical("text")}) AS digest, MIN(license) AS li
            FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) x(license, text) GROUP BY 1),
 d AS (SELECT DISTINCT doc_id, COALESCE(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, sha256({_sql_canonical("text")}) AS digest FROM d),
-l AS (SELECT doc_id, digest AS whole, unnest(str_split(text, chr(10))) AS line FROM w),
-n AS (SELECT doc_id, whole, k.license FROM l JOIN k ON sha256({_sql_canonical("line")}) = k.digest
+l AS (SELECT doc_id, text, unnest(str_split(text, chr(10))) AS line FROM w),
+n AS (SELECT doc_id, text, k.license FROM l JOIN k ON sha256({_sql_canonical("line")}) = k.digest
       WHERE regexp_matches(translate(line, '{UPPER}', '{LOWER}'), '{MENTION}')),
-a AS (SELECT doc_id, whole, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, COUNT(*) AS n_notices FROM n GROUP BY ALL)
+a AS (SELECT doc_id, text, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, COUNT(*) AS n_notices FROM n GROUP BY ALL)
 SELECT w.doc_id, w.digest, k.license, COALESCE(a.notices, '') AS notices, COALESCE(a.n_notices, 0)::BIGINT AS n_notices
-FROM w LEFT JOIN k USING (digest) LEFT JOIN a ON a.doc_id = w.doc_id AND a.whole = w.digest
+FROM w LEFT JOIN k USING (digest) LEFT JOIN a ON a.doc_id IS NOT DISTINCT FROM w.doc_id AND a.text = w.text
 """
