@@ -6,17 +6,18 @@ source follow with its whole size added. All copies in order of finish time are
 the total of all sizes, is spent. Targets share the budget by weight (1, 2, 3, repeating, by source in
 code-point order, null last); none exceeds three times its source, and the excess is reshared.
 
-Running sums never gather a source: it is cut into 4096 hash ranges, whose sums give each range its
-start; sources themselves are ordered in range partitions. The global cut is found by adding up finish times in 4096 bins
-between the earliest and the latest, then in bins of the one bin that holds the cut, until that bin is one time.
+Both orders are range sorts over all rows: the documents by source and shuffled place, whose running sums less those of the
+sources before give the finish times, and all copies by finish time, whose running sums are cut at the budget. No source, no
+bin and no time is gathered anywhere; rows that agree in all else are dealt by their own number.
 
-Edge cases: null text has size 0 and taken 0; a null source is a source of its own; rows that repeat a doc_id
-and size share a finish time; an empty table gives an empty result; equal finish times are taken together or not at all.
+Edge cases: null text has size 0 and taken 0; a null source is a source of its own; a null doc_id is told apart by its text, and rows
+that repeat doc_id and text stand next to each other; equal finish times are taken in the shuffled order; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.functions.ordered import numbered, running
@@ -24,19 +25,17 @@ from stockloom.llm import shared
 
 WORD = r"[^\x20\x09-\x0D]+"
 PASSES = 3
-BINS = 4096
 
 
 def sizes(documents: DataFrame) -> DataFrame:
-    """doc_id, key (the source, never null), size, mark (shuffled order), part (its range)."""
-    source = F.col("source").cast("string")
-    out = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    """doc_id, key (the source, never null), size, mark (shuffled order)."""
+    source, text, id_ = F.col("source").cast("string"), F.col("text").cast("string"), F.col("doc_id").cast("long")
+    return documents.select(
+        id_.alias("doc_id"),
         F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("key"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("mark"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))).alias("mark"),
     )
-    return out.withColumn("part", F.substring("mark", 1, 3))
 
 
 def targets(by_source: DataFrame) -> DataFrame:
@@ -53,44 +52,20 @@ def targets(by_source: DataFrame) -> DataFrame:
     return ranked.join(level).select("key", "source_size", target.alias("target"))
 
 
-def _finish(copy: int) -> F.Column:
-    return (F.lit(copy) * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")
-
-
-def _cut(timed: DataFrame, budget: int) -> float:
-    """The latest finish time up to which the copies' sizes keep within the budget; -1 if the first is over it already."""
-    copies = timed.where("size > 0").select("size", F.explode(F.array(*[_finish(i) for i in range(PASSES)])).alias("at"))
-    ends = copies.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
-    low, high, spent, best = ends["low"], ends["high"], 0, -1.0
-    while low is not None:
-        width = (high - low) / BINS
-        number = F.least(F.floor((F.col("at") - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
-        bins = copies.where(F.col("at").between(low, high)).groupBy(number.cast("int").alias("bin")).agg(F.sum("size").alias("size"), F.min("at").alias("first"), F.max("at").alias("last"))
-        upto = spent + F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("bin"))  # BINS rows at most
-        rows = bins.withColumn("upto", upto)
-        fits = rows.where(F.col("upto") <= budget).agg(F.max("upto").alias("upto"), F.max("last").alias("last")).first()
-        spent, best = (fits["upto"], fits["last"]) if fits["upto"] is not None else (spent, best)
-        over = rows.where(F.col("upto") > budget).orderBy("bin").select("first", "last").first()
-        if over is None or over["first"] == over["last"]:
-            return best
-        low, high = over["first"], over["last"]
-    return best
-
-
 def mix(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    docs = shared.written(sizes(documents))
-    parts = docs.groupBy("key", "part").agg(F.sum("size").alias("in_part"))
-    by_source = parts.groupBy("key").agg(F.sum("in_part").alias("source_size"))
-    before = F.sum("in_part").over(Window.partitionBy("key").orderBy("part")) - F.col("in_part")
-    starts = shared.written(parts.select("key", "part", before.alias("before")).join(targets(by_source), "key"))
-    within = F.sum("size").over(Window.partitionBy("key", "part").orderBy("mark", "doc_id"))
-    timed = shared.written(docs.join(starts, ["key", "part"]).select("doc_id", "size", "source_size", "target", (F.col("before") + within).alias("upto")))
-    budget = docs.agg(F.sum("size")).first()[0] or 0
-    cut = _cut(timed, budget)
-    copies = sum((F.when(_finish(i) <= cut, 1).otherwise(0) for i in range(PASSES)), F.lit(0))
-    taken = F.when(F.col("size") > 0, F.col("size") * copies).otherwise(0).cast("long")
-    return timed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    docs = shared.written(sizes(documents).withColumn("row", F.monotonically_increasing_id()))
+    by_source = shared.written(docs.groupBy("key").agg(F.sum("size").alias("source_size")))
+    before = running(by_source, [F.col("key")], upto=F.col("source_size")).select("key", (F.col("upto") - F.col("source_size")).alias("before"))
+    goal = shared.written(targets(by_source).join(before, "key"))
+    placed = shared.join_ids(running(docs, [F.col("key"), F.col("mark"), F.col("row")], place=F.col("size")), goal, "key", "inner")
+    within = F.col("place") - F.col("before")
+    passes = F.array(*[(F.lit(i) * F.col("source_size") + within).cast("double") / F.col("target") for i in range(PASSES)])
+    copies = placed.select("row", "mark", "doc_id", "size", "source_size", "target", F.posexplode(F.when(F.col("size") > 0, passes).otherwise(F.array(F.lit(0.0)))).alias("copy", "at"))
+    queue = running(copies, [F.col("at"), F.col("mark"), F.col("row"), F.col("copy")], spent=F.col("size"))
+    budget = docs.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
+    taken = F.sum(F.when(F.col("spent") <= F.col("budget"), F.col("size")).otherwise(0)).cast("long")
+    return queue.join(F.broadcast(budget)).groupBy("row", "doc_id", "size", "source_size", "target").agg(taken.alias("taken")).drop("row")  # a row's own copies; budget is one row
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +76,7 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
          COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(COALESCE(CAST(doc_id AS VARCHAR), '')) AS mark
+         md5(COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || md5(COALESCE(text, ''))) AS mark, ROW_NUMBER() OVER () AS rn
   FROM documents),
 s AS (SELECT key, SUM(size)::BIGINT AS source_size FROM d GROUP BY key),
 r AS (SELECT *, (ROW_NUMBER() OVER (ORDER BY key) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM s),
@@ -110,14 +85,10 @@ l AS (SELECT *, CAST(SUM(source_size) OVER () - (SUM(cap) OVER (ORDER BY full_at
               / CAST(SUM(w) OVER () - (SUM(w) OVER (ORDER BY full_at, key) - w) AS DOUBLE) AS level FROM f),
 v AS (SELECT level AS lam FROM l WHERE level <= full_at ORDER BY full_at, key LIMIT 1),
 t AS (SELECT key, source_size, CASE WHEN full_at <= lam THEN CAST(cap AS DOUBLE) ELSE lam * CAST(w AS DOUBLE) END AS target FROM f, v),
-u AS (SELECT doc_id, size, source_size, target,
-             CAST(SUM(size) OVER (PARTITION BY key ORDER BY mark, doc_id) AS BIGINT) AS upto FROM d JOIN t USING (key)),
-c AS (SELECT size, CAST(n * source_size + upto AS DOUBLE) / target AS fin FROM u, (VALUES (0), (1), (2)) x(n) WHERE size > 0),
-g AS (SELECT fin, SUM(SUM(size)) OVER (ORDER BY fin) AS spent FROM c GROUP BY fin),
-z AS (SELECT COALESCE(MAX(fin), -1) AS cut FROM g WHERE spent <= (SELECT SUM(size) FROM d))
-SELECT doc_id, size, source_size, target,
-       CASE WHEN size > 0 THEN size * (CASE WHEN CAST(upto AS DOUBLE) / target <= cut THEN 1 ELSE 0 END
-         + CASE WHEN CAST(source_size + upto AS DOUBLE) / target <= cut THEN 1 ELSE 0 END
-         + CASE WHEN CAST(2 * source_size + upto AS DOUBLE) / target <= cut THEN 1 ELSE 0 END) ELSE 0 END::BIGINT AS taken
-FROM u, z
+u AS (SELECT rn, mark, doc_id, size, source_size, target,
+             CAST(SUM(size) OVER (PARTITION BY key ORDER BY mark, rn) AS BIGINT) AS upto FROM d JOIN t USING (key)),
+c AS (SELECT rn, mark, size, n, CAST(n * source_size + upto AS DOUBLE) / target AS fin FROM u, (VALUES (0), (1), (2)) x(n) WHERE size > 0),
+g AS (SELECT rn, size, SUM(size) OVER (ORDER BY fin, mark, rn, n) AS spent FROM c),
+k AS (SELECT rn, SUM(size)::BIGINT AS taken FROM g WHERE spent <= (SELECT SUM(size) FROM d) GROUP BY rn)
+SELECT doc_id, size, source_size, target, COALESCE(taken, 0)::BIGINT AS taken FROM u LEFT JOIN k USING (rn)
 """
