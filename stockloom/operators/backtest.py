@@ -213,26 +213,68 @@ def _unit(w: dict[str, float]) -> dict[str, float]:
     return {k: max(0.0, v) / total if total else 0.0 for k, v in w.items()}
 
 
+def score_weights(rows: DataFrame, weights: list[dict[str, float]], by: str = "m") -> DataFrame:
+    """IC per period of every candidate weight vector over sub-scores as they are: a row's weighted mean over those it has (0 for none),
+    all candidates in one job."""
+    names = list(weights[0])
+
+    def blend(w: dict[str, float]) -> Column:
+        top = sum((F.coalesce(F.col(k) * w[k], F.lit(0.0)) for k in names), F.lit(0.0))
+        base = sum((F.when(F.col(k).isNotNull(), F.lit(w[k])).otherwise(0.0) for k in names), F.lit(0.0))
+        return F.round(F.when(base != 0, top / base).otherwise(0.0), 9)
+
+    options = F.array(*[F.struct(F.lit(i).alias("candidate"), blend(w).alias("value")) for i, w in enumerate(weights)])
+    scored = rows.select(by, "fwd", F.explode(options).alias("o")).select(by, "fwd", "o.candidate", "o.value")
+    return spearman_by(scored, "value", "fwd", "candidate", by)
+
+
+class Ascent:
+    """One fit: the weights reached, and the step of the sweep that is next. Steps raise or lower one weight after the other and are
+    taken as soon as one improves."""
+
+    def __init__(self, start: dict[str, float], periods: list, sweeps: int) -> None:
+        self.at, self.periods, self.left, self.next, self.improved, self.best = start, periods, sweeps, 0, False, None
+
+    def steps(self) -> list[dict[str, float]]:
+        return [_unit({**self.at, k: self.at[k] * d}) for k in self.at for d in (1.25, 0.8)]
+
+    def advance(self, mean) -> None:
+        """Walk on through the sweep up to the first step that improves; what comes after it starts from new weights."""
+        if self.best is None:
+            now = mean(self.at, self.periods)
+            self.best = -1.0 if now is None else now
+        steps = self.steps()
+        while self.left:
+            for j in range(self.next, len(steps)):
+                got = mean(steps[j], self.periods)
+                if got is not None and got > self.best + 1e-9:
+                    self.at, self.best, self.next, self.improved = steps[j], got, j + 1, True
+                    return
+            self.left = self.left - 1 if self.improved else 0
+            self.next, self.improved = 0, False
+
+
 def walk_forward(rows: DataFrame, prior: dict[str, float], by: str = "m", min_periods: int = 24, folds: int = 4, sweeps: int = 20, shrink: float = 0.5) -> dict:
     """Weights fitted on expanding runs of periods and scored on the periods after them.
 
-    Each sweep scores the candidates of all folds and of the whole run in one job; only an IC for each candidate and period is
-    collected. Every fold takes its best improvement (the reference takes the first). Prior, fit and shrunk fit of a fold are
-    scored on the same held-out periods; a fold counts if all three have an IC. Below ``min_periods`` weights are None."""
+    Weights climb by first improvement, component after component in the order of ``prior``. A round scores all steps from where every
+    fold (and the fit of the whole run) stands in one job, ahead of need; each then walks on by the collected ICs, one for each
+    candidate and period, until it takes a step. Prior, fit and shrunk fit of a fold are scored on the same held-out periods; a fold
+    counts if all three have an IC. Below ``min_periods`` weights are None."""
     periods = sorted(r[0] for r in rows.select(by).distinct().collect())
-    out = {"n_periods": len(periods), "weights": None, "oos_ic": None, "prior_oos_ic": None, "shrunk_oos_ic": None, "in_sample_ic": None, "fold_diffs": []}
+    out = {"n_periods": len(periods), "weights": None, "fitted": None, "oos_ic": None, "prior_oos_ic": None, "shrunk_oos_ic": None, "in_sample_ic": None, "fold_diffs": []}
     if len(periods) < min_periods:
         return out
-    prior, seen, names = _unit(prior), {}, sorted(prior)
-    ranked = written(percentiles(rows, names, by))  # every sweep reads the ranks, none computes them again
+    prior, seen, names = _unit(prior), {}, list(prior)
+    scores = written(rows.select(by, "fwd", *names))  # every round reads them
     key = lambda w: tuple(round(w[k], 12) for k in names)
 
     def score(candidates: list[dict[str, float]]) -> None:
-        new = list({key(w): w for w in candidates if sum(w.values()) > 0 and key(w) not in seen}.values())
+        new = list({key(w): w for w in candidates if key(w) not in seen}.values())
         if new:
             for w in new:
                 seen[key(w)] = {}
-            for r in score_blends(ranked, new, by).where("ic is not null").collect():  # one row a candidate and period
+            for r in score_weights(scores, new, by).where("ic is not null").collect():  # one row a candidate and period
                 seen[key(new[r["candidate"]])][r[by]] = r["ic"]
 
     def mean(w: dict[str, float], of: list) -> float | None:
@@ -240,23 +282,14 @@ def walk_forward(rows: DataFrame, prior: dict[str, float], by: str = "m", min_pe
         return sum(got) / len(got) if got else None
 
     size = max(1, len(periods) // folds)
-    train = [periods[: f * size] for f in range(1, folds)] + [periods]
     test = [periods[f * size : (f + 1) * size] for f in range(1, folds)]
-    at, going = [prior] * len(train), set(range(len(train)))
+    fits = [Ascent(prior, periods[: f * size], sweeps) for f in range(1, folds)] + [Ascent(prior, periods, sweeps)]
     score([prior])
-    for _ in range(sweeps):
-        steps = {i: [_unit({**at[i], k: at[i][k] * d}) for k in names for d in (1.25, 0.8)] for i in going}
-        score([w for ws in steps.values() for w in ws])
-        for i in sorted(going):
-            now = mean(at[i], train[i])
-            least = -1.0 if now is None else now
-            best = max(((m, -j) for j, w in enumerate(steps[i]) if (m := mean(w, train[i])) is not None), default=(least, 0))
-            if best[0] > least + 1e-9:
-                at[i] = steps[i][-best[1]]
-            else:
-                going.discard(i)
-        if not going:
-            break
+    while going := [f for f in fits if f.left]:
+        score([w for f in going for w in f.steps()])
+        for f in going:
+            f.advance(mean)
+    at = [f.at for f in fits]
     mixed = lambda w: _unit({k: shrink * w[k] + (1 - shrink) * prior[k] for k in names})
     fitted = [w for w, t in zip(at[:-1], test, strict=True) if t]
     score([mixed(w) for w in fitted])
@@ -264,8 +297,8 @@ def walk_forward(rows: DataFrame, prior: dict[str, float], by: str = "m", min_pe
     for name, j in (("prior_oos_ic", 0), ("oos_ic", 1), ("shrunk_oos_ic", 2)):
         out[name] = sum(x[j] for x in paired) / len(paired) if paired else None
     average = {k: sum(w[k] for w in fitted) / len(fitted) for k in names} if fitted else prior
-    discard(ranked)
-    return out | {"weights": mixed(average), "in_sample_ic": mean(at[-1], periods), "fold_diffs": [x[2] - x[0] for x in paired]}
+    discard(scores)
+    return out | {"weights": mixed(average), "fitted": _unit(average), "in_sample_ic": mean(at[-1], periods), "fold_diffs": [x[2] - x[0] for x in paired]}
 
 
 #: What a fitted blend must clear before it is endorsed.

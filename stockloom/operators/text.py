@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from stockloom.operators.sequences import best_of_lists
 
@@ -226,33 +228,67 @@ def fair_budget(rows: DataFrame, key: str, size: str, total: int) -> DataFrame:
     return rows.withColumn("__share", share).withColumn("allowed", F.greatest(F.lit(0), F.least(F.col(size), F.coalesce(first_cut, F.col(size))))).drop("__share")
 
 
-def grounded(claims: DataFrame, segments: DataFrame, least: int = 20, gram: int = 4, small: int = 100_000) -> DataFrame:
+#: Typographic characters and what a quote has in their place; the last goes.
+FOLDED, PLAIN = "’‘“”–—−\u00a0\u2007\u202f\u00ad", "''\"\"---   "
+LIGATURES = [("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")]
+
+
+def folded(c: Column) -> Column:
+    """A text as quotes are compared: typography folded, white space single, lower case."""
+    out = F.translate(c, FOLDED, PLAIN)
+    for a, b in LIGATURES:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.lower(F.trim(F.regexp_replace(out, r"\s+", " ")))
+
+
+def _met(segments: DataFrame, quotes: list[tuple], item_id: DataType) -> DataFrame:
+    """(item_id, doc_id) of all quotes in all segments (doc_id, body), by one automaton over the quotes in every task."""
+    spread = segments.sparkSession.sparkContext.broadcast(quotes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine, items = ahocorasick.Automaton(), {}
+        for item, quote in spread.value:
+            items.setdefault(quote, []).append(item)
+        for quote, own in items.items():
+            machine.add_word(quote, own)
+        machine.make_automaton()
+        for b in batches:
+            found = [(item, doc) for doc, body in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist(), strict=True) for item in {i for _, own in machine.iter(body or "") for i in own}]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], out[0]), pa.array([d for _, d in found], out[1])], ["item_id", "doc_id"])
+
+    schema = StructType([StructField("item_id", item_id), StructField("doc_id", segments.schema["doc_id"].dataType)])
+    out = [to_arrow_type(f.dataType) for f in schema]
+    return segments.select("doc_id", "body").mapInArrow(rows, schema)
+
+
+def grounded(claims: DataFrame, segments: DataFrame, least: int = 12, gram: int = 4, small: int = 100_000) -> DataFrame:
     """Claims (item_id, text) found in segments (doc_id, text): item_id, doc_id (the smallest), places (segments that hold it).
 
-    A claim's first whole words meet the segments' word groups in a hash join, then the normalised quote must be contained. The
+    A claim's first whole words meet the segments' word groups in a hash join, then the folded quote must be contained. The
     claims' groups are sent to the scan, where they are few (counted, ``small`` at most), so that only groups that a claim
-    has are ever shuffled. Claims too short for a group meet every segment, as a stated set of queries in blocks of about
-    ``small``."""
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    has are ever shuffled. Claims too short for a group are looked for together, by one automaton that reads each segment once; more than
+    ``small`` of them go in blocks of about that many, each with a scan of its own."""
 
     def grams(words: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(words) - gram), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(gram)]))
 
     inner = F.slice(F.split("quote", " "), 2, gram)  # whole words: the first may be glued to what stands before
-    quotes = claims.select("item_id", norm(F.col("text")).alias("quote")).where(F.length("quote") >= least)
+    quotes = claims.select("item_id", folded(F.col("text")).alias("quote")).where(F.length("quote") >= least)
     long = F.size(F.split("quote", " ")) >= gram + 2
     c = quotes.where(long).withColumn("g", F.xxhash64(*[F.get(inner, F.lit(j)) for j in range(gram)]))
     wanted = c.select("g").distinct()
-    s = segments.select("doc_id", norm(F.col("text")).alias("body"))
+    s = segments.select("doc_id", folded(F.col("text")).alias("body"))
     place = s.select("doc_id", F.split("body", " ").alias("w")).where(F.size("w") >= gram).select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
     few = wanted.limit(small + 1).count() <= small
     place = place.join(F.broadcast(wanted) if few else wanted, "g", "left_semi")
     near = place.join(c.select("item_id", "g"), "g").select("item_id", "doc_id").distinct()
     found = near.join(s, "doc_id").join(c.select("item_id", "quote"), "item_id").where(F.contains("body", "quote")).select("item_id", "doc_id")
     short = quotes.where(~long)
-    sizes = short.agg(F.count("*").alias("n")).first()["n"]
-    blocks = sizes // small + 1
-    for i in range(blocks if sizes else 0):
-        part = short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        found = found.union(s.join(F.broadcast(part), F.contains("body", "quote")).select("item_id", "doc_id"))  # a block of short quotes
+    n = short.count()
+    blocks = n // small + 1
+    for i in range(blocks if n else 0):
+        part = [(r[0], r[1]) for r in short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()]  # about ``small`` short quotes
+        found = found.union(_met(s, part, claims.schema["item_id"].dataType))
     return found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("places"))

@@ -110,10 +110,22 @@ def section_caps(s, d):
     return table(s, d, "documents").select("doc_id", F.length(cut).cast("long").alias("body"), stub)
 
 
-@register("tx10_grounded", r"""WITH c AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM benchmark), s AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents)
+_FOLD = "trim(regexp_replace(replace(replace(replace(translate(text, '" + X.FOLDED + "', '" + X.PLAIN.replace("'", "''") + r"'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), '\s+', ' ', 'g'))"
+
+
+@register("tx10_grounded", f"""WITH c AS (SELECT item_id, lower({_FOLD}) AS q FROM benchmark), s AS (SELECT doc_id, lower({_FOLD}) AS t FROM documents)
 SELECT item_id, MIN(doc_id) AS doc_id, COUNT(*) AS places FROM c JOIN s ON contains(t, q) WHERE length(q) >= 20 GROUP BY item_id""")
 def grounded(s, d):
-    return X.grounded(table(s, d, "benchmark"), table(s, d, "documents"))
+    return X.grounded(table(s, d, "benchmark"), table(s, d, "documents"), 20)
+
+
+@register("tx10b_short_quotes", f"""WITH c AS (SELECT DISTINCT lower({_FOLD}) AS q FROM (SELECT array_to_string((string_split(text, ' '))[1:3], ' ') AS text FROM benchmark) x), s AS (SELECT doc_id, lower({_FOLD}) AS t FROM documents)
+SELECT q AS item_id, MIN(doc_id) AS doc_id, COUNT(*) AS places FROM c JOIN s ON contains(t, q) WHERE length(q) >= 12 GROUP BY q""")
+def short_quotes(s, d):
+    """The first three words of each benchmark item as short quotes, each known by its own words."""
+    text = F.array_join(F.slice(F.split("text", " ", -1), 1, 3), " ")
+    claims = table(s, d, "benchmark").select(text.alias("text")).select(X.folded(F.col("text")).alias("item_id"), "text").dropDuplicates(["item_id"])
+    return X.grounded(claims, table(s, d, "documents"))
 
 
 @register("jn12_fuzzy_names")

@@ -174,16 +174,3 @@ def test_every_added_block_meets_every_prior_block(spark):
     got = {(r.doc_id, r.pos): r.ratio for r in text.block_ratios(pairs, docs).collect()}
     want = {(2, i): max(SequenceMatcher(None, b, p).ratio() for p in before) for i, b in enumerate(now) if b != "kept block"}
     assert got == pytest.approx(want | {(4, 0): 0.0})
-
-
-def test_walk_forward_scores_held_out_periods(spark):
-    # "a" leads in the first six periods, "b" later: the first fold follows "a" and loses on what comes after it; over 12 and
-    # 18 periods the mean ICs are 0.689 and 0.721 at equal weights, 0.452 and 0.385 a step to "a", 0.542 and 0.694 a step to "b"
-    rows = [(m, t, float(t * 7 % 13), float((t * 5 + m) % 11 + t / 100), float(t * 7 % 13 if m < 6 else (t * 5 + m) % 11 + t / 100)) for m in range(24) for t in range(13)]
-    df = spark.createDataFrame(rows, "m int, ticker int, a double, b double, fwd double")
-    got = backtest.walk_forward(df, {"a": 0.5, "b": 0.5}, sweeps=3)
-    assert got["n_periods"] == 24 and len(got["fold_diffs"]) == 3 and sum(got["weights"].values()) == pytest.approx(1.0)
-    assert got["fold_diffs"][0] < 0 and got["fold_diffs"][1:] == [0.0, 0.0]
-    assert got["shrunk_oos_ic"] - got["prior_oos_ic"] == pytest.approx(sum(got["fold_diffs"]) / 3)
-    few = backtest.walk_forward(df.where("m < 23"), {"a": 0.5, "b": 0.5})
-    assert few["weights"] is None and few["n_periods"] == 23
