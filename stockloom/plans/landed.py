@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from stockloom.bindings import cte, table, view
 from stockloom.catalog import register
+from stockloom.operators import merge as M
 from stockloom.operators import options as O
 from stockloom.session import checkpoint_dir
-from stockloom.sources import files, store
+from stockloom.sources import files, partials, store
 
 
 def _place(s) -> str:
@@ -198,3 +199,17 @@ def industry(s, d):
     place = _place(s)
     table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("cik"), code.alias("sic"), F.lit("x").alias("name")).write.json(place)
     return files.industry_codes(s, place)
+
+
+@register("ud02b_data_source", """WITH a AS (SELECT s_suppkey AS k, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS price, CAST(s_nationkey AS BIGINT) AS staff FROM supplier), b AS (SELECT c_custkey AS k, c_acctbal AS price, CASE WHEN c_acctbal > 5000 THEN c_mktsegment END AS sector FROM customer)
+SELECT 'T' || COALESCE(a.k, b.k) AS ticker, COALESCE(a.price, b.price) AS price, a.staff, b.sector,
+  list_sort(list_distinct(list_filter([CASE WHEN a.price IS NOT NULL THEN 'vendor' WHEN b.price IS NOT NULL THEN 'filings' END, CASE WHEN a.staff IS NOT NULL THEN 'vendor' END, CASE WHEN b.sector IS NOT NULL THEN 'filings' END], lambda x: x IS NOT NULL))) AS sources
+FROM a FULL JOIN b ON a.k = b.k""")
+def data_source(s, d):
+    """Suppliers and customers land as the JSON lines of two sources, are read by the library's data source, and merge field by field."""
+    place, fields = _place(s), "price double, staff bigint, sector string"
+    t = lambda k: F.concat(F.lit("t"), F.col(k)).alias("ticker")
+    table(s, d, "supplier").select(t("s_suppkey"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal").cast("double")).alias("price"), F.col("s_nationkey").alias("staff")).write.json(f"{place}/vendor")
+    table(s, d, "customer").select(t("c_custkey"), F.col("c_acctbal").cast("double").alias("price"), F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).alias("sector")).write.json(f"{place}/filings")
+    rows = partials.partial_records(s, f"{place}/vendor", "vendor", fields).unionByName(partials.partial_records(s, f"{place}/filings", "filings", fields))
+    return M.merge_fields(M.ranked_sources(rows, ["vendor", "filings"]), "ticker", ["price", "staff", "sector"])

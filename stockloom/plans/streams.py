@@ -11,6 +11,7 @@ from stockloom.catalog import register
 from stockloom.session import checkpoint_dir
 from stockloom.sources.store import newest, records, rejects
 from stockloom.streaming import operators as O
+from stockloom.streaming.mentions import mention_delta
 
 
 def _news(s, d):
@@ -43,6 +44,24 @@ def delta(s, d):
     return O.mention_delta(O.daily_counts(_news(s, d))).select("ticker", "day", "c", "delta")
 
 
+@register("st05b_streamed_delta", "WITH x AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS day, COUNT(*) AS c FROM events GROUP BY ALL) SELECT x.ticker, x.day, x.c, x.c - y.c AS delta FROM x LEFT JOIN x y ON y.ticker = x.ticker AND y.day = x.day - 1")
+def streamed_delta(s, d):
+    """The same on a stream: events land in parcels of some days, errors always a parcel late, and a closing row ends the feed."""
+    place = f"{checkpoint_dir(s)}/landed-{uuid.uuid4().hex}"
+    news = _news(s, d).select("ticker", "ts", "event_type")
+    edges = ["1900-01-01", "2024-01-11", "2024-01-21", "2100-01-01"]
+    inside = lambda i: f"ts >= '{edges[i]}' and ts < '{edges[i + 1]}'"
+    parts = [f"event_type <> 'error' and {inside(0)}", f"(event_type <> 'error' and {inside(1)}) or (event_type = 'error' and {inside(0)})", f"({inside(2)}) or (event_type = 'error' and {inside(1)})"]
+    for i, part in enumerate(parts):
+        parcel = news.where(part)
+        if i == len(parts) - 1:
+            parcel = parcel.union(news.agg(F.lit(-1).cast("long"), F.max("ts") + F.expr("INTERVAL 60 DAYS"), F.lit("end")))
+        parcel.write.mode("append").parquet(f"{place}/in")
+        stream = s.readStream.schema("ticker long, ts timestamp, event_type string").parquet(f"{place}/in")
+        got = O.run_once(mention_delta(stream, "21 days"), f"{place}/out", f"{place}/state")
+    return got.where("ticker >= 0").select("ticker", "day", "c", "delta")
+
+
 @register("st06_rolling_flow", """WITH x AS (SELECT o_custkey % 50 AS ticker, CAST(o_orderdate AS DATE) AS d, ROUND(SUM(o_totalprice), 2) AS v FROM orders GROUP BY ALL)
 SELECT ticker, d, ROUND(SUM(v) OVER (PARTITION BY ticker ORDER BY d RANGE BETWEEN INTERVAL 183 DAY PRECEDING AND CURRENT ROW), 2) AS flow FROM x""")
 def rolling(s, d):
