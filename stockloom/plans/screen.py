@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stockloom.bindings import _INPUTS, cte, table, view
+from stockloom.bindings import _INPUTS, SQL, cte, table, view
 from stockloom.catalog import register
 from stockloom.operators import coverage as V
+from stockloom.operators import lineage as Z
 from stockloom.operators import merge as M
 from stockloom.operators import scoring as S
 from stockloom.operators.fundamentals import regime
+from stockloom.plans import fundamentals as PF
+from stockloom.plans import series as PS
 
 #: Everything optional on, the target leg off.
 OPEN = S.configured(
@@ -212,3 +215,31 @@ def snapshots(s, d):
         F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("source"), F.when(odd(3, 0) | (F.col("l_returnflag") != "R"), F.col("day")).alias("price_day"), F.when(odd(4, 1) | (F.col("l_returnflag") == "A"), F.col("q")).alias("least"),
         F.when(~odd(2, 0) | (F.col("l_returnflag") != "R"), F.col("n")).alias("n_news"), F.when(odd(5, 0), F.col("t")).alias("top"), F.when(F.col("e") % 7 == 0, "slow").when(F.col("e") % 11 == 0, "broken").alias("error"))
     return M.merge_snapshots(x, "k", ["R", "N"], {"price": ["price_day", "least"]}, {"news": ["n_news", "top"]})
+
+
+_LINEAGE = PF._METRICS + """, market AS (""" + SQL["market"] + """), insider AS (""" + SQL["insider"] + f"""), {PS._RET},
+rs0 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY d DESC) AS rn FROM (SELECT ticker, d, close FROM prices UNION ALL SELECT NULL, d, close FROM market)),
+rs1 AS (SELECT ticker, CASE WHEN COUNT(*) = 127 THEN ARG_MAX(close, d) / ARG_MIN(close, d) - 1 END AS r FROM rs0 WHERE rn <= 127 GROUP BY ticker),
+rs AS (SELECT ticker, r - (SELECT r FROM rs1 WHERE ticker IS NULL) AS rel_strength_6m FROM rs1 WHERE ticker IS NOT NULL),
+rm0 AS (SELECT p.ticker, p.d, p.close, m.close AS mc, ROW_NUMBER() OVER (PARTITION BY p.ticker ORDER BY p.d DESC) AS rn FROM prices p JOIN market m USING (d)),
+rm1 AS (SELECT ticker, rn, close / LAG(close) OVER ({PS._W}) - 1 AS r, mc / LAG(mc) OVER ({PS._W}) - 1 AS m FROM rm0 WHERE rn <= 253),
+rm2 AS (SELECT ticker, COUNT(*) AS n, REGR_SLOPE(r, m) AS beta, REGR_INTERCEPT(r, m) AS alpha FROM rm1 WHERE r IS NOT NULL GROUP BY ticker),
+rm AS (SELECT ticker, AVG(e) / STDDEV_POP(e) AS residual_momentum FROM (SELECT rm1.ticker, CASE WHEN rn > 21 THEN r - alpha - beta * m END AS e FROM rm1 JOIN rm2 USING (ticker) WHERE r IS NOT NULL AND n >= 120) GROUP BY ticker),
+vo AS (SELECT ticker, ARG_MAX(vol, d) AS realized_vol FROM (SELECT ticker, d, CASE WHEN COUNT(ret) OVER y >= 2 THEN STDDEV_SAMP(ret) OVER y * SQRT(252) ELSE -1 END AS vol FROM r WINDOW y AS ({PS._W} ROWS 251 PRECEDING)) GROUP BY ticker),
+io AS (SELECT ticker, owner, SUM(CASE WHEN code = 'P' THEN value ELSE 0 END) AS bought, SUM(CASE WHEN code = 'S' THEN value ELSE 0 END) AS sold, COUNT_IF(code = 'P') AS buys, COUNT_IF(code = 'S') AS sells FROM insider GROUP BY ALL),
+ii AS (SELECT ticker, SUM(bought) - SUM(sold) AS insider_net_6m, CAST(COUNT_IF(buys > 0) AS DOUBLE) AS insider_distinct_buyers, CAST(SUM(buys) - SUM(sells) AS DOUBLE) / NULLIF(SUM(buys) + SUM(sells), 0) AS insider_sentiment FROM io GROUP BY ticker),
+have AS (SELECT m.* EXCLUDE (bucket), CASE bucket WHEN 'financials' THEN 6022 WHEN 'reit' THEN 6798 WHEN 'other' THEN 3571 END AS sic, y.ni / NULLIF(y.eq, 0) AS roe, y.revenue, rel_strength_6m, residual_momentum, NULLIF(realized_vol, -1) AS realized_vol, insider_net_6m, insider_distinct_buyers, insider_sentiment
+  FROM m JOIN y USING (ticker) LEFT JOIN rs USING (ticker) LEFT JOIN rm USING (ticker) LEFT JOIN vo USING (ticker) LEFT JOIN ii USING (ticker))"""
+_TOLD = ("roe", "net_margin", "debt_to_equity", "gross_margin", "gross_margin_stability", "roic", "revenue_cagr", "fcf_cagr", "revenue_growth_persistence", "price_vs_200dma", "fcf_yield", "max_drawdown", "share_count_cagr", "market_cap", "fcf", "revenue", "rel_strength_6m", "residual_momentum", "realized_vol", "insider_net_6m", "insider_distinct_buyers", "insider_sentiment")
+_LINEAGE += ", wide AS (SELECT ticker, sic, " + ", ".join(n if n in _TOLD else f"CAST(NULL AS DOUBLE) AS {n}" for n in _INPUTS) + " FROM have)"
+
+
+@register("sc23b_screen_from_tables", _LINEAGE + ", " + _sql_cards("wide") + """ SELECT ticker, bucket, ROUND(quality + 0.0000123, 3) AS quality, ROUND(momentum + 0.0000123, 3) AS momentum, ROUND(insider + 0.0000123, 3) AS insider, ROUND(risk + 0.0000123, 3) AS risk, ROUND(composite_raw + 0.0000123, 3) AS composite, confidence, scored, gates, flags,
+  CAST(ROW_NUMBER() OVER (ORDER BY scored DESC, ROUND(composite_raw + 0.0000123, 3) DESC, confidence DESC, ticker) AS INT) AS place FROM cards""")
+def screen_from_tables(s, d):
+    """From daily prices, yearly statements and insider trades to ranked cards, in one lineage."""
+    sectors = table(s, d, "supplier").select(F.col("s_suppkey").alias("ticker"), F.when(F.col("s_nationkey") % 5 == 0, 6022).when(F.col("s_nationkey") % 5 == 1, 6798).when(F.col("s_nationkey") % 5 == 2, 3571).alias("sic"))
+    inputs = Z.screen_inputs(view(s, d, "prices"), view(s, d, "market"), view(s, d, "stmts"), view(s, d, "insider"), sectors, 100.0)
+    cards = S.score(inputs)
+    shown = cards.select("ticker", "bucket", *[F.round(F.col(n) + 0.0000123, 3).alias(n) for n in ("quality", "momentum", "insider", "risk")], F.round(F.col("composite_raw") + 0.0000123, 3).alias("composite"), "confidence", "scored", "gates", "flags")
+    return S.ranked(shown)
