@@ -104,12 +104,13 @@ def streamed_versions(s, d):
 
 
 @register("ud03_injected_resolvers", """WITH r AS (SELECT o_orderkey, o_custkey FROM orders), a AS (SELECT c_custkey AS o_custkey, 'A' || c_nationkey AS t FROM customer WHERE c_acctbal > 5000), b AS (SELECT s_suppkey AS o_custkey, 'B' || s_nationkey AS t FROM supplier),
-c AS (SELECT DISTINCT o_custkey, 'C' || o_custkey % 7 AS t FROM orders WHERE o_custkey % 2 = 0) SELECT o_orderkey, o_custkey, COALESCE(a.t, b.t, c.t) AS ticker, CASE WHEN a.t IS NOT NULL THEN 0 WHEN b.t IS NOT NULL THEN 1 WHEN c.t IS NOT NULL THEN 2 END AS by_ FROM r LEFT JOIN a USING (o_custkey) LEFT JOIN b USING (o_custkey) LEFT JOIN c USING (o_custkey)""")
+c AS (SELECT DISTINCT o_custkey, 'C' || o_custkey % 7 AS t FROM orders WHERE o_orderpriority = '1-URGENT') SELECT o_orderkey, o_custkey, COALESCE(a.t, b.t, c.t) AS ticker, CASE WHEN a.t IS NOT NULL THEN 0 WHEN b.t IS NOT NULL THEN 1 WHEN c.t IS NOT NULL THEN 2 END AS by_ FROM r LEFT JOIN a USING (o_custkey) LEFT JOIN b USING (o_custkey) LEFT JOIN c USING (o_custkey)""")
 def resolvers(s, d):
     """Two tables and a rule, tried in order."""
     rich = table(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("A"), "c_nationkey").alias("ticker"))
     other = table(s, d, "supplier").select(F.col("s_suppkey").alias("o_custkey"), F.concat(F.lit("B"), "s_nationkey").alias("ticker"))
-    rule = lambda rows: rows.where("o_custkey % 2 = 0").select("o_custkey", F.concat(F.lit("C"), F.col("o_custkey") % 7).alias("ticker"))
+    urgent = table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey").distinct()
+    rule = lambda rows: rows.join(urgent, "o_custkey").select("o_custkey", F.concat(F.lit("C"), F.col("o_custkey") % 7).alias("ticker"))
     by_table = lambda t: lambda rows: rows.select("o_custkey").join(t, "o_custkey")
     rows = table(s, d, "orders").select("o_orderkey", "o_custkey")
     return M.resolved(rows, "o_custkey", [by_table(rich), by_table(other), rule]).withColumnRenamed("by", "by_")

@@ -149,15 +149,16 @@ def symbol(s, d):
 
 
 _RESOLVE = """WITH ar AS (SELECT o_custkey AS cik, CAST(o_orderdate AS DATE) AS seen, MIN(o_orderpriority) AS ticker FROM orders GROUP BY ALL), iv AS (SELECT *, LEAD(seen) OVER (PARTITION BY cik ORDER BY seen) AS nx FROM ar),
-a AS (SELECT c_custkey AS cik, DATE '1998-01-01' AS day FROM customer), q AS (SELECT a.cik, a.day, CASE WHEN a.cik % 11 = 0 THEN 'OVR' END AS o, CASE WHEN a.cik % 7 = 0 THEN 'LIVE' END AS l, iv.ticker AS h FROM a LEFT JOIN iv ON iv.cik = a.cik AND a.day >= iv.seen AND (iv.nx IS NULL OR a.day < iv.nx))
+a AS (SELECT c_custkey AS cik, DATE '1998-01-01' AS day, c_acctbal AS b, c_mktsegment AS g FROM customer), q AS (SELECT a.cik, a.day, CASE WHEN b < 0 THEN 'OVR' END AS o, CASE WHEN g = 'MACHINERY' THEN 'LIVE' END AS l, iv.ticker AS h FROM a LEFT JOIN iv ON iv.cik = a.cik AND a.day >= iv.seen AND (iv.nx IS NULL OR a.day < iv.nx))
 SELECT cik, day, COALESCE(o, l, h) AS ticker, CASE WHEN o IS NOT NULL THEN 'override' WHEN l IS NOT NULL THEN 'live' WHEN h IS NOT NULL THEN 'archive' ELSE 'none' END AS origin FROM q"""
 
 
 @register("jn15_resolve_ticker", _RESOLVE)
 def resolve(s, d):
-    cust = table(s, d, "customer").select(F.col("c_custkey").alias("cik"))
+    cust = table(s, d, "customer").select(F.col("c_custkey").alias("cik"), "c_acctbal", "c_mktsegment")
+    override, live = cust.where("c_acctbal < 0"), cust.where("c_mktsegment = 'MACHINERY'")
     archive = table(s, d, "orders").groupBy(F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("seen")).agg(F.min("o_orderpriority").alias("ticker"))
-    return M.resolve(cust.withColumn("day", F.lit("1998-01-01").cast("date")), cust.where("cik % 11 = 0").withColumn("ticker", F.lit("OVR")), cust.where("cik % 7 = 0").withColumn("ticker", F.lit("LIVE")), archive)
+    return M.resolve(cust.select("cik", F.lit("1998-01-01").cast("date").alias("day")), override.select("cik", F.lit("OVR").alias("ticker")), live.select("cik", F.lit("LIVE").alias("ticker")), archive)
 
 
 @register("jn16_first_filing", "SELECT user_id, event_type, MIN(event_id) AS event_id FROM events GROUP BY ALL")
@@ -238,11 +239,11 @@ def adds(s, d):
 
 
 @register("ev08_top_kept", _BOOK + """, n AS (SELECT *, LEAST(1.0, weight / 0.05) AS strength FROM w WHERE weight >= 0.0101234 AND NOT EXISTS (SELECT 1 FROM book p WHERE p.fund = w.fund AND p.q = w.q - 1 AND p.cusip = w.cusip) AND EXISTS (SELECT 1 FROM book p WHERE p.fund = w.fund AND p.q = w.q - 1)),
-t AS (SELECT n.*, cusip % 40 AS ticker FROM n WHERE cusip % 3 <> 0 AND cusip % 40 <> 7), o AS (SELECT * FROM t QUALIFY ROW_NUMBER() OVER (PARTITION BY fund, q, ticker ORDER BY ROUND(strength, 9) DESC, cusip) = 1)
+t AS (SELECT n.*, cusip % 40 AS ticker FROM n WHERE cusip IN (SELECT cusip FROM book WHERE fund = 4) AND cusip % 40 <> 7), o AS (SELECT * FROM t QUALIFY ROW_NUMBER() OVER (PARTITION BY fund, q, ticker ORDER BY ROUND(strength, 9) DESC, cusip) = 1)
 SELECT fund, q, ticker, ROUND(ROUND(strength, 9), 6) AS strength, CAST(ROW_NUMBER() OVER (PARTITION BY fund, q ORDER BY ROUND(strength, 9) DESC, ticker) AS INT) AS place FROM o QUALIFY place <= 5""")
 def top_kept(s, d):
     b = view(s, d, "book")
-    names = b.select("cusip").distinct().where("cusip % 3 <> 0").withColumn("ticker", F.col("cusip") % 40)
+    names = b.where("fund = 4").select("cusip").distinct().withColumn("ticker", F.col("cusip") % 40)
     denied = names.where("ticker = 7").select("ticker").distinct()
     rows = E.new_positions(b, 0.0101234, 0.05).withColumn("strength", F.round("strength", 9))
     return E.top_kept(rows, names, denied, 5).select("fund", "q", "ticker", _r("strength"), "place")

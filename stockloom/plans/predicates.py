@@ -95,9 +95,9 @@ def inventory(s, d):
     return view(s, d, "stmts").select("entity", "fiscal_year", F.round(Q.inventory_days(F.col("total_debt"), F.col("revenue") - F.col("gross_profit")), 5).alias("dio"), F.round(grow("total_debt") - grow("revenue"), 6).alias("gap"))
 
 
-@register("jn19_holdings_to_cards", "SELECT o_orderkey, o_custkey, c_acctbal AS composite, c_custkey IS NULL AS alert FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey")
+@register("jn19_holdings_to_cards", "SELECT o_orderkey, o_custkey, c_acctbal AS composite, c_custkey IS NULL AS alert FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c ON o_custkey = c_custkey")
 def holdings(s, d):
-    cards = table(s, d, "customer").where("c_custkey % 3 <> 0")
+    cards = table(s, d, "customer").where("c_mktsegment <> 'BUILDING'")
     return table(s, d, "orders").join(cards, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", F.col("c_acctbal").alias("composite"), F.col("c_custkey").isNull().alias("alert"))
 
 

@@ -185,9 +185,9 @@ def _weights(s, d):
     return G.weights(h)
 
 
-@register("pf06_portfolio", f"WITH {_HOLD}, c AS (SELECT s_suppkey AS ticker, s_acctbal AS composite, CASE WHEN s_acctbal < 0 THEN ['debt'] ELSE CAST([] AS VARCHAR[]) END AS gates FROM supplier WHERE s_suppkey % 10 <> 3) SELECT portfolio, COUNT(*) AS holdings, ROUND(SUM(value), 2) AS value, ROUND(SUM(weight * composite) / NULLIF(SUM(weight) FILTER (composite IS NOT NULL), 0), 4) AS composite, COUNT_IF(composite IS NULL) AS without_card, COUNT_IF(COALESCE(len(gates), 0) > 0) AS gated FROM w LEFT JOIN c USING (ticker) GROUP BY portfolio")
+@register("pf06_portfolio", f"WITH {_HOLD}, c AS (SELECT s_suppkey AS ticker, s_acctbal AS composite, CASE WHEN s_acctbal < 0 THEN ['debt'] ELSE CAST([] AS VARCHAR[]) END AS gates FROM supplier WHERE s_nationkey <> 3) SELECT portfolio, COUNT(*) AS holdings, ROUND(SUM(value), 2) AS value, ROUND(SUM(weight * composite) / NULLIF(SUM(weight) FILTER (composite IS NOT NULL), 0), 4) AS composite, COUNT_IF(composite IS NULL) AS without_card, COUNT_IF(COALESCE(len(gates), 0) > 0) AS gated FROM w LEFT JOIN c USING (ticker) GROUP BY portfolio")
 def portfolio(s, d):
-    cards = table(s, d, "supplier").where("s_suppkey % 10 <> 3").select(F.col("s_suppkey").alias("ticker"), F.col("s_acctbal").alias("composite"), F.when(F.col("s_acctbal") < 0, F.array(F.lit("debt"))).otherwise(F.array().cast("array<string>")).alias("gates"))
+    cards = table(s, d, "supplier").where("s_nationkey <> 3").select(F.col("s_suppkey").alias("ticker"), F.col("s_acctbal").alias("composite"), F.when(F.col("s_acctbal") < 0, F.array(F.lit("debt"))).otherwise(F.array().cast("array<string>")).alias("gates"))
     return G.summary(_weights(s, d), cards).select("portfolio", "holdings", _r("value", 2), _r("composite", 4), "without_card", "gated")
 
 

@@ -132,7 +132,7 @@ def all_axes(s, d):
 
 _FIELDS = list(_INPUTS)
 _SPLIT = f""", src AS (SELECT ticker, sic, 'feed' AS source, {", ".join(f"CASE WHEN ticker % 3 <> {i % 3} THEN {n} END AS {n}" for i, n in enumerate(_FIELDS))} FROM screen
-UNION ALL SELECT ticker, sic, 'filings', {", ".join(f"CASE WHEN ticker % 4 <> {i % 4} THEN {n} * 0.5 END" for i, n in enumerate(_FIELDS))} FROM screen UNION ALL SELECT ticker, NULL, 'guess', {", ".join(n for n in _FIELDS)} FROM screen WHERE ticker % 5 = 0)"""
+UNION ALL SELECT ticker, sic, 'filings', {", ".join(f"CASE WHEN ticker % 4 <> {i % 4} THEN {n} * 0.5 END" for i, n in enumerate(_FIELDS))} FROM screen UNION ALL SELECT ticker, NULL, 'guess', {", ".join(n for n in _FIELDS)} FROM screen WHERE sic IS NULL)"""
 _PICK = "list_filter([{0}], lambda x: x IS NOT NULL)[1]"
 _MERGED = _SPLIT + ", merged AS (SELECT ticker, " + ", ".join(f"COALESCE(MAX({n}) FILTER (source = 'filings'), MAX({n}) FILTER (source = 'feed'), MAX({n}) FILTER (source = 'guess')) AS {n}" for n in ["sic", *_FIELDS]) + " FROM src GROUP BY ticker)"
 
@@ -143,7 +143,7 @@ def _sources() -> V.Sources:
     part = lambda n, k: [F.when(F.col("ticker") % k != i % k, F.col(c) * n).alias(c) for i, c in enumerate(_FIELDS)]
     out.add("feed", lambda s, d: view(s, d, "screen").select("ticker", "sic", *part(1.0, 3)))
     out.add("filings", lambda s, d: view(s, d, "screen").select("ticker", "sic", *part(0.5, 4)))
-    out.add("guess", lambda s, d: view(s, d, "screen").where("ticker % 5 = 0").drop("sic"), no_data_is_normal=True, feeds_axes=False)
+    out.add("guess", lambda s, d: view(s, d, "screen").where("sic is null").drop("sic"), no_data_is_normal=True, feeds_axes=False)
     return out
 
 
