@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from stockloom.bindings import cte, table, view
@@ -244,9 +246,16 @@ def slope(s, d):
     return D.within_slope(_cohort(s, d), "held", "rank", "cell", "year").select("n", _r("slope"))
 
 
-@register("ds09_bootstrap")
+_POISSON = [0.36787944117144233 * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(7)]
+
+
+@register("ds09_bootstrap", _COHORT + ", bb AS (SELECT firm, cell, year, held AS y, rank AS x FROM z WHERE held IS NOT NULL AND rank IS NOT NULL), bg AS (SELECT bb.*, rep, CAST('0x' || substr(md5('11:' || rep || ':' || firm), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS u FROM bb, range(1, 201) r(rep)), bw AS (SELECT *, "
+    + " + ".join(f"CASE WHEN u > {t!r}::DOUBLE THEN 1 ELSE 0 END" for t in _POISSON) + """ AS w FROM bg),
+bc AS (SELECT rep, cell, year, SUM(w) AS n, SUM(w * x) AS sx, SUM(w * y) AS sy, SUM(w * x * x) AS sxx, SUM(w * x * y) AS sxy FROM bw WHERE w > 0 GROUP BY ALL),
+bs AS (SELECT rep, SUM(sxy - sx * sy / n) / NULLIF(SUM(sxx - sx * sx / n), 0) AS slope FROM bc GROUP BY rep), bo AS (SELECT list(slope ORDER BY slope) FILTER (slope IS NOT NULL) AS s, COUNT(slope) AS reps, COUNT_IF(slope IS NULL) AS singular, STDDEV_POP(slope) AS se FROM bs)
+SELECT reps, singular, ROUND(s[CAST(FLOOR(0.025 * reps) AS INT) + 1], 6) AS low, ROUND(s[CAST(FLOOR(0.975 * reps) AS INT)], 6) AS high, ROUND(se, 6) AS se FROM bo""")
 def bootstrap(s, d):
-    return D.bootstrap(_cohort(s, d), "held", "rank", 200, 11, "cell", "year")
+    return D.bootstrap(_cohort(s, d), "held", "rank", 200, 11, "cell", "year").select("reps", "singular", _r("low"), _r("high"), _r("se"))
 
 
 @register("ds10_terciles", _COHORT + " SELECT CASE WHEN rank < 1 / 3.0 THEN 'low' WHEN rank < 2 / 3.0 THEN 'mid' ELSE 'high' END AS third, COUNT(*) AS n, ROUND(AVG(held), 6) AS mean, ROUND(AVG(CASE WHEN state = 'exit' THEN 1.0 ELSE 0 END), 6) AS exit_rate FROM z GROUP BY 1")
