@@ -398,11 +398,12 @@ def prize_bound(rows: DataFrame, weights: dict[str, float], incumbent: str, cand
 
 
 def leg_bound(rows: DataFrame, legs: list[str], replaced: str, trials: int, seed: int, top: int) -> DataFrame:
-    """How far a ranking moves if one leg is reversed or random: kind, trial, overlap of the top names, per date."""
+    """How far a ranking moves if one leg is reversed or random (drawn by a digest of seed, trial, name and date): kind, trial, overlap of
+    the top names, per date."""
     n = F.count("*").over(Window.partitionBy("m"))
     ranked = rows.select("m", "ticker", *[((average_rank(c, "m") - 0.5) / n).alias(c) for c in legs])
     others = sum((F.col(c) for c in legs if c != replaced), F.lit(0.0))
-    noise = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("ticker"), F.col("m")), F.lit(1 << 30)) / float(1 << 30)
+    noise = lambda t: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), t.cast("string"), F.col("ticker").cast("string"), F.col("m").cast("string"))), 1, 7), 16, 10).cast("double") / float(1 << 28)
     options = F.concat(F.array(F.struct(F.lit("base").alias("kind"), F.lit(0).alias("trial"), (others + F.col(replaced)).alias("score")), F.struct(F.lit("reversed").alias("kind"), F.lit(0).alias("trial"), (others + 1 - F.col(replaced)).alias("score"))),
         F.transform(F.sequence(F.lit(1), F.lit(trials)), lambda t: F.struct(F.lit("random").alias("kind"), t.alias("trial"), (others + noise(t)).alias("score"))))
     scored = ranked.select("m", "ticker", F.explode(options).alias("o")).select("m", "ticker", "o.kind", "o.trial", F.round("o.score", 9).alias("score"))

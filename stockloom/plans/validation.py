@@ -209,6 +209,10 @@ def churn(s, d):
     return B.kendall(rows, "s1", "s3").join(o, "m", "left").select("m", F.coalesce("overlap", F.lit(0.0)).alias("overlap"), _r("tau"), "pairs")
 
 
-@register("bt20_leg_bound")
+@register("bt20_leg_bound", cte("signals") + f""", lr AS (SELECT m, ticker, ({_rank("s1", "m")} - 0.5) / COUNT(*) OVER (PARTITION BY m) AS s1, ({_rank("s3", "m")} - 0.5) / COUNT(*) OVER (PARTITION BY m) AS s3 FROM signals),
+lo AS (SELECT m, ticker, 'base' AS kind, 0 AS trial, s1 + s3 AS score FROM lr UNION ALL SELECT m, ticker, 'reversed', 0, s1 + 1 - s3 FROM lr
+  UNION ALL SELECT m, ticker, 'random', CAST(t AS INT), s1 + CAST('0x' || substr(md5('7:' || t || ':' || ticker || ':' || m), 1, 7) AS BIGINT) / 268435456.0::DOUBLE FROM lr, range(1, 21) x(t)),
+lp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY m, kind, trial ORDER BY ROUND(score, 9) DESC, ticker) AS place FROM lo QUALIFY place <= 10), lb AS (SELECT m, ticker FROM lp WHERE kind = 'base')
+SELECT lp.m, kind, trial, COUNT(lb.ticker) / 10.0::DOUBLE AS overlap FROM lp LEFT JOIN lb ON lb.m = lp.m AND lb.ticker = lp.ticker WHERE kind <> 'base' GROUP BY ALL""")
 def leg_bound(s, d):
     return B.leg_bound(view(s, d, "signals"), ["s1", "s3"], "s3", trials=20, seed=7, top=10)
