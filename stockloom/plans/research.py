@@ -10,6 +10,7 @@ from stockloom.bindings import cte, table, view
 from stockloom.catalog import register
 from stockloom.operators import news as N
 from stockloom.operators import peers as G
+from stockloom.operators import stories as Z
 from stockloom.operators import study as D
 from stockloom.operators import text as X
 
@@ -94,6 +95,21 @@ def headline(s, d):
     return docs.select("doc_id", N.grade(F.col("h")).alias("grade"), N.dropped(F.col("h"), F.col("source")).alias("dropped"), N.about(F.col("h"), F.col("lang"), F.col("source")).alias("about"))
 
 
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
+_MARK = lambda p, x=None: f"regexp_matches(h, {_Q('(?i)' + p)})" + (f" AND NOT regexp_matches(h, {_Q('(?i)' + x)})" if x else "")
+
+
+@register("tx06d_event_marks", f"""WITH x AS (SELECT doc_id, COALESCE({_HEAD}, '') AS h FROM documents), t AS (SELECT *, list_transform(regexp_extract_all(h, {_Q(Z.KEY)}), lambda x: regexp_replace(regexp_replace(x, {_Q("^['’]+|['’]+$")}, '', 'g'), '[.,]+$', '')) AS k FROM x),
+u AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(k, lambda x: length(x) >= 2 AND NOT list_contains([{", ".join(map(_Q, Z.NO_KEY))}], x)), lambda x: lower(x)))) AS keys FROM t)
+SELECT doc_id, array_to_string(keys, ' ') AS keys, {_MARK(chr(92) + "b(" + "|".join(Z.TURNS) + ")" + chr(92) + "b")} AS turn, {_MARK("|".join(Z.DEALS))} AS deal, {" || ".join(f"CASE WHEN {_MARK(a, b)} THEN '{i}' ELSE '' END" for i, (a, b) in enumerate(Z.ONCE))} AS once FROM u""")
+def event_marks(s, d):
+    """What of an article does not depend on order: its keys, and whether it turns a story, is a deal, or of a kind that comes once."""
+    h = F.coalesce(F.regexp_extract("text", r"^[^\n]*", 0), F.lit(""))
+    marks = Z.marks(F.col("h"))
+    rows = table(s, d, "documents").select("doc_id", h.alias("h"))
+    return rows.select("doc_id", F.array_join(F.array_sort(Z.keys(F.col("h"))), " ").alias("keys"), marks["turn"].alias("turn"), marks["deal"].alias("deal"), F.array_join(marks["once"].cast("array<string>"), "").alias("once"))
+
+
 @register("tx06_idf", "WITH x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) SELECT token, COUNT(*) AS df, ROUND(LN((1.0 + (SELECT COUNT(*) FROM documents)) / (1 + COUNT(*))), 6) AS idf FROM x GROUP BY token")
 def idf(s, d):
     return X.idf(table(s, d, "documents")).select("token", "df", _r("idf"))
