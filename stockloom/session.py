@@ -38,11 +38,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+#: With it, Spark deletes a query's shuffle files as soon as the query has ended.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared checkpoint folder and read back."""
+    """Cut lineage: write to the shared checkpoint folder and read back. What was shuffled for it is not kept."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stockloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
