@@ -42,14 +42,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared checkpoint folder and read back. What was shuffled for it is not kept."""
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """Cut lineage: write to the shared checkpoint folder (``options`` of the writer) and read back. What was shuffled for it is not kept."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stockloom-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLES_GO, "false")
     spark.conf.set(SHUFFLES_GO, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(SHUFFLES_GO, before)
     out = spark.read.schema(df.schema).parquet(path)
