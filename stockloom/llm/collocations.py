@@ -1,6 +1,6 @@
 """Phrase collocations: an FM-index over word ids for each shard, extended interval by interval, sums across shards.
 
-Texts (A-Z folded) are cut at sentence marks and line ends into stretches; a shard is some millions of words of one language, its words
+Texts (A-Z folded) are cut at sentence marks and line ends into stretches; a shard is up to half a million words of one language, its words
 numbered, with zeros between stretches. ``Index`` holds the Burrows-Wheeler transforms of a shard and of its reverse, sorted as deep as the
 phrases are long. An interval of suffixes that begin with a phrase is extended by every word that stands to its left or right, which
 narrows both intervals together (``Index.extend``), and the number of rows of an extension is its count in the shard.
@@ -32,10 +32,12 @@ from stockloom.llm import kernel, shared
 
 LONGEST, FLOOR, TOP = 5, 100, 2000
 #: Words of a shard; words of all languages that a task holds before it gives off the largest of them.
-SHARD_WORDS, HELD_WORDS = 1 << 22, 1 << 23
+SHARD_WORDS, HELD_WORDS = 1 << 19, 1 << 20
 #: Ids of phrases joined back by a broadcast at most; beyond, by a shuffle.
 BROADCAST_PHRASES = 1 << 20
 UND = "und"
+#: Tables of shards hold arrays of numbers and words that hardly repeat.
+TABLE = {"compression": "zstd", "parquet.enable.dictionary": "false"}
 
 BLANK, BREAK = np.zeros(256, bool), np.zeros(256, bool)
 BLANK[[0x20, 0x09]] = True
@@ -148,21 +150,41 @@ def _stretches(piece: kernel.Piece) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 SHARD = "lang string, shard string, words binary, slots binary, firsts array<long>, lasts array<long>, names array<string>, counts array<long>"
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Their count and, compressed, the bytes of the numbers: all lowest ones first, then the next."""
+    planes = np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(numbers) else b"")
+
+
+def _numbers(packed: pa.Scalar) -> np.ndarray:
+    blob = packed.as_py()
+    n = int.from_bytes(blob[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<i8")
+
+
 def _row(lang: str, shard: str, words: np.ndarray, slots: np.ndarray, firsts: pa.Array | None, lasts: pa.Array | None, names: pa.Array | None, counts: np.ndarray) -> pa.RecordBatch:
     def listed(x: pa.Array | None, kind: pa.DataType) -> pa.Array:
         return pa.nulls(1, pa.list_(kind)) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
-    blob = lambda x: pa.array([x.astype(np.int32).tobytes()])
+    blob = lambda x: pa.array([_packed(x)])
     return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard]), blob(words), blob(slots), listed(firsts, pa.int64()), listed(lasts, pa.int64()), listed(names, pa.string()), listed(pa.array(counts.astype(np.int64)), pa.int64())], ["lang", "shard", "words", "slots", "firsts", "lasts", "names", "counts"])
 
 
 def _with_breaks(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Numbers with a zero before each first one and at the end."""
-    out = np.zeros(len(numbers) + int(first.sum()) + 1, np.int64)
+    out = np.zeros(len(numbers) + int(first.sum()) + 1, numbers.dtype)
     out[np.arange(len(numbers)) + np.cumsum(first)] = numbers
     return out
 
 
+def _give_back() -> None:
+    """What a shard took, at once: a worker lives on beside the JVM of later stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards of a task's texts, with their single words."""
     held: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
@@ -172,7 +194,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = held.pop(lang)
         sizes.pop(lang)
         coded = pa.chunked_array([w for w, _ in parts]).combine_chunks().dictionary_encode()
-        numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        numbers = coded.indices.to_numpy(zero_copy_only=False)
         words = _with_breaks(numbers + 1, np.concatenate([f for _, f in parts]))
         return _row(lang, uuid.uuid4().hex, words, np.zeros(0), None, None, coded.dictionary.cast(pa.string()), np.bincount(numbers, minlength=len(coded.dictionary)))
 
@@ -189,10 +211,24 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         sizes[lang] = sizes.get(lang, 0) + len(mine)
                         if sizes[lang] >= SHARD_WORDS:
                             yield given(lang)
+                            _give_back()
             if sum(sizes.values()) >= HELD_WORDS:
                 yield given(max(sizes, key=sizes.get))
+                _give_back()
     for lang in list(held):
         yield given(lang)
+    _give_back()
+
+
+def _words_of_pairs(slots: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a shard's words, and their numbers place by place, out of its numbered pairs (so they need not be kept beside them)."""
+    here = slots >= 0
+    ids = np.zeros(len(slots), np.int64)
+    ids[here] = firsts[slots[here]]
+    ends = np.flatnonzero(here[:-1] & ~here[1:]) + 1  # the last word of a stretch begins no pair
+    ids[ends] = lasts[slots[ends - 1]]
+    known = np.unique(np.append(0, ids))
+    return known, np.searchsorted(known, ids)
 
 
 def _step(length: int):
@@ -202,9 +238,11 @@ def _step(length: int):
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                words = np.frombuffer(row.column("words")[0].as_buffer(), np.int32).astype(np.int64)
-                slots = np.frombuffer(row.column("slots")[0].as_buffer(), np.int32).astype(np.int64)
-                gids = np.frombuffer(row.column("gids")[0].as_buffer(), np.int64)
+                words, slots = _numbers(row.column("words")[0]), _numbers(row.column("slots")[0])
+                if length == 3:
+                    gids, words = _words_of_pairs(slots, *(row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("firsts", "lasts")))
+                elif length > 3:
+                    gids = _numbers(row.column("gids")[0])
                 alive = row.column("alive").flatten().flatten()
                 ids = np.zeros(max(int(slots.max(initial=0)), int(words.max(initial=0))) + 2, np.int64)  # the last stands for none
                 ids[alive[0].to_numpy(zero_copy_only=False)] = alive[1].to_numpy(zero_copy_only=False)
@@ -233,7 +271,10 @@ def _step(length: int):
                 text, prefix = _with_breaks(local + 1, begins), _with_breaks(whole, begins)
                 at, place, count = phrases(text, length)
                 gids = np.append(0, gids[used])
-                yield _row(row.column("lang")[0].as_py(), row.column("shard")[0].as_py(), text, at, pa.array(prefix[place]), pa.array(gids[text[place + length - 1]]), None, count).append_column("gids", pa.array([gids.tobytes()]))
+                del slots, alive, ids, here, kept, source, local, whole, words
+                yield _row(row.column("lang")[0].as_py(), row.column("shard")[0].as_py(), text if length > 2 else text[:0], at, pa.array(prefix[place]), pa.array(gids[text[place + length - 1]]), None, count).append_column("gids", pa.array([_packed(gids)]))
+                del row, text, prefix, at, place, count, gids
+                _give_back()
 
     return rows
 
@@ -242,40 +283,42 @@ def _step(length: int):
 
 
 def _joined_back(rows: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
-    """shard, alive: (slot, id) of the survivors of each shard. A shard's list is no longer than its phrases."""
-    hit = shared.join_ids(rows, kept, on, "inner", BROADCAST_PHRASES)
-    return hit.groupBy("shard").agg(F.collect_list(F.struct("slot", "id")).alias("alive"))
+    """shard, alive: (slot, id) of the survivors of each shard, none for a shard without any. A list is no longer than the shard's
+    phrases."""
+    told = shared.join_ids(rows, kept, on, "left", BROADCAST_PHRASES)
+    return told.groupBy("shard").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("slot", "id"))).alias("alive"))
 
 
 def frequent(documents: DataFrame, longest: int = LONGEST, floor: int = FLOOR) -> DataFrame:
     """lang, phrase, size (words), f: all phrases of up to ``longest`` words with at least ``floor`` occurrences in their language, and
     one row per language of size 0 with the number of its words."""
     docs = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(UND)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shards = shared.written(docs.mapInArrow(_shards, SHARD))
+    shards = shared.written(docs.mapInArrow(_shards, SHARD), **TABLE)
     level, tables, old, out = shards, [], [shards], None
     for size in range(1, longest + 1):
-        key = ["lang", "name"] if size == 1 else ["lang", "first", "last"]
+        key = ["lang", "name"] if size == 1 else ["first", "last"]  # an id is of one language
         cell = {"slot": "pos", "name": "col.names", "count": "col.counts"} if size == 1 else {"slot": "pos", "first": "col.firsts", "last": "col.lasts", "count": "col.counts"}
         zipped = F.arrays_zip("names", "counts") if size == 1 else F.arrays_zip("firsts", "lasts", "counts")
         rows = level.select("lang", "shard", F.posexplode(zipped)).select("lang", "shard", *[F.col(v).alias(k) for k, v in cell.items()])
         sums = rows.groupBy(*key).agg(F.sum("count").alias("f"))
         if size == 1:
-            words = sums.groupBy("lang").agg(F.sum("f").alias("f")).select("lang", F.lit("").alias("phrase"), F.lit(0).alias("size"), "f")
-            tables.append(shared.written(words))
+            words = rows.groupBy("lang").agg(F.sum("count").alias("f"))
+            tables.append(shared.written(words.select("lang", F.lit("").alias("phrase"), F.lit(0).alias("size"), "f")))
         kept = shared.written(numbered(shared.written(sums.where(F.col("f") >= floor)), [F.col(k) for k in key], "id"))
         if size == 1:
             names = kept.select("id", "lang", F.col("name").alias("phrase"), "f")
             single = names
         else:
-            names = kept.join(out.select(F.col("id").alias("first"), F.col("phrase").alias("__head")), "first").join(single.select(F.col("id").alias("last"), F.col("phrase").alias("__tail")), "last")
+            names = kept.join(out.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("__head")), "first").join(single.select(F.col("id").alias("last"), F.col("phrase").alias("__tail")), "last")
             names = shared.written(names.select("id", "lang", F.concat_ws(" ", "__head", "__tail").alias("phrase"), "f"))
         out = names
         tables.append(out.select("lang", "phrase", F.lit(size).alias("size"), "f"))
         if size == longest:
             break
         alive = _joined_back(rows, kept.select(*key, "id"), key)
-        state = level.select("lang", "shard", "words", "slots", F.lit(b"").alias("gids") if size == 1 else F.col("gids"))
-        level = shared.written(state.join(alive.hint("merge"), "shard").mapInArrow(_step(size + 1), SHARD + ", gids binary"))
+        pairs = [F.col(c) if size == 2 else F.lit(None).cast("array<bigint>").alias(c) for c in ("firsts", "lasts")]
+        state = level.select("lang", "shard", "words", "slots", F.lit(b"").alias("gids") if size == 1 else F.col("gids"), *pairs)
+        level = shared.written(state.join(alive.hint("merge"), "shard").mapInArrow(_step(size + 1), SHARD + ", gids binary"), **TABLE)
         shared.discard(old.pop())
         old.append(level)
     shared.discard(level)
@@ -320,9 +363,9 @@ WITH p AS (SELECT COALESCE(lang, 'und') AS lang,
 w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
       FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) s(k))),
-f AS (SELECT lang, k, phrase, COUNT(*) AS f FROM g GROUP BY ALL),
-n AS (SELECT lang, SUM(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+f AS MATERIALIZED (SELECT lang, k, phrase, COUNT(*) AS f FROM g GROUP BY ALL HAVING COUNT(*) >= 100),
+n AS MATERIALIZED (SELECT lang, SUM(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
 x AS (SELECT lang, phrase, k, a, w, unnest(range(1, k)) AS cut FROM c),
 y AS (SELECT x.lang, x.phrase, x.a, x.cut, l.f AS l, r.f AS r, n.n,
              (1000::HUGEINT * x.a * n.n) // (l.f::HUGEINT * r.f) AS score
