@@ -147,7 +147,7 @@ def _stretches(piece: kernel.Piece) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, first, piece.owner(starts)
 
 
-SHARD = "lang string, shard string, words binary, slots binary, firsts array<long>, lasts array<long>, names array<string>, counts array<long>"
+SHARD = "lang string, shard string, words binary, firsts array<long>, lasts array<long>, names array<string>, counts array<long>"
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -165,12 +165,12 @@ def _numbers(packed: pa.Scalar) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<i8")
 
 
-def _row(lang: str, shard: str, words: np.ndarray, slots: np.ndarray, firsts: pa.Array | None, lasts: pa.Array | None, names: pa.Array | None, counts: np.ndarray) -> pa.RecordBatch:
+def _row(lang: str, shard: str, words: np.ndarray, firsts: pa.Array | None, lasts: pa.Array | None, names: pa.Array | None, counts: np.ndarray) -> pa.RecordBatch:
     def listed(x: pa.Array | None, kind: pa.DataType) -> pa.Array:
         return pa.nulls(1, pa.list_(kind)) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
     blob = lambda x: pa.array([_packed(x)])
-    return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard]), blob(words), blob(slots), listed(firsts, pa.int64()), listed(lasts, pa.int64()), listed(names, pa.string()), listed(pa.array(counts.astype(np.int64)), pa.int64())], ["lang", "shard", "words", "slots", "firsts", "lasts", "names", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard]), blob(words), listed(firsts, pa.int64()), listed(lasts, pa.int64()), listed(names, pa.string()), listed(pa.array(counts.astype(np.int64)), pa.int64())], ["lang", "shard", "words", "firsts", "lasts", "names", "counts"])
 
 
 def _with_breaks(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -196,7 +196,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = pa.chunked_array([w for w, _ in parts]).combine_chunks().dictionary_encode()
         numbers = coded.indices.to_numpy(zero_copy_only=False)
         words = _with_breaks(numbers + 1, np.concatenate([f for _, f in parts]))
-        return _row(lang, uuid.uuid4().hex, words, np.zeros(0), None, None, coded.dictionary.cast(pa.string()), np.bincount(numbers, minlength=len(coded.dictionary)))
+        return _row(lang, uuid.uuid4().hex, words, None, None, coded.dictionary.cast(pa.string()), np.bincount(numbers, minlength=len(coded.dictionary)))
 
     for b in batches:
         langs = b.column("lang").to_pylist()
@@ -220,17 +220,6 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _give_back()
 
 
-def _words_of_pairs(slots: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a shard's words, and their numbers place by place, out of its numbered pairs (so they need not be kept beside them)."""
-    here = slots >= 0
-    ids = np.zeros(len(slots), np.int64)
-    ids[here] = firsts[slots[here]]
-    ends = np.flatnonzero(here[:-1] & ~here[1:]) + 1  # the last word of a stretch begins no pair
-    ids[ends] = lasts[slots[ends - 1]]
-    known = np.unique(np.append(0, ids))
-    return known, np.searchsorted(known, ids)
-
-
 def _step(length: int):
     """From a shard with numbered phrases of ``length - 1`` words and the survivors among them, to its phrases of ``length`` words."""
 
@@ -238,20 +227,18 @@ def _step(length: int):
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                words, slots = _numbers(row.column("words")[0]), _numbers(row.column("slots")[0])
-                if length == 3:
-                    gids, words = _words_of_pairs(slots, *(row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("firsts", "lasts")))
-                elif length > 3:
-                    gids = _numbers(row.column("gids")[0])
+                words = _numbers(row.column("words")[0])
+                if length > 2:  # numbered anew, as they were; that takes less than to keep and to move a number for every place
+                    slots, gids = phrases(words, length - 1)[0], _numbers(row.column("gids")[0])
+                else:
+                    slots = words - 1
                 alive = row.column("alive").flatten().flatten()
-                ids = np.zeros(max(int(slots.max(initial=0)), int(words.max(initial=0))) + 2, np.int64)  # the last stands for none
+                ids = np.zeros(int(slots.max(initial=0)) + 2, np.int64)  # the last stands for none
                 ids[alive[0].to_numpy(zero_copy_only=False)] = alive[1].to_numpy(zero_copy_only=False)
-                if length == 2:  # single words: the places' numbers are the words themselves, without the break
-                    here = np.where(words > 0, ids[words - 1], 0)
+                here = ids[slots]
+                if length == 2:  # words are numbered by their ids from now on, the break first
                     gids, words = np.unique(here, return_inverse=True)
                     gids, words = (gids, words) if len(gids) and gids[0] == 0 else (np.append(0, gids), words + 1)
-                else:
-                    here = ids[slots]
                 kept = np.flatnonzero(here > 0)  # a stretch of them, and the words of the last one
                 pair = np.zeros(len(here) + 1, bool)
                 pair[kept] = True
@@ -269,11 +256,11 @@ def _step(length: int):
                 whole = np.zeros(len(source), np.int64)
                 whole[upto - lengths] = here[kept]
                 text, prefix = _with_breaks(local + 1, begins), _with_breaks(whole, begins)
-                at, place, count = phrases(text, length)
+                _, place, count = phrases(text, length)
                 gids = np.append(0, gids[used])
                 del slots, alive, ids, here, kept, source, local, whole, words
-                yield _row(row.column("lang")[0].as_py(), row.column("shard")[0].as_py(), text if length > 2 else text[:0], at, pa.array(prefix[place]), pa.array(gids[text[place + length - 1]]), None, count).append_column("gids", pa.array([_packed(gids)]))
-                del row, text, prefix, at, place, count, gids
+                yield _row(row.column("lang")[0].as_py(), row.column("shard")[0].as_py(), text, pa.array(prefix[place]), pa.array(gids[text[place + length - 1]]), None, count).append_column("gids", pa.array([_packed(gids)]))
+                del row, text, prefix, place, count, gids
                 _give_back()
 
     return rows
@@ -316,8 +303,7 @@ def frequent(documents: DataFrame, longest: int = LONGEST, floor: int = FLOOR) -
         if size == longest:
             break
         alive = _joined_back(rows, kept.select(*key, "id"), key)
-        pairs = [F.col(c) if size == 2 else F.lit(None).cast("array<bigint>").alias(c) for c in ("firsts", "lasts")]
-        state = level.select("lang", "shard", "words", "slots", F.lit(b"").alias("gids") if size == 1 else F.col("gids"), *pairs)
+        state = level.select("lang", "shard", "words", F.lit(b"").alias("gids") if size == 1 else F.col("gids"))
         level = shared.written(state.join(alive.hint("merge"), "shard").mapInArrow(_step(size + 1), SHARD + ", gids binary"), **TABLE)
         shared.discard(old.pop())
         old.append(level)
