@@ -20,26 +20,26 @@ def _place(s) -> str:
 
 @register("src01_chart_prices", cte("prices") + " SELECT 'T' || ticker AS ticker, d, close, CASE WHEN DAY(d) % 5 <> 0 THEN close * 2 END AS nominal FROM prices WHERE DAY(d) % 7 <> 0")
 def chart(s, d):
-    """One chart document for each ticker, with holes in both price series."""
+    """One chart document for each ticker, packed one a line, with holes in both price series."""
     p = view(s, d, "prices").select("ticker", F.unix_timestamp(F.col("d").cast("timestamp")).alias("t"), F.when(F.dayofmonth("d") % 7 != 0, F.col("close")).alias("c"), F.when(F.dayofmonth("d") % 5 != 0, F.col("close") * 2).alias("n"))
     days = p.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("t", "c", "n"))).alias("x"))  # one ticker's history is one document
     part = lambda k: F.transform("x", lambda v: v[k])
     result = F.struct(F.struct(F.concat(F.lit("T"), F.col("ticker")).alias("symbol")).alias("meta"), part("t").alias("timestamp"), F.struct(F.array(F.struct(part("c").alias("adjclose"))).alias("adjclose"), F.array(F.struct(part("n").alias("close"))).alias("quote")).alias("indicators"))
     place = _place(s)
-    days.select(F.struct(F.array(result).alias("result")).alias("chart")).write.option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(place)
-    return files.chart_prices(s, place)
+    days.select(F.struct(F.array(result).alias("result")).alias("chart")).write.option("ignoreNullFields", False).json(place)
+    return files.chart_prices(s, place, lines=True)
 
 
 @register("src03_company_facts", cte("facts") + " SELECT cik, tag, fy_end, filed, val, CASE WHEN pos % 3 = 0 THEN '10-K' ELSE '10-K/A' END AS form FROM facts WHERE tag IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND pos % 4 <> 1")
 def facts(s, d):
-    """Facts of each filer as one document: tags to units to rows; foreign annual forms count as the domestic ones."""
+    """Facts of each filer as one document, packed one a line: tags to units to rows; foreign annual forms count as the domestic ones."""
     form = F.when(F.col("pos") % 4 == 1, "8-K").when(F.col("pos") % 3 == 0, F.when(F.col("pos") % 2 == 0, "20-F").otherwise("10-K")).otherwise(F.when(F.col("pos") % 2 == 0, "20-F/A").otherwise("10-K/A"))
     x = view(s, d, "facts").select("cik", "tag", F.struct(F.col("fy_end").cast("string").alias("start"), F.col("fy_end").cast("string").alias("end"), F.col("val").cast("double").alias("val"), F.col("filed").cast("string").alias("filed"), form.alias("form")).alias("f"))
     tags = x.groupBy("cik", "tag").agg(F.struct(F.create_map(F.lit("USD"), F.collect_list("f")).alias("units")).alias("u"))
     docs = tags.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("tag", "u"))).alias("m")).select("cik", F.create_map(F.lit("us-gaap"), F.col("m")).alias("facts"))
     place = _place(s)
-    docs.write.option("maxRecordsPerFile", 1).json(place)
-    got = files.company_facts(s, place, ["1-URGENT", "2-HIGH", "3-MEDIUM"], ["10-K", "10-K/A"], relabel={"20-F": "10-K", "20-F/A": "10-K/A"})
+    docs.write.json(place)
+    got = files.company_facts(s, place, ["1-URGENT", "2-HIGH", "3-MEDIUM"], ["10-K", "10-K/A"], relabel={"20-F": "10-K", "20-F/A": "10-K/A"}, lines=True)
     return got.select("cik", "tag", F.col("end").alias("fy_end"), "filed", "val", "form")
 
 

@@ -17,18 +17,19 @@ def _finite(c):
     return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
-def chart_prices(spark: SparkSession, path: str) -> DataFrame:
-    """ticker, d (UTC), close (adjusted), nominal. A row without a finite adjusted close is dropped; the nominal one may be missing."""
-    r = spark.read.schema(CHART).option("multiLine", True).json(path).where(F.size("chart.result") > 0).select(F.col("chart.result")[0].alias("r"))
+def chart_prices(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """ticker, d (UTC), close (adjusted), nominal. A row without a finite adjusted close is dropped; the nominal one may be missing.
+    A file is one document, or with ``lines`` a pack of them, one a line: a large universe is not one file a ticker."""
+    r = spark.read.schema(CHART).option("multiLine", not lines).json(path).where(F.size("chart.result") > 0).select(F.col("chart.result")[0].alias("r"))
     zipped = F.arrays_zip(F.col("r.timestamp").alias("ts"), F.col("r.indicators.adjclose")[0]["adjclose"].alias("close"), F.get(F.col("r.indicators.quote"), F.lit(0))["close"].alias("nominal"))
     rows = r.select(F.col("r.meta.symbol").alias("ticker"), F.explode(zipped).alias("x")).select("ticker", F.to_date(F.timestamp_seconds("x.ts")).alias("d"), _finite(F.col("x.close")).alias("close"), _finite(F.col("x.nominal")).alias("nominal"))
     return rows.where("close is not null and d is not null")
 
 
-def company_facts(spark: SparkSession, path: str, tags: list[str], forms: list[str], unit: str = "USD", relabel: dict[str, str] | None = None) -> DataFrame:
+def company_facts(spark: SparkSession, path: str, tags: list[str], forms: list[str], unit: str = "USD", relabel: dict[str, str] | None = None, lines: bool = False) -> DataFrame:
     """cik, taxonomy, tag, start, end, val, filed, form, pos: listed tags and forms only; filers without any listed tag are gone.
-    ``relabel`` names foreign forms as the domestic ones that they stand for."""
-    raw = spark.read.schema(FACTS).option("multiLine", True).json(path)
+    ``relabel`` names foreign forms as the domestic ones that they stand for; ``lines``: a file packs documents, one a line."""
+    raw = spark.read.schema(FACTS).option("multiLine", not lines).json(path)
     by_tag = raw.select("cik", F.explode("facts").alias("taxonomy", "t")).select("cik", "taxonomy", F.explode("t").alias("tag", "u")).where(F.col("tag").isin(tags))
     rows = by_tag.select("cik", "taxonomy", "tag", F.posexplode(F.col("u.units")[unit]).alias("pos", "f")).withColumn("form", F.coalesce(*[F.when(F.col("f.form") == a, F.lit(b)) for a, b in (relabel or {}).items()], F.col("f.form"))).where(F.col("form").isin(forms))
     date = lambda c: F.try_to_date(c) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(c))

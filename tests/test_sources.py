@@ -97,3 +97,24 @@ def test_streams_match_batch(spark, tmp_path):
     days = str(tmp_path / "days")
     O.upsert_days(events.sparkSession.readStream.schema(O.NEWS).parquet(src).withColumn("day", F.to_date("ts")), days, str(tmp_path / "uc"))
     assert O.newest_days(spark, days, ["ticker", "event_id", "ts"]).count() == 41
+
+
+def test_packed_documents_are_read_whole(spark, tmp_path):
+    fact = lambda c: {"cik": c, "facts": {"us-gaap": {"Revenues": {"units": {"USD": [{"start": "2019-01-01", "end": "2019-12-31", "val": 5.0, "filed": "2020-03-01", "form": "10-K"}]}}}}}
+    chart = lambda t: {"chart": {"result": [{"meta": {"symbol": t}, "timestamp": [0], "indicators": {"adjclose": [{"adjclose": [1.0]}], "quote": [{"close": [1.5]}]}}]}}
+    facts = put(tmp_path / "f.json", "\n".join(json.dumps(fact(c)) for c in (7, 8)) + "\nbroken\n")
+    charts = put(tmp_path / "c.json", "\n".join(json.dumps(chart(t)) for t in "AB"))
+    assert sorted(r.cik for r in files.company_facts(spark, facts, ["Revenues"], ["10-K"], lines=True).collect()) == [7, 8]
+    assert sorted(r.ticker for r in files.chart_prices(spark, charts, lines=True).collect()) == ["A", "B"]
+
+
+def test_documents_do_not_land_one_a_file(spark):
+    from pathlib import Path
+
+    from stockloom import catalog
+
+    base = Path(spark.conf.get("spark.checkpoint.dir"))
+    for name in ("src01_chart_prices", "src03_company_facts"):
+        before = set(base.glob("landed-*"))
+        catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        assert len([f for p in set(base.glob("landed-*")) - before for f in p.rglob("part-*")]) <= 8
