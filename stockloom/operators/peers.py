@@ -32,15 +32,16 @@ def usable(candidates: DataFrame, floor: float) -> DataFrame:
 
 
 def closest_in_size(members: DataFrame, k: int) -> DataFrame:
-    """For each name the k others of its group closest in log size (to nine figures, then by ticker); nth, and place from the
-    largest down. A name meets only the k sizes below and above its own and the first k + 1 names of each, so no pairs of a
-    group are formed."""
-    a = members.where(F.col("cap") > 0).select("sector", "ticker", "cap", F.round(F.ln("cap"), 9).alias("size"))
+    """For each name the k others of its group closest in log size (the gap to nine figures, then by ticker); nth, and place from
+    the largest down. Sizes fall into bins of a billionth. A gap is within one bin of the distance of the bins, so the k nearest
+    lie in the k + 2 filled bins below and above a name's own; of names equal in size the first k + 1 are enough. No pairs
+    of a group are formed."""
+    a = members.where(F.col("cap") > 0).select("sector", "ticker", "cap", F.ln("cap").alias("size")).withColumn("bin", F.floor(F.col("size") * 1e9))
     nth = F.row_number().over(Window.partitionBy("sector", "size").orderBy("ticker"))
-    firsts = a.withColumn("__n", nth).where(F.col("__n") <= k + 1).groupBy("sector", "size").agg(F.collect_list(F.struct("ticker", "cap", "size")).alias("names"))  # at most k + 1
-    around = Window.partitionBy("sector").orderBy("size").rowsBetween(-k, k)
-    near = firsts.select("sector", "size", F.flatten(F.collect_list("names").over(around)).alias("near"))  # at most (2k + 1)(k + 1)
-    pairs = a.join(near, ["sector", "size"]).select("sector", "ticker", "cap", "size", F.explode("near").alias("p")).where(F.col("ticker") != F.col("p.ticker"))
+    firsts = a.withColumn("__n", nth).where(F.col("__n") <= k + 1).groupBy("sector", "bin").agg(F.collect_list(F.struct("ticker", "cap", "size")).alias("names"))  # at most k + 1 of a size
+    around = Window.partitionBy("sector").orderBy("bin").rowsBetween(-k - 2, k + 2)
+    near = firsts.select("sector", "bin", F.flatten(F.collect_list("names").over(around)).alias("near"))  # 2k + 5 bins
+    pairs = a.join(near, ["sector", "bin"]).select("sector", "ticker", "cap", "size", F.explode("near").alias("p")).where(F.col("ticker") != F.col("p.ticker"))
     pairs = pairs.select("sector", "ticker", "cap", F.col("p.ticker").alias("peer"), F.col("p.cap").alias("peer_cap"), F.round(F.abs(F.col("size") - F.col("p.size")), 9).alias("gap"))
     kept = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("ticker").orderBy("gap", "peer"))).where(F.col("nth") <= k)
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("peer_cap"), "nth")))

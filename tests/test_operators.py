@@ -174,3 +174,31 @@ def test_every_added_block_meets_every_prior_block(spark):
     got = {(r.doc_id, r.pos): r.ratio for r in text.block_ratios(pairs, docs).collect()}
     want = {(2, i): max(SequenceMatcher(None, b, p).ratio() for p in before) for i, b in enumerate(now) if b != "kept block"}
     assert got == pytest.approx(want | {(4, 0): 0.0})
+
+
+def test_closest_in_size_rounds_the_gap_not_the_sizes(spark):
+    """Sizes a fraction of a billionth apart, against all pairs: gaps are rounded once, ties go by ticker."""
+    import math
+    import random
+
+    from stockloom.operators import peers as G
+
+    rnd = random.Random(5)
+    caps = {t: math.exp(20 + rnd.randrange(60) * 0.37e-9) for t in rnd.sample(range(1000), 80)}
+    rows = spark.createDataFrame([(1, t, c) for t, c in caps.items()], "sector int, ticker long, cap double")
+    got = {(r.ticker, r.nth): r.peer for r in G.closest_in_size(rows, 3).collect()}
+    for t, c in caps.items():
+        near = sorted((math.floor(abs(math.log(c) - math.log(x)) * 1e9 + 0.5), p) for p, x in caps.items() if p != t)[:3]
+        assert [got[t, i + 1] for i in range(3)] == [p for _, p in near]
+
+
+def test_members_alike_do_not_differ_by_the_order_of_adding(spark, tmp_path):
+    from datetime import datetime
+
+    from stockloom.plans import research
+
+    values = [1234567.1, 0.37, 91823.93, 18.11, 771.57, 402345.29, 5.03]
+    rows = [(k, float(v), 1.0, 0.01, 0.0, "O", datetime(1992 + y, 1, 1)) for k in range(7) for y, v in enumerate(values[k:] + values[:k])]
+    spark.createDataFrame(rows, "l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_tax double, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 1) for k in range(7)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert len({(r.cap, r.margin, r.income) for r in research._members(spark, str(tmp_path)).collect()}) == 1
