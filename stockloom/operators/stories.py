@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockloom.operators.news import ascii_words, has
+
 #: Fixed values, whole: capitalised words that are no key of a story.
 NO_KEY = """The A An And Of To In On For With As At By Its It Is Are After Stock Shares Says Inc Corp Co New Why How What This That Over From Into Up Down Report Reports
 Q1 Q2 Q3 Q4 US U.S. Phase Trial Price Target Analyst Analysts Buy Hold Sell Rating Billion Million CEO CFO Here Wall Street AI""".split()
@@ -48,10 +50,6 @@ WINDOW, DEAL_WINDOW, SHARED, LIKE = 4 * DAY, 7 * DAY, 2, 0.20
 KEY, WORD = r"(\$?\d[\d.,]*[bmk%]?|[A-Z][\w&'’-]*)", r"([a-z0-9$%][a-z0-9$%.'-]*[a-z0-9%])"
 
 
-def _has(c: Column, pattern: str) -> Column:
-    return c.rlike(f"(?i){pattern}")
-
-
 def keys(text: Column, own: Column | None = None) -> Column:
     """Figures and capitalised words that tell a story from another, lower case; without the company's own words."""
     bare = F.transform(F.regexp_extract_all(text, F.lit(KEY), 1), lambda x: F.regexp_replace(F.regexp_replace(x, r"^['’]+|['’]+$", ""), r"[.,]+$", ""))
@@ -67,8 +65,9 @@ def own_words(ticker: Column, name: Column | None = None) -> Column:
 
 def marks(headline: Column) -> dict[str, Column]:
     """turn, deal, once (numbers of its once-a-window kinds) of a headline."""
-    kinds = [F.when(_has(headline, p) & (~_has(headline, x) if x else F.lit(True)), F.lit(i)) for i, (p, x) in enumerate(ONCE)]
-    return {"turn": _has(headline, r"\b(" + "|".join(TURNS) + r")\b"), "deal": _has(headline, "|".join(DEALS)), "once": F.array_compact(F.array(*kinds))}
+    h = ascii_words(headline)
+    kinds = [F.when(has(h, p) & (~has(h, x) if x else F.lit(True)), F.lit(i)) for i, (p, x) in enumerate(ONCE)]
+    return {"turn": has(h, r"\b(" + "|".join(TURNS) + r")\b"), "deal": has(h, "|".join(DEALS)), "once": F.array_compact(F.array(*kinds))}
 
 
 def weights(articles: DataFrame) -> DataFrame:

@@ -126,3 +126,13 @@ def test_headlines(spark):
     got = df.select("h", "g", "a", news.grade(F.col("h")).alias("grade"), news.about(F.col("h"), F.col("t"), F.col("n")).alias("about"), news.dropped(F.col("h")).alias("dropped")).collect()
     assert [(r.grade, r.about) for r in got] == [(r.g, r.a) for r in got]
     assert [r.dropped for r in got][2] and not got[0].dropped
+
+
+def test_edges_of_words_are_those_of_ascii(spark):
+    """As in the SQL: a letter with an accent is no part of a word, and only a line feed ends a line."""
+    from stockloom.operators import news
+
+    rows = [("ébid", 2, False), ("bidé", 2, False), ("bids", 0, False), ("What's up?\u0085x", 0, True), ("a?\r", 0, True), ("ÑIS", 0, False), ("Reflecting on  earnings", 1, True)]
+    df = spark.createDataFrame(rows, "h string, g int, x boolean")
+    for r in df.select("h", "g", "x", news.grade(F.col("h")).alias("grade"), news.dropped(F.col("h")).alias("dropped")).collect():
+        assert (r.h, r.grade, r.dropped) == (r.h, r.g, r.x)
