@@ -28,11 +28,20 @@ def cagr(value: str, year: str = "fiscal_year", least: int = 3) -> Column:
     return F.when((n >= least) & (first > 0) & (last > 0), F.pow(last / F.when(first > 0, first), 1 / F.when(n > 1, n - 1)) - 1)
 
 
+def risen(stmts: DataFrame, value: str, key: str = "entity") -> DataFrame:
+    """Adds ``up``: 1 where a present value is above the one present before it, 0 where not; NULL on the first."""
+    before = F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy("fiscal_year").rowsBetween(Window.unboundedPreceding, -1))
+    return stmts.withColumn("up", (F.col(value) > before).cast("double"))
+
+
+def persistent(value: str, least: int = 3) -> Column:
+    """Share of the steps between present values that rise (an aggregate over rows of ``risen``)."""
+    return F.when(F.count(value) >= least, F.avg("up"))
+
+
 def persistence(stmts: DataFrame, value: str, key: str = "entity", least: int = 3) -> DataFrame:
     """Share of the steps between present values that rise."""
-    rows = stmts.where(F.col(value).isNotNull())
-    rise = rows.select(key, (F.col(value) > F.lag(value).over(Window.partitionBy(key).orderBy("fiscal_year"))).cast("double").alias("up"))
-    return rise.groupBy(key).agg(F.when(F.count("*") >= least, F.avg("up")).alias("persistence"))
+    return risen(stmts.where(F.col(value).isNotNull()), value, key).groupBy(key).agg(persistent(value, least).alias("persistence"))
 
 
 def stability(c: Column, least: int = 3) -> Column:

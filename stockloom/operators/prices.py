@@ -121,6 +121,17 @@ def max_drawdown(prices: DataFrame, window: int = YEAR) -> DataFrame:
     return falls.groupBy("ticker").agg(F.when(F.count("*") >= 2, F.least(F.lit(0.0), F.min("fall"))).alias("max_drawdown"))
 
 
+def standing(prices: DataFrame, n: int = 200, window: int = YEAR) -> DataFrame:
+    """One row a ticker as of its last day: close, over_sma (against the mean of the last n closes) and max_drawdown. Only the last
+    rows of a series are ordered, once, and no window slides over the rest."""
+    top = F.max(F.when(F.col("rn") <= window, F.col("close"))).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
+    rows = latest(prices, max(n, window)).withColumn("fall", F.when(F.col("rn") <= window, ratio(F.col("close"), top) - 1))
+    near = F.when(F.col("rn") <= n, F.col("close"))
+    g = rows.groupBy("ticker").agg(
+        F.max_by("close", "d").alias("close"), F.when(F.count(near) >= n, F.avg(near)).alias("mean"), F.when(F.count_if(F.col("rn") <= window) >= 2, F.least(F.lit(0.0), F.min("fall"))).alias("max_drawdown"))
+    return g.select("ticker", "close", (ratio(F.col("close"), F.col("mean")) - 1).alias("over_sma"), "max_drawdown")
+
+
 def features(prices: DataFrame) -> DataFrame:
     """All trailing features of every (ticker, d) in one pass over one ordering."""
     daily = prices.withColumn("ret", daily_return())

@@ -131,13 +131,11 @@ def macro(s, d):
 def metrics(s, d):
     """One row per entity: leg inputs from statements, prices and the supplier's nation (as a sector code)."""
     stmts, prices = _stmts(s, d), view(s, d, "prices")
-    by_year = stmts.groupBy("entity").agg(
+    by_year = U.risen(stmts, "revenue").groupBy("entity").agg(
+        U.persistent("revenue").alias("revenue_growth_persistence"),
         U.cagr("revenue").alias("revenue_cagr"), U.cagr("operating_cash_flow").alias("fcf_cagr"), U.stability(ratio(F.col("gross_profit"), F.col("revenue"))).alias("gross_margin_stability"), U.cagr("diluted_shares").alias("share_count_cagr"),
         *[F.max_by(c, "fiscal_year").alias(c) for c in ("revenue", "gross_profit", "net_income", "operating_cash_flow", "total_debt", "total_equity", "diluted_shares")])
-    last = prices.groupBy("ticker").agg(F.max_by("close", "d").alias("close"))
-    sma = prices.select("ticker", "d", P.over_sma(200).alias("x")).groupBy("ticker").agg(F.max_by("x", "d").alias("price_vs_200dma"))
-    m = by_year.join(U.persistence(stmts, "revenue").withColumnRenamed("persistence", "revenue_growth_persistence"), "entity").withColumnRenamed("entity", "ticker")
-    m = m.join(last, "ticker").join(sma, "ticker").join(P.max_drawdown(prices), "ticker")
+    m = by_year.withColumnRenamed("entity", "ticker").join(P.standing(prices).withColumnRenamed("over_sma", "price_vs_200dma"), "ticker")
     sector = table(s, d, "supplier").select(F.col("s_suppkey").alias("ticker"), F.when(F.col("s_nationkey") % 5 == 0, 6022).when(F.col("s_nationkey") % 5 == 1, 6798).when(F.col("s_nationkey") % 5 == 2, 3571).alias("sic"))
     m = m.join(sector, "ticker", "left").withColumn("market_cap", F.col("close") * F.col("diluted_shares") * 100)
     return m.select("*", ratio(F.col("net_income"), F.col("revenue")).alias("net_margin"), ratio(F.col("gross_profit"), F.col("revenue")).alias("gross_margin"), ratio(F.col("total_debt"), F.col("total_equity")).alias("debt_to_equity"), ratio(F.col("net_income"), F.col("total_debt") + F.col("total_equity")).alias("roic"), F.col("operating_cash_flow").alias("fcf"), ratio(F.col("operating_cash_flow"), F.col("market_cap")).alias("fcf_yield"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,3 +188,21 @@ def test_short_quotes(spark):
     claims = spark.createDataFrame([(1, "a short but whole quote"), (2, "Nothing of   the sort stands here at all today"), (3, "tiny"), (4, "the second part of a longer sentence that stands")], "item_id int, text string")
     segments = spark.createDataFrame([(7, "so this is a SHORT but\nwhole quote, and the second part of a longer sentence that stands here"), (5, "a short but whole quote"), (6, None)], "doc_id int, text string")
     assert {r.item_id: (r.doc_id, r.places) for r in text.grounded(claims, segments).collect()} == {1: (5, 2), 4: (7, 1)}
+
+
+def test_standing_is_the_last_day_of_the_sliding_measures(spark):
+    from stockloom.operators import prices as P
+
+    rows = [(t, date(2020, 1, 1) + timedelta(days=i), float((i * 37 + t * 11) % 101 + 1)) for t, n in ((1, 300), (2, 199), (3, 200), (4, 1)) for i in range(n)]
+    p = spark.createDataFrame(rows, "ticker int, d date, close double")
+    slid = p.select("ticker", "d", "close", P.over_sma(200).alias("x")).groupBy("ticker").agg(F.max_by("close", "d").alias("close"), F.max_by("x", "d").alias("x")).join(P.max_drawdown(p), "ticker")
+    near = lambda v: None if v is None else round(v, 9)
+    plain = lambda df: sorted((r[0], r[1], near(r[2]), near(r[3])) for r in df.collect())
+    assert plain(P.standing(p)) == plain(slid)
+
+
+def test_metrics_read_the_lines_once_for_statements_and_once_for_prices(spark):
+    from stockloom.plans import fundamentals as PF
+
+    plan = PF.metrics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_suppkey") and sum("Relation [" in x and "l_orderkey" in x for x in plan.splitlines()) <= 2
