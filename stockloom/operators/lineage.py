@@ -19,7 +19,7 @@ YEARLY = ["revenue", "gross_profit", "net_income", "operating_cash_flow", "total
 
 def price_inputs(history: DataFrame, market: DataFrame) -> DataFrame:
     """ticker and every measure of its prices: the last day's value of each (the last one there is of the long average)."""
-    f = prices.features(history)
+    f = prices.features(history, *[c for c in TRAILING if c != "close"])
     last = f.groupBy("ticker").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("d")) if c == "over_200" else F.col("d")).alias(n) for c, n in TRAILING.items()])
     strength = prices.relative_strength(history, market).withColumnRenamed("rel_strength", "rel_strength_6m")
     residual = prices.residual_momentum(history, market).drop("beta")

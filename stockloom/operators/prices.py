@@ -109,6 +109,41 @@ def largest_return(window: int = 21, ret: str = "ret") -> Column:
     return F.when(F.count("close").over(by_ticker()) >= window + 1, F.max(ret).over(w))
 
 
+def trailing(rows: DataFrame, n: int, **of: tuple[str, str]) -> DataFrame:
+    """Adds what the last ``n`` rows of a series hold, for each name a (column, kind): the ``mean`` of n values, the sample ``deviation`` of two or
+    more, the ``top``. A long frame that slides would take every row n times. Here a series is cut into stretches of n rows, and the
+    last n rows are the end of one stretch and the start of the next: each row enters two running aggregates, however long the
+    frame, and nothing is ever subtracted, so that a flat series has a deviation of zero after a lively one."""
+    held = {"mean": (F.count, F.sum), "deviation": (F.count, F.avg, F.var_pop), "top": (F.max,)}
+    key = by_ticker("ticker", "__i")
+    inside = lambda order: Window.partitionBy("ticker", "__cut").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def part(side: str, order) -> list[Column]:
+        out = []
+        for name, (c, kind) in of.items():
+            out.append(F.struct(*[f(c).over(inside(order)).alias(x) for x, f in zip("nmv", held[kind], strict=False)]).alias(f"__{side}_{name}"))
+        return out
+
+    cut = rows.withColumn("__i", F.row_number().over(by_ticker()) - 1).withColumn("__cut", F.floor(F.col("__i") / n))
+    ends = cut.select("*", *part("end", F.desc("__i")))
+    both = ends.select("*", *part("start", F.col("__i")))
+    before = lambda name: F.when(F.col("__i") % n < n - 1, F.lag(f"__end_{name}", n - 1).over(key)).alias(f"__end_{name}")
+    met = both.select(*rows.columns, *[f"__start_{k}" for k in of], *[before(k) for k in of])
+
+    def merged(name: str, kind: str) -> Column:
+        a, b = F.col(f"__end_{name}"), F.col(f"__start_{name}")
+        if kind == "top":
+            return F.greatest(a["n"], b["n"])
+        na, nb = F.coalesce(a["n"], F.lit(0)), b["n"]
+        if kind == "mean":
+            return F.when(na + nb >= n, (F.coalesce(a["m"], F.lit(0.0)) + F.coalesce(b["m"], F.lit(0.0))) / (na + nb))
+        apart = F.when((na > 0) & (nb > 0), (b["m"] - a["m"]) * (b["m"] - a["m"]) * na * nb / (na + nb)).otherwise(0.0)
+        own = lambda x, k: F.coalesce(x["v"] * k, F.lit(0.0))
+        return F.when(na + nb >= 2, F.sqrt((own(a, na) + own(b, nb) + apart) / (na + nb - 1)))
+
+    return met.select(*rows.columns, *[merged(k, kind).alias(k) for k, (_, kind) in of.items()])
+
+
 def latest(prices: DataFrame, n: int, key: str = "ticker", day: str = "d") -> DataFrame:
     """The last n rows of every series, with ``rn`` counting back from 1."""
     return prices.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(day)))).where(F.col("rn") <= n)
@@ -132,19 +167,42 @@ def standing(prices: DataFrame, n: int = 200, window: int = YEAR) -> DataFrame:
     return g.select("ticker", "close", (ratio(F.col("close"), F.col("mean")) - 1).alias("over_sma"), "max_drawdown")
 
 
-def features(prices: DataFrame) -> DataFrame:
-    """All trailing features of every (ticker, d) in one pass over one ordering."""
-    daily = prices.withColumn("ret", daily_return())
-    out = daily.select(
-        "ticker", "d", "close", sma(20).alias("sma_20"), over_sma(200).alias("over_200"), return_over(126).alias("mom_6m"), return_between(274, 22).alias("mom_12_1"),
-        volatility().alias("vol"), volatility(126).alias("vol_126"), high_nearness().alias("near_high"), largest_return().alias("max_ret"))
-    return out.withColumn("vol_scaled", F.when(F.col("vol_126") > 1e-4, F.try_divide(F.col("mom_12_1"), F.col("vol_126"))))
+def over_mean(prices: DataFrame, n: int = 200) -> DataFrame:
+    """over_200: the close against the mean of the last n, as over_sma, in running aggregates."""
+    return trailing(prices, n, __mean=("close", "mean")).withColumn("over_200", ratio(F.col("close"), F.col("__mean")) - 1).drop("__mean")
+
+
+def volatilities(rows: DataFrame, ret: str = "ret", **windows: int) -> DataFrame:
+    """Annualised sample deviation of the last returns, as volatility, for each name over so many rows."""
+    for name, window in windows.items():
+        rows = trailing(rows, window, **{name: (ret, "deviation")}).withColumn(name, F.col(name) * F.sqrt(F.lit(float(YEAR))))
+    return rows
+
+
+def features(prices: DataFrame, *names: str) -> DataFrame:
+    """Trailing features of every (ticker, d), all or those named."""
+    names = names or ("sma_20", "over_200", "mom_6m", "mom_12_1", "vol", "vol_126", "near_high", "max_ret", "vol_scaled")
+    rows = prices.select("ticker", "d", "close").withColumn("ret", daily_return())
+    if {"vol", "near_high"} & set(names):
+        rows = trailing(rows, YEAR, __vol=("ret", "deviation"), __top=("close", "top"))
+    if {"vol_126", "vol_scaled"} & set(names):
+        rows = volatilities(rows, vol_126=126)
+    if "over_200" in names:
+        rows = over_mean(rows)
+    made = {
+        "sma_20": sma(20), "mom_6m": return_over(126), "mom_12_1": return_between(274, 22), "vol": F.col("__vol") * F.sqrt(F.lit(float(YEAR))), "max_ret": largest_return(),
+        "near_high": F.when((F.count("close").over(by_ticker()) >= 200) & (F.col("__top") > 0), F.try_divide(F.col("close"), F.col("__top")))}
+    made = {k: v for k, v in made.items() if k in names or (k == "mom_12_1" and "vol_scaled" in names)}
+    rows = rows.select("*", *[v.alias(k) for k, v in made.items()])
+    if "vol_scaled" in names:
+        rows = rows.withColumn("vol_scaled", F.when(F.col("vol_126") > 1e-4, F.try_divide(F.col("mom_12_1"), F.col("vol_126"))))
+    return rows.select("ticker", "d", "close", *names)
 
 
 def feature_panel(targets: DataFrame, prices: DataFrame, names: list[str], at: str = "ask") -> DataFrame:
     """For every (ticker, ask) the features of the latest day on or before it: one ordering of days and dates carries them along, so
     prices are neither looked up first nor joined again."""
-    rows = features(prices).select("ticker", F.col("d").alias("__t"), F.lit(0).alias("__side"), F.struct("d", *names).alias("__f"))
+    rows = features(prices, *names).select("ticker", F.col("d").alias("__t"), F.lit(0).alias("__side"), F.struct("d", *names).alias("__f"))
     asks = targets.select("ticker", F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(dict(rows.dtypes)["__f"]).alias("__f"))
     seen = F.last("__f", ignorenulls=True).over(Window.partitionBy("ticker").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0))
     both = rows.unionByName(asks).withColumn("__f", seen).where("__side = 1 and __f is not null")

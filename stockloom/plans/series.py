@@ -70,7 +70,7 @@ def truncated(s, d):
 ROUND(CASE WHEN COUNT(close) OVER v >= 200 THEN close / AVG(close) OVER v - 1 END, 6) AS over_200 FROM prices
 WINDOW w AS ({_W} ROWS 19 PRECEDING), v AS ({_W} ROWS 199 PRECEDING)""")
 def sma(s, d):
-    return _prices(s, d).select("ticker", "d", F.round(P.sma(20), 6).alias("sma_20"), F.round(P.over_sma(200), 6).alias("over_200"))
+    return P.features(_prices(s, d), "sma_20", "over_200").select("ticker", "d", _r("sma_20"), _r("over_200"))
 
 
 @register("ts02_returns", cte("prices") + f""" SELECT ticker, d, ROUND(close / NULLIF(LAG(close, 63) OVER w, 0) - 1, 6) AS ret_63, ROUND(close / NULLIF(LAG(close, 126) OVER w, 0) - 1, 6) AS mom_6m,
@@ -89,7 +89,7 @@ def daily(s, d):
 
 @register("ts04_volatility", cte("prices") + f", {_RET} SELECT ticker, d, ROUND(CASE WHEN COUNT(ret) OVER w >= 2 THEN STDDEV_SAMP(ret) OVER w * SQRT(252) END, 6) AS vol FROM r WINDOW w AS ({_W} ROWS 251 PRECEDING)")
 def vol(s, d):
-    return _prices(s, d).withColumn("ret", P.nonzero_return()).select("ticker", "d", F.round(P.volatility(), 6).alias("vol"))
+    return P.volatilities(_prices(s, d).withColumn("ret", P.nonzero_return()), vol=P.YEAR).select("ticker", "d", _r("vol"))
 
 
 @register("ts05_max_drawdown", cte("prices") + f""", l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY d DESC) AS rn FROM prices),
@@ -101,7 +101,7 @@ def drawdown(s, d):
 
 @register("ts06_near_high", cte("prices") + f" SELECT ticker, d, ROUND(CASE WHEN COUNT(*) OVER ({_W}) >= 200 THEN close / MAX(close) OVER ({_W} ROWS 251 PRECEDING) END, 6) AS near_high FROM prices")
 def near_high(s, d):
-    return _prices(s, d).select("ticker", "d", F.round(P.high_nearness(), 6).alias("near_high"))
+    return P.features(_prices(s, d), "near_high").select("ticker", "d", _r("near_high"))
 
 
 @register("ts07_largest_return", cte("prices") + f", {_RET} SELECT ticker, d, ROUND(CASE WHEN COUNT(*) OVER ({_W}) >= 22 THEN MAX(ret) OVER ({_W} ROWS 20 PRECEDING) END, 6) AS max_ret FROM r")
@@ -113,7 +113,7 @@ def largest(s, d):
 CASE WHEN COUNT(ret) OVER ({_W} ROWS 125 PRECEDING) >= 2 THEN STDDEV_SAMP(ret) OVER ({_W} ROWS 125 PRECEDING) * SQRT(252) END AS vol FROM r)
 SELECT ticker, d, ROUND(CASE WHEN vol > 1e-4 THEN mom / vol END, 6) AS vol_scaled FROM v""")
 def vol_scaled(s, d):
-    return P.features(_prices(s, d)).select("ticker", "d", _r("vol_scaled"))
+    return P.features(_prices(s, d), "vol_scaled").select("ticker", "d", _r("vol_scaled"))
 
 
 @register("ts09_relative_strength", cte("prices", "market") + """, a AS (SELECT ticker, d, close FROM prices UNION ALL SELECT NULL, d, close FROM market),
