@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
+from stockloom.functions.sizes import small
 from stockloom.operators.sequences import best_of_lists
 
 
@@ -25,10 +29,62 @@ def bags(docs: DataFrame, id_: str = "doc_id") -> DataFrame:
     return docs.select(id_, F.explode(tokens(F.col("text"))).alias("token")).groupBy(id_, "token").agg(F.count("*").alias("c"))
 
 
+def _repeated(docs: DataFrame, id_: str = "doc_id") -> DataFrame | None:
+    """Ids that stand in several rows; None if there is none."""
+    twice = docs.groupBy(id_).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_).alias("__again"))
+    return None if twice.isEmpty() else small(twice)
+
+
+def bag_sizes(docs: DataFrame, id_: str = "doc_id") -> DataFrame:
+    """id, kinds, words of every bag that has a word. A text is counted in its own row, so that no word is shuffled; only rows that share
+    an id are put together word by word."""
+    def counted(rows: DataFrame) -> DataFrame:
+        words = F.transform(F.array(tokens(F.col("text"))), lambda t: F.struct(F.size(F.array_distinct(t)).cast("long").alias("kinds"), F.size(t).cast("long").alias("words")))
+        return rows.where("text is not null").select(id_, F.inline(words)).where("words > 0")
+
+    twice = _repeated(docs, id_)
+    if twice is None:
+        return counted(docs)
+    same = docs[id_].eqNullSafe(twice["__again"])
+    shared = bags(docs.join(twice, same, "left_semi"), id_).groupBy(id_).agg(F.count("*").alias("kinds"), F.sum("c").alias("words"))
+    return counted(docs.join(twice, same, "left_anti")).union(shared)
+
+
+@F.pandas_udf(DoubleType())
+def bag_cosine(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Bag-of-words cosine of two texts in lower case; NULL where either has no token."""
+    def bag(text: str | None) -> Counter:
+        return Counter(re.findall("[a-z]+", text or ""))
+
+    def value(x: Counter, y: Counter) -> float | None:
+        if not x or not y:
+            return None
+        few, many = (x, y) if len(x) <= len(y) else (y, x)
+        return min(1.0, sum(n * many[t] for t, n in few.items() if t in many) / (math.sqrt(sum(n * n for n in x.values())) * math.sqrt(sum(n * n for n in y.values()))))
+
+    for a, b in batches:
+        yield pd.Series([value(bag(x), bag(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def cosine(pairs: DataFrame, docs: DataFrame, a: str, b: str) -> DataFrame:
-    """Bag-of-words cosine of given document pairs; NULL where either side has no token. Every document learns first which pairs it
-    belongs to, and on which side; its tokens then go to their pairs in one shuffle, counted before it, and norms and dot
-    product are sums of the same rows."""
+    """Bag-of-words cosine of given document pairs; NULL where either side has no token. The two texts of a pair meet in one row and
+    are counted there, so that no word is shuffled; pairs of an id that stands in several rows go word by word."""
+    twice = _repeated(docs)
+    pairs, apart = pairs.select(a, b), None
+    if twice is not None:
+        mark = lambda c: twice.select(F.col("__again").alias(c), F.lit(1).alias(f"__{c}"))
+        marked = pairs.join(mark(a), a, "left").join(mark(b), b, "left")
+        shared = F.col(f"__{a}").isNotNull() | F.col(f"__{b}").isNotNull()
+        pairs, apart = marked.where(~shared).select(a, b), marked.where(shared).select(a, b)
+    text = lambda c, name: docs.select(F.col("doc_id").alias(c), F.lower("text").alias(name))
+    met = pairs.join(text(a, "__x"), a, "left").join(text(b, "__y"), b, "left")
+    out = met.select(a, b, bag_cosine("__x", "__y").alias("similarity"))
+    return out if apart is None else out.union(_cosine_by_words(apart, docs, a, b))
+
+
+def _cosine_by_words(pairs: DataFrame, docs: DataFrame, a: str, b: str) -> DataFrame:
+    """The same with every token a row: documents learn which pairs they belong to, and on which side; norms and dot product are sums of
+    the counts of a pair's tokens."""
     side = lambda c, n: pairs.select(F.col(c).alias("doc_id"), F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(n).alias("side")).alias("pair"))
     placed = docs.select("doc_id", "text").join(side(a, 0).union(side(b, 1)), "doc_id")
     words = placed.select("pair", F.explode(tokens(F.col("text"))).alias("token"))
