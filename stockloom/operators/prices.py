@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.columns import ratio
+from stockloom.functions.sizes import small
 
 YEAR = 252
 
@@ -23,10 +24,11 @@ def monthly_last(prices: DataFrame) -> DataFrame:
 
 
 def join_on_dates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two series joined by date: d, close_a, close_b. Repeated dates: the smallest pos on the left, the largest on the right."""
+    """Two series joined by date: d, close_a, close_b. Repeated dates: the smallest pos on the left, the largest on the right. Few
+    dates (counted) go to the rows, so that no task gathers all rows of a date; else both sides are shuffled."""
     left = a.groupBy("ticker", "d").agg(F.min_by("close", "pos").alias("close_a"))
     right = b.groupBy("d").agg(F.max_by("close", "pos").alias("close_b"))
-    return left.join(right, "d")
+    return left.join(small(right), "d")
 
 
 def as_of(targets: DataFrame, prices: DataFrame, at: str = "ask") -> DataFrame:

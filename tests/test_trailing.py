@@ -43,3 +43,11 @@ def test_no_long_frame_slides(spark, name):
 
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert all(int(n) < 32 for n in re.findall(r"specifiedwindowframe\(RowFrame, -(\d+), currentrow", plan))
+
+
+def test_dates_are_sent_to_rows(spark):
+    spark_rows = [("A", date(2020, 1, 1), 1.0, 0), ("A", date(2020, 1, 1), 2.0, 1), ("B", date(2020, 1, 2), 3.0, 0), ("B", date(2020, 1, 3), 4.0, 0)]
+    a = spark.createDataFrame(spark_rows, "ticker string, d date, close double, pos int")
+    joined = P.join_on_dates(a, a.where("d < '2020-01-03'").drop("ticker"))
+    assert sorted(map(tuple, joined.select("ticker", "d", "close_a", "close_b").collect())) == [("A", date(2020, 1, 1), 1.0, 2.0), ("B", date(2020, 1, 2), 3.0, 3.0)]
+    assert "strategy=broadcast" in joined._jdf.queryExecution().optimizedPlan().toString()
