@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 
+from stockloom.operators import sequences
 from stockloom.operators import text as X
 from stockloom.operators.sequences import best_ratios
 
@@ -46,3 +47,20 @@ def test_block_ratios(spark):
 def test_keys_ignore_amounts(spark):
     got = spark.createDataFrame([("Sales of $1,200.5  fell in 2023.",), ("Sales of $7 fell in 2024",)], "t string").select(X.block_key(X.F.col("t")).alias("k")).collect()
     assert got[0].k == got[1].k == "sales of  fell in "
+
+
+def test_ratios_of_long_and_foreign_texts():
+    r = random.Random(3)
+    a = ["".join(r.choice("abc") for _ in range(n)) for n in (0, 1, 40, 300, 700)] + ["".join(chr(0x4E00 + r.randint(0, 400)) for _ in range(600)), "x" * 300, "ab" * 150]
+    b = [t[:9] + "c" + t[5:] for t in a] + a[::-1]
+    pairs = np.array([(i, j) for i in range(len(a)) for j in range(len(b))])
+    assert np.array_equal(best_ratios(a, b, pairs, prune=False), np.array([SequenceMatcher(None, a[i], b[j], autojunk=False).ratio() for i, j in pairs]))
+
+
+def test_rectangles_go_in_few_passes(monkeypatch):
+    """Pairs of short texts are matched thousands at a time, not in fixed small lots."""
+    calls, longest = [], sequences._longest
+    monkeypatch.setattr(sequences, "_longest", lambda a, b, rect: calls.append(len(rect)) or longest(a, b, rect))
+    a, b = [f"{i:03d}" for i in range(64)], [f"{i:04d}" for i in range(128)]
+    best_ratios(a, b, np.array([(i, j) for i in range(64) for j in range(128)]), prune=False)
+    assert calls[0] == 64 * 128
