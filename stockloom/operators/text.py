@@ -200,24 +200,26 @@ def fuzzy_names(left: DataFrame, right: DataFrame, least: float, aliases: DataFr
     """For each left name (id, key: normalised) the most similar right one at or above ``least``: other, ratio.
 
     Distinct names meet by shared words and letter groups, a key of very many names being dealt out ``spread`` ways on the
-    left. Two strings whose ratio is 0.6 or more and that have eight letters or more share a run of four letters unless
-    differences stand in every group; the tests measure recall against all pairs. Aliases (id of a right name, phrase)
-    lift a left name that holds the phrase as whole words to 1."""
-    a = left.select("id", F.col("key").alias("a")).where("a <> ''").distinct()
-    b = right.select(F.col("id").alias("other"), F.col("key").alias("b")).where("b <> ''").distinct()
+    left; the best partner is found once for each distinct name, and ids, dealt out first, take over that of their name. Two
+    strings whose ratio is 0.6 or more and that have eight letters or more share a run of four letters unless differences stand in
+    every group; the tests measure recall against all pairs. Aliases (id of a right name, phrase) lift a left name that holds the
+    phrase as whole words to 1."""
+    a = left.select("id", F.col("key").alias("a")).repartition("id").where("a <> ''")
+    b = right.where("key <> ''").groupBy(F.col("key").alias("b")).agg(F.min("id").alias("other"))  # alike, so the smallest id stands for all
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(spread)).cast("int")
-    x = a.select("a").distinct().select("a", F.explode(_keys(F.col("a"))).alias("k"), salt("a").alias("s"))
+    x = left.select(F.col("key").alias("a")).where("a <> ''").distinct().select("a", F.explode(_keys(F.col("a"))).alias("k"), salt("a").alias("s"))
     y = b.select("b").distinct().select("b", F.explode(_keys(F.col("b"))).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("s"))
     met = x.join(y, ["k", "s"]).where(length_bound(F.col("a"), F.col("b")) >= least).select("a", "b").distinct()
     scored = met.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least)
-    pairs = a.join(scored, "a").join(b, "b").select("id", "other", "ratio")
+    best = F.min_by(F.struct("other", "ratio"), F.struct((-F.round("ratio", 9)).alias("r"), F.col("other").alias("o"))).alias("x")
+    found = written(scored.join(b, "b").groupBy("a").agg(best).select("a", "x.other", "x.ratio"))  # one row a distinct name
+    pairs = a.join(small(found), "a").select("id", "other", "ratio")
     if aliases is not None:
         words = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
         first = lambda c: F.split(c, " ")[0]
         known = aliases.select(F.col("id").alias("other"), "phrase", first("phrase").alias("w"))
         lifted = a.select("id", "a", F.explode(F.array_distinct(F.split("a", " "))).alias("w")).join(known, "w").where(F.contains(words("a"), words("phrase")))
         pairs = pairs.union(lifted.select("id", "other", F.lit(1.0)))
-    best = F.min_by(F.struct("other", "ratio"), F.struct((-F.round("ratio", 9)).alias("r"), F.col("other").alias("o"))).alias("x")
     return pairs.groupBy("id").agg(best).select("id", "x.other", "x.ratio")
 
 
