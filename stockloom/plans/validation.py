@@ -12,6 +12,7 @@ from stockloom.catalog import register
 from stockloom.functions.ranks import average_rank, ic_summary, percentile_score
 from stockloom.operators import backtest as B
 from stockloom.operators import prices as P
+from stockloom.session import written
 
 
 def _r(c: str, n: int = 6):
@@ -203,7 +204,7 @@ o AS (SELECT m, COUNT_IF(p1 <= 10 AND p3 <= 10) / 10.0 AS overlap FROM p GROUP B
 t AS (SELECT a.m, COUNT(*) AS pairs, SUM(SIGN(a.s1 - b.s1) * SIGN(a.s3 - b.s3)) / COUNT(*) AS tau FROM signals a JOIN signals b ON a.m = b.m AND a.ticker < b.ticker GROUP BY a.m)
 SELECT m, CAST(overlap AS DOUBLE) AS overlap, ROUND(tau, 6) AS tau, pairs FROM o JOIN t USING (m)""")
 def churn(s, d):
-    rows = view(s, d, "signals")
+    rows = written(view(s, d, "signals"))  # read three times
     place = lambda c: rows.select("m", "ticker", F.row_number().over(Window.partitionBy("m").orderBy(F.desc(c), "ticker")).alias("place"))
     o = B.overlap(place("s1"), place("s3"), 10)
     return B.kendall(rows, "s1", "s3").join(o, "m", "left").select("m", F.coalesce("overlap", F.lit(0.0)).alias("overlap"), _r("tau"), "pairs")
