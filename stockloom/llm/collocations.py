@@ -9,7 +9,8 @@ Lengths are mined one after the other, so that nothing is enumerated that cannot
 by Spark, sums below the floor go, and the survivors are joined back to their shards, which keep only stretches whose phrases of that
 length all survived (longer phrases of the floor's frequency lie in such stretches). The floor is on whole sums; a shard drops nothing
 by its own counts. Phrases are known by their first words' number and their last word's number, dense over the whole corpus, so
-shuffled rows are four integers.
+shuffled rows are four integers. A shard lies in its table as one row of words and, after it, a row for each of its phrases; its survivors
+come to it as rows in that order as well, so no JVM task holds more of a shard than a batch of rows, and a worker no more than one shard.
 
 Edge cases: null text counts as empty, null lang as ``und``; rows that repeat a doc_id count each; ties in rank go by count, then by the
 phrase's bytes; an empty table gives an empty result; other columns are ignored. A text without any sentence mark or line end is held
@@ -18,12 +19,12 @@ in one task as arrays (30 bytes a letter); others are worked in parts.
 
 from __future__ import annotations
 
-import uuid
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +37,10 @@ SHARD_WORDS, HELD_WORDS = 1 << 19, 1 << 20
 #: Ids of phrases joined back by a broadcast at most; beyond, by a shuffle.
 BROADCAST_PHRASES = 1 << 20
 UND = "und"
-#: Tables of shards hold arrays of numbers and words that hardly repeat.
-TABLE = {"compression": "zstd", "parquet.enable.dictionary": "false"}
+#: Tables of shards hold numbers and words that hardly repeat; a task holds one group of their rows.
+TABLE = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 25)}
+#: Rows of a batch that a worker gives off.
+BATCH = 1 << 16
 
 BLANK, BREAK = np.zeros(256, bool), np.zeros(256, bool)
 BLANK[[0x20, 0x09]] = True
@@ -147,7 +150,9 @@ def _stretches(piece: kernel.Piece) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, first, piece.owner(starts)
 
 
-SHARD = "lang string, shard string, words binary, firsts array<long>, lasts array<long>, names array<string>, counts array<long>"
+#: A shard: the row of slot -1 has its words (and the ids of words, ``gids``), that of slot i its phrase number i.
+SHARD = "lang string, shard long, slot int, words binary, gids binary, name string, first long, last long, count long"
+KINDS = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("slot", pa.int32()), ("words", pa.binary()), ("gids", pa.binary()), ("name", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("count", pa.int64())])
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -156,8 +161,7 @@ def _packed(numbers: np.ndarray) -> bytes:
     return len(numbers).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(numbers) else b"")
 
 
-def _numbers(packed: pa.Scalar) -> np.ndarray:
-    blob = packed.as_py()
+def _numbers(blob: bytes) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
     if not n:
         return np.zeros(0, np.int64)
@@ -165,12 +169,18 @@ def _numbers(packed: pa.Scalar) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<i8")
 
 
-def _row(lang: str, shard: str, words: np.ndarray, firsts: pa.Array | None, lasts: pa.Array | None, names: pa.Array | None, counts: np.ndarray) -> pa.RecordBatch:
-    def listed(x: pa.Array | None, kind: pa.DataType) -> pa.Array:
-        return pa.nulls(1, pa.list_(kind)) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+def _rows(lang: str, shard: int, words: np.ndarray, gids: np.ndarray, **phrases: pa.Array) -> Iterator[pa.RecordBatch]:
+    """A shard's words, then its phrases: their names, or their first words and last word, and their counts."""
 
-    blob = lambda x: pa.array([_packed(x)])
-    return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([shard]), blob(words), listed(firsts, pa.int64()), listed(lasts, pa.int64()), listed(names, pa.string()), listed(pa.array(counts.astype(np.int64)), pa.int64())], ["lang", "shard", "words", "firsts", "lasts", "names", "counts"])
+    def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns |= {"lang": pa.repeat(lang, n), "shard": pa.repeat(pa.scalar(shard, pa.int64()), n)}
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in KINDS], schema=KINDS)
+
+    yield batch(1, slot=pa.array([-1]), words=pa.array([_packed(words)]), gids=pa.array([_packed(gids)]))
+    for at in range(0, len(phrases["count"]), BATCH):
+        part = {k: v.slice(at, BATCH) for k, v in phrases.items()}
+        n = len(part["count"])
+        yield batch(n, slot=pa.array(np.arange(at, at + n)), **part)
 
 
 def _with_breaks(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -189,14 +199,16 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards of a task's texts, with their single words."""
     held: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
     sizes: dict[str, int] = {}
+    new = itertools.count(TaskContext.get().partitionId() << 32)
 
-    def given(lang: str) -> pa.RecordBatch:
+    def given(lang: str) -> Iterator[pa.RecordBatch]:
         parts = held.pop(lang)
         sizes.pop(lang)
         coded = pa.chunked_array([w for w, _ in parts]).combine_chunks().dictionary_encode()
         numbers = coded.indices.to_numpy(zero_copy_only=False)
         words = _with_breaks(numbers + 1, np.concatenate([f for _, f in parts]))
-        return _row(lang, uuid.uuid4().hex, words, None, None, coded.dictionary.cast(pa.string()), np.bincount(numbers, minlength=len(coded.dictionary)))
+        yield from _rows(lang, next(new), words, np.zeros(0, np.int64), name=coded.dictionary, count=pa.array(np.bincount(numbers, minlength=len(coded.dictionary))))
+        _give_back()
 
     for b in batches:
         langs = b.column("lang").to_pylist()
@@ -210,58 +222,82 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         held.setdefault(lang, []).append((words.take(pa.array(mine)), first[mine]))
                         sizes[lang] = sizes.get(lang, 0) + len(mine)
                         if sizes[lang] >= SHARD_WORDS:
-                            yield given(lang)
-                            _give_back()
+                            yield from given(lang)
             if sum(sizes.values()) >= HELD_WORDS:
-                yield given(max(sizes, key=sizes.get))
-                _give_back()
+                yield from given(max(sizes, key=sizes.get))
     for lang in list(held):
-        yield given(lang)
-    _give_back()
+        yield from given(lang)
+
+
+PACKS = "shard long, slot int, slots array<int>, ids array<long>"
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The survivors (those with an id) of a batch of shard, slot, id, a row for each shard there, with one of its slots."""
+    for b in batches:
+        b = b.filter(b.column("id").is_valid())
+        order = np.argsort(b.column("shard").to_numpy(), kind="stable")
+        shard, slot, id_ = (b.column(c).to_numpy()[order] for c in ("shard", "slot", "id"))
+        head = np.flatnonzero(np.diff(shard, prepend=-1))
+        offsets = pa.array(np.append(head, len(shard)), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(shard[head]), pa.array(slot[head]), pa.ListArray.from_arrays(offsets, pa.array(slot)), pa.ListArray.from_arrays(offsets, pa.array(id_))], ["shard", "slot", "slots", "ids"])
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes, bytes, np.ndarray, np.ndarray]]:
+    """One shard after the other, of rows in order of shard and slot: lang, shard, words, gids, and slots and ids of its survivors."""
+    head, slots, ids = None, [], []
+    for b in batches:
+        slot = b.column("slot").to_numpy()
+        for begin, end in itertools.pairwise([0, *np.flatnonzero(slot < 0).tolist(), len(slot)]):
+            if begin < end and slot[begin] < 0:
+                if head:
+                    yield *head, np.concatenate(slots), np.concatenate(ids)
+                head, slots, ids = tuple(b.column(c)[begin].as_py() for c in ("lang", "shard", "words", "gids")), [], []
+            slots.append(b.column("slots").slice(begin, end - begin).flatten().to_numpy().astype(np.int64))
+            ids.append(b.column("ids").slice(begin, end - begin).flatten().to_numpy().astype(np.int64))
+    if head:
+        yield *head, np.concatenate(slots), np.concatenate(ids)
 
 
 def _step(length: int):
-    """From a shard with numbered phrases of ``length - 1`` words and the survivors among them, to its phrases of ``length`` words."""
+    """From shards with numbered phrases of ``length - 1`` words and the survivors among them, to their phrases of ``length`` words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1)
-                words = _numbers(row.column("words")[0])
-                if length > 2:  # numbered anew, as they were; that takes less than to keep and to move a number for every place
-                    slots, gids = phrases(words, length - 1)[0], _numbers(row.column("gids")[0])
-                else:
-                    slots = words - 1
-                alive = row.column("alive").flatten().flatten()
-                ids = np.zeros(int(slots.max(initial=0)) + 2, np.int64)  # the last stands for none
-                ids[alive[0].to_numpy(zero_copy_only=False)] = alive[1].to_numpy(zero_copy_only=False)
-                here = ids[slots]
-                if length == 2:  # words are numbered by their ids from now on, the break first
-                    gids, words = np.unique(here, return_inverse=True)
-                    gids, words = (gids, words) if len(gids) and gids[0] == 0 else (np.append(0, gids), words + 1)
-                kept = np.flatnonzero(here > 0)  # a stretch of them, and the words of the last one
-                pair = np.zeros(len(here) + 1, bool)
-                pair[kept] = True
-                pair = pair[:-1] & (pair[1:] | np.concatenate(([False], pair[:-2])))  # alone, none of them grows
-                kept = np.flatnonzero(pair)
-                first = np.ones(len(kept), bool)
-                first[1:] = np.diff(kept) > 1
-                last = np.append(first[1:], True)[: len(kept)]
-                lengths = np.where(last, length - 1, 1)
-                upto = np.cumsum(lengths)
-                source = np.repeat(kept - (upto - lengths), lengths) + np.arange(upto[-1] if len(upto) else 0)
-                begins = np.zeros(len(source), bool)
-                begins[(upto - lengths)[first]] = True
-                used, local = np.unique(words[source], return_inverse=True)
-                whole = np.zeros(len(source), np.int64)
-                whole[upto - lengths] = here[kept]
-                text, prefix = _with_breaks(local + 1, begins), _with_breaks(whole, begins)
-                _, place, count = phrases(text, length)
-                gids = np.append(0, gids[used])
-                del slots, alive, ids, here, kept, source, local, whole, words
-                yield _row(row.column("lang")[0].as_py(), row.column("shard")[0].as_py(), text, pa.array(prefix[place]), pa.array(gids[text[place + length - 1]]), None, count).append_column("gids", pa.array([_packed(gids)]))
-                del row, text, prefix, place, count, gids
-                _give_back()
+        for lang, shard, words, gids, alive, named in _told(batches):
+            words = _numbers(words)
+            if length > 2:  # numbered anew, as they were; that takes less than to keep and to move a number for every place
+                slots, gids = phrases(words, length - 1)[0], _numbers(gids)
+            else:
+                slots = words - 1
+            ids = np.zeros(int(slots.max(initial=0)) + 2, np.int64)  # the last stands for none
+            ids[alive] = named
+            here = ids[slots]
+            if length == 2:  # words are numbered by their ids from now on, the break first
+                gids, words = np.unique(here, return_inverse=True)
+                gids, words = (gids, words) if len(gids) and gids[0] == 0 else (np.append(0, gids), words + 1)
+            kept = np.flatnonzero(here > 0)  # a stretch of them, and the words of the last one
+            pair = np.zeros(len(here) + 1, bool)
+            pair[kept] = True
+            pair = pair[:-1] & (pair[1:] | np.concatenate(([False], pair[:-2])))  # alone, none of them grows
+            kept = np.flatnonzero(pair)
+            first = np.ones(len(kept), bool)
+            first[1:] = np.diff(kept) > 1
+            last = np.append(first[1:], True)[: len(kept)]
+            lengths = np.where(last, length - 1, 1)
+            upto = np.cumsum(lengths)
+            source = np.repeat(kept - (upto - lengths), lengths) + np.arange(upto[-1] if len(upto) else 0)
+            begins = np.zeros(len(source), bool)
+            begins[(upto - lengths)[first]] = True
+            used, local = np.unique(words[source], return_inverse=True)
+            whole = np.zeros(len(source), np.int64)
+            whole[upto - lengths] = here[kept]
+            text, prefix = _with_breaks(local + 1, begins), _with_breaks(whole, begins)
+            _, place, count = phrases(text, length)
+            gids = np.append(0, gids[used])
+            del slots, alive, named, ids, here, kept, source, local, whole, words
+            yield from _rows(lang, shard, text, gids, first=pa.array(prefix[place]), last=pa.array(gids[text[place + length - 1]]), count=pa.array(count))
+            del text, prefix, place, count, gids
+            _give_back()
 
     return rows
 
@@ -269,11 +305,13 @@ def _step(length: int):
 # ---------------------------------------------------------------- phrases
 
 
-def _joined_back(rows: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
-    """shard, alive: (slot, id) of the survivors of each shard, none for a shard without any. A list is no longer than the shard's
-    phrases."""
-    told = shared.join_ids(rows, kept, on, "left", BROADCAST_PHRASES)
-    return told.groupBy("shard").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("slot", "id"))).alias("alive"))
+def _joined_back(level: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
+    """Each shard's words, and after them slots and ids of the survivors among its phrases, as rows in that order. A row has those of
+    a batch at most."""
+    told = shared.join_ids(level.where("slot >= 0").select("shard", "slot", *on), kept, on, "left", BROADCAST_PHRASES)
+    alive = told.select("shard", "slot", "id").mapInArrow(_packs, PACKS)
+    both = level.where("slot < 0").select("shard", "slot", "lang", "words", "gids").unionByName(alive, allowMissingColumns=True)
+    return both.repartition("shard").sortWithinPartitions("shard", "slot")
 
 
 def frequent(documents: DataFrame, longest: int = LONGEST, floor: int = FLOOR) -> DataFrame:
@@ -284,9 +322,7 @@ def frequent(documents: DataFrame, longest: int = LONGEST, floor: int = FLOOR) -
     level, tables, old, out = shards, [], [shards], None
     for size in range(1, longest + 1):
         key = ["lang", "name"] if size == 1 else ["first", "last"]  # an id is of one language
-        cell = {"slot": "pos", "name": "col.names", "count": "col.counts"} if size == 1 else {"slot": "pos", "first": "col.firsts", "last": "col.lasts", "count": "col.counts"}
-        zipped = F.arrays_zip("names", "counts") if size == 1 else F.arrays_zip("firsts", "lasts", "counts")
-        rows = level.select("lang", "shard", F.posexplode(zipped)).select("lang", "shard", *[F.col(v).alias(k) for k, v in cell.items()])
+        rows = level.where("slot >= 0")
         sums = rows.groupBy(*key).agg(F.sum("count").alias("f"))
         if size == 1:
             words = rows.groupBy("lang").agg(F.sum("count").alias("f"))
@@ -302,9 +338,7 @@ def frequent(documents: DataFrame, longest: int = LONGEST, floor: int = FLOOR) -
         tables.append(out.select("lang", "phrase", F.lit(size).alias("size"), "f"))
         if size == longest:
             break
-        alive = _joined_back(rows, kept.select(*key, "id"), key)
-        state = level.select("lang", "shard", "words", F.lit(b"").alias("gids") if size == 1 else F.col("gids"))
-        level = shared.written(state.join(alive.hint("merge"), "shard").mapInArrow(_step(size + 1), SHARD + ", gids binary"), **TABLE)
+        level = shared.written(_joined_back(level, kept.select(*key, "id"), key).mapInArrow(_step(size + 1), SHARD), **TABLE)
         shared.discard(old.pop())
         old.append(level)
     shared.discard(level)

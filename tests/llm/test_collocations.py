@@ -97,3 +97,21 @@ def test_wide_products_and_nothing(spark):
         module.frequent = real
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert C.collocations(empty).count() == 0
+
+
+def test_no_row_holds_a_shard(spark, monkeypatch):
+    """A shard's phrases and survivors lie and travel as rows of a bounded size, so that readers hold no more than a few of them."""
+    seen, real = [], C.shared.written
+    monkeypatch.setattr(C.shared, "written", lambda df, **o: seen.append(real(df, **o)) or seen[-1])
+    monkeypatch.setattr(C.shared, "discard", lambda *_: None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        df = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 701}" for j in range(900)), "en") for k in range(4)], "doc_id int, text string, lang string").coalesce(1)
+        assert C.frequent(df, longest=3, floor=1).where("size = 3").count() == len({tuple((k * (j + i)) % 701 for i in range(3)) for k in range(4) for j in range(898)})
+        tables = [t for t in seen if "shard" in t.columns]
+        assert len(tables) == 3 and all(kind == "binary" or not kind.startswith("array") for t in tables for _, kind in t.dtypes)
+        kept = next(t for t in seen if {"id", "name"} <= set(t.columns))
+        sizes = C._joined_back(tables[0], kept.select("lang", "name", "id"), ["lang", "name"]).selectExpr("size(slots) AS n").where("n >= 0").collect()
+        assert max(r.n for r in sizes) <= 100 and sum(r.n for r in sizes) == 701
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
