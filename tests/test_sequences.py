@@ -64,3 +64,18 @@ def test_rectangles_go_in_few_passes(monkeypatch):
     a, b = [f"{i:03d}" for i in range(64)], [f"{i:04d}" for i in range(128)]
     best_ratios(a, b, np.array([(i, j) for i in range(64) for j in range(128)]), prune=False)
     assert calls[0] == 64 * 128
+
+
+def test_whole_blocks_are_compared(spark):
+    """Blocks alike in their first 160 letters and unlike after them, and the other way round."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    long = [" ".join(word() for _ in range(n)) for n in (90, 90, 40, 1200)]
+    prior = [long[0][:170] + long[1], long[2], long[1][:100] + long[3]]
+    now = [long[0], long[1][:50] + long[3], long[2], "1" * 170 + " ends in words"]
+    docs = spark.createDataFrame([(1, "\n\n".join(prior)), (2, "\n\n".join(now))], "doc_id long, text string")
+    pairs = spark.createDataFrame([(2, 1)], "doc_id long, prior_doc_id long")
+    ends = " ends in words"
+    want = {k: max(SequenceMatcher(None, t, p, autojunk=False).ratio() for p in prior) for k, t in ((0, now[0]), (1, now[1]), (3, ends))}
+    assert {r.pos: r.ratio for r in X.block_ratios(pairs, docs).collect()} == want
+    assert [r.pos for r in X.added_blocks(pairs, docs).orderBy("pos").collect()] == [k for k, v in want.items() if v < 0.5]
