@@ -79,3 +79,20 @@ def test_whole_blocks_are_compared(spark):
     want = {k: max(SequenceMatcher(None, t, p, autojunk=False).ratio() for p in prior) for k, t in ((0, now[0]), (1, now[1]), (3, ends))}
     assert {r.pos: r.ratio for r in X.block_ratios(pairs, docs).collect()} == want
     assert [r.pos for r in X.added_blocks(pairs, docs).orderBy("pos").collect()] == [k for k, v in want.items() if v < 0.5]
+
+
+def test_seeds_find_what_cells_find(monkeypatch):
+    """Long texts by places with the same few letters, in lots: the same ratios, and few cells looked at."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    a = [" ".join(r.choice(words) for _ in range(n)) for n in (1, 5, 40, 90, 150)] + ["x" * 200, "\U0001f600é" * 60, ""]
+    b = [t[:9] + "c" + t[5:] for t in a] + [t[::-1] for t in a] + [" ".join(r.choice(words) for _ in range(n)) for n in (10, 90, 150)]
+    pairs = np.array([(i, j) for i in range(len(a)) for j in range(len(b))])
+    want = np.array([SequenceMatcher(None, a[i], b[j], autojunk=False).ratio() for i, j in pairs])
+    cells, longest = [], sequences._longest
+    monkeypatch.setattr(sequences, "_longest", lambda a, b, rect: cells.append(((rect[:, 3] - rect[:, 2]) * (rect[:, 5] - rect[:, 4])).sum()) or longest(a, b, rect))
+    monkeypatch.setattr(sequences, "SEEDS", 4000)
+    assert np.array_equal(best_ratios(a, b, pairs, prune=False), want)
+    assert sum(cells) < sum(len(a[i]) * len(b[j]) for i, j in pairs) / 2
+    pruned = best_ratios(a, b, pairs)
+    assert all(pruned[pairs[:, 0] == i].max() == want[pairs[:, 0] == i].max() for i in range(len(a)))
